@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, mixing
 from .common import table
 
 
@@ -29,9 +29,26 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, bits=16))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=[1, 2, 3], cap=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_token_files": op5_token_files,
+    "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": mixing.SQL,
+}
