@@ -29,6 +29,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, bits=16))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import features, media_column
+
+    return features(common.written(media_column(table(spark, sf_dir, "documents")), "media"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -45,6 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_token_files": op5_token_files,
+    "op6_media": op6_media,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
