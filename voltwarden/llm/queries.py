@@ -35,6 +35,21 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(common.written(media_column(table(spark, sf_dir, "documents")), "media"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -52,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_token_files": op5_token_files,
     "op6_media": op6_media,
+    "op7_quality": op7_quality,
+    "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
