@@ -54,8 +54,8 @@ def from_planes(planes: list[bytes], n: int, unit: str) -> np.ndarray:
     return raw.view("<u4").ravel()
 
 
-def write_file(out, docs: Iterable[tuple[int | None, bytes]], bits: int, unit: str = "bit", block: int = BLOCK) -> tuple[int, int]:
-    """Writes (doc_id, ids as bytes) in order; gives the numbers of documents and ids. Holds a block and the index in memory."""
+def write_file(out, docs: Iterable[tuple[int | None, bytes]], bits: int, unit: str = "bit", block: int = BLOCK, width: int = 4) -> tuple[int, int]:
+    """Writes (doc_id, ids as bytes, `width` each) in order; gives the numbers of documents and ids. Holds a block and the index in memory."""
     pack, index, held, size, n_ids = zstandard.ZstdCompressor(level=1).compress, [], [], 0, 0
     out.write(MAGIC)
     at, names, lengths = len(MAGIC), [], []
@@ -70,18 +70,18 @@ def write_file(out, docs: Iterable[tuple[int | None, bytes]], bits: int, unit: s
 
     for doc, ids in docs:
         names.append(doc)
-        lengths.append(len(ids) // 4)
+        lengths.append(len(ids) // width)
         held.append(ids)
         size += len(ids)
-        n_ids += len(ids) // 4
-        if size >= 4 * block:
-            flat = np.frombuffer(b"".join(held), "<u4")
+        n_ids += len(ids) // width
+        if size >= width * block:
+            flat = np.frombuffer(b"".join(held), f"<u{width}")
             whole = len(flat) // block * block
             for i in range(0, whole, block):
                 flush(flat[i : i + block])
-            held, size = [flat[whole:].tobytes()], 4 * (len(flat) - whole)
+            held, size = [flat[whole:].tobytes()], width * (len(flat) - whole)
     if size:
-        flush(np.frombuffer(b"".join(held), "<u4"))
+        flush(np.frombuffer(b"".join(held), f"<u{width}"))
     docs_at = at
     table = pack(np.array([0 if d is None else d for d in names], "<i8").tobytes() + np.array(lengths, "<i8").tobytes() + bytes(d is None for d in names))
     index_bytes = pack(np.array(index, "<i8").tobytes())
@@ -138,16 +138,28 @@ class Reader:
             held = held[n:]
 
 
-def encode(df: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian, 32 bits each, the end id last), n_tokens, task and nth of every text; null texts are empty."""
+def narrow(ids: bytes, bits: int) -> bytes:
+    wide = np.frombuffer(ids, "<u4")
+    if wide.max(initial=0) >> bits:
+        raise ValueError(f"an id needs more than {bits} bits")
+    return wide.astype("<u2").tobytes() if width_of(bits) == 2 else ids
+
+
+def width_of(bits: int) -> int:
+    """Bytes that hold an id on its way to the files."""
+    return 2 if bits <= 16 else 4
+
+
+def encode(df: DataFrame, tokenizer: str, end_id: int, bits: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids (little-endian, width_of(bits) bytes each, the end id last), n_tokens, task and nth of every text; null texts are empty."""
     common.small_batches(df.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, end, task, nth = encoder(tokenizer).bytes_of, end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         for texts, docs in common.texts_of(batches, "text", "doc_id"):
-            ids = [to_ids(t) + end for t in texts]
-            yield common.arrow_rows(schema, zip(docs, ids, [len(x) // 4 for x in ids], [task] * len(ids), range(nth, nth + len(ids))))
+            ids = [narrow(to_ids(t) + end, bits) for t in texts]
+            yield common.arrow_rows(schema, zip(docs, ids, [len(x) // width_of(bits) for x in ids], [task] * len(ids), range(nth, nth + len(ids))))
             nth += len(ids)
 
     given = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -171,7 +183,7 @@ def write_files(encoded: DataFrame, folder: str, bits: int, unit: str = "bit", f
                     yield d, i
 
         with store.open_output_stream(own) as out:
-            n_docs, n_ids = write_file(out, docs(), bits, unit)
+            n_docs, n_ids = write_file(out, docs(), bits, unit, width=width_of(bits))
         size = store.get_file_info(own).size
         if n_docs:
             store.move(own, path)
@@ -209,5 +221,5 @@ def read_files(manifest: DataFrame) -> DataFrame:
 def token_files(df: DataFrame, tokenizer: str, end_id: int, bits: int = 16, unit: str = "bit", folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes df, writes the files and gives their manifest. `bits` must hold every id. Repeated rows are kept; an empty table has no file."""
     spark = df.sparkSession
-    encoded = common.written(encode(df, tokenizer, end_id, doc_id, text), "encoded")
+    encoded = common.written(encode(df, tokenizer, end_id, bits, doc_id, text), "encoded")
     return write_files(encoded, folder or common.shared_path(spark, "tokens"), bits, unit)
