@@ -23,6 +23,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import components
+
+    return components(table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -71,6 +77,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_jaccard": op3_jaccard,
     "op4_topk": op4_topk,
     "op5_token_files": op5_token_files,
     "op6_media": op6_media,
