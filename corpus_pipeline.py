@@ -1,8 +1,57 @@
-"""The pipeline is under construction."""
-STAGES: list = []
+"""A corpus pipeline: documents that a quality classifier keeps, one of each group of near copies, without secrets, mixed
+to target weights and packed into training sequences. Each stage works on all that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voltwarden.llm import common, jaccard, mixing, packing, quality, queries, secrets
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: SQL can express neither the trained classifier nor the trained forest; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. It learns from all labelled rows up to its bound."""
+    model = quality.fit(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    groups = jaccard.components(docs)
+    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id").select(*COLUMNS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret's text replaced."""
+    return secrets.redact(docs, secrets.fit(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; repeats are repeated rows."""
+    return mixing.repeated(mixing.mix(docs)).select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, queries.vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", jaccard_join),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", mixing_sources),
+    ("best-fit packing", best_fit_packing),
+]
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's are written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -80,20 +80,27 @@ PATTERNS = {"email": (EMAIL, "@"), "ip": (IP, "."), "card": (CARD, ""), "phone":
 SURE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.95, "ssn": 0.5}
 
 
-def located(text: Column, pattern: str, found: Column, near: int, after: int = 0) -> Column:
-    """array<struct<start, end, found, before, after>> of a pattern's matches in a text; end exclusive, in code points."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+def located(df: DataFrame, text: str, pattern: str, found: str, out: str, near: int, after: int = 0) -> DataFrame:
+    """df with `out`: array<struct<start, end, found, before, after>> of a pattern's matches in `text`, given as `found`.
+
+    end is exclusive; places are code points. The lengths between matches are a column of their own, so that a text is
+    split once and not once a match.
+    """
+    (gaps,) = common.fresh(df, "gaps")
     item = "struct<start:int,end:int,found:string,before:string,after:string>"
+    body, all_found, lengths = F.col(text), F.col(found), F.col(gaps)
+    df = df.withColumn(gaps, F.when(F.size(all_found) > 0, F.transform(F.split(body, pattern, -1), lambda g: F.length(g))))
     begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() AS array<{item}>)").alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.element_at(gaps, i)
-        end = start + F.length(F.element_at(found, i))
-        before = F.substr(text, F.greatest(start - near, F.lit(0)) + 1, F.least(start, F.lit(near)))
-        span = F.struct(start.alias("start"), end.alias("end"), F.element_at(found, i).alias("found"), before.alias("before"), F.substr(text, end + 1, F.lit(after)).alias("after"))
+        start = acc["at"] + F.element_at(lengths, i)
+        end = start + F.length(F.element_at(all_found, i))
+        before = F.substr(body, F.greatest(start - near, F.lit(0)) + 1, F.least(start, F.lit(near)))
+        span = F.struct(start.alias("start"), end.alias("end"), F.element_at(all_found, i).alias("found"), before.alias("before"), F.substr(body, end + 1, F.lit(after)).alias("after"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(1), F.size(found)), begin, step, lambda a: a["out"])).otherwise(F.expr(f"cast(array() AS array<{item}>)"))
+    spans = F.aggregate(F.sequence(F.lit(1), F.size(all_found)), begin, step, lambda a: a["out"])
+    return df.withColumn(out, F.when(F.size(all_found) > 0, spans).otherwise(F.expr(f"cast(array() AS array<{item}>)"))).drop(gaps)
 
 
 def _kept(kind: str, x: Column) -> Column:
@@ -120,7 +127,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
         df = df.withColumn(name, F.when(F.contains(F.col(body), F.lit(hint)), F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).otherwise(F.expr("cast(array() AS array<string>)")))
     parts = []
     for k, name, place in zip(KINDS, found, at):
-        df = df.withColumn(place, located(F.col(body), PATTERNS[k][0], F.col(name), NEAR))
+        df = located(df, body, PATTERNS[k][0], name, place, NEAR)
 
         def scored(k: str, x: Column) -> Column:
             words = F.lower(x["before"])

@@ -23,6 +23,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import findings, fit
+
+    return findings(table(spark, sf_dir, "documents"), fit(spark))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import components
 
@@ -77,6 +83,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_secrets": op2_secrets,
     "op3_jaccard": op3_jaccard,
     "op4_topk": op4_topk,
     "op5_token_files": op5_token_files,
