@@ -137,12 +137,10 @@ def sustained(df: DataFrame, step: float, band: float, quiet: int, run: int, fra
                     stuck, start, calm = True, before, 0
                     out.append((i, 2, moved))
             before = v
-        found = rows.loc[[i for i, _, _ in out], own].copy()
-        found["status_rank"] = [r for _, r, _ in out]
-        found["code"] = ["SUSTAINED DEVIATION" if r else "ok" for _, r, _ in out]
-        found["observed"] = [float(x) for _, _, x in out]
-        found["limit"] = float(band)
-        return found
+        at = [i for i, _, _ in out]
+        states = [r for _, r, _ in out]
+        found = {c: rows.loc[at, c].tolist() for c in own}
+        return pd.DataFrame(found | {"status_rank": states, "code": ["SUSTAINED DEVIATION" if r else "ok" for r in states], "observed": [float(x) for _, _, x in out], "limit": [float(band)] * len(out)}, dtype=object)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*own).schema.fields)
     return df.select(*own, frame).groupBy(*keys).applyInPandas(fold, schema + ", status_rank int, code string, observed double, limit double")

@@ -16,7 +16,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     A file is read as one row and split, since rows of a split text file have no order; the files here are small (an
     hour's readings), and there are many of them.
     """
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return whole.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("line_no", "line"))
 
 
