@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, topk
+from . import common, jaccard, mixing, topk
 from .common import table
 
 
@@ -95,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard": jaccard.SQL,
     "op4_topk": topk.SQL,
     "op9_mixing": mixing.SQL,
 }
