@@ -37,8 +37,8 @@ from .shingles import WORDS, class_id, mix, shingle_set
 #: Classes that may share a word and still give all their pairs; words held by a task before it hands them on; words a
 #: part of the join, about; bits of the filter of ids that verification reads texts by; words beyond those that may
 #: differ, in percent of these, so that a class can do without some that are empty or common; classes of a common word
-#: that are compared as a block.
-PAIRS, HELD, PART, FILTER_BITS, SPARE, BLOCK = 12, 1 << 20, 1 << 19, 1 << 23, 15, 1024
+#: that are compared as a block; common words of a class that its block knows.
+PAIRS, HELD, PART, FILTER_BITS, SPARE, BLOCK, OWNERS = 12, 1 << 20, 1 << 19, 1 << 23, 15, 1024, 8
 _U = np.uint64
 
 
@@ -405,30 +405,37 @@ def common_word_pairs(hot: DataFrame, classes: DataFrame, labels: DataFrame, rul
     known = hot.select(F.col("a").alias("word"), F.col("b").alias("cid"), "band").distinct().join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     mixed = known.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("word")
     open_ = common.written(known.join(mixed, "word"), "open")
-    few = open_.groupBy("cid", "band").agg(F.count("*").alias("common")).join(classes.select("cid", "n", "empty"), "cid")
+    few = open_.groupBy("cid", "band").agg(F.count("*").alias("common"), F.slice(F.array_sort(F.collect_list("word")), 1, OWNERS).alias("words_of")).join(classes.select("cid", "n", "empty"), "cid")
     # a fixed table: some hundred bands
     bands = spark.createDataFrame([(b, rule.words(b), int(BANDS[b]), int(BANDS[b - 1]) if b else 0) for b in range(len(BANDS))], "band int, words long, most long, below long")
     own = F.element_at("empty", F.when(F.col("n") > F.col("below"), 1).otherwise(2))
     differing = F.expr(f"({100 - rule.percent} * (n + least(most, n * 100 div {rule.percent}))) div {100 + rule.percent}")
     short = few.join(F.broadcast(bands), "band").where(F.col("words") - differing <= F.col("common") + own)
-    needed = open_.join(short.select("cid", "band"), ["cid", "band"], "left_semi").join(classes.select("cid", "n", "sketch"), "cid")
+    needed = open_.join(short.select("cid", "band", "words_of"), ["cid", "band"]).join(classes.select("cid", "n", "sketch"), "cid")
     blocks = F.ceil(F.count("*").over(Window.partitionBy("word")) / BLOCK)
     needed = needed.withColumn("blocks", blocks.cast("int")).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # each block of a word's classes meets each: a row goes to as many groups as its word has blocks
     needed = needed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     needed = needed.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    each = needed.select("word", "lo", "hi", "cid", "label", "n", "sketch", F.pmod(F.xxhash64("word", "lo", "hi"), F.lit(16 * parts)).alias("part"))
+    each = needed.select("word", "lo", "hi", "cid", "label", "n", "sketch", "words_of", F.pmod(F.xxhash64("word", "lo", "hi"), F.lit(16 * parts)).alias("part"))
     return each.groupBy("part").applyInPandas(lambda rows: block_pairs(rows, rule), "a long, b long").distinct()
 
 
 def block_pairs(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
-    """The pairs of classes of different components in each of the groups (word, lo, hi) that their bit sketches allow."""
+    """The pairs of classes of different components in each of the groups (word, lo, hi) that their bit sketches allow.
+
+    Near copies share many words: a pair belongs to the first of those it shares, where that is among the first OWNERS
+    of both its classes.
+    """
     out = [np.zeros((0, 2), np.int64)]
-    for _, g in rows.groupby(["word", "lo", "hi"], sort=False):
+    for (word, _, _), g in rows.groupby(["word", "lo", "hi"], sort=False):
         if len(g) < 2 or g.label.nunique() < 2:
             continue
         cid, label, n = g.cid.to_numpy(), g.label.to_numpy(), g.n.to_numpy()
+        own, there = np.zeros((len(g), OWNERS), np.int64), np.zeros((len(g), OWNERS), bool)
+        for r, w in enumerate(g.words_of):
+            own[r, : len(w)], there[r, : len(w)] = w, True
         width = min(map(len, g.sketch)) // 8
         folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in g.sketch])
         chunk = max(1, (1 << 22) // (len(g) * width))
@@ -438,7 +445,12 @@ def block_pairs(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
             both = n[some, None] + n[None, :]
             ok = (far <= (100 - rule.percent) * both // (100 + rule.percent)) & (label[some, None] != label[None, :]) & (cid[some, None] < cid[None, :])
             i, j = np.nonzero(ok)
-            out.append(np.stack([cid[at + i], cid[j]], axis=1))
+            for k in range(0, len(i), 1 << 16):
+                x, y = at + i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                same = ((own[x][:, :, None] == own[y][:, None, :]) & there[x][:, :, None] & there[y][:, None, :]).any(axis=2)
+                first = own[x, same.argmax(axis=1)]
+                mine = ~same.any(axis=1) | (first == word)
+                out.append(np.stack([cid[x[mine]], cid[y[mine]]], axis=1))
     pairs = np.unique(np.concatenate(out), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
