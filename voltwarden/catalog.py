@@ -661,3 +661,70 @@ def resolve_times(spark, sf_dir):
     number = F.when(i % 3 == 0, i.cast("string")).otherwise("n/a")
     clock = F.when(i % 3 == 1, F.format_string("%02d:05:07", i % 24)).otherwise("later")
     return e.select("event_id", status.seconds(number, clock).alias("seconds"))
+
+
+@query(f"WITH {_SQL_POLLS}, totals AS (SELECT DISTINCT node_id FROM polls), {_SQL_RACK} SELECT e.node_id, e.severity, e.start_ts, coalesce(r.rack, '--') AS rack FROM episodes e LEFT JOIN rack r ON r.node_id = e.node_id AND r.rack <> 'Rack 2'")
+def episode_racks(spark, sf_dir):
+    rack = views.racks(_polls(spark, sf_dir), 2).where("rack <> 'Rack 2'")
+    return views.with_rack(_episodes(spark, sf_dir), rack).select("node_id", "severity", "start_ts", "rack")
+
+
+@query(f"WITH {_SQL_CORR}, n AS (SELECT node_id, 'node' || lpad((row_number() OVER (ORDER BY node_id) - 1)::VARCHAR, 2, '0') AS s FROM (SELECT DISTINCT node_id FROM frames WHERE node_id <> 'x1000c0s3b0n0')) SELECT idx, coalesce(s, f.node_id) || '/' || channel AS component_id, status_rank FROM final f LEFT JOIN n USING (node_id)")
+def rename_components(spark, sf_dir):
+    v = verdict.corroborated(verdicts(spark, sf_dir), 4, 0.5, 2.0)
+    ids = views.normal_ids(frames(spark, sf_dir).where("node_id <> 'x1000c0s3b0n0'"))
+    return views.renamed_components(v.select("idx", F.concat_ws("/", "node_id", "channel").alias("component_id"), "status_rank"), ids)
+
+
+@query(f"WITH {_SQL_LONG}, h AS (SELECT idx, node_id, CASE WHEN gpu_w > 0 THEN round(gpu_w, 4) END AS frq, CASE WHEN gpu_w > 150 THEN 'warning' WHEN gpu_w > 80 THEN 'suspect' END AS label FROM totals) SELECT idx, arg_min(frq, node_id) FILTER (frq IS NOT NULL) AS frq, coalesce(arg_min(label, node_id) FILTER (label IS NOT NULL), '--') AS label FROM h GROUP BY idx")
+def header_values(spark, sf_dir):
+    t = views.node_totals(_long(spark, sf_dir))
+    g = F.col("gpu_w")
+    return views.header(t.select("idx", "node_id", F.when(g > 0, F.round(g, 4)).alias("frq"), F.when(g > 150, "warning").when(g > 80, "suspect").alias("label")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'good' WHEN event_id % 4 = 1 THEN 'suspect' WHEN event_id % 4 = 2 THEN 'warning' ELSE '--' END AS label, CASE WHEN event_id % 4 = 0 THEN 'green' WHEN event_id % 4 = 1 THEN 'yellow' WHEN event_id % 4 = 2 THEN 'red' ELSE 'grey' END AS colour FROM events")
+def status_labels(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    score = F.when(F.col("event_id") % 4 == 3, F.lit(None)).otherwise(F.col("event_id") % 4 / 2.0)
+    return e.select("event_id", status.label(score).alias("label"), status.colour(score).alias("colour"))
+
+
+@query("WITH s AS (SELECT event_id AS idx, value AS frq FROM events WHERE event_id < 500), t AS (SELECT event_id * 1.5 - 20 AS ts FROM events WHERE event_id < 900) SELECT ts, greatest(0, least(499, floor(ts * 0.5)::BIGINT)) AS idx, frq FROM t JOIN s ON s.idx = greatest(0, least(499, floor(ts * 0.5)::BIGINT))")
+def anchor_lookup(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    series = e.where("event_id < 500").select(F.col("event_id").alias("idx"), F.col("value").alias("frq"))
+    times = e.where("event_id < 900").select((F.col("event_id") * 1.5 - 20).cast("double").alias("ts"))
+    return views.anchor_at(series, times, 0.5)
+
+
+@query(f"WITH {SQL_TEL}, have AS (SELECT DISTINCT node_id FROM tel), want AS (SELECT 'x1000c0s' || k::VARCHAR || 'b0n0' AS object FROM (SELECT unnest(range(0, 9)) AS k)) SELECT object FROM want WHERE object NOT IN (SELECT node_id FROM have)")
+def missing_twin_objects(spark, sf_dir):
+    want = spark.range(9).select(F.concat(F.lit("x1000c0s"), F.col("id").cast("string"), F.lit("b0n0")).alias("object"))
+    return views.missing_objects(want, tel(spark, sf_dir).select(F.col("node_id").alias("object")))
+
+
+@query(f"WITH {SQL_FRAMES}, p AS (SELECT node_id, channel, idx AS frame, value FROM frames), e AS (SELECT min(m) AS m FROM (SELECT max(frame) AS m FROM p GROUP BY node_id, channel)) SELECT node_id, channel, frame, round(value, 4) AS value FROM p, e WHERE frame <= m")
+def trim_short(spark, sf_dir):
+    rows = frames(spark, sf_dir).withColumnRenamed("idx", "frame")
+    return align.trimmed(rows, ["node_id", "channel"]).select("node_id", "channel", "frame", F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {_SQL_POLLS}, m AS (SELECT max(ts) AS t FROM polls), i AS (SELECT p.*, ts >= t - 100 AS near, max((ts >= t - 100)::INT) OVER (PARTITION BY node_id) AS has FROM polls p, m) SELECT node_id, ts, value FROM i WHERE near OR has = 0")
+def view_window(spark, sf_dir):
+    return views.recent(_polls(spark, sf_dir), ["node_id"], 100.0).select("node_id", "ts", "value")
+
+
+@query(f"WITH {_SQL_CORR} SELECT idx, CASE max(status_rank) WHEN 2 THEN 'failed' WHEN 1 THEN 'suspect' ELSE 'trusted' END AS status FROM final GROUP BY idx")
+def annotated_status(spark, sf_dir):
+    v = verdict.corroborated(verdicts(spark, sf_dir), 4, 0.5, 2.0)
+    return v.groupBy("idx").agg(status.name_of(F.max("status_rank")).alias("status"))
+
+
+@query()
+def verify_all(spark, sf_dir):
+    from .plans.verify import verify
+
+    long = _long(spark, sf_dir).withColumn("run_id", F.lit(0).cast("long")).withColumn("channel", F.concat_ws("-", "kind", "ordinal"))
+    series = grid(spark, sf_dir).where("run_id = 0").select("run_id", "idx", "frq", "alt")
+    return verify(series, long, alternative=True)

@@ -127,3 +127,48 @@ def recent(df: DataFrame, keys: list[str], seconds: float, order: str = "ts") ->
 def latest_state(states: DataFrame) -> DataFrame:
     """object, property, value, ts: the newest value of each property of each object."""
     return states.groupBy("object", "property").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
+
+
+def facility_entry(frames: DataFrame) -> DataFrame:
+    """A row a frame for the facility itself, beside those of the nodes: idx, node_id ENF, frq."""
+    return frames.groupBy("idx").agg(F.first("frq", ignorenulls=True).alias("frq")).withColumn("node_id", F.lit("ENF"))
+
+
+def header(frames: DataFrame) -> DataFrame:
+    """idx, frq, label: the first known frequency and status label over a frame's nodes in order."""
+    known = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("node_id")))
+    return frames.groupBy("idx").agg(known("frq").alias("frq"), F.coalesce(known("label"), F.lit("--")).alias("label"))
+
+
+def renamed_components(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """records with component_id (node/channel) under short node ids; those without a node stay."""
+    node = F.split_part("component_id", F.lit("/"), F.lit(1))
+    both = records.join(ids.withColumnRenamed("node_id", "__node"), node == F.col("__node"), "left")
+    new = F.concat_ws("/", "short_id", F.when(F.contains("component_id", F.lit("/")), F.split_part("component_id", F.lit("/"), F.lit(2))))
+    return both.withColumn("component_id", F.when(F.col("short_id").isNotNull(), new).otherwise(F.col("component_id"))).select(*records.columns)
+
+
+def all_episodes(closed: DataFrame, running: DataFrame) -> DataFrame:
+    """Closed episodes and those still running, told apart by `ongoing`."""
+    return closed.withColumn("ongoing", F.lit(False)).unionByName(running.withColumn("ongoing", F.lit(True)))
+
+
+def with_rack(episode: DataFrame, rack: DataFrame) -> DataFrame:
+    return episode.join(rack, "node_id", "left").withColumn("rack", F.coalesce("rack", F.lit("--")))
+
+
+def ticks(low: float, high: float, step: float) -> Column:
+    """An axis's ticks: multiples of step within low..high."""
+    return F.transform(F.sequence(F.ceil(F.lit(low / step)).cast("long"), F.floor(F.lit(high / step)).cast("long")), lambda k: k * step)
+
+
+def missing_objects(required: DataFrame, existing: DataFrame) -> DataFrame:
+    """object of those required that do not exist."""
+    return required.select("object").distinct().join(existing.select("object").distinct(), "object", "left_anti")
+
+
+def anchor_at(series: DataFrame, times: DataFrame, rate_hz: float) -> DataFrame:
+    """times (ts) with the frq at idx = ts * rate, held within the series."""
+    ends = series.agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+    at = times.crossJoin(F.broadcast(ends)).withColumn("idx", F.greatest(F.col("lo"), F.least(F.col("hi"), F.floor(F.col("ts") * rate_hz).cast("long"))))  # one row
+    return at.join(series.select("idx", "frq"), "idx").select("ts", "idx", "frq")
