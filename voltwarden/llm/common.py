@@ -80,3 +80,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def word_count(text: Column) -> Column:
     """Number of maximal runs of characters other than ASCII white space; null text: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what written() and shared_path() left in the shared folder. Results that still read it must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/voltwarden")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
