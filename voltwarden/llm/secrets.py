@@ -148,19 +148,44 @@ def scan(df: DataFrame, model: RandomForestClassificationModel, keys: list[str],
     return scored.where(F.col("score") >= least).select(*[F.col(o).alias(k) for o, k in zip(own, keys)], "start", "end", "found", "score")
 
 
+def forest_score(model: RandomForestClassificationModel, seen: Column) -> Column:
+    """The forest's probability of a secret as one expression over a struct of FEATURES: its trees as nested conditions.
+
+    It is what the model's own transform gives, for places where rows must stay together.
+    """
+
+    def probability(node) -> Column:
+        if node.subtreeDepth() == 0:
+            none, some = node.impurityStats().stats()
+            return F.lit(some / (none + some))
+        split = node.split()
+        return F.when(seen[FEATURES[split.featureIndex()]] <= split.threshold(), probability(node.leftChild())).otherwise(probability(node.rightChild()))
+
+    roots = [tree._java_obj.rootNode() for tree in model.trees]
+    total = probability(roots[0])
+    for root in roots[1:]:
+        total = total + probability(root)
+    return F.round(total / len(roots), 6)
+
+
 def redact(df: DataFrame, model: RandomForestClassificationModel, text: str = "text", mark: str = "[SECRET]", least: float = 0.5) -> DataFrame:
     """df with each secret in its text replaced by `mark`; all rows and columns stay, null texts are null.
 
-    A text's own secrets come from scan(); rows with alike texts share them, so the join is on a hash of the text.
+    A row's candidates are scored within the row, so no text leaves its task: no shuffle, whatever rows have in common.
     """
-    key, digest, spans = common.fresh(df, "key", "digest", "spans")
-    keyed = df.withColumn(digest, F.sha2(F.col(text).cast("binary"), 256))
-    found = scan(keyed.select(F.col(digest).alias(key), F.col(text).alias("text")), model, [key], "text", least)
-    by_text = found.groupBy(key).agg(F.collect_set("found").alias(spans))
-    out = keyed.join(by_text, F.col(digest) == F.col(key), "left")
+    found, spans, body = common.fresh(df, "found", "spans", "body")
+    given = df.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    given = located(given.withColumn(found, _candidates(F.col(body))), body, CANDIDATE, found, spans, BEFORE, AFTER)
+
+    def seen(x: Column) -> Column:
+        own = features(x["found"], x["before"], x["after"])
+        return F.struct(x["found"].alias("found"), *[own[k].cast("double").alias(k) for k in FEATURES])
+
+    secrets = F.filter(F.transform(spans, seen), lambda x: forest_score(model, x) >= least)
+    given = given.withColumn(spans, F.when(F.size(spans) > 0, F.array_distinct(F.transform(secrets, lambda x: x["found"]))))
     longest = F.array_sort(F.col(spans), lambda a, b: F.length(b) - F.length(a))
     clean = F.aggregate(longest, F.col(text), lambda t, x: F.replace(t, x, F.lit(mark)))
-    return out.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(clean)).drop(key, digest, spans)
+    return given.withColumn(text, F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, clean).otherwise(F.col(text))).drop(found, spans, body)
 
 
 def findings(df: DataFrame, model: RandomForestClassificationModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
