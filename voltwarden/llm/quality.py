@@ -77,7 +77,8 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 12, batch:
         h, starts, dense = bag(t)
         sizes = np.diff(np.append(starts, len(h)))
         key, n = np.unique(np.repeat(np.arange(len(starts)), sizes) * BUCKETS + h, return_counts=True)
-        bags.append((key // BUCKETS, key % BUCKETS, (n / sizes[key // BUCKETS]).astype(np.float32), dense))
+        passage = key // BUCKETS
+        bags.append((passage.astype(np.int32), (key % BUCKETS).astype(np.uint16), (n / sizes[passage]).astype(np.float32), dense))
     rng = np.random.default_rng(seed)
     everything = np.concatenate([b[3] for b in bags])
     shift = everything.mean(axis=0)
@@ -94,7 +95,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 12, batch:
             counts = np.array([len(bags[i][3]) for i in own])
             base = np.concatenate([[0], np.cumsum(counts)])
             rows = np.concatenate([bags[i][0] + b for i, b in zip(own, base)])
-            cols, vals = np.concatenate([bags[i][1] for i in own]), np.concatenate([bags[i][2] for i in own])
+            cols, vals = np.concatenate([bags[i][1] for i in own]).astype(np.intp), np.concatenate([bags[i][2] for i in own])
             dense = np.concatenate([bags[i][3] for i in own]) - shift
             first = np.flatnonzero(np.diff(rows, prepend=-1))
             code = np.tanh(np.add.reduceat(p["table"][cols] * vals[:, None], first, axis=0) + dense @ p["dense"])
@@ -154,7 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, ro
     picked = []
     for k in (0, 1):
         picked += sorted((r for r in got if r.y == k), key=lambda r: (hash_of(r.l_id), r.text or ""))[:each]
-    model = train([r.text for r in picked], np.array([r.y for r in picked]))
+    texts, known_labels = [r.text for r in picked], np.array([r.y for r in picked])
+    del got, picked  # the driver holds the sample once
+    model = train(texts, known_labels)
     model.bias += float(np.log(counts[1] / counts[0]))
     return model
 
