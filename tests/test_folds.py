@@ -28,7 +28,7 @@ def test_monotonicity_cases(spark):
     wrap = ranks(nlr.monotonicity(long(spark, [65.0e9, 0.3e9]), 65.5e9, 2e9, 2.4e9))
     assert wrap[1] == (0, "ok")
     back = ranks(nlr.monotonicity(long(spark, [40e9, 10e9, 12e9, 41e9]), 65.5e9, 2e9, 2.4e9))
-    assert [back[i][1] for i in (1, 2)] == ["MONOTONICITY"] * 2
+    assert [back[i][1] for i in (1, 2)] == ["MONOTONICITY VIOLATION"] * 2
     assert ranks(nlr.monotonicity(long(spark, [1e9, 51e9]), 65.5e9, 2e9, 2.4e9))[1][1] == "ENERGY SPIKE"
     up = nlr.unwrapped(long(spark, [65e9, 1e9, 2e9, 1.5e9, 0.5e9, 64e9, 1e9]), 65.5e9, 2e9).orderBy("idx").collect()
     assert [r.unwrapped / 1e9 for r in up] == pytest.approx([65, 66.5, 67.5, 67, 66, 129.5, 132])
@@ -168,6 +168,12 @@ def test_attack_conditions(spark):
     hit = {r.idx for r in attacks.inject(df, 2, 8, "bias", 1, only=("under", 5)).where("label = 1").collect()}
     assert hit == {2, 3, 4}
     assert attacks.inject(df, 2, 8, "bias", 1, only=("odd", 5)).where("label = 1").count() == 0
+    assert attacks.pool(2, True) == ["202", "204", "205"] and attacks.pool(3, False) == ["301", "303"]
+    gpu = df.withColumn("channel", F.lit("gpu-0[W]"))
+    some = attacks.scenario(gpu, ["node_id"], F.concat_ws("_", "node_id", "channel"), 10, "201").orderBy("idx").collect()
+    assert [r.label for r in some] == [0, 0, 0, 1, 1, 1, 1, 0, 0, 0] and some[3].attacked == 28.0
+    third = attacks.output(attacks.inject(gpu, 2, 3, "scale", 1 / 3)).orderBy("idx").collect()
+    assert third[2].value == 0.6667 and third[3].value == 3.0
     assert attacks.bounds(1800, 0.25, 0.5) == (450, 900)
 
 

@@ -34,6 +34,18 @@ def test_nvml(spark, tmp_path):
         logs.nvml(spark, str(tmp_path)).count()
 
 
+def test_node_frames(spark, tmp_path):
+    cpu = "# reading-time " + " ".join(f"cpu-{i}{p}[{u}]" for u in ("uJ", "W") for i in (0, 1) for p in ("", "-core")) + "\n"
+    time = lambda i: f"2025-01-01_00:00:{i * 0.2:09.6f}"
+    for node in ("x1c0s0b0n0", "x1c0s1b0n0"):
+        (tmp_path / f"nvml_{node}.log").write_text(GPU + "".join(f"{time(i)} {1000 * i} 1 1 1 50 51 52 53\n" for i in range(25)))
+        (tmp_path / f"rapl_{node}.log").write_text(cpu + "".join(f"{time(i)} {65.4e9 + i * 1e7 if i < 10 else (i - 10) * 1e7} 1 1 1 90 5 91 5\n" for i in range(25)))
+    rows = logs.node_frames(spark, str(tmp_path)).orderBy("node_id", "frame").collect()
+    assert [(r.node_id, r.frame) for r in rows] == [(n, f) for n in ("x1c0s0b0n0", "x1c0s1b0n0") for f in range(3)]
+    assert [r["gpu-0[W]"] for r in rows[:3]] == [4.5, 14.5, 22.0]
+    assert rows[1]["cpu-0[uJ]"] == pytest.approx(65.5e9 + 4.5e7) and rows[0]["cpu-0[W]"] == 90
+
+
 def test_pairs(spark):
     names = ["nvml_wattameter_emissions_parsed_slurmid_10742842_node_x3105c0s41b0n0.log", "rapl_wattameter_emissions_parsed_slurmid_10742842_node_x3105c0s41b0n0.log", "nvml_wattameter_11763012-x3101c0s37b0n0.log", "notes.txt"]
     cat = lambda n: logs.log_catalog(spark.createDataFrame([(f"/d/{x}", x) for x in n], "path string, name string"))

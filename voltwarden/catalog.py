@@ -100,7 +100,7 @@ e AS (SELECT *, CASE WHEN abs(before - value - 5000) <= 1000 THEN 1 ELSE 0 END A
 p AS (SELECT *, sum(wrap) OVER ({SERIES}) AS epoch FROM e),
 m AS (SELECT *, max(value) OVER (PARTITION BY node_id, channel, epoch ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM p)
 SELECT idx, node_id, CASE WHEN coalesce(value < most, FALSE) OR (wrap = 0 AND coalesce(value - before > 200, FALSE)) THEN 2 ELSE 0 END AS status_rank,
-CASE WHEN coalesce(value < most, FALSE) THEN 'MONOTONICITY' WHEN wrap = 0 AND coalesce(value - before > 200, FALSE) THEN 'ENERGY SPIKE' ELSE 'ok' END AS code FROM m"""
+CASE WHEN coalesce(value < most, FALSE) THEN 'MONOTONICITY VIOLATION' WHEN wrap = 0 AND coalesce(value - before > 200, FALSE) THEN 'ENERGY SPIKE' ELSE 'ok' END AS code FROM m"""
 
 
 @query(_SQL_MONO)
@@ -218,7 +218,7 @@ def rack_verdicts(spark, sf_dir):
     return out.withColumn("reasons", F.array_join(F.transform("reasons", lambda x: F.concat(x["channel"], F.lit(": "), x["reason"])), "; "))
 
 
-_SQL_VECTOR = " ".join(f"WHEN contains(upper(reason), '{w}') THEN '{n}'" for w, n in status.VECTORS)
+_SQL_VECTOR = " ".join(f"WHEN contains(reason, '{w}') THEN '{n}'" for w, n in status.VECTORS)
 
 
 @query(f"WITH {_SQL_CHECKS} SELECT CASE {_SQL_VECTOR} ELSE 'Unclassified' END AS vector, count(*) AS n FROM merged GROUP BY ALL")
@@ -407,7 +407,7 @@ def attack_profile(spark, sf_dir):
 @query()
 def attack_tracked(spark, sf_dir):
     rows = grid(spark, sf_dir).select("run_id", "idx", "frq", ((F.col("idx") * 31 % 11 - 5) / 1000.0).alias("noise"))
-    return attacks.tracked(rows, 200, 400, 0.95, 0.002).select("run_id", "idx", F.round("attacked", 6).alias("attacked"), "label")
+    return attacks.tracked(rows, 200, 400, 0.95, "bias", 0.002).select("run_id", "idx", F.round("attacked", 6).alias("attacked"), "label")
 
 
 # Scoring: truth marks frames 5..19 of each 50, a detector says 1.0 or 0.5 by value

@@ -6,17 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STATUSES = ["trusted", "suspect", "failed"]
-#: Reason codes that a vector is classified by, in order of priority.
+#: Words of reasons and the vector that they speak for, in order of priority.
 VECTORS = [
     ("REPLAY", "Replay"),
     ("OUT OF ORDER", "Replay"),
-    ("OUT OF RANGE", "Out of Range"),
-    ("MONOTONICITY", "Energy Rollback"),
-    ("ENERGY SPIKE", "Energy Spike"),
-    ("DISCONTINUITY", "Discontinuity"),
-    ("DRIFT", "Drift"),
-    ("FLAT", "Flat Signal"),
-    ("NOMINAL", "Nominal Range"),
+    ("MONOTONICITY VIOLATION", "Rollback"),
+    ("DRIFT DETECTED", "Drift"),
+    ("RAW VALUE TREND", "Drift"),
+    ("FLAT SIGNATURE", "Fabrication"),
+    ("EMPTY SIGNATURE", "Fabrication"),
+    ("INVALID SIGNATURE", "Fabrication"),
+    ("ENERGY SPIKE", "Injection"),
+    ("OUT OF NOMINAL RANGE", "Injection"),
+    ("OUT OF RANGE", "Injection"),
+    ("DISCONTINUITY", "Injection"),
+    ("LOCAL ANOMALY", "Localized anomaly"),
 ]
 
 
@@ -50,10 +54,34 @@ def seconds(number: Column, clock: Column, other: Column | None = None) -> Colum
     return F.coalesce(number.try_cast("double"), by_clock, *([other.try_cast("double")] if other is not None else []))
 
 
-def vector(reasons: Column) -> Column:
-    """The attack vector that the first reason's code speaks for; others: Unclassified."""
+def vector(reason: Column) -> Column:
+    """The attack vector that a reason's words speak for; others: Unclassified."""
     out = None
     for word, name in VECTORS:
-        hit = F.contains(F.upper(reasons), F.lit(word))
+        hit = F.contains(reason, F.lit(word))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.coalesce(out, F.lit("Unclassified"))
+
+
+def first_vector(reasons: Column) -> Column:
+    """The vector of the first of an array of reasons that has one."""
+    known = F.filter(F.transform(reasons, vector), lambda v: v != "Unclassified")
+    return F.coalesce(F.get(known, F.lit(0)), F.lit("Unclassified"))
+
+
+def scenario_of(file_name: Column) -> Column:
+    """The scenario's id from the name of an output file."""
+    return F.regexp_replace(F.regexp_replace(F.element_at(F.split(file_name, "/"), -1), r"\.jsonl?$", ""), "_check$", "")
+
+
+def difficulty_of(scenario: Column) -> Column:
+    return F.when(F.contains(F.lower(scenario), F.lit("easy")), "easy").otherwise("unknown")
+
+
+def workload_of(dataset: Column) -> Column:
+    return F.when(F.contains(F.lower(dataset), F.lit("training")), "training").otherwise("inference")
+
+
+def folder_number(name: Column) -> Column:
+    """The digits of a folder's name as a number, for sorting; 0 without any."""
+    return F.coalesce(F.regexp_replace(name, r"\D", "").try_cast("int"), F.lit(0))

@@ -85,19 +85,21 @@ def profile(enf: DataFrame, before: int) -> DataFrame:
     )
 
 
-def tracked(df: DataFrame, start: int, end: int, phi: float, bias: float, clamp: float = 0.01, noise: str = "noise") -> DataFrame:
-    """An attack on the frequency that stays close to it: AR(1) steps on the live value, clamped, with the bias fed back.
+def tracked(df: DataFrame, start: int, end: int, phi: float, mode: str, by: float, clamp: float = 0.01, noise: str = "noise") -> DataFrame:
+    """An attack on the frequency that stays close to it: AR(1) steps on the live value, clamped, then changed as inject() or drift() would; the changed value is fed back.
 
     `noise` is a column of given draws, so the fold over each run is deterministic.
     """
     from .enf import _folded
 
+    change = {"bias": lambda v, f: v + by, "scale": lambda v, f: v * by, "additive": lambda v, f: v + by * f, "multiplicative": lambda v, f: v * (1 + by * f)}[mode]
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         last, out = None, []
         for i, live, e in zip(rows["idx"], rows["frq"], rows[noise]):
             if start <= i < end:
                 before = live if last is None else last
-                last = live + min(clamp, max(-clamp, phi * (before - live) + e)) + bias
+                last = change(live + min(clamp, max(-clamp, phi * (before - live) + e)), (i - start) / max(1, end - start))
                 out.append(last)
             else:
                 out.append(live)
@@ -106,16 +108,60 @@ def tracked(df: DataFrame, start: int, end: int, phi: float, bias: float, clamp:
     return _folded(df, "attacked double, label int", fold)
 
 
-#: Presets by id: engine, its parameters, and the group of targets.
+#: Presets by id. Engine, targets, shares of the timeline where it starts and ends, and its parameters.
 SCENARIOS = {
-    201: ("replay", {"length": 0.05}, "frq"),
-    202: ("inject", {"mode": "bias", "by": 0.03}, "frq"),
-    203: ("inject", {"mode": "scale", "by": 1.002}, "frq"),
-    204: ("drift", {"mode": "additive", "most": -0.04}, "frq"),
-    205: ("inject", {"mode": "absolute", "by": 60.5}, "frq"),
-    301: ("replay", {"length": 0.05}, "gpu_watts"),
-    302: ("inject", {"mode": "scale", "by": 1.5}, "gpu_watts"),
-    303: ("inject", {"mode": "bias", "by": 20.0}, "gpu_temps"),
-    304: ("drift", {"mode": "multiplicative", "most": 0.5}, "cpus"),
-    305: ("inject", {"mode": "absolute", "by": 0.0}, "gpus"),
+    "201": ("injection", "gpus", 0.30, 0.70, {"type": "bias", "value": 25.0}),
+    "202": ("drift", "frq", 0.20, 0.60, {"type": "additive", "max_value": 0.06}),
+    "203": ("injection", "cpus", 0.15, 0.85, {"type": "scale", "value": 1.15}),
+    "204": ("injection", "frq", 0.40, 0.80, {"type": "bias", "value": 0.05}),
+    "205": ("injection", "frq", 0.25, 0.75, {"type": "bias", "value": -0.2}),
+    "301": ("drift", "cpus", 0.10, 0.90, {"type": "additive", "max_value": 0.02}),
+    "302": ("injection", "frq", 0.30, 0.70, {"type": "scale", "value": 1.0008}),
+    "303": ("replay", "gpu_watts", 0.20, 0.80, {"source_start_pct": 0.01, "condition_type": "above", "condition_val": 450.0}),
+    "304": ("drift", "frq", 0.15, 0.85, {"type": "additive", "max_value": -0.03}),
+    "305": ("replay", "all", 0.40, 0.60, {"source_start_pct": 0.02, "source_end_pct": 0.22}),
+}
+#: Manual modes: none, extreme, replay, injection, drift; over 10 to 60 % of the timeline.
+EASY = {
+    0: ("none", {}),
+    1: ("injection", {"type": "absolute", "value": 0.0}),
+    2: ("replay", {"source_start_pct": 0.01}),
+    3: ("injection", {"type": "bias", "value": 10.0}),
+    4: ("drift", {"type": "additive", "max_value": 50.0}),
 }
+
+
+def pool(difficulty: int, grid: bool) -> list[str]:
+    """The presets of a difficulty (2, 3) that aim at the grid's frequency, or at nodes; all of them where there is none."""
+    own = [k for k in SCENARIOS if k.startswith(str(difficulty))]
+    return [k for k in own if (SCENARIOS[k][1] in ("frq", "all")) == grid] or own
+
+
+def perturb(df: DataFrame, keys: list[str], n: int, engine: str, start: float, end: float, params: dict) -> DataFrame:
+    """An engine over frames start * n to end * n of df (keys, idx, target, value), by parameters as SCENARIOS has them."""
+    lo, hi = bounds(n, start, end)
+    only = (params["condition_type"], params["condition_val"]) if params.get("condition_type") else None
+    if engine == "injection":
+        return inject(df, lo, hi, params["type"], params["value"], params.get("jitter", 0.0), only=only)
+    if engine == "drift":
+        return drift(df, lo, hi, params["type"], params["max_value"], only=only)
+    if engine == "replay":
+        first = int(n * params["source_start_pct"])
+        length = int(n * params["source_end_pct"]) - first if "source_end_pct" in params else int(n * 0.05)
+        return replay(df, keys, lo, hi, first, max(1, length), only=only)
+    return none(df)
+
+
+def scenario(df: DataFrame, keys: list[str], name: Column, n: int, which: str) -> DataFrame:
+    """A preset over df (keys, idx, value), whose channels are called `name`."""
+    from ..functions.channels import target_group
+
+    engine, group, start, end, params = SCENARIOS[which]
+    return perturb(df.withColumn("target", target_group(name, group)), keys, n, engine, start, end, params)
+
+
+def output(attacked: DataFrame) -> DataFrame:
+    """value as attack files hold it: attacked cells rounded (counters to 1 place, others but the frequency to 4), all others as they were."""
+    name = F.col("channel")
+    places = F.when(name.endswith("[uJ]"), F.bround("attacked", 1)).when(name == "FRQ", F.col("attacked")).otherwise(F.bround("attacked", 4))
+    return attacked.withColumn("value", F.when(F.col("label") == 1, places).otherwise(F.col("value"))).drop("attacked")

@@ -48,7 +48,7 @@ def unwrapped(df: DataFrame, ceiling: float, tolerance: float) -> DataFrame:
 
 
 def monotonicity(df: DataFrame, ceiling: float, tolerance: float, step: float) -> DataFrame:
-    """MONOTONICITY: below the running maximum since the last wrap; ENERGY SPIKE: a rise of more than `step`.
+    """MONOTONICITY VIOLATION: below the running maximum since the last wrap; ENERGY SPIKE: a rise of more than `step`.
 
     A fall of nearly the ceiling is a wrap, which starts a new epoch.
     """
@@ -64,7 +64,7 @@ def monotonicity(df: DataFrame, ceiling: float, tolerance: float, step: float) -
     back = F.coalesce(v < F.col("__most"), F.lit(False))
     spike = ~back & (F.col("__wrap") == 0) & F.coalesce(v - F.col("__before") > step, F.lit(False))
     own = [c for c in df.columns if c in ("run_id", "idx", "node_id", "channel", "kind", "value")]
-    code = F.when(back, "MONOTONICITY").when(spike, "ENERGY SPIKE").otherwise("ok")
+    code = F.when(back, "MONOTONICITY VIOLATION").when(spike, "ENERGY SPIKE").otherwise("ok")
     return high.select(*own, F.when(back | spike, 2).otherwise(0).alias("status_rank"), code.alias("code"), F.when(back, F.col("__most") - v).otherwise(v - F.col("__before")).alias("observed"), F.lit(float(step)).alias("limit"))
 
 

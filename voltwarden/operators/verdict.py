@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SCORES
 from ..functions.status import name_of
 
-FIRM = ["OUT OF RANGE", "MONOTONICITY", "ENERGY SPIKE"]
+FIRM = ["OUT OF RANGE", "MONOTONICITY VIOLATION", "ENERGY SPIKE"]
 
 
 def merged(results: DataFrame, keys: list[str]) -> DataFrame:

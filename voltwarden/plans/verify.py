@@ -63,13 +63,13 @@ def enf_results(series: DataFrame, cfg: Enf | None = None, alternative: bool = F
     a = E.local_cusum(a, cfg.cusum_baseline, cfg.local_threshold, cfg.local_window, cfg.suspect, cfg.local_recovery)
     a = E.drift_cusum(a, cfg.cusum_baseline, cfg.cusum_threshold, cfg.warmup, cfg.cusum_history)
     checks = [
-        ("NOMINAL", F.abs(F.col("frq") - cfg.nominal_hz) > cfg.tolerance_hz),
-        ("RAW DRIFT", F.col("drifting")),
+        ("OUT OF NOMINAL RANGE", F.abs(F.col("frq") - cfg.nominal_hz) > cfg.tolerance_hz),
+        ("RAW VALUE TREND", F.col("drifting")),
         ("CORRELATION MISMATCH", F.col("mismatch")),
-        ("FLAT", F.col("flat")),
+        ("FLAT SIGNATURE", F.col("flat")),
         ("DISCONTINUITY", F.col("confidence") < cfg.suspect),
-        ("DRIFT", F.col("drifted")),
-        ("LOCAL DRIFT", F.col("shifted")),
+        ("DRIFT DETECTED", F.col("drifted")),
+        ("LOCAL ANOMALY", F.col("shifted")),
     ]
     codes = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks]), lambda x: x.isNotNull())
     rank = F.when(F.size("codes") > 0, 2).when(F.col("confidence") < cfg.trusted, 1).otherwise(0)

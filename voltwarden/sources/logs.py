@@ -10,7 +10,7 @@ from ..functions.channels import host_of
 TIME = "yyyy-MM-dd_HH:mm:ss.SSSSSS"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, line_no, line of text files in file order.
 
     A file is read as one row and split, since rows of a split text file have no order; the files here are small (an
@@ -127,3 +127,30 @@ def power_profile(spark: SparkSession, path: str) -> DataFrame:
     """timestamp, node_id, power_w, workload_class of a CSV file with a header; a cell that can't be read raises."""
     schema = "timestamp double, node_id string, power_w double, workload_class string"
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+def node_frames(spark: SparkSession, folder: str, hz: int | None = None, frame_hz: float = 0.5, most: int = 1800, slurm: str | None = None) -> DataFrame:
+    """node_id, frame and the mean of each reading for all pairs of logs of a folder: as many rows a frame as the first log's rate gives, at most `most` frames.
+
+    Counters are unwrapped before they are averaged. One job reads all nodes' files.
+    """
+    from ..config import Nlr
+    from ..operators.align import tumbling
+
+    cfg = Nlr()
+    catalog = log_catalog(files(spark, folder), slurm)
+    pairs = pair_logs(catalog)
+    rate = hz or int(sample_rate(log_rows(spark, pairs[0][1])).first().hz)
+    per = max(1, round(rate / frame_hz))
+    named = lambda df: df.withColumn("node_id", host_of(F.element_at(F.split("path", "/"), -1)))
+    gpu, cpu = named(nvml(spark, [p for _, p, _ in pairs])), named(rapl(spark, [p for _, _, p in pairs]))
+    w = Window.partitionBy("node_id").orderBy("pos")
+    for c in [c for c in cpu.columns if c.endswith("[uJ]")]:
+        fell = F.when(F.col(f"`{c}`") < F.lag(F.col(f"`{c}`")).over(w) - cfg.wrap_tolerance_uj, 1).otherwise(0)
+        cpu = cpu.withColumn("__fell", fell).withColumn(c, F.col(f"`{c}`") + cfg.wrap_ceiling_uj * F.sum("__fell").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__fell")
+    plain = lambda df: df.withColumnsRenamed({c: c.replace("[", "__").replace("]", "") for c in df.columns})
+    values = lambda df: [c for c in df.columns if "__" in c]
+    gpu, cpu = plain(gpu), plain(cpu)
+    a, b = tumbling(gpu, per, ["node_id"], values(gpu), "pos"), tumbling(cpu, per, ["node_id"], values(cpu), "pos")
+    both = a.join(b, ["node_id", "frame"]).where(F.col("frame") < most)
+    return both.withColumnsRenamed({c: c.replace("__", "[") + "]" for c in both.columns if "__" in c})
