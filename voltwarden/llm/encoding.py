@@ -23,7 +23,7 @@ import unicodedata
 from tokenizers import Tokenizer
 
 #: Pieces held at once in each half of the cache; the older half goes when the newer is full.
-CACHE = 400_000
+CACHE = 300_000
 _ODD = re.compile("[\x1c-\x1fΣ]")
 _TAIL = string.punctuation.replace("'", "")
 
