@@ -19,10 +19,11 @@ from . import common
 from .pii import located
 
 # Forms of candidates. Each begins where no run of its characters goes on, so long runs stay linear.
-#: Known forms of keys, private key blocks, and any long run of characters that keys are made of.
+#: Known forms of keys, private key blocks, and any long run of characters that keys are made of. '=' ends a run and may
+#: stand before the next, as in KEY=value.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?+"
-    r"|(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_.-]{16,}+={0,2}+"
+    r"|(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}+={0,2}+"
 )
 KNOWN = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_.-]+|-----BEGIN .*)"
 FOR = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?secret|signing[_-]?key)s?"
