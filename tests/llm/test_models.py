@@ -1,8 +1,11 @@
 """Held-out accuracy of what is trained, and rows that are unlike the others."""
 
+import random
+import string
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from voltwarden.llm import common, langid, quality, secrets
 
@@ -97,3 +100,33 @@ def test_secrets_after_equals_signs(spark):
     assert not any(r.key in r.text for r in secrets.redact(df, model).collect())
     plain = spark.createDataFrame([(1, "=" * 40000), (2, "a=" * 40000), (3, "abcdefghijklmnop=" * 4000), (4, "see https://example.org/list?chapter=the-history-of-the-northern-railways")], "doc_id long, text string")
     assert not [r for r in secrets.findings(plain, model).collect() if r.doc_id in (1, 2, 4)]
+
+
+def test_private_key_blocks(spark):
+    model = secrets.fit(spark)
+    rng = random.Random(8)
+    body = lambda n: "\n".join("".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(n))
+    block = lambda inner, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{inner}\n-----END {kind}PRIVATE KEY-----"
+    keys = [
+        block(body(20)),
+        block(body(400)),
+        block("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F1E2D3C4B5A69788796A5B4C3D2E1F0\n\n" + body(20)),
+        block(body(20), "").replace("\n", "\\n"),
+        block("> " + body(20).replace("\n", "\n> "), "OPENSSH "),
+    ]
+    cut = ["-----BEGIN EC PRIVATE KEY-----\n" + body(200), "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F1E2D3C4B5A69788796A5B4C3D2E1F0\n\n" + body(9), ("-----BEGIN PRIVATE KEY-----\n" + body(9)).replace("\n", "\\n")]
+    texts = [f'é😀 so "{k}", and after. More words.' for k in keys] + [f"é so {k}" for k in cut]
+    texts += [f"{cut[0]}\n{keys[0]}, and after", "-----BEGIN PRIVATE KEY-----\n" * 300 + "-" * 40000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, texts[r.doc_id][r.start : r.end]) for r in secrets.findings(df, model).collect()}
+    assert found >= set(enumerate(keys + cut))
+    clean = {r.doc_id: r.text for r in secrets.redact(df, model).collect()}
+    assert [clean[i] for i in range(5)] == ['é😀 so "[SECRET]", and after. More words.'] * 5
+    assert [clean[i] for i in range(5, 8)] == ["é so [SECRET]"] * 3 and clean[8] == "[SECRET][SECRET], and after"
+
+
+def test_features_of_whole_candidates(spark):
+    found = "a1" * 128 + "internationalisation-BCDEF"
+    seen = secrets.features(F.col("found"), F.lit(""), F.lit(""))
+    (row,) = spark.createDataFrame([(found,)], "found string").select(seen["variety"].alias("v"), seen["longest_word"].alias("w")).collect()
+    assert row.w == 20 and row.v == len(set(found)) / 64

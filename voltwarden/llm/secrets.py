@@ -20,9 +20,11 @@ from .pii import located
 
 # Forms of candidates. Each begins where no run of its characters goes on, so long runs stay linear.
 #: Known forms of keys, private key blocks, and any long run of characters that keys are made of. '=' ends a run and may
-#: stand before the next, as in KEY=value.
+#: stand before the next, as in KEY=value. A key block goes on to its END line, whatever is in between and however long
+#: that is; where the text, or another block, cuts it off before that, over what looks like its body and headers.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?+"
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:(?:Proc-Type|DEK-Info|Comment|Subject|X-[A-Za-z-]++):[^\r\n\\]*+|[A-Za-z0-9+/=\s]|\\[nrt/])*+)"
     r"|(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}+={0,2}+"
 )
 KNOWN = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_.-]+|-----BEGIN .*)"
@@ -53,9 +55,9 @@ def features(found: Column, before: Column, after: Column) -> dict[str, Column]:
         "uppers": _share(found, "[A-Z]", n),
         "vowels": _share(low, "[aeiou]", n),
         "hexes": flag(low.rlike("^[0-9a-f]+$")),
-        "variety": F.size(F.array_distinct(F.split(F.substring(found, 1, 256), ""))) / F.least(n, F.lit(64.0)),
+        "variety": F.size(F.array_distinct(F.split(found, ""))) / F.least(n, F.lit(64.0)),
         "covered": _share(low, words, n),
-        "longest_word": F.coalesce(F.array_max(F.transform(F.split(F.substring(low, 1, 256), "[^a-z]+"), lambda w: F.length(w))), F.lit(0)).cast("double"),
+        "longest_word": F.coalesce(F.array_max(F.transform(F.split(low, "[^a-z]+"), lambda w: F.length(w))), F.lit(0)).cast("double"),
         "slashes": _share(found, "/", n),
         "dots": _share(found, r"\.", n),
         "path": flag(found.rlike(r"^(?:\.{0,2}/|[A-Za-z0-9_-]+/[A-Za-z0-9_.-]+/)|\.(?:py|js|java|html?|txt|json|md|csv|png|jpe?g|gif|com|org|net)$") | before.rlike(r"(?:https?:/|www\.|[/~]|[A-Za-z]:\\)$")),
