@@ -624,11 +624,20 @@ def twin_state(spark, sf_dir):
 
 @query("SELECT event_id::DOUBLE AS timestamp, event_type AS component_id, CASE WHEN value > 100 THEN 'failed' ELSE 'trusted' END AS status, value AS score FROM events WHERE event_id % 3 = 0")
 def json_bus(spark, sf_dir):
+    lines = _bus_results(spark, sf_dir, "event_id % 3 = 0").unionByName(_bus_samples(spark, sf_dir))
+    return bus.parse(lines, "VerificationResult").select("timestamp", "component_id", "status", "score")
+
+
+def _bus_results(spark, sf_dir, only="true"):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = e.select(F.col("event_id").cast("double").alias("timestamp"), F.col("event_type").alias("component_id"), F.when(F.col("value") > 100, "failed").otherwise("trusted").alias("status"), F.col("value").alias("score"), F.lit(None).cast("double").alias("anchor_ref"), F.lit("ok").alias("reason"), "event_id")
+    return bus.envelope(rows.where(only), "VerificationResult")
+
+
+def _bus_samples(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     samples = e.select(F.col("event_id").cast("double").alias("timestamp"), F.col("event_type").alias("node_id"), F.col("value").alias("power_w"), F.lit("training").alias("workload_class"))
-    lines = bus.envelope(rows.where("event_id % 3 = 0"), "VerificationResult").unionByName(bus.envelope(samples, "PowerSample"))
-    return bus.parse(lines, "VerificationResult").select("timestamp", "component_id", "status", "score")
+    return bus.envelope(samples, "PowerSample")
 
 
 @query(f"WITH {SQL_FRAMES} SELECT idx, node_id, CASE channel WHEN 'click' THEN 'gpu-0[W]' WHEN 'view' THEN 'gpu-1[W]' WHEN 'error' THEN 'gpu-0[C]' WHEN 'signup' THEN 'cpu-0-core[W]' ELSE 'cpu-0[uJ]' END AS channel, CASE channel WHEN 'click' THEN 'gpu_power' WHEN 'view' THEN 'gpu_power' WHEN 'error' THEN 'gpu_temp' WHEN 'signup' THEN 'cpu_power' ELSE 'cpu_uj' END AS kind, CASE channel WHEN 'view' THEN 1 ELSE 0 END AS ordinal, channel = 'signup' AS is_core, round(value, 4) AS value FROM frames")
@@ -726,5 +735,48 @@ def verify_all(spark, sf_dir):
     from .plans.verify import verify
 
     long = _long(spark, sf_dir).withColumn("run_id", F.lit(0).cast("long")).withColumn("channel", F.concat_ws("-", "kind", "ordinal"))
-    series = grid(spark, sf_dir).where("run_id = 0").select("run_id", "idx", "frq", "alt")
+    series = grid(spark, sf_dir).select("run_id", "idx", "frq", "alt")
     return verify(series, long, alternative=True)
+
+
+# Over the whole table what a query above, held to its SQL, does over a fixed part
+
+
+@query("SELECT event_id * 1.5 - 20 AS ts, s.event_id_at AS idx, s.frq FROM (SELECT *, greatest(0, least((SELECT max(event_id) FROM events), floor((event_id * 1.5 - 20) * 0.5)::BIGINT)) AS at FROM events) t JOIN (SELECT event_id AS event_id_at, value AS frq FROM events) s ON s.event_id_at = t.at")
+def anchor_lookup_whole(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    series = e.select(F.col("event_id").alias("idx"), F.col("value").alias("frq"))
+    return views.anchor_at(series, e.select((F.col("event_id") * 1.5 - 20).cast("double").alias("ts")), 0.5)
+
+
+@query(f"WITH {SQL_FRAMES}, spine AS (SELECT node_id, channel, unnest(range(0, (SELECT max(idx) + 1 FROM frames))) AS frame FROM (SELECT DISTINCT node_id, channel FROM frames)), j AS (SELECT s.*, f.value FROM spine s LEFT JOIN frames f ON f.idx = s.frame AND f.node_id = s.node_id AND f.channel = s.channel), l AS (SELECT node_id, channel, frame, last_value(value IGNORE NULLS) OVER (PARTITION BY node_id, channel ORDER BY frame) AS v FROM j) SELECT node_id, channel, frame, round(v, 4) AS value FROM l WHERE v IS NOT NULL")
+def pad_locf_whole(spark, sf_dir):
+    rows = frames(spark, sf_dir).withColumnRenamed("idx", "frame")
+    return align.filled(rows, ["node_id", "channel"], None).select("node_id", "channel", "frame", F.round("value", 4).alias("value"))
+
+
+@query(f"""WITH {SQL_ENF}, e AS (SELECT run_id, idx, frq FROM enf WHERE idx < 500), d AS (SELECT *, frq - lag(frq) OVER (PARTITION BY run_id ORDER BY idx) AS d, frq - avg(frq) OVER (PARTITION BY run_id) AS x FROM e), p AS (SELECT *, lag(x) OVER (PARTITION BY run_id ORDER BY idx) AS p FROM d)
+SELECT run_id, round(CASE WHEN count(*) >= 5 THEN avg(frq) ELSE 60.0 END, 6) AS mean, round(CASE WHEN count(*) >= 5 THEN sqrt(avg(d * d)) ELSE 0.005 END, 6) AS noise, round(CASE WHEN count(*) >= 5 THEN greatest(-0.99, least(0.99, sum(x * p) / sum(p * p))) ELSE 0.95 END, 6) AS phi FROM p GROUP BY run_id""")
+def attack_profile_whole(spark, sf_dir):
+    each = attacks.profile(grid(spark, sf_dir).select("run_id", "idx", "frq"), 500)
+    return each.select("run_id", *[F.round(c, 6).alias(c) for c in ("mean", "noise", "phi")])
+
+
+@query(f"""WITH {SQL_ENF}, e AS (SELECT run_id, idx, frq, CASE WHEN idx BETWEEN 800 AND 899 THEN 'window' ELSE 'baseline' END AS part, abs(frq - lag(frq) OVER (PARTITION BY run_id ORDER BY idx)) AS step FROM enf),
+v AS (SELECT run_id, part, round(frq, 4) AS v, count(*) AS c FROM e GROUP BY ALL), m AS (SELECT run_id, part, arg_max(v, (c, -v)) AS modal, max(c) AS c FROM v GROUP BY run_id, part)
+SELECT run_id, part, count(*) AS n, round(avg(frq), 6) AS mean, round(stddev_samp(frq), 6) AS std, round(min(frq), 6) AS low, round(max(frq), 6) AS high, round(max(step), 6) AS largest_step, count(*) FILTER (step > 1) AS jumps, any_value(modal) AS modal, round(any_value(m.c) / count(*)::DOUBLE, 6) AS modal_share FROM e JOIN m USING (run_id, part) GROUP BY run_id, part""")
+def glitch_diagnosis_whole(spark, sf_dir):
+    s = calibrate.stretch(grid(spark, sf_dir).select("run_id", "idx", "frq"), 800, 899)
+    return s.select("run_id", "part", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high", "largest_step")], "jumps", "modal", F.round("modal_share", 6).alias("modal_share"))
+
+
+@query(f"WITH {SQL_TEL} SELECT channel FROM tel UNION SELECT node_id FROM tel")
+def layer_union_whole(spark, sf_dir):
+    t = tel(spark, sf_dir)
+    return t.select("channel").union(t.select("node_id")).distinct()
+
+
+@query("SELECT event_id::DOUBLE AS timestamp, event_type AS component_id, CASE WHEN value > 100 THEN 'failed' ELSE 'trusted' END AS status, value AS score FROM events")
+def json_bus_whole(spark, sf_dir):
+    lines = _bus_results(spark, sf_dir).unionByName(_bus_samples(spark, sf_dir))
+    return bus.parse(lines, "VerificationResult").select("timestamp", "component_id", "status", "score")

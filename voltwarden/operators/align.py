@@ -12,9 +12,14 @@ def tumbling(df: DataFrame, per: int, keys: list[str], values: list[str], order:
     return df.withColumn("frame", F.floor(pos / per).cast("long")).groupBy(*keys, "frame").agg(*[F.avg(v).alias(v) for v in values])
 
 
-def filled(df: DataFrame, keys: list[str], length: int, order: str = "frame", value: str = "value") -> DataFrame:
-    """keys, order, value for each place below `length`: the last value carried on; places before the first have none."""
-    spine = df.select(*keys).distinct().withColumn(order, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))))
+def filled(df: DataFrame, keys: list[str], length: int | None, order: str = "frame", value: str = "value") -> DataFrame:
+    """keys, order, value for each place below `length` (None: up to the last of all keys): the last value carried on; places before the first have none."""
+    if length is None:
+        ends = df.agg(F.max(order).cast("long").alias("__last"))
+        series = df.select(*keys).distinct().crossJoin(F.broadcast(ends))  # one row
+    else:
+        series = df.select(*keys).distinct().withColumn("__last", F.lit(length - 1).cast("long"))
+    spine = series.withColumn(order, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last")))).drop("__last")
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     both = spine.join(df.select(*keys, order, value), [*keys, order], "left")
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where(F.col(value).isNotNull())

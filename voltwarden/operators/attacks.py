@@ -68,17 +68,17 @@ def layer_labels(cells: DataFrame) -> DataFrame:
 
 
 def profile(enf: DataFrame, before: int) -> DataFrame:
-    """mean, noise (RMS of first differences) and phi (AR(1), within 0.99) of the rows before an attack; with fewer than 5, defaults."""
+    """mean, noise (RMS of first differences) and phi (AR(1), within 0.99) of the rows before an attack; with fewer than 5, defaults. With run_id, a row a run."""
     from .enf import by_run
 
-    w = by_run(enf)
+    w, keys = by_run(enf), [c for c in ["run_id"] if c in enf.columns]
     rows = enf.where(F.col("idx") < before).withColumn("__d", F.col("frq") - F.lag("frq").over(w))
-    mean = rows.agg(F.avg("frq").alias("m"))
-    rows = rows.crossJoin(F.broadcast(mean)).withColumn("__x", F.col("frq") - F.col("m"))  # one row
+    mean = rows.groupBy(*keys).agg(F.avg("frq").alias("m"))
+    rows = (rows.join(mean, keys) if keys else rows.crossJoin(F.broadcast(mean))).withColumn("__x", F.col("frq") - F.col("m"))  # one row
     rows = rows.withColumn("__p", F.lag("__x").over(by_run(rows)))
     phi = F.try_divide(F.sum(F.col("__x") * F.col("__p")), F.sum(F.when(F.col("__x").isNotNull(), F.col("__p") * F.col("__p"))))
     some = F.count("*") >= 5
-    return rows.agg(
+    return rows.groupBy(*keys).agg(
         F.when(some, F.avg("frq")).otherwise(60.0).alias("mean"),
         F.when(some, F.sqrt(F.avg(F.col("__d") * F.col("__d")))).otherwise(0.005).alias("noise"),
         F.when(some, F.greatest(F.least(F.coalesce(phi, F.lit(0.0)), F.lit(0.99)), F.lit(-0.99))).otherwise(0.95).alias("phi"),

@@ -36,10 +36,11 @@ def false_positives(df: DataFrame, value: Column, cuts: list[float], below: bool
 
 
 def stretch(enf: DataFrame, start: int, end: int) -> DataFrame:
-    """part (baseline, window), n, mean, std, low, high, largest_step, jumps (steps over 1 Hz), modal value and its share."""
-    rows = steps(enf.withColumn("value", F.col("frq")).withColumn("one", F.lit(1)), ["one"])
+    """part (baseline, window), n, mean, std, low, high, largest_step, jumps (steps over 1 Hz), modal value and its share; with run_id, of each run."""
+    keys = [c for c in ["run_id"] if c in enf.columns]
+    rows = steps(enf.withColumn("value", F.col("frq")).withColumn("one", F.lit(1)), [*keys, "one"])
     rows = rows.withColumn("part", F.when(F.col("idx").between(start, end), "window").otherwise("baseline"))
-    base = rows.groupBy("part").agg(F.count("*").alias("n"), F.avg("frq").alias("mean"), F.stddev_samp("frq").alias("std"), F.min("frq").alias("low"), F.max("frq").alias("high"), F.max("step").alias("largest_step"), F.count_if(F.col("step") > 1).alias("jumps"))
-    modal = rows.groupBy("part", F.round("frq", 4).alias("v")).agg(F.count("*").alias("c")).groupBy("part").agg(F.max(F.struct("c", F.negative("v"))).alias("m"))
-    both = base.join(modal, "part")
+    base = rows.groupBy(*keys, "part").agg(F.count("*").alias("n"), F.avg("frq").alias("mean"), F.stddev_samp("frq").alias("std"), F.min("frq").alias("low"), F.max("frq").alias("high"), F.max("step").alias("largest_step"), F.count_if(F.col("step") > 1).alias("jumps"))
+    modal = rows.groupBy(*keys, "part", F.round("frq", 4).alias("v")).agg(F.count("*").alias("c")).groupBy(*keys, "part").agg(F.max(F.struct("c", F.negative("v"))).alias("m"))
+    both = base.join(modal, [*keys, "part"])
     return both.select(*base.columns, F.negative("m.col2").alias("modal"), (F.col("m.c") / F.col("n")).alias("modal_share"))
