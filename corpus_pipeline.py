@@ -20,9 +20,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    groups = jaccard.components(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id").select(*COLUMNS)
+    """One row of each group of near copies: that with the smallest id, nulls last.
+
+    Groups are of texts, so rows that repeat a text are one, whatever their ids, and a row that is like no other stays,
+    also with a null id or with one that other texts have. Texts without words are like no other; of these, rows that
+    repeat an id are one.
+    """
+    row, one = common.fresh(docs, "row", "one")
+    rows = common.written(docs.select(*COLUMNS).withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = jaccard.components(rows, doc_id=row).select(F.col("doc_id").alias(row), "n_shingles", "component_id")
+    named = groups.join(rows.select(row, "doc_id"), row)
+    wordless, own = F.col("n_shingles") == 0, F.col("doc_id").isNotNull()
+    named = named.withColumn("kind", F.when(~wordless, 0).when(own, 1).otherwise(2))
+    named = named.withColumn("group", F.when(wordless & own, F.col("doc_id")).otherwise(F.col("component_id")))
+    first = named.groupBy("kind", "group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias(one))
+    return rows.join(first.select(F.col(one)[row].alias(row)), row, "left_semi").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

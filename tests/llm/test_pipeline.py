@@ -21,3 +21,20 @@ def test_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, kept[-1], SF).toPandas()
     assert last.groupby("sequence_id").length.sum().max() <= 2048
     assert set(last.doc_id) == set(mixed.doc_id)
+
+
+def test_one_row_a_group(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [
+        (None, words("a")),  # like no other, without an id
+        (5, words("b")), (5, words("b")), (9, words("b") + " more"), (None, words("b")),  # copies
+        (None, words("c")), (None, words("c") + " more"),  # copies without any id
+        (5, words("d")),  # another text with an id that is there
+        (7, ""), (7, ""), (8, None), (None, ""), (None, ""),  # without words
+    ]
+    df = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.jaccard_join(spark, df.repartition(3), SF).collect()
+    ids = lambda k: [r.doc_id for r in got if (r.text or "").startswith(k)]
+    assert ids("a") == [None] and ids("b") == [5] and ids("c") == [None] and ids("d") == [5]
+    assert sorted((r.doc_id or 0, r.text) for r in got if r.text == "") == [(0, ""), (0, ""), (7, "")]
+    assert [r.doc_id for r in got if r.text is None] == [8] and len(got) == 8
