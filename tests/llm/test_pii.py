@@ -53,3 +53,21 @@ def test_added_kinds_and_scores(spark):
 def test_no_python_in_plan(spark):
     plan = pii.digest(spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_iban_ends_at_its_length(spark):
+    cases = [
+        ("DE89 3704 0044 0532 0130 00 Please pay", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000 In full", ["DE89370400440532013000"]),
+        ("DE89370400440532013000 BIC COBADEFF", ["DE89370400440532013000"]),
+        ("GB82 WEST 1234 5698 7654 32 12 EUR", ["GB82 WEST 1234 5698 7654 32"]),
+        ("NO93 8601 1117 947 AND DE89370400440532013000 A", ["NO93 8601 1117 947", "DE89370400440532013000"]),
+        ("NO12 DE89370400440532013000", ["DE89370400440532013000"]),
+        ("MT84MALT011000012345MTLCAST001S X", ["MT84MALT011000012345MTLCAST001S"]),
+        ("DE893704004405320130001", []),
+        ("DE88370400440532013000 In", []),
+        ("FR1420041010050500013M02606 TOTAL and FR14 2004 1010 0505 0001 3M02 606.", ["FR1420041010050500013M02606", "FR14 2004 1010 0505 0001 3M02 606"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)] + [(len(cases), "DE89" * 9000), (len(cases) + 1, "AB12 " * 9000)], "doc_id long, text string")
+    got = {r.doc_id: [x.found for x in r.pii if x.kind == "iban"] for r in pii.scan(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases] and not got[len(cases)] and not got[len(cases) + 1]
