@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from voltwarden.llm import jaccard
 from voltwarden.llm.shingles import shingle_set
 
@@ -101,3 +103,16 @@ def test_bounds():
         if apart <= rule.apart(len(s) + len(t)):
             p = {k for _, keys, _ in rule.keys(s) for k in keys.tolist()}
             assert any(k in p for _, keys, _ in rule.keys(t) for k in keys.tolist())
+
+
+def test_star_round_a_set_in_one_word(spark):
+    """Variants of a set whose shingles all lie in one word: only that word shows their links, and many classes share it."""
+    rule = jaccard.Rule()
+    band = int(np.searchsorted(jaccard.BANDS, 6))
+    place = lambda s: set((((s >> np.uint64(32)) * np.uint64(rule.words(band))) >> np.uint64(32)).tolist())
+    first = next(t for i in range(100000) if len(place(shingle_set(t := " ".join(f"w{i}x{j}" for j in range(9))))) == 1)
+    more = [t for j in range(60) if len(place(shingle_set(t := f"{first} v{j}"))) == 2]
+    assert len(more) > jaccard.PAIRS
+    rows = list(enumerate([first, *more]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df).collect()} == brute(rows)

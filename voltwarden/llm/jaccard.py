@@ -90,12 +90,11 @@ class Rule:
 
 
     def empties(self, s: np.ndarray) -> list[int]:
-        """How many words keys() leaves out, by band: the own and the next."""
+        """How many words are empty, by band: the own and the next; also where keys() keeps these, since a linked set may not."""
         own, out = int(np.searchsorted(BANDS, len(s))), []
         for band in (own, own + 1):
             m = self.words(band)
-            empty = m - 1 - int(np.count_nonzero(np.diff(((s >> _U(32)) * _U(m)) >> _U(32))))
-            out.append(0 if m - self.differing(len(s), band) <= empty else empty)
+            out.append(m - 1 - int(np.count_nonzero(np.diff(((s >> _U(32)) * _U(m)) >> _U(32)))))
         return out
 
 
