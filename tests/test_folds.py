@@ -184,3 +184,31 @@ def test_names(spark):
     assert [tuple(r) for r in got] == [("x1000c0s0b0n0", "gpu-3[W]", "gpu_power", False), (None, "gpu-1[C]", "gpu_temp", False), ("a_b", "cpu-0-core[uJ]", "cpu_uj", True), (None, None, None, False), (None, None, None, False)]
     one = spark.createDataFrame([("12:00:05", "x")], "c string, n string").select(status.seconds(F.col("n"), F.col("c")).alias("s")).first()
     assert one.s == 43205
+
+
+@pytest.mark.parametrize("which", ["204", "302", "304"])
+def test_frequency_presets_track(spark, which):
+    rng = np.random.default_rng(4)
+    x = 60 + np.cumsum(rng.normal(0, 0.002, 100))
+    rows = [(i, None, "FRQ", float(v)) for i, v in enumerate(x)] + [(i, "n", "gpu-0[W]", 100.0 + i) for i in range(100)]
+    df = spark.createDataFrame(rows, "idx long, node_id string, channel string, value double")
+    run = lambda: attacks.scenario(df, ["node_id"], F.concat_ws("_", "node_id", "channel"), 100, which, seed=6).orderBy("idx").collect()
+    got = run()
+    assert len(got) == 200 and all(r.label == 0 and r.attacked == r.value for r in got if r.channel != "FRQ") and got == run()
+    engine, _, start, end, params = attacks.SCENARIOS[which]
+    lo, hi = attacks.bounds(100, start, end)
+    past = x[:lo]
+    d, p, q = np.diff(past), past[:-1] - past.mean(), past[1:] - past.mean()
+    noise, phi = np.sqrt((d * d).mean()), np.clip((p * q).sum() / (p * p).sum(), -0.99, 0.99)
+    draws = [r.e for r in df.where("channel = 'FRQ'").select("idx", attacks.normal_draws(6, "idx").alias("e")).orderBy("idx").collect()]
+    last, want = None, []
+    for i, live in enumerate(x):
+        if not lo <= i < hi:
+            want.append(live)
+            continue
+        last = live + np.clip(phi * ((live if last is None else last) - live) + draws[i] * noise * 0.5, -0.01, 0.01)
+        last = last + params["max_value"] * (i - lo) / (hi - lo) if engine == "drift" else last + params["value"] if params["type"] == "bias" else last * params["value"]
+        want.append(last)
+    frq = [r for r in got if r.channel == "FRQ"]
+    assert [r.label for r in frq] == [int(lo <= i < hi) for i in range(100)]
+    assert [r.attacked for r in frq] == pytest.approx(want, abs=1e-9)

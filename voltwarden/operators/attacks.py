@@ -5,6 +5,8 @@ Nothing is random unless a seed says so, so a run can be repeated.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,29 +87,54 @@ def profile(enf: DataFrame, before: int) -> DataFrame:
     )
 
 
-def tracked(df: DataFrame, start: int, end: int, phi: float, mode: str, by: float, clamp: float = 0.01, noise: str = "noise") -> DataFrame:
+def tracked(df: DataFrame, start: int, end: int, phi: float | str, mode: str, by: float, clamp: float = 0.01, noise: str = "noise", hit: str | None = None) -> DataFrame:
     """An attack on the frequency that stays close to it: AR(1) steps on the live value, clamped, then changed as inject() or drift() would; the changed value is fed back.
 
-    `noise` is a column of given draws, so the fold over each run is deterministic.
+    `noise` is a column of given draws, so the fold over each run is deterministic. `phi` may be a column, one value a
+    run. Rows whose column `hit` is not true stay as they are. Absolute modes give the step alone.
     """
     from .enf import _folded
 
-    change = {"bias": lambda v, f: v + by, "scale": lambda v, f: v * by, "additive": lambda v, f: v + by * f, "multiplicative": lambda v, f: v * (1 + by * f)}[mode]
+    changes = {"bias": lambda v, f: v + by, "scale": lambda v, f: v * by, "additive": lambda v, f: v + by * f, "multiplicative": lambda v, f: v * (1 + by * f)}
+    change = changes[mode] if mode in changes else {"absolute": lambda v, f: v, "absolute_jitter": lambda v, f: v}[mode]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        for i, live, e in zip(rows["idx"], rows["frq"], rows[noise]):
-            if start <= i < end:
+        last, out, labels = None, [], []
+        phis = rows[phi] if isinstance(phi, str) else [phi] * len(rows)
+        on = rows[hit] if hit else [True] * len(rows)
+        for i, live, e, p, h in zip(rows["idx"], rows["frq"], rows[noise], phis, on):
+            attack = start <= i < end and h is not None and bool(h)
+            labels.append(int(attack))
+            if attack:
                 before = live if last is None else last
-                last = change(live + min(clamp, max(-clamp, phi * (before - live) + e)), (i - start) / max(1, end - start))
+                last = change(live + min(clamp, max(-clamp, p * (before - live) + e)), (i - start) / max(1, end - start))
                 out.append(last)
             else:
                 out.append(live)
-        return rows.assign(attacked=out, label=[int(start <= i < end) for i in rows["idx"]])
+        return rows.assign(attacked=out, label=labels)
 
     return _folded(df, "attacked double, label int", fold)
 
 
+def normal_draws(seed: int, *at: str) -> Column:
+    """A standard normal draw a row, by the hash of its place and a seed."""
+    u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), *at), F.lit(1 << 52)) + 1) / float((1 << 52) + 1) for i in (1, 2)]
+    return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
+
+
+def on_frequency(df: DataFrame, start: int, end: int, mode: str, by: float, only: tuple[str, float] | None = None, seed: int = 0) -> DataFrame:
+    """inject() or drift() of the frequency's rows (idx, target, value; run_id where there are runs): tracked, by the profile of the rows before the attack."""
+    keys = [c for c in ["run_id"] if c in df.columns]
+    rows = df.withColumn("frq", F.col("value").cast("double"))
+    seen = profile(rows.select(*keys, "idx", "frq").where(F.col("frq").isNotNull()), start)
+    seen = seen.select(*keys, F.col("noise").alias("__noise"), F.col("phi").alias("__phi"))
+    rows = rows.join(F.broadcast(seen), keys, "left") if keys else rows.crossJoin(F.broadcast(seen))  # a row a run
+    # a run without rows before the attack has the defaults of profile()
+    rows = rows.withColumn("__noise", normal_draws(seed, *keys, "idx") * F.coalesce("__noise", F.lit(0.005)) * 0.5).withColumn("__phi", F.coalesce("__phi", F.lit(0.95)))
+    rows = rows.withColumn("__hit", F.coalesce(F.col("target") & F.col("frq").isNotNull() & condition(F.col("frq"), *(only or (None, None))), F.lit(False)))
+    return tracked(rows, start, end, "__phi", mode, by, noise="__noise", hit="__hit").select(*df.columns, "attacked", "label")
+
+
 #: Presets by id. Engine, targets, shares of the timeline where it starts and ends, and its parameters.
 SCENARIOS = {
     "201": ("injection", "gpus", 0.30, 0.70, {"type": "bias", "value": 25.0}),
@@ -137,10 +164,18 @@ def pool(difficulty: int, grid: bool) -> list[str]:
     return [k for k in own if (SCENARIOS[k][1] in ("frq", "all")) == grid] or own
 
 
-def perturb(df: DataFrame, keys: list[str], n: int, engine: str, start: float, end: float, params: dict) -> DataFrame:
-    """An engine over frames start * n to end * n of df (keys, idx, target, value), by parameters as SCENARIOS has them."""
+def perturb(df: DataFrame, keys: list[str], n: int, engine: str, start: float, end: float, params: dict, frequency: Column | None = None, seed: int = 0) -> DataFrame:
+    """An engine over frames start * n to end * n of df (keys, idx, target, value), by parameters as SCENARIOS has them.
+
+    Injection and drift track the rows that are the `frequency`.
+    """
     lo, hi = bounds(n, start, end)
     only = (params["condition_type"], params["condition_val"]) if params.get("condition_type") else None
+    if frequency is not None and engine in ("injection", "drift"):
+        own = F.coalesce(frequency, F.lit(False))
+        by = params["value"] if engine == "injection" else params["max_value"]
+        rest = perturb(df.where(~own), keys, n, engine, start, end, params)
+        return rest.unionByName(on_frequency(df.where(own), lo, hi, params["type"], by, only, seed))
     if engine == "injection":
         return inject(df, lo, hi, params["type"], params["value"], params.get("jitter", 0.0), only=only)
     if engine == "drift":
@@ -152,12 +187,12 @@ def perturb(df: DataFrame, keys: list[str], n: int, engine: str, start: float, e
     return none(df)
 
 
-def scenario(df: DataFrame, keys: list[str], name: Column, n: int, which: str) -> DataFrame:
+def scenario(df: DataFrame, keys: list[str], name: Column, n: int, which: str, seed: int = 0) -> DataFrame:
     """A preset over df (keys, idx, value), whose channels are called `name`."""
     from ..functions.channels import target_group
 
     engine, group, start, end, params = SCENARIOS[which]
-    return perturb(df.withColumn("target", target_group(name, group)), keys, n, engine, start, end, params)
+    return perturb(df.withColumn("target", target_group(name, group)), keys, n, engine, start, end, params, name == "FRQ", seed)
 
 
 def output(attacked: DataFrame) -> DataFrame:
