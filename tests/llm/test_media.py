@@ -48,3 +48,11 @@ def test_columns(spark):
     assert media.features(media.media_column(df.limit(0))).count() == 0
     odd = spark.createDataFrame([(1, 0, None), (2, 0, b"nothing")], "doc_id long, n_bytes long, media binary")
     assert {r.frames for r in media.features(odd).collect()} == {0}
+
+
+def test_seek_offsets_of_all_frames(spark):
+    df = spark.createDataFrame([(1, "word " * 4000), (2, "")], "doc_id long, text string")
+    streams = media.media_column(df)
+    raw = {r.doc_id: bytes(r.media) for r in streams.collect()}
+    for r in media.features(streams).collect():
+        assert len(r.seek) == r.frames and list(r.seek) == media.parse(raw[r.doc_id]).offsets

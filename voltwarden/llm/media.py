@@ -256,7 +256,7 @@ def payload_of(raw: bytes, s: Stream | None = None) -> bytes:
     return data[: int(s.tags.get("payload_bytes", len(data)))]
 
 
-def seek_table(s: Stream, every: int = 100) -> list[int]:
+def seek_table(s: Stream, every: int = 1) -> list[int]:
     """The offset of each `every`th frame, so a player reaches any time with a read of few frames."""
     return s.offsets[::every]
 
@@ -284,7 +284,7 @@ def media_column(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration double, frames long, crc_bad long, skipped long, seek array<long>"
 
 
-def features(media: DataFrame, every: int = 100) -> DataFrame:
+def features(media: DataFrame, every: int = 1) -> DataFrame:
     """FEATURES of a table with doc_id, n_bytes and media. Rows whose media is null or holds no frame have 0 frames and an empty payload."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("duration", pa.float64()), ("frames", pa.int64()), ("crc_bad", pa.int64()), ("skipped", pa.int64()), ("seek", pa.list_(pa.int64()))])
 
