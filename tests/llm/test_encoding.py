@@ -15,30 +15,48 @@ from voltwarden.llm import packing, tokenfile
 from voltwarden.llm.encoding import encoder
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
-TEXT = st.lists(st.sampled_from(list("aB é'sß.,!#12 \n\t") + ["  ", " ", "\x1c", "Σ", "é", "日", "don't", " the", "😀"]), max_size=60).map("".join)
+TEXT = st.lists(st.sampled_from(list("aB é'sß.,!#12 \n\t") + ["  ", " ", "\x1c", "Σ", "é", "日", "don't", " the", "😀", "\x1e", "\x1f", "\u2028", "\xa0", "İ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof"]), max_size=60).map("".join)
 
 
 def plain(name, text):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return _plain[name].encode(text, add_special_tokens=False).ids
 
 
 _plain = {n: Tokenizer.from_file(public_tokenizers.path(n)) for n in NAMES}
-for _t in _plain.values():
-    _t.encode_special_tokens = True
 
 
 @pytest.mark.parametrize("name", NAMES)
 @settings(max_examples=300, deadline=None)
-@given(text=TEXT)
-def test_same_ids(name, text):
-    got = np.frombuffer(encoder(public_tokenizers.path(name)).bytes_of(text), "<u4").tolist()
-    assert got == _plain[name].encode(text, add_special_tokens=False).ids
+@given(texts=st.lists(st.none() | TEXT, max_size=6))
+def test_same_ids(name, texts):
+    """Those of the plain library call, for a whole batch, also with strings of added tokens."""
+    for end in (None, 7):
+        got = [np.frombuffer(x, "<u2").tolist() for x in encoder(public_tokenizers.path(name), end).batch(texts).to_pylist()]
+        assert got == [plain(name, t or "") + ([] if end is None else [end]) for t in texts]
 
 
-def test_special_strings_are_text():
-    assert 50256 not in np.frombuffer(encoder(public_tokenizers.path(NAMES[0])).bytes_of("a <|endoftext|> b"), "<u4")
+@pytest.mark.parametrize("name", NAMES)
+def test_same_ids_with_few_pieces_held(name, monkeypatch):
+    """Pieces that were dropped from a full table are encoded anew."""
+    from voltwarden.llm import encoding
+
+    monkeypatch.setattr(encoding, "PIECES", 40)
+    monkeypatch.setattr(encoding, "RUNS", 10)
+    rng, own = random.Random(3), encoding.Encoder(public_tokenizers.path(name), 1)
+    for _ in range(60):
+        texts = [" ".join(rng.choice("abcdeé") * rng.randint(1, 9) + rng.choice(["", ",", "!", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(4)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.batch(texts).to_pylist()] == [[*plain(name, t), 1] for t in texts]
+
+
+def test_very_long_text():
+    text = "The quick, brown foxés jump. " * 60_000
+    for name in NAMES:
+        (got,) = encoder(public_tokenizers.path(name)).batch([text]).to_pylist()
+        assert np.frombuffer(got, "<u2").tolist() == plain(name, text)
+
+
+def test_special_strings_have_their_ids():
+    assert 50256 in np.frombuffer(encoder(public_tokenizers.path(NAMES[0])).batch(["a <|endoftext|> b"])[0].as_py(), "<u2")
 
 
 @settings(max_examples=60, deadline=None)
@@ -74,7 +92,7 @@ def test_fullest_is_a_best_subset():
 
 
 def rows_of(spark):
-    texts = [None, "", "a", "word " * 300, "x", "x", "The quick brown fox.\n\nJumps  over", "ß é 😀 " * 40]
+    texts = [None, "", "a <|endoftext|>", "word " * 300, "x", "x", "The quick brown fox.\n\nJumps  over", "ß é 😀 " * 40]
     return spark.createDataFrame([(i, t, "z", 3) for i, t in enumerate(texts)] + [(1, "again", None, 0), (None, "no id", None, 0)], "doc_id long, text string, ids string, length int")
 
 

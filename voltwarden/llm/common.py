@@ -2,39 +2,67 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows handed to Python at once. Documents are kilobytes each and some are far longer, so Spark's default of
-#: 10,000 rows would make the batch size depend on the corpus.
-BATCH_ROWS = 256
+#: Rows, and bytes about, that Python works on at once. Spark bounds the batches that it hands over by bytes
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB); they are sliced, so no setting of the session is touched.
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 22
+#: Paths made inside each open scope().
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    In local mode, where every folder is shared, an own one is made if that is unset; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="voltwarden-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/voltwarden/{name}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; what stands there goes when the innermost scope() ends, unless it is to be kept."""
+    path = f"{shared_dir(spark)}/voltwarden/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside on leaving; what is to outlive it must be written with keep=True."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
-def written(df: DataFrame, name: str) -> DataFrame:
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = shared_path(spark, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
@@ -43,9 +71,12 @@ def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches by rows; texts make the rows wide."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, fewer where rows are long."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * BATCH_BYTES // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def arrow_rows(schema: pa.Schema, rows: Iterable[tuple]) -> pa.RecordBatch:
@@ -56,7 +87,7 @@ def arrow_rows(schema: pa.Schema, rows: Iterable[tuple]) -> pa.RecordBatch:
 
 def texts_of(batches: Iterator[pa.RecordBatch], text: str, *others: str) -> Iterator[tuple[list, ...]]:
     """The text column (None: as it is) and other columns of each batch as lists."""
-    for b in batches:
+    for b in slices(batches):
         yield tuple(b.column(b.schema.get_field_index(c)).to_pylist() for c in (text, *others))
 
 
@@ -84,5 +115,4 @@ def word_count(text: Column) -> Column:
 
 def clear(spark: SparkSession) -> None:
     """Deletes what written() and shared_path() left in the shared folder. Results that still read it must be stored before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/voltwarden")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/voltwarden")

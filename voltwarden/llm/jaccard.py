@@ -268,7 +268,7 @@ def near(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     right = classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
+        for r in common.slices(batches):
             a, b, na, nb, sa, sb = (r.column(i).to_pylist() for i in range(6))
             far = [hamming(x, y) for x, y in zip(sa, sb)]
             ok = [i for i, d in enumerate(far) if d <= rule.apart(na[i] + nb[i])]
@@ -288,7 +288,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
-        for b in batches:
+        for b in common.slices(batches):
             bits[_slots(b.column(0).to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
@@ -324,7 +324,7 @@ def verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, size: int, rul
     found = df.mapInArrow(run, "cid long, own binary").join(chosen.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
+        for r in common.slices(batches):
             ok = []
             for i, (x, y) in enumerate(zip(r.column(2).to_pylist(), r.column(3).to_pylist())):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -356,7 +356,6 @@ def components(df: DataFrame, size: int = WORDS, percent: int = 80, doc_id: str
     play no part. An empty table has an empty result.
     """
     spark, rule = df.sparkSession, Rule(percent)
-    common.small_batches(spark)
     given = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = common.written(describe(given, size, rule), "sets")
     classes = docs.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("sketch").alias("sketch"), F.max("empty").alias("empty"))

@@ -121,7 +121,7 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(BUCKETS + 1, np.int64)
-        for b in batches:
+        for b in common.slices(batches):
             for t in b.column(0).to_pylist():
                 df[grams(t)[0]] += 1
                 df[BUCKETS] += 1
@@ -129,7 +129,7 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(BUCKETS + 1, np.int64)
-        for b in batches:
+        for b in common.slices(batches):
             for raw in b.column(0).to_pylist():
                 df += np.frombuffer(raw, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary())], ["df"])
@@ -147,7 +147,6 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
     `rows` bounds how many a language weights are trained on, chosen by a hash of the id; a fifth of them is left for the
     temperature. Without such rows the model knows no language.
     """
-    common.small_batches(df.sparkSession)
     given = learnable(df, doc_id, text, lang, fold, held_out)
     counts = {r.lang: r.n for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     languages = sorted(counts)
@@ -162,7 +161,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
         wanted = wanted | ((F.col("lang") == x) & (share < min(spread, 1.5 * rows / counts[x] * spread + 1)))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             got = [grams(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([f.astype("<i4").tobytes() for f, _ in got], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in got], pa.binary())], ["lang", "order", "found", "counts"])
 
@@ -182,11 +181,10 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
 
 def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", fold: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of df; null texts and texts without letters: und, 0."""
-    common.small_batches(df.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             got = [model.predict(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([p for _, p in got], pa.float64())], schema=schema)
 

@@ -249,11 +249,11 @@ def parse(raw: bytes) -> Stream:
 
 
 def payload_of(raw: bytes, s: Stream | None = None) -> bytes:
-    """The main data of the frames, as long as the tag says."""
+    """The main data of the frames, as long as the tag says; a tag that is no number, as foreign ones may be, says nothing."""
     s = s or parse(raw)
     parts = [raw[at + 4 + 2 * h.protected + h.side : at + h.size] for at, h in zip(s.offsets, s.headers)]
-    data = b"".join(parts)
-    return data[: int(s.tags.get("payload_bytes", len(data)))]
+    data, said = b"".join(parts), s.tags.get("payload_bytes", "")
+    return data[: int(said)] if said.isascii() and said.isdigit() else data
 
 
 def seek_table(s: Stream, every: int = 1) -> list[int]:
@@ -268,11 +268,10 @@ def padded(data: bytes) -> bytes:
 
 def media_column(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes and media: a stream for each text (null: empty), whose payload is its UTF-8 with zeros to a multiple of 64."""
-    common.small_batches(df.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             raw = [t or b"" for t in texts]
             yield common.arrow_rows(schema, zip(b.column(0).to_pylist(), map(len, raw), [encode(padded(t)) for t in raw]))
@@ -289,7 +288,7 @@ def features(media: DataFrame, every: int = 1) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("duration", pa.float64()), ("frames", pa.int64()), ("crc_bad", pa.int64()), ("skipped", pa.int64()), ("seek", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             rows = []
             for doc, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = raw or b""

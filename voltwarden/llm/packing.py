@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 from .encoding import encoder
 
+#: Rows of (task, length) that may be broadcast, at about 128 bytes.
+BASES = 1 << 18
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("task", pa.int32()), ("nth", pa.int64())])
 
 
@@ -69,20 +72,20 @@ def cut(df: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id: str =
 
     Null and empty texts have the end id alone. The ids of a piece are kept (little-endian, 32 bits each) if asked for.
     """
-    common.small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, task, seen = encoder(tokenizer).bytes_of, end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), {}
+        own, task, seen = encoder(tokenizer, end_id), TaskContext.get().partitionId(), {}
         for texts, docs in common.texts_of(batches, "text", "doc_id"):
-            rows = []
-            for doc, body in zip(docs, texts):
-                ids, start, piece = encode(body) + end, 0, 0
-                total = len(ids) // 4
-                while start < total:
-                    length = (total - start - 1) % capacity + 1 if piece == 0 else capacity
-                    part = ids[4 * start : 4 * (start + length)]
+            rows, ids = [], own.batch(texts)
+            places = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] // own.width
+            flat = memoryview(np.frombuffer(ids.buffers()[2], f"<u{own.width}")[: places[-1]].astype("<u4")).cast("B")
+            for doc, at, end in zip(docs, places[:-1].tolist(), places[1:].tolist()):
+                start, piece = at, 0
+                while start < end:
+                    length = (end - start - 1) % capacity + 1 if piece == 0 else capacity
+                    part = flat[4 * start : 4 * (start + length)]
                     nth = seen[length] = seen.get(length, -1) + 1
-                    rows.append((doc, piece, start, length, zlib.crc32(part), part if keep_ids else None, task, nth))
+                    rows.append((doc, piece, start - at, length, zlib.crc32(part), part.tobytes() if keep_ids else None, task, nth))
                     start, piece = start + length, piece + 1
             yield common.arrow_rows(PIECES, rows)
 
@@ -98,12 +101,15 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """
     spark = pieces.sparkSession
     counts = common.written(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
-    totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    by_length = counts.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("tasks")).collect()  # capacity rows at most
+    totals = {r.length: r.n for r in by_length}
     if any(not 1 <= x <= capacity for x in totals):
         raise ValueError(f"lengths must lie in 1..{capacity}")
     places = spark.createDataFrame(plan(totals, capacity), "p_length long, lo long, hi long, first long, per long, at long")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(F.col("length").alias("b_length"), F.col("task").alias("b_task"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # lengths by tasks: few rows are broadcast, more are joined by sorting, where a group is no more than a task's pieces
+    base = base.hint("broadcast" if sum(r.tasks for r in by_length) <= BASES else "merge")
     ranked = pieces.join(base, (F.col("length") == F.col("b_length")) & (F.col("task") == F.col("b_task"))).withColumn("rank", F.col("base") + F.col("nth"))
     # the plan has a bounded number of rows: its size depends on the capacity, not on the corpus
     put = ranked.join(F.broadcast(places), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))

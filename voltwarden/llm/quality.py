@@ -140,7 +140,6 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, ro
     and 1 don't count; with no labels of one class the model scores all documents alike, by the share of class 1, or 1
     where nothing is labelled.
     """
-    common.small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("l_id"), F.col(label).cast("int").alias("y"), _rest(doc_id, fold).alias("rest")).where((F.col("rest") != held_out) & F.col("y").isin(0, 1)).drop("rest")
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -171,12 +170,11 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
 
     Null texts score as empty ones. Every row is scored by itself, so repeated rows and ties agree.
     """
-    common.small_batches(df.sparkSession)
     df = df.drop("held_out", "score", "predicted").withColumn("held_out", _rest(doc_id, fold) == held_out)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             scores = [model.score(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             extra = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*names, "score", "predicted"])

@@ -44,7 +44,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import read_files, token_files
 
-    return read_files(token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, bits=16))
+    return read_files(token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, bits=16, unit="byte"))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -139,12 +140,20 @@ class Reader:
 
 
 def narrow(ids: bytes, bits: int) -> bytes:
+    """Ids of four bytes each as ids of width_of(bits)."""
     wide = np.frombuffer(ids, "<u4")
     if wide.max(initial=0) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
     return wide.astype("<u2").tobytes() if width_of(bits) == 2 else ids
 
 
+def resized(ids: bytes, width: int, bits: int) -> bytes:
+    """Ids of `width` bytes each as ids of width_of(bits)."""
+    if width == 4:
+        return narrow(ids, bits)
+    return ids if width_of(bits) == 2 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def width_of(bits: int) -> int:
     """Bytes that hold an id on its way to the files."""
     return 2 if bits <= 16 else 4
@@ -152,15 +161,19 @@ def width_of(bits: int) -> int:
 
 def encode(df: DataFrame, tokenizer: str, end_id: int, bits: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (little-endian, width_of(bits) bytes each, the end id last), n_tokens, task and nth of every text; null texts are empty."""
-    common.small_batches(df.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, end, task, nth = encoder(tokenizer).bytes_of, end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
-        for texts, docs in common.texts_of(batches, "text", "doc_id"):
-            ids = [narrow(to_ids(t) + end, bits) for t in texts]
-            yield common.arrow_rows(schema, zip(docs, ids, [len(x) // width_of(bits) for x in ids], [task] * len(ids), range(nth, nth + len(ids))))
-            nth += len(ids)
+        own, task, nth, width = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0, width_of(bits)
+        if (max(own.size - 1, end_id)) >> bits:
+            raise ValueError(f"an id needs more than {bits} bits")
+        for b in common.slices(batches):
+            ids = own.batch(b.column(1).to_pylist())
+            if own.width != width:
+                ids = pa.array([resized(x, own.width, bits) for x in ids.to_pylist()], pa.binary())
+            n = pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), width)
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, n, pa.array(np.full(len(b), task, np.int32)), pa.array(np.arange(nth, nth + len(b)))], schema=schema)
+            nth += len(b)
 
     given = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return given.mapInArrow(run, "doc_id long, ids binary, n_tokens long, task int, nth long")

@@ -95,7 +95,6 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id",
     queries with that id. Other columns play no part. An empty table has an empty result.
     """
     spark = vectors.sparkSession
-    common.small_batches(spark, 2048)
     ready = vectors.select(F.col(vec_id).cast("long").alias("id"), whole(F.col(embedding)).alias("v"), F.coalesce(query, F.lit(False)).alias("q"))
     ready = common.written(ready.where(F.col("v").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0)), "vectors")
     dims = [r.d for r in ready.select(F.size("v").alias("d")).distinct().collect()]  # a few lengths
@@ -112,7 +111,7 @@ def _one_length(ready: DataFrame, dim: int, k: int, n: int, sample: int, block:
     spark, points = ready.sparkSession, pivots_of(ready, dim, n, sample)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             d = distances(matrix(b.column(1)).astype(np.float64), points)
             cell = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(cell)), cell], pa.float64())], ["id", "v", "q", "cell", "far"])
@@ -131,7 +130,7 @@ def _one_length(ready: DataFrame, dim: int, k: int, n: int, sample: int, block:
         """Rows of (query_id, v, part, cell): to the nearest cells, or, with a k-th score known, to the others that may hold better."""
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in common.slices(batches):
                 q = matrix(b.column(1)).astype(np.float64)
                 d = distances(q, points)
                 d[:, radius < 0] = np.inf
