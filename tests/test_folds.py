@@ -10,6 +10,12 @@ from voltwarden.operators import attacks, enf, nlr, scoring, verdict, views
 from pyspark.sql import functions as F
 
 
+def test_sibling_ratio_of_zeros(spark):
+    rows = [(0, "a", "g0", 0.0), (0, "a", "g1", 0.0), (0, "a", "g2", 0.0), (1, "a", "g0", 5.0), (1, "a", "g1", 0.0), (1, "a", "g2", 0.0), (2, "a", "g0", 9.0), (2, "a", "g1", 2.0), (2, "a", "g2", 2.0)]
+    df = spark.createDataFrame(rows, "idx long, node_id string, channel string, value double")
+    assert sorted((r.idx, r.channel, r.observed) for r in nlr.sibling_ratio(df, 0.5, 2.0).collect()) == [(1, "g1", 0.0), (1, "g2", 0.0), (2, "g0", 4.5), (2, "g1", 2.0 / 5.5), (2, "g2", 2.0 / 5.5)]
+
+
 def long(spark, values, node="n", channel="c"):
     return spark.createDataFrame([(i, node, channel, float(v), i) for i, v in enumerate(values)], "idx long, node_id string, channel string, value double, frame int")
 

@@ -80,7 +80,7 @@ def sibling_ratio(df: DataFrame, low: float, high: float, group: list[str] | Non
     both = both.withColumn("__others", others).where(F.size("__others") > 0)
     n = F.size("__others")
     middle = (F.get("__others", F.floor((n - 1) / 2).cast("int")) + F.get("__others", F.floor(n / 2).cast("int"))) / 2
-    both = both.withColumn("__median", middle).where("__median > 1").withColumn("__ratio", F.col("value") / F.col("__median"))
+    both = both.withColumn("__median", middle).where("__median > 1").withColumn("__ratio", F.try_divide(F.col("value"), F.col("__median")))
     return result(both, F.lit(True), "SIBLING MISMATCH", F.col("__ratio"), high, (F.col("__ratio") < low) | (F.col("__ratio") > high))
 
 

@@ -74,13 +74,13 @@ def rapl(spark: SparkSession, path: str, cpus: int = 2, cap: int | None = None)
 
 
 def sample_rate(rows: DataFrame, n: int = 30) -> DataFrame:
-    """path, hz: from the mean interval of a file's first `n` readable times; fewer than two raise."""
+    """path, hz: from the mean interval of a file's first `n` readable times; fewer than two raise, and where none passes between them hz is null."""
     times = rows.select("path", "line_no", F.try_to_timestamp(F.col("cells").getItem("reading-time"), F.lit(TIME)).alias("t")).where("t IS NOT NULL")
     w = Window.partitionBy("path").orderBy("line_no")
     first = times.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
     span = (F.unix_micros(F.max("t")) - F.unix_micros(F.min("t"))) / 1e6 / (F.count("*") - 1)
     found = first.groupBy("path").agg(F.count("*").alias("n"), F.when(F.count("*") > 1, span).alias("interval"))
-    hz = F.when(F.col("n") < 2, F.raise_error(F.lit("fewer than two readable times"))).otherwise(F.bround(1 / F.col("interval"), 0))
+    hz = F.when(F.col("n") < 2, F.raise_error(F.lit("fewer than two readable times"))).otherwise(F.bround(F.try_divide(F.lit(1.0), F.col("interval")), 0))
     return found.select("path", hz.alias("hz"))
 
 
