@@ -1,16 +1,19 @@
 """Exact top-k search by inner product with a Voronoi partition.
 
-Pivots split all vectors into cells. A cell's summary is its pivot, how many vectors it has and the largest distance of
-one from the pivot, so q.p + |q| * radius bounds every score in it. Queries are grouped with their own cells: scored
-there, each gets a k-th best score, and goes on only to cells whose bound reaches it. All scoring is local: a block of
-a cell against a block of queries. Cells of any size are split into blocks, so a common vector fills many blocks and none
-grows.
+Pivots split all vectors into cells. A cell's summary is its pivot, how many vectors it has, the least and largest
+distance of one from the pivot, and the largest norm; these bound every score in it. Queries are grouped by their own
+cells: scored in the nearest cells, each gets a k-th best score, and goes on only to cells whose bound reaches it. A
+vector is sent only to groups of queries of which some go to its cell, and, once scores are known, only to those whose
+own summary (pivot, radius, lowest k-th score) lets the vector itself reach that score. All scoring is local: a block of
+a cell against a part of the queries. Cells and groups of any size are split, so a common vector fills many blocks and
+none grows. What the driver holds is bounded by the pivots: a row a cell, and which cells send queries to which.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,8 +23,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pivots, the rows that they are chosen from, vectors a block, and own cells that a query is scored in first.
-PIVOTS, SAMPLE, BLOCK, NEAREST = 64, 2048, 2048, 2
+#: Pivots at least and at most (their number grows with the square root of the table), the rows that they are chosen
+#: from, vectors a block, queries a part, and own cells that a query is scored in first.
+PIVOTS, MOST, SAMPLE, BLOCK, PART, NEAREST = 64, 512, 4096, 2048, 8192, 2
 
 
 def whole(embedding: Column, scale: int = 256) -> Column:
@@ -87,7 +91,7 @@ def _solve(k: int):
     return solve
 
 
-def top_k(vectors: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = PIVOTS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int | None = None, sample: int = SAMPLE, block: int = BLOCK, part: int = PART) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows by integer inner product for each row that `query` selects.
 
     Vectors that are null, empty, or hold null or non-finite components, and rows without an id, take no part; vectors of
@@ -97,72 +101,170 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id",
     spark = vectors.sparkSession
     ready = vectors.select(F.col(vec_id).cast("long").alias("id"), whole(F.col(embedding)).alias("v"), F.coalesce(query, F.lit(False)).alias("q"))
     ready = common.written(ready.where(F.col("v").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0)), "vectors")
-    dims = [r.d for r in ready.select(F.size("v").alias("d")).distinct().collect()]  # a few lengths
+    dims = [(r.d, r.n) for r in ready.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()]  # a few lengths
     out = None
-    for dim in sorted(dims):
-        own = _one_length(ready.where(F.size("v") == dim), dim, k, pivots, sample, block)
+    for dim, rows in sorted(dims):
+        n = pivots or min(MOST, max(PIVOTS, math.isqrt(rows // 16)))
+        own = Search(ready.where(F.size("v") == dim), dim, k, n, sample, block, part).result()
         out = own if out is None else out.unionByName(own)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return out
 
 
-def _one_length(ready: DataFrame, dim: int, k: int, n: int, sample: int, block: int) -> DataFrame:
-    spark, points = ready.sparkSession, pivots_of(ready, dim, n, sample)
+def above(bound: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Where a bound reaches a score, whatever the rounding."""
+    return bound + 1e-9 * np.abs(bound) + 1e-6 >= least
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches):
-            d = distances(matrix(b.column(1)).astype(np.float64), points)
-            cell = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(cell)), cell], pa.float64())], ["id", "v", "q", "cell", "far"])
 
-    placed = common.written(ready.mapInArrow(assign, "id long, v array<long>, q boolean, cell int, far double"), "cells")
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.sum(F.col("q").cast("long")).alias("queries")).collect()  # a row a pivot
-    radius, blocks = np.full(len(points), -1.0), {}
-    for c in cells:
-        radius[c.cell], blocks[c.cell] = c.radius, max(1, math.ceil(c.n / block))
-    parts = max(1, math.ceil(sum(c.queries or 0 for c in cells) / block))
-    counts = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])
-    # a query's part and a vector's block come from hashes of what they hold, so that equal ids spread as well
-    data = placed.select("cell", F.pmod(F.xxhash64("id", "v"), counts[F.col("cell")]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("id").alias("vec_id"), "v")
+@dataclass
+class Cells:
+    """The summaries, a row a pivot, and the parts of each group of queries."""
 
-    def routed(final: bool):
-        """Rows of (query_id, v, part, cell): to the nearest cells, or, with a k-th score known, to the others that may hold better."""
+    points: np.ndarray
+    radius: np.ndarray
+    inner: np.ndarray
+    norm: np.ndarray
+    q_radius: np.ndarray
+    blocks: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.gaps = distances(self.points, self.points)
+
+    def bounds(self, q: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """For each query and cell a score that none in the cell exceeds.
+
+        By the pivot and the radius; by the norms; and by the least distance that a vector may have from the query: what
+        the cell's inner and outer radius leave, or the plane halfway between the cell's pivot and another.
+        """
+        square = (q * q).sum(axis=1)[:, None]
+        near = np.maximum(0.0, np.maximum(d - self.radius, self.inner - d))
+        own = d.argmin(axis=1)
+        plane = (d * d - (d[np.arange(len(d)), own] ** 2)[:, None]) / np.maximum(2 * self.gaps[own], 1e-300)
+        near = np.maximum(near, np.where(self.gaps[own] > 0, plane, 0.0) * (1 - 1e-9) - 1e-6)
+        by_distance = (square + self.norm**2 - np.maximum(0.0, near) ** 2) / 2
+        return np.minimum(np.minimum(q @ self.points.T + np.sqrt(square) * np.maximum(self.radius, 0), np.sqrt(square) * self.norm), by_distance)
+
+
+class Search:
+    """The search among vectors of one length."""
+
+    def __init__(self, ready: DataFrame, dim: int, k: int, n: int, sample: int, block: int, part: int):
+        self.k, points = k, pivots_of(ready, dim, n, sample)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in common.slices(batches):
+                x = matrix(b.column(1)).astype(np.float64)
+                d = distances(x, points)
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(cell)), cell], pa.float64()), pa.array(np.sqrt((x * x).sum(axis=1)))], ["id", "v", "q", "cell", "far", "norm"])
+
+        self.placed = common.written(ready.mapInArrow(assign, "id long, v array<long>, q boolean, cell int, far double, norm double"), "cells")
+        own = F.when(F.col("q"), F.col("far"))
+        cells = self.placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.min("far").alias("inner"), F.max("norm").alias("norm"), F.count(own).alias("queries"), F.max(own).alias("q_radius")).collect()  # a row a pivot
+        m = len(points)
+        radius, inner, norm, q_radius = np.full(m, -1.0), np.zeros(m), np.zeros(m), np.zeros(m)
+        blocks, queries = np.ones(m, np.int64), np.zeros(m, np.int64)
+        for c in cells:
+            radius[c.cell], inner[c.cell], norm[c.cell], q_radius[c.cell] = c.radius, c.inner, c.norm, c.q_radius or 0.0
+            blocks[c.cell], queries[c.cell] = max(1, math.ceil(c.n / block)), c.queries
+        self.cells = Cells(points, radius, inner, norm, q_radius, blocks, *parts_of(queries, points, part))
+
+    def of_cell(self, values: np.ndarray) -> Column:
+        """A column of the value of each row's cell."""
+        return F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("cell") + 1)
+
+    def queries(self) -> DataFrame:
+        """query_id, v, part, own: a query's part comes from a hash, so that equal ids spread as well."""
+        part = self.of_cell(self.cells.first) + F.pmod(F.xxhash64("id"), self.of_cell(self.cells.count))
+        return self.placed.where("q").select(F.col("id").alias("query_id"), "v", part.cast("int").alias("part"), F.col("cell").alias("own"))
+
+    def routed(self, queries: DataFrame, final: bool) -> DataFrame:
+        """query_id, v, part, own, cell: to the nearest cells, or, with a k-th score known, to the others that may hold better."""
+        cells = self.cells
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in common.slices(batches):
                 q = matrix(b.column(1)).astype(np.float64)
-                d = distances(q, points)
-                d[:, radius < 0] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :NEAREST]
+                d = distances(q, cells.points)
+                some = np.where(cells.radius < 0, np.inf, d)
                 chosen = np.zeros(d.shape, bool)
-                np.put_along_axis(chosen, near, True, axis=1)
+                np.put_along_axis(chosen, np.argsort(some, axis=1, kind="stable")[:, :NEAREST], True, axis=1)
                 if final:
-                    norm = np.sqrt((q * q).sum(axis=1))
-                    bound = q @ points.T + norm[:, None] * np.maximum(radius, 0)
-                    kth = b.column(3).to_numpy(zero_copy_only=False)
-                    chosen = ~chosen & (bound * (1 + 1e-9) + 1e-6 >= kth[:, None])
-                chosen &= radius >= 0
+                    chosen = ~chosen & above(cells.bounds(q, d), b.column(4).to_numpy(zero_copy_only=False)[:, None])
+                chosen &= cells.radius >= 0
                 rows, cell = np.nonzero(chosen)
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(cell.astype(np.int32))], ["query_id", "v", "part", "cell"])
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(take) for i in range(4)], pa.array(cell.astype(np.int32))], ["query_id", "v", "part", "own", "cell"])
 
-        return route
+        return common.written(queries.mapInArrow(route, "query_id long, v array<long>, part int, own int, cell int"), "routed")
 
-    shape = "query_id long, v array<long>, part int, cell int"
-    queries = placed.where("q").select(F.col("id").alias("query_id"), "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    def sent(self, reach: np.ndarray, least: np.ndarray | None) -> DataFrame:
+        """cell, block, part, vec_id, v: each vector for the parts that need it.
 
-    def solved(sent: DataFrame) -> DataFrame:
-        each = sent.withColumn("block", F.explode(F.sequence(F.lit(0), counts[F.col("cell")] - 1)))
-        return each.groupBy("cell", "block", "part").cogroup(data.groupBy("cell", "block", "part")).applyInPandas(_solve(k), RESULT)
+        reach: whether queries of a group (column) go to a cell (row); least: the lowest k-th score in each group.
+        """
+        cells = self.cells
 
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    first = common.written(solved(queries.mapInArrow(routed(False), shape)), "near")
-    kth = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("k_id"), F.col("score").cast("double").alias("kth"))
-    known = queries.join(kth, F.col("query_id") == F.col("k_id"), "left").select("query_id", "v", "part", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
-    rest = solved(known.mapInArrow(routed(True), shape))
-    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in common.slices(batches):
+                x, want = matrix(b.column(3)).astype(np.float64), reach[b.column(0).to_numpy()]
+                if least is not None:
+                    want = want & above(x @ cells.points.T + np.sqrt((x * x).sum(axis=1))[:, None] * cells.q_radius, least)
+                row, group = np.nonzero(want)
+                times = cells.count[group]
+                begin = np.repeat(np.cumsum(times) - times, times)
+                both = np.unique(np.stack([np.repeat(row, times), np.repeat(cells.first[group], times) + np.arange(len(begin)) - begin]), axis=1)
+                take = pa.array(both[0])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(both[1].astype(np.int32)), b.column(2).take(take), b.column(3).take(take)], ["cell", "block", "part", "vec_id", "v"])
+
+        block = F.pmod(F.xxhash64("id", "v"), self.of_cell(self.cells.blocks)).cast("int")
+        return self.placed.select("cell", block.alias("block"), F.col("id").alias("vec_id"), "v").mapInArrow(send, "cell int, block int, part int, vec_id long, v array<long>")
+
+    def solved(self, routed: DataFrame, least: np.ndarray | None) -> DataFrame:
+        """query_id, vec_id, score: the k best of each block for each query that goes there."""
+        reach = np.zeros((len(self.cells.points),) * 2, bool)
+        for r in routed.select("cell", "own").distinct().collect():  # pivots squared at most
+            reach[r.cell, r.own] = True
+        each = routed.select("query_id", "v", "part", "cell", F.explode(F.sequence(F.lit(0), (self.of_cell(self.cells.blocks) - 1).cast("int"))).alias("block"))
+        keys = ["cell", "block", "part"]
+        return each.groupBy(*keys).cogroup(self.sent(reach, least).groupBy(*keys)).applyInPandas(_solve(self.k), RESULT)
+
+    def rest(self, first: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        """The queries routed on, with the k-th scores of a first round, and each group's lowest of these."""
+        kth = first.withColumn("rank", ranks()).where(F.col("rank") == self.k).select(F.col("query_id").alias("k_id"), F.col("score").cast("double").alias("kth"))
+        known = self.queries().join(kth, F.col("query_id") == F.col("k_id"), "left").select("query_id", "v", "part", "own", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
+        known = common.written(known, "known")
+        least = np.full(len(self.cells.points), np.inf)
+        for r in known.groupBy("own").agg(F.min("kth").alias("least")).collect():  # a row a pivot
+            least[r.own] = r.least
+        return self.routed(known, True), least
+
+    def result(self) -> DataFrame:
+        first = common.written(self.solved(self.routed(self.queries(), False), None), "near")
+        routed, least = self.rest(first)
+        ranked = first.unionByName(self.solved(routed, least)).withColumn("rank", ranks()).where(F.col("rank") <= self.k)
+        return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def ranks() -> Column:
+    return F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc()))
+
+
+def parts_of(queries: np.ndarray, points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first part and the number of parts of each group of queries: large groups are split, small ones share a part."""
+    first, count, part, held = np.zeros(len(queries), np.int64), np.ones(len(queries), np.int64), 0, 0
+    for g in np.argsort(points @ (points[-1] - points[0]), kind="stable"):
+        n = int(queries[g])
+        if held and held + n > size:
+            part, held = part + 1, 0
+        first[g], count[g] = part, max(1, math.ceil(n / size))
+        held += n
+        if count[g] > 1:
+            part, held = part + int(count[g]), 0
+    return first, count
 
 
 #: Brute force in SQL over a table `embeddings`.
