@@ -7,6 +7,7 @@ very long runs linear, and find the same spans as the plain patterns in the comm
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -88,27 +89,35 @@ PATTERNS = {"email": (EMAIL, "@"), "ip": (IP, "."), "card": (CARD, ""), "phone":
 SURE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.95, "ssn": 0.5}
 
 
+def scanned(values: Column, join: Callable[[Column, Column], Column], steps: Column) -> Column:
+    """The running result of an associative `join` along an array, by doubling: after step k each element spans 2k of them."""
+
+    def doubled(acc: Column, k: Column) -> Column:
+        return F.transform(acc, lambda x, i: F.when(i >= k, join(F.get(acc, i - k), x)).otherwise(x))
+
+    return F.aggregate(steps, values, doubled)
+
+
 def located(df: DataFrame, text: str, pattern: str, found: str, out: str, near: int, after: int = 0) -> DataFrame:
     """df with `out`: array<struct<start, end, found, before, after>> of a pattern's matches in `text`, given as `found`.
 
-    end is exclusive; places are code points. The lengths between matches are a column of their own, so that a text is
-    split once and not once a match.
+    end is exclusive; places are code points. A text is split once; what a match costs does not grow with its text: ends
+    are a running sum of the lengths of gaps and matches, and `before` is a running concatenation cut to `near`. That
+    spans 16 matches back, and so is exact where a match and the gap before it have near / 16 code points or more. `after`
+    is cut from the next gap and match.
     """
     (gaps,) = common.fresh(df, "gaps")
-    item = "struct<start:int,end:int,found:string,before:string,after:string>"
-    body, all_found, lengths = F.col(text), F.col(found), F.col(gaps)
-    df = df.withColumn(gaps, F.when(F.size(all_found) > 0, F.transform(F.split(body, pattern, -1), lambda g: F.length(g))))
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() AS array<{item}>)").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.element_at(lengths, i)
-        end = start + F.length(F.element_at(all_found, i))
-        before = F.substr(body, F.greatest(start - near, F.lit(0)) + 1, F.least(start, F.lit(near)))
-        span = F.struct(start.alias("start"), end.alias("end"), F.element_at(all_found, i).alias("found"), before.alias("before"), F.substr(body, end + 1, F.lit(after)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    spans = F.aggregate(F.sequence(F.lit(1), F.size(all_found)), begin, step, lambda a: a["out"])
-    return df.withColumn(out, F.when(F.size(all_found) > 0, spans).otherwise(F.expr(f"cast(array() AS array<{item}>)"))).drop(gaps)
+    all_found, between = F.col(found), F.col(gaps)
+    df = df.withColumn(gaps, F.when(F.size(all_found) > 0, F.split(F.col(text), pattern, -1)).otherwise(F.expr("cast(array() AS array<string>)")))
+    powers = F.array(*[F.lit(1 << k) for k in range(31)])
+    lengths = F.transform(all_found, lambda f, i: F.length(F.get(between, i)) + F.length(f))
+    ends = scanned(lengths, lambda a, b: a + b, F.filter(powers, lambda k: k < F.size(all_found)))
+    pieces = F.transform(all_found, lambda f, i: F.right(F.concat(F.coalesce(F.get(all_found, i - 1), F.lit("")), F.get(between, i)), F.lit(near)))
+    before = scanned(pieces, lambda a, b: F.right(F.concat(a, b), F.lit(near)), F.array(*[F.lit(1 << k) for k in range(4)]))
+    behind = F.transform(all_found, lambda f, i: F.left(F.concat(F.get(between, i + 1), F.coalesce(F.get(all_found, i + 1), F.lit(""))), F.lit(after)))
+    zipped = F.arrays_zip(all_found.alias("found"), ends.alias("end"), before.alias("before"), behind.alias("after"))
+    span = lambda x: F.struct((x["end"] - F.length(x["found"])).alias("start"), x["end"].alias("end"), x["found"].alias("found"), x["before"].alias("before"), x["after"].alias("after"))
+    return df.withColumn(out, F.transform(zipped, span)).drop(gaps)
 
 
 def _kept(kind: str, x: Column) -> Column:
