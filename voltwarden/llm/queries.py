@@ -26,7 +26,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import findings, fit
 
-    return findings(table(spark, sf_dir, "documents"), fit(spark))
+    docs = table(spark, sf_dir, "documents")
+    return findings(docs, fit(spark, docs=docs))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

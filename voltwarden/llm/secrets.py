@@ -32,8 +32,13 @@ FOR = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?k
 AGAINST = r"(?:example|sample|test|dummy|placeholder|sha-?(?:1|256|512)|md5|checksum|digest|commit|revision|hash|uuid|guid|etag|integrity|version|build|fingerprint)"
 #: The parts that words of texts and of code are made of; what they cover of a candidate is no key.
 DICTIONARY = "the and ing ion ent ation for her ter hat tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat tion ment able data file user name test path home main code list type read write class index value table field model admin local config public static system server client src lib bin usr var opt www http https html json java python node module package".split()
-#: Code points looked at before and after a candidate.
-BEFORE, AFTER = 48, 24
+#: What labelled findings are made of where there are none of one's own: words in no list of the features, names that a
+#: value is assigned to, and signs of the assignment.
+PLAIN = "customer invoice shipment quarterly harvest northern cathedral window bicycle laptop garden engine paper yellow silver mountain rivers village captain doctor school teacher kitchen summer winter forest animal market orange travel letter number bridge castle church coffee dinner driver farmer finger flower friend ground health island jacket ladder leader lesson luggage marble memory mirror museum needle office parade pencil people pepper picnic planet pocket police potato prince puzzle rabbit record ribbon saddle sailor salmon season shadow sheep signal singer sister spirit spring square stable street string student sugar sunset supper target temple tennis theatre ticket tiger timber tomato tunnel turtle umbrella valley velvet violin wallet weather weekend welcome whistle wonder yogurt zebra zipper".split()
+NAMES = ["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "API_KEY", "DB_PASSWORD", "Secret", "private_key", "credential", "signing_key", "access-token", "authToken"]
+SIGNS = [' = "', '="', ": '", ' := "', "=", ": ", " ", '": "', " = '", "=>'"]
+#: Code points looked at before and after a candidate; texts, and findings of theirs, that a model may learn from.
+BEFORE, AFTER, TEXTS, OWN = 48, 24, 400, 3000
 FEATURES = ["length", "changes", "digits", "uppers", "vowels", "hexes", "variety", "covered", "longest_word", "slashes", "dots", "path", "assigned", "quoted", "keyword", "against", "known"]
 
 
@@ -49,7 +54,7 @@ def features(found: Column, before: Column, after: Column) -> dict[str, Column]:
     words = "(?:" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return {
-        "length": F.least(n, F.lit(256.0)),
+        "length": n,
         "changes": F.length(shape) / n,
         "digits": _share(found, "[0-9]", n),
         "uppers": _share(found, "[A-Z]", n),
@@ -69,61 +74,105 @@ def features(found: Column, before: Column, after: Column) -> dict[str, Column]:
     }
 
 
-def labelled_findings(n: int = 2400, seed: int = 3) -> list[tuple[str, str, str, int]]:
+def labelled_findings(n: int = 3000, seed: int = 3, prose: list[str] | None = None) -> list[tuple[str, str, str, int]]:
     """Labelled findings to train from where there are none of one's own: (found, before, after, label), half of them secrets.
 
-    Secrets are random keys of the usual alphabets behind the usual words; the others are words, names, paths, addresses,
-    digests, ids and placeholders.
+    Secrets are random keys of the usual alphabets assigned to the usual names, or of known forms; the others are words,
+    names, paths, addresses, digests, ids, numbers and placeholders. What stands around them is cut from `prose`.
     """
     rng = random.Random(seed)
     pick = lambda s, k: "".join(rng.choice(s) for _ in range(k))
     hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
-    syllables = ["".join(rng.choice(string.ascii_lowercase) if i % 2 == 0 else rng.choice("aeiou") for i in range(rng.randint(2, 4))) for _ in range(300)] + DICTIONARY
-    word = lambda k: "".join(rng.choice(syllables) for _ in range(k))
-    prose = lambda: " ".join(word(rng.randint(1, 3)) for _ in range(rng.randint(1, 6)))
-    keys = ["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "API_KEY", "Secret", "private_key", "credential"]
+    made = ["".join(rng.choice(string.ascii_lowercase) if i % 2 == 0 else rng.choice("aeiou") for i in range(rng.randint(2, 4))) for _ in range(300)]
+    # half of the made values are of words, half of syllables, as names in other languages are
+    word = lambda k: "".join(rng.choice(PLAIN if rng.random() < 0.5 else made) for _ in range(k))
+    some = prose or [" ".join(rng.choice(PLAIN) for _ in range(rng.randint(4, 12))) for _ in range(200)]
+
+    def around() -> tuple[str, str]:
+        text = rng.choice(some)
+        at = rng.randint(0, len(text))
+        return text[:at][-BEFORE:], text[at:][:AFTER]
+
     out = []
     for i in range(n // 2):
-        kind = i % 6
-        found = [lambda: pick(hexes, rng.choice([32, 40, 40, 48, 64])), lambda: pick(alnum, rng.randint(20, 64)), lambda: pick(alnum + "+/", rng.randint(24, 64)) + rng.choice(["", "=", "=="]), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: pick(alnum + "-_", rng.randint(24, 48))][kind]()
-        quote = rng.choice(['"', "'", "", '"'])
-        known = kind in (3, 4) and rng.random() < 0.5
-        lead = prose() + " " if known else f"{prose()} {rng.choice(keys)}{rng.choice([' = ', '=', ': ', ':', ' := '])}{quote}"
-        out.append((found, lead[-BEFORE:], ("" if known else quote) + rng.choice([" ", "\n", ",", ";", "### "]) + prose()[:12], 1))
+        kind = i % 7
+        found = [
+            lambda: pick(hexes, rng.choice([32, 40, 40, 48, 64])),
+            lambda: pick(alnum, rng.randint(20, 64)),
+            lambda: pick(alnum + "+/", rng.randint(24, 64)) + rng.choice(["", "=", "=="]),
+            lambda: rng.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + (string.digits if rng.random() < 0.7 else ""), 16),
+            lambda: rng.choice(["ghp_", "gho_", "ghs_"]) + pick(alnum, 36),
+            lambda: pick(alnum + "-_", rng.randint(24, 300)),
+            lambda: pick(string.ascii_uppercase + string.digits, rng.randint(20, 40)),
+        ][kind]()
+        sign, name, (lead, rest) = rng.choice(SIGNS), rng.choice(NAMES), around()
+        bare = kind in (3, 4) and rng.random() < 0.5
+        if kind == 0 and rng.random() < 0.2:
+            found = found.upper()
+        name = name.upper() if rng.random() < 0.2 else name
+        before = f"{lead} " if bare else f"{lead} {rng.choice(['', 'my_', 'x-', 'export '])}{name}{sign}"
+        if not bare and rng.random() < 0.3:
+            before = before.rstrip("\"'")
+        quote = "" if bare or before[-1] not in "\"'" else {'"': '"', "'": "'"}.get(sign[-1], "")
+        out.append((found, before[-BEFORE:], (quote + rng.choice([" ", "\n", ",", ";", "### ", ""]) + rest)[:AFTER], 1))
     for i in range(n - n // 2):
-        kind = i % 8
+        kind, (lead, rest) = i % 9, around()
         found = [
-            lambda: word(rng.randint(5, 12)),
-            lambda: word(rng.randint(5, 10)).capitalize() + rng.choice(["", "."]),
+            lambda: word(rng.randint(3, 7)),
+            lambda: word(rng.randint(3, 6)).capitalize() + rng.choice(["", "."]),
             lambda: "/".join(word(rng.randint(1, 2)) for _ in range(rng.randint(3, 6))) + rng.choice(["", ".py", ".html"]),
-            lambda: "-".join(word(1) for _ in range(rng.randint(4, 8))),
-            lambda: pick(hexes, rng.choice([32, 40, 64])),
+            lambda: rng.choice("-_.").join(word(1) for _ in range(rng.randint(3, 8))),
+            lambda: pick(hexes, rng.choice([32, 40, 64])) if rng.random() < 0.6 else pick(alnum + "+/", rng.choice([27, 43, 86])) + "=",
             lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)),
-            lambda: rng.choice(["your_api_key_goes_here", "xxxxxxxxxxxxxxxxxxxxxxxx", "changeme-changeme-changeme", "EXAMPLE" + pick(alnum, 13), "placeholder_token_value"]),
+            lambda: rng.choice(["your_api_key_goes_here", "x" * rng.randint(16, 40), "changeme-changeme-changeme", "EXAMPLE" + pick(alnum, 13), "placeholder_token_value", "<" + word(3) + ">", "insert-token-here", "0" * 32]),
             lambda: pick(string.digits, rng.randint(16, 24)),
+            lambda: word(1).capitalize() + "".join(word(1).capitalize() for _ in range(rng.randint(2, 4))),
         ][kind]()
-        lead = prose() + " "
+        lead += " "
+        if kind in (0, 3) and rng.random() < 0.25:
+            found = found.upper()
         if kind in (4, 5):
-            lead += rng.choice(["sha1 ", "commit ", "md5: ", "checksum = ", "uuid=", "id: ", "etag: \"", "revision ", "digest "])
+            lead += rng.choice(["sha1 ", "commit ", "md5: ", "checksum = ", "uuid=", "uuid: \"", 'etag: "', "revision ", "digest ", "sha256:", "integrity sha512-", "fingerprint "])
         elif kind == 6:
-            lead += rng.choice(keys) + rng.choice([" = ", "=", ': "'])
-        elif kind == 2 and rng.random() < 0.5:
-            lead += "https://"
-        elif rng.random() < 0.1:
-            lead += rng.choice(keys) + " "
-        out.append((found, lead[-BEFORE:], rng.choice([" ", "\n", ". "]) + prose()[:12], 0))
+            lead += rng.choice(NAMES) + rng.choice(SIGNS)
+        elif kind in (2, 8) and rng.random() < 0.5:
+            lead += rng.choice(["https://", "/", "import ", "class ", 'href="'])
+        elif rng.random() < 0.15:
+            lead += rng.choice(NAMES) + rng.choice([" ", " of ", " for the ", "s and "])
+        out.append((found, lead[-BEFORE:], (rng.choice([" ", "\n", ". ", '"']) + rest)[:AFTER], 0))
     return out
 
 
+def own_findings(docs: DataFrame, text: str = "text", texts: int = TEXTS, most: int = OWN) -> tuple[list[str], list[tuple[str, str, str, int]]]:
+    """Stretches of the corpus's own texts, and labelled findings from them: at most `texts` and `most`, chosen by a hash.
+
+    A candidate that no name of a secret stands before, and that has no known form, is no secret; the others are left out.
+    """
+    given = docs.select(F.col(text).cast("string").alias("body")).where(F.length("body") > 0).select("body", F.xxhash64("body").alias("order"))
+    total = given.count()
+    share = F.pmod(F.col("order"), F.lit(1 << 30)) / float(1 << 30)
+    some = given.where(share <= 4.0 * texts / max(1, total)).dropDuplicates(["order"]).orderBy("order").limit(texts)
+    stretch = F.substr("body", F.pmod(F.col("order"), F.length("body")).cast("int") + 1, F.lit(4 * BEFORE))
+    prose = [r.s for r in some.select(stretch.alias("s")).collect()]
+    spans = located(some.withColumn("found", _candidates(F.col("body"))), "body", CANDIDATE, "found", "span", BEFORE, AFTER)
+    each = spans.select(F.explode_outer("span").alias("x")).where(F.col("x").isNotNull()).select("x.found", "x.before", "x.after")
+    each = each.where(~F.lower("before").rlike(FOR) & ~F.col("found").rlike(KNOWN)).dropDuplicates(["found"]).orderBy(F.xxhash64("found"), "found").limit(most)
+    return prose, [(r.found, r.before, r.after, 0) for r in each.collect()]
+
+
 def _assembled(df: DataFrame) -> DataFrame:
     (vector,) = ["features"]
     return VectorAssembler(inputCols=FEATURES, outputCol=vector, handleInvalid="keep").transform(df)
 
 
-def fit(spark: SparkSession, findings: DataFrame | None = None, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
-    """A forest from labelled findings: found, before, after (strings; null: empty) and label (1: a secret)."""
+def fit(spark: SparkSession, findings: DataFrame | None = None, docs: DataFrame | None = None, text: str = "text", trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
+    """A forest from labelled findings: found, before, after (strings; null: empty) and label (1: a secret).
+
+    Without findings it learns from made ones, set in stretches of `docs` where these are given, and from docs' own.
+    """
     if findings is None:
-        findings = spark.createDataFrame(labelled_findings(), "found string, before string, after string, label int")
+        prose, own = own_findings(docs, text) if docs is not None else (None, [])
+        findings = spark.createDataFrame(labelled_findings(prose=prose) + own, "found string, before string, after string, label int")
     given = findings.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("found", "before", "after")], F.col("label").cast("double").alias("label"))
     rows = given.select("label", *[c.cast("double").alias(k) for k, c in features(F.col("found"), F.col("before"), F.col("after")).items()])
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="0.5", seed=5)
@@ -172,11 +221,11 @@ def forest_score(model: RandomForestClassificationModel, seen: Column) -> Column
 
 
 def redact(df: DataFrame, model: RandomForestClassificationModel, text: str = "text", mark: str = "[SECRET]", least: float = 0.5) -> DataFrame:
-    """df with each secret in its text replaced by `mark`; all rows and columns stay, null texts are null.
+    """df with each secret in its text replaced by `mark`, where it stands; all rows and columns stay, null texts are null.
 
-    A row's candidates are scored within the row, so no text leaves its task: no shuffle, whatever rows have in common.
+    The same string elsewhere, where the forest holds it for a checksum, stays. Empty tables and texts stay as they are. A row's candidates are scored within the row, so no text leaves its task: no shuffle, whatever rows have in common.
     """
-    found, spans, body = common.fresh(df, "found", "spans", "body")
+    found, spans, body, shown = common.fresh(df, "found", "spans", "body", "shown")
     given = df.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit("")))
     given = located(given.withColumn(found, _candidates(F.col(body))), body, CANDIDATE, found, spans, BEFORE, AFTER)
 
@@ -184,11 +233,11 @@ def redact(df: DataFrame, model: RandomForestClassificationModel, text: str = "t
         own = features(x["found"], x["before"], x["after"])
         return F.struct(x["found"].alias("found"), *[own[k].cast("double").alias(k) for k in FEATURES])
 
-    secrets = F.filter(F.transform(spans, seen), lambda x: forest_score(model, x) >= least)
-    given = given.withColumn(spans, F.when(F.size(spans) > 0, F.array_distinct(F.transform(secrets, lambda x: x["found"]))))
-    longest = F.array_sort(F.col(spans), lambda a, b: F.length(b) - F.length(a))
-    clean = F.aggregate(longest, F.col(text), lambda t, x: F.replace(t, x, F.lit(mark)))
-    return given.withColumn(text, F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, clean).otherwise(F.col(text))).drop(found, spans, body)
+    # each match is put back or replaced in its own place, between the gaps
+    secret = F.transform(F.transform(spans, seen), lambda x: F.when(forest_score(model, x) >= least, F.lit(mark)).otherwise(x["found"]))
+    given = given.withColumn(shown, F.when(F.size(spans) > 0, secret))
+    parts = F.flatten(F.transform(F.arrays_zip(F.split(F.col(body), CANDIDATE, -1).alias("gap"), F.col(shown).alias("shown")), lambda x: F.array(x["gap"], F.coalesce(x["shown"], F.lit("")))))
+    return given.withColumn(text, F.when(F.size(spans) > 0, F.array_join(parts, "")).otherwise(F.col(text))).drop(found, spans, body, shown)
 
 
 def findings(df: DataFrame, model: RandomForestClassificationModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
