@@ -39,7 +39,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret's text replaced."""
-    return secrets.redact(docs, secrets.fit(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return secrets.redact(docs, secrets.fit(spark, docs=docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
