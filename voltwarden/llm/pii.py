@@ -117,7 +117,8 @@ def located(df: DataFrame, text: str, pattern: str, found: str, out: str, near:
     behind = F.transform(all_found, lambda f, i: F.left(F.concat(F.get(between, i + 1), F.coalesce(F.get(all_found, i + 1), F.lit(""))), F.lit(after)))
     zipped = F.arrays_zip(all_found.alias("found"), ends.alias("end"), before.alias("before"), behind.alias("after"))
     span = lambda x: F.struct((x["end"] - F.length(x["found"])).alias("start"), x["end"].alias("end"), x["found"].alias("found"), x["before"].alias("before"), x["after"].alias("after"))
-    return df.withColumn(out, F.transform(zipped, span)).drop(gaps)
+    none = F.expr("cast(array() AS array<struct<start:int,end:int,found:string,before:string,after:string>>)")
+    return df.withColumn(out, F.when(F.size(all_found) > 0, F.transform(zipped, span)).otherwise(none)).drop(gaps)
 
 
 def _kept(kind: str, x: Column) -> Column:
