@@ -290,7 +290,13 @@ def local_cusum(spark, sf_dir):
     return enf.local_cusum(_confidence(spark, sf_dir), 0.03, 2.0, 10, 0.93, 20).select("run_id", "idx", F.round("cusum", 6).alias("cusum"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SQL_CONF}, b AS (SELECT run_id, avg(1 - confidence) AS base FROM conf WHERE idx < 10 GROUP BY run_id), g AS (
+SELECT DISTINCT run_id, -1::BIGINT AS idx, 0.0::DOUBLE AS total, 0.0::DOUBLE AS s FROM conf
+UNION ALL
+SELECT run_id, idx, total, CASE WHEN total > 0.5 THEN 0.0 ELSE total END FROM (
+ SELECT c.run_id, c.idx, CASE WHEN c.idx = 9 THEN 0.0 ELSE greatest(0.0, g.s + (1 - c.confidence) - CASE WHEN c.idx < 9 THEN 0.03 ELSE b.base END) END AS total
+ FROM g JOIN conf c ON c.run_id = g.run_id AND c.idx = g.idx + 1 JOIN b ON b.run_id = c.run_id))
+SELECT run_id, idx, round(total, 6) AS drift_sum, total > 0.5 AS drifted FROM g WHERE idx >= 0""")
 def drift_cusum(spark, sf_dir):
     return enf.drift_cusum(_confidence(spark, sf_dir), 0.03, 0.5, 10, 60).select("run_id", "idx", F.round("drift_sum", 6).alias("drift_sum"), "drifted")
 
@@ -306,7 +312,18 @@ def sequence_guard(spark, sf_dir):
     return enf.sequence_guard(rows).select("run_id", "seq", "code")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_ENF}, xs AS (SELECT run_id, list(frq ORDER BY idx) AS x, count(*) AS n FROM enf GROUP BY run_id), h AS (
+SELECT run_id, 0::BIGINT AS i, []::BOOLEAN[] AS flags FROM xs
+UNION ALL
+SELECT run_id, i + 1, list_append(flags, v NOT BETWEEN 59 AND 61 OR coalesce(mad > 0 AND abs(v - m) > 2.0 * 1.4826 * mad, FALSE)) FROM (
+ SELECT run_id, i, flags, v, m, list_aggregate(list_transform(near, lambda y: abs(y - m)), 'median') AS mad FROM (
+  SELECT run_id, i, flags, v, near, list_aggregate(near, 'median') AS m FROM (
+   SELECT h.run_id, h.i, h.flags, xs.x[h.i + 1] AS v, list_filter(list_transform(list_filter(range(greatest(0, h.i - 11), least(xs.n, h.i + 12)), lambda k: k >= h.i OR NOT h.flags[k + 1]), lambda k: xs.x[k + 1]), lambda y: y BETWEEN 59 AND 61) AS near
+   FROM h JOIN xs ON xs.run_id = h.run_id WHERE h.i < xs.n)))),
+f AS (SELECT e.run_id, e.idx, e.frq, l.flags[e.idx + 1] AS flagged FROM enf e JOIN (SELECT h.run_id, h.flags FROM h JOIN xs ON xs.run_id = h.run_id WHERE h.i = xs.n) l ON l.run_id = e.run_id),
+s AS (SELECT *, max(CASE WHEN NOT flagged THEN idx END) OVER (PARTITION BY run_id ORDER BY idx) AS li, min(CASE WHEN NOT flagged THEN idx END) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ri FROM f)
+SELECT s.run_id, s.idx, s.flagged, round(CASE WHEN NOT s.flagged THEN s.frq WHEN l.frq IS NOT NULL AND r.frq IS NOT NULL THEN l.frq + (r.frq - l.frq) * (s.idx - li) / (ri - li) ELSE coalesce(l.frq, r.frq, s.frq) END, 6) AS clean
+FROM s LEFT JOIN f l ON l.run_id = s.run_id AND l.idx = s.li LEFT JOIN f r ON r.run_id = s.run_id AND r.idx = s.ri""")
 def hampel(spark, sf_dir):
     flagged = enf.hampel(grid(spark, sf_dir).select("run_id", "idx", "frq"), 11, 2.0, physical=(59.0, 61.0))
     return enf.interpolated(flagged).select("run_id", "idx", "flagged", F.round("clean", 6).alias("clean"))
@@ -404,7 +421,10 @@ def attack_profile(spark, sf_dir):
     return one.select(*[F.round(c, 6).alias(c) for c in ("mean", "noise", "phi")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_ENF}, e AS (SELECT run_id, idx, frq, (idx * 31 % 11 - 5) / 1000.0 AS noise FROM enf WHERE idx >= 199 AND idx < 400), f AS (
+SELECT run_id, idx, NULL::DOUBLE AS last FROM e WHERE idx = 199
+UNION ALL SELECT e.run_id, e.idx, e.frq + least(0.01, greatest(-0.01, 0.95 * (coalesce(f.last, e.frq) - e.frq) + e.noise)) + 0.002 FROM f JOIN e ON e.run_id = f.run_id AND e.idx = f.idx + 1)
+SELECT n.run_id, n.idx, round(coalesce(f.last, n.frq), 6) AS attacked, (f.last IS NOT NULL)::INT AS label FROM enf n LEFT JOIN f ON f.run_id = n.run_id AND f.idx = n.idx AND f.last IS NOT NULL""")
 def attack_tracked(spark, sf_dir):
     rows = grid(spark, sf_dir).select("run_id", "idx", "frq", ((F.col("idx") * 31 % 11 - 5) / 1000.0).alias("noise"))
     return attacks.tracked(rows, 200, 400, 0.95, "bias", 0.002).select("run_id", "idx", F.round("attacked", 6).alias("attacked"), "label")
@@ -780,3 +800,6 @@ def layer_union_whole(spark, sf_dir):
 def json_bus_whole(spark, sf_dir):
     lines = _bus_results(spark, sf_dir).unionByName(_bus_samples(spark, sf_dir))
     return bus.parse(lines, "VerificationResult").select("timestamp", "component_id", "status", "score")
+
+
+from . import catalog_files  # noqa: E402, F401  (registers its queries)

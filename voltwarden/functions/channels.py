@@ -59,6 +59,37 @@ def to_wide(long: DataFrame, channels: list[str] | None = None) -> DataFrame:
     return named.groupBy(F.col("idx").alias("index")).pivot("name", channels).agg(F.first("value"))
 
 
+def renamed_columns(wide: DataFrame, ids: dict[str, str]) -> DataFrame:
+    """wide with every column that begins with a node's id and _ under its short id, status columns too; the longest id counts."""
+    new = {}
+    for c in wide.columns:
+        own = max((i for i in ids if c.startswith(f"{i}_")), key=len, default=None)
+        if own:
+            new[c] = ids[own] + c[len(own) :]
+    return wide.withColumnsRenamed(new)
+
+
+def nodes_of(names: list[str]) -> list[str]:
+    """The sorted nodes of the channels among column names."""
+    import re
+
+    return sorted({m[1] for n in names if (m := re.match(PATTERN, n)) and m[1]})
+
+
+def target_groups(names: list[str]) -> dict[str, list[str]]:
+    """What attacks may aim at, from a frame's column names: each named group's channels, and each node's."""
+    import re
+
+    found = {n: m for n in names if (m := re.match(PATTERN, n))}
+    own = {"frq": [n for n in names if n == "FRQ"]}
+    own["gpus"] = [n for n, m in found.items() if m[3] == "gpu"]
+    own["gpu_watts"] = [n for n, m in found.items() if m[3] == "gpu" and m[6] == "W"]
+    own["gpu_temps"] = [n for n, m in found.items() if m[3] == "gpu" and m[6] == "C"]
+    own["cpus"] = [n for n, m in found.items() if m[3] == "cpu"]
+    own["all"] = own["frq"] + own["gpus"] + own["cpus"]
+    return own | {node: [n for n, m in found.items() if m[1] == node] for node in nodes_of(names)}
+
+
 def target_group(name: Column, group: str) -> Column:
     """Whether a channel is in a named group of attack targets: frq, gpus, gpu_watts, gpu_temps, cpus, all."""
     device, unit = _group(name, 3), _group(name, 6)

@@ -46,6 +46,19 @@ def colour(score: Column) -> Column:
     return F.when(score == 0.0, "green").when(score == 0.5, "yellow").when(score == 1.0, "red").otherwise("grey")
 
 
+#: What a node's tile shows for a label.
+TILES = {"good": ("Normal", "NOM", "#16a34a"), "suspect": ("Warning", "WRN", "#ca8a04"), "warning": ("Alert", "ALR", "#dc2626")}
+
+
+def tile(shown: Column) -> Column:
+    """title, badge and border colour of a label; null for others."""
+    out = None
+    for name, (title, badge, border) in TILES.items():
+        own = F.struct(F.lit(title).alias("title"), F.lit(badge).alias("badge"), F.lit(border).alias("border"))
+        out = F.when(shown == name, own) if out is None else out.when(shown == name, own)
+    return out
+
+
 def seconds(number: Column, clock: Column, other: Column | None = None) -> Column:
     """Seconds from a number, else from HH:MM:SS, else from another column; null where nothing can be read."""
     parts = F.split(clock, ":")

@@ -182,7 +182,7 @@ def perturb(df: DataFrame, keys: list[str], n: int, engine: str, start: float, e
         return drift(df, lo, hi, params["type"], params["max_value"], only=only)
     if engine == "replay":
         first = int(n * params["source_start_pct"])
-        length = int(n * params["source_end_pct"]) - first if "source_end_pct" in params else int(n * 0.05)
+        length = int(n * min(1.0, params.get("source_end_pct", params["source_start_pct"] + 0.05))) - first
         return replay(df, keys, lo, hi, first, max(1, length), only=only)
     return none(df)
 

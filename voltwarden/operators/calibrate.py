@@ -17,12 +17,16 @@ def steps(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     return df.withColumn("step", F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy("idx"))))
 
 
-def thresholds(enf: DataFrame, fpr: float = 0.01, nominal: float = 60.0) -> DataFrame:
-    """tolerance, suspect, trusted, baseline from rows of frq and confidence (the first of a run has none)."""
+def thresholds(enf: DataFrame, fpr: float = 0.01, nominal: float = 60.0, exact: bool = True) -> DataFrame:
+    """tolerance, suspect, trusted, baseline from rows of frq and confidence (the first of a run has none).
+
+    Exact percentiles hold every distinct value; with exact=False a sketch of bounded size gives them to 1 in 10,000.
+    """
+    at = lambda value, p: F.percentile(value, F.lit(p)) if exact else F.percentile_approx(value, p, 10000)
     return enf.agg(
-        (F.percentile(F.abs(F.col("frq") - nominal), F.lit(1 - fpr)) * 1.1).alias("tolerance"),
-        F.percentile("confidence", F.lit(fpr)).alias("suspect"),
-        F.percentile("confidence", F.lit(0.5)).alias("trusted"),
+        (at(F.abs(F.col("frq") - nominal), 1 - fpr) * 1.1).alias("tolerance"),
+        at(F.col("confidence"), fpr).alias("suspect"),
+        at(F.col("confidence"), 0.5).alias("trusted"),
         (1 - F.avg("confidence")).alias("baseline"),
     )
 
@@ -35,12 +39,29 @@ def false_positives(df: DataFrame, value: Column, cuts: list[float], below: bool
     return row.select(F.explode(pairs).alias("x"), "total").select("x.cut", "x.hits", "total")
 
 
+def diagnosis(parts: DataFrame) -> DataFrame:
+    """run_id?, repeated, jumps, ratio, stuck, shifted, noisy: what stretch() says about the window.
+
+    stuck: one value makes up over a tenth of it; shifted: one to three steps over 1 Hz inside it; noisy: its standard
+    deviation is over three times the baseline's (endless where that is 0).
+    """
+    keys = [c for c in ["run_id"] if c in parts.columns]
+    of = lambda c, part: F.max(F.when(F.col("part") == part, F.col(c)))
+    both = parts.groupBy(*keys).agg(of("modal_share", "window").alias("repeated"), of("inner_jumps", "window").alias("jumps"), of("std", "window").alias("__w"), of("std", "baseline").alias("__b"))
+    ratio = F.when(F.col("__b") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.col("__w"), F.col("__b")))
+    out = both.where("repeated IS NOT NULL AND __b IS NOT NULL").withColumn("ratio", ratio)
+    return out.select(*keys, "repeated", "jumps", "ratio", (F.col("repeated") > 0.10).alias("stuck"), F.col("jumps").between(1, 3).alias("shifted"), (F.col("ratio") > 3).alias("noisy"))
+
+
 def stretch(enf: DataFrame, start: int, end: int) -> DataFrame:
-    """part (baseline, window), n, mean, std, low, high, largest_step, jumps (steps over 1 Hz), modal value and its share; with run_id, of each run."""
+    """part (baseline, window), n, mean, std, low, high, largest_step, jumps (steps over 1 Hz), modal value and its share; with run_id, of each run.
+
+    jumps counts the step into a part as well, inner_jumps only those within it.
+    """
     keys = [c for c in ["run_id"] if c in enf.columns]
     rows = steps(enf.withColumn("value", F.col("frq")).withColumn("one", F.lit(1)), [*keys, "one"])
     rows = rows.withColumn("part", F.when(F.col("idx").between(start, end), "window").otherwise("baseline"))
-    base = rows.groupBy(*keys, "part").agg(F.count("*").alias("n"), F.avg("frq").alias("mean"), F.stddev_samp("frq").alias("std"), F.min("frq").alias("low"), F.max("frq").alias("high"), F.max("step").alias("largest_step"), F.count_if(F.col("step") > 1).alias("jumps"))
+    base = rows.groupBy(*keys, "part").agg(F.count("*").alias("n"), F.avg("frq").alias("mean"), F.stddev_samp("frq").alias("std"), F.min("frq").alias("low"), F.max("frq").alias("high"), F.max("step").alias("largest_step"), F.count_if(F.col("step") > 1).alias("jumps"), F.count_if((F.col("step") > 1) & (F.col("idx") != start) & (F.col("idx") != end + 1)).alias("inner_jumps"))
     modal = rows.groupBy(*keys, "part", F.round("frq", 4).alias("v")).agg(F.count("*").alias("c")).groupBy(*keys, "part").agg(F.max(F.struct("c", F.negative("v"))).alias("m"))
     both = base.join(modal, [*keys, "part"])
     return both.select(*base.columns, F.negative("m.col2").alias("modal"), (F.col("m.c") / F.col("n")).alias("modal_share"))

@@ -170,6 +170,11 @@ def interpolated(df: DataFrame, flag: str = "flagged") -> DataFrame:
     return both.withColumn("clean", F.when(~F.col(flag), F.col("frq")).otherwise(F.coalesce(line, F.col("__l.frq"), F.col("__r.frq"), F.col("frq")))).drop("__l", "__r")
 
 
+def cleaned(df: DataFrame, radius: int = 11, sigmas: float = 2.0, physical: tuple[float, float] = (0.0, 100.0)) -> DataFrame:
+    """df with frq cleaned and flagged: values outside the physical range and outliers, replaced on the line between good ones."""
+    return interpolated(hampel(df, radius, sigmas, physical=physical)).withColumn("frq", F.col("clean")).drop("clean")
+
+
 def butterworth(order: int, cutoff: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Second-order sections of a low-pass, by the bilinear transform; cutoff as a share of the sampling rate."""
     k = np.tan(np.pi * cutoff)

@@ -91,6 +91,48 @@ def incidents(episode: DataFrame, gap: float, keys: list[str]) -> DataFrame:
     ).drop("__group") if own or "severity" in keys else marked
 
 
+def latest_first(incident: DataFrame) -> DataFrame:
+    """Incidents as they are listed: the latest end first, ties by start."""
+    return incident.orderBy(F.col("end_ts").desc(), F.col("start_ts").desc())
+
+
+def requested(nodes: DataFrame, ids: list[str] | None = None, count: int | None = None) -> DataFrame:
+    """node_id, found: the nodes asked for, in order; ids that are not there have found = false. Without ids, the first `count`; without either, all."""
+    have = nodes.select("node_id").distinct()
+    if ids:
+        wanted = nodes.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], "node_id string")
+        return wanted.join(have.withColumn("found", F.lit(True)), "node_id", "left").withColumn("found", F.coalesce("found", F.lit(False))).orderBy("node_id")
+    out = have.withColumn("found", F.lit(True)).orderBy("node_id")
+    return out.limit(count) if count else out
+
+
+def by_sample(results: DataFrame) -> DataFrame:
+    """sample, records: the results (timestamp, component_id, status, score, reason) of each sample, whose index is the whole part of the time."""
+    record = F.struct("component_id", "status", "score", "reason")
+    return results.groupBy(F.col("timestamp").cast("long").alias("sample")).agg(F.array_sort(F.collect_list(record)).alias("records"))
+
+
+def verified_samples(samples: DataFrame, results: DataFrame) -> DataFrame:
+    """sample, node_id, label, score, reasons: the worst of a sample's results that concern a node, or all where node_id is null.
+
+    A component concerns a node where, behind a run's name and a slash, it is ENF or begins with the node's id. Failed is
+    warning, suspect is suspect, else good; a sample without results is --. The score is the lowest of the worst results
+    (1 at most where all are good), the reasons are those of results that are not trusted, in order of their components.
+    """
+    part = F.element_at(F.split("component_id", "/", 2), -1)
+    rows = results.select(F.col("timestamp").cast("long").alias("sample"), "component_id", part.alias("part"), "status", F.col("score").alias("s"), "reason")
+    near = F.col("node_id").isNull() | (F.col("part") == "ENF") | F.startswith("part", F.concat("node_id", F.lit("_")))
+    rank = F.when(F.col("status") == "failed", 2).when(F.col("status") == "suspect", 1).otherwise(0)
+    both = samples.select("sample", "node_id").join(rows, "sample").where(near).withColumn("rank", rank)
+    told = F.when(F.col("rank") > 0, F.struct("part", "reason"))
+    worst = both.groupBy("sample", "node_id").agg(F.max("rank").alias("rank"), F.min(F.struct(F.negative("rank").alias("r"), "s"))["s"].alias("lowest"), F.array_sort(F.collect_list(told)).alias("reasons"))
+    same = samples["sample"].eqNullSafe(F.col("w_sample")) & samples["node_id"].eqNullSafe(F.col("w_node"))
+    out = samples.join(worst.withColumnsRenamed({"sample": "w_sample", "node_id": "w_node"}), same, "left")
+    label = F.when(F.col("rank") == 2, "warning").when(F.col("rank") == 1, "suspect").when(F.col("rank") == 0, "good").otherwise("--")
+    score = F.round(F.when(F.col("rank") == 0, F.least("lowest", F.lit(1.0))).otherwise(F.col("lowest")), 4)
+    return out.select("sample", "node_id", label.alias("label"), score.alias("score"), F.coalesce("reasons", F.array().cast("array<struct<part:string,reason:string>>")).alias("reasons"))
+
+
 def alert_stats(polls: DataFrame) -> DataFrame:
     """node_id, alerts, last_ts, last_severity of polls that aren't good."""
     bad = F.col("severity") > 0
@@ -118,10 +160,10 @@ def sticky(df: DataFrame, keys: list[str], value: str, order: str = "idx") -> Da
 
 def recent(df: DataFrame, keys: list[str], seconds: float, order: str = "ts") -> DataFrame:
     """Rows of the last `seconds` of each key; a key with none there keeps all."""
-    end = F.max(order).over(Window.partitionBy())
-    marked = df.withColumn("__in", F.col(order) >= end - seconds)
-    some = F.max("__in").over(Window.partitionBy(*keys))
-    return marked.withColumn("__some", some).where(F.col("__in") | ~F.col("__some")).drop("__in", "__some")
+    last = df.groupBy(*keys).agg(F.max(order).alias("__last"))
+    least = df.agg((F.max(order) - seconds).alias("__least"))
+    both = df.join(last, keys).crossJoin(F.broadcast(least))  # one row
+    return both.where((F.col(order) >= F.col("__least")) | (F.col("__last") < F.col("__least"))).select(*df.columns)
 
 
 def latest_state(states: DataFrame) -> DataFrame:
@@ -130,8 +172,8 @@ def latest_state(states: DataFrame) -> DataFrame:
 
 
 def facility_entry(frames: DataFrame) -> DataFrame:
-    """A row a frame for the facility itself, beside those of the nodes: idx, node_id ENF, frq."""
-    return frames.groupBy("idx").agg(F.first("frq", ignorenulls=True).alias("frq")).withColumn("node_id", F.lit("ENF"))
+    """A row a frame for the facility itself, beside those of the nodes: idx, node_id ENF, frq (a frame's nodes share it; the least counts)."""
+    return frames.groupBy("idx").agg(F.min("frq").alias("frq")).withColumn("node_id", F.lit("ENF"))
 
 
 def header(frames: DataFrame) -> DataFrame:

@@ -55,14 +55,22 @@ def node_results(long: DataFrame, cfg: Nlr | None = None) -> DataFrame:
 
 
 def enf_results(series: DataFrame, cfg: Enf | None = None, alternative: bool = False) -> DataFrame:
-    """run_id, idx, status_rank, codes, confidence: a row a frame. series: run_id, idx, frq, and alt if there is another stream."""
+    """run_id, idx, status_rank, codes, confidence: a row a frame. series: run_id, idx, frq, and alt if there is another stream.
+
+    With ts, idx is the order in which frames arrived, and a time that was accepted before, or is not later than all
+    accepted, fails the frame.
+    """
     cfg = cfg or Enf()
+    guarded = E.sequence_guard(series, "idx", "ts") if "ts" in series.columns else series.withColumn("code", F.lit("ok"))
+    series = guarded.withColumnRenamed("code", "sequence")
     a = E.anchors(series, cfg.anchor_radius, cfg.nominal_hz)
     a = E.raw_drift(a, cfg.raw_drift_window, cfg.raw_drift_hz)
     a = E.alternative(a, cfg.alt_window, cfg.alt_threshold, cfg.alt_min_variance, cfg.nominal_hz) if alternative else a.withColumn("mismatch", F.lit(False))
     a = E.local_cusum(a, cfg.cusum_baseline, cfg.local_threshold, cfg.local_window, cfg.suspect, cfg.local_recovery)
     a = E.drift_cusum(a, cfg.cusum_baseline, cfg.cusum_threshold, cfg.warmup, cfg.cusum_history)
     checks = [
+        ("REPLAY", F.col("sequence") == "REPLAY"),
+        ("OUT OF ORDER", F.col("sequence") == "OUT OF ORDER"),
         ("OUT OF NOMINAL RANGE", F.abs(F.col("frq") - cfg.nominal_hz) > cfg.tolerance_hz),
         ("RAW VALUE TREND", F.col("drifting")),
         ("CORRELATION MISMATCH", F.col("mismatch")),

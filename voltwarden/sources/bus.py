@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.status import colour, label
+
 RECORDS = {
     "StateVariable": "name string, value double, unit string, source_object string, timestamp double, workload_class string",
     "PowerSample": "timestamp double, node_id string, power_w double, workload_class string",
@@ -62,11 +64,91 @@ def write_by_node(long: DataFrame, path: str) -> None:
     long.write.mode("overwrite").partitionBy("node_id").json(path)
 
 
-def append_history(df: DataFrame, path: str) -> None:
-    """Metrics rows: ratios with 6 places, mean time to detection with 3, blank where there is none."""
-    ratios = [c for c in ("precision", "recall", "f1", "fpr") if c in df.columns]
-    rounded = df.withColumns({c: F.bround(c, 6) for c in ratios} | ({"mean_ttd": F.bround("mean_ttd", 3)} if "mean_ttd" in df.columns else {}))
-    rounded.coalesce(1).write.mode("append").option("header", True).csv(path)
+def split_by_node(long: DataFrame, enf: DataFrame, folder: str) -> DataFrame:
+    """Frames of each node in a folder of its own, node00, node01... in order of the ids, and node_id, short_id, frames.
+
+    long: idx, node_id, channel, value; enf: idx, frq. A line holds index, FRQ and the node's channels that the frame has.
+    """
+    from ..operators.views import normal_ids
+
+    ids = normal_ids(long).persist()
+    rows = long.join(F.broadcast(ids), "node_id").join(enf, "idx")  # a row a node
+    wide = rows.groupBy(F.col("idx").alias("index"), F.col("frq").alias("FRQ"), "short_id").pivot("channel").agg(F.first("value"))
+    wide.write.mode("overwrite").partitionBy("short_id").json(folder)
+    return long.groupBy("node_id").agg(F.count_distinct("idx").alias("frames")).join(ids, "node_id").select("node_id", "short_id", "frames")
+
+
+def write_attack_pair(attacked: DataFrame, folder: str, name: str) -> None:
+    """An attack's frames (idx, node_id, channel, value, label; FRQ without a node) as `name`, and with labels as `name`_check.
+
+    Labels are integers: attack for the frame, ENF_attack, and one a node.
+    """
+    from ..operators.attacks import layer_labels
+
+    named = attacked.withColumn("name", F.concat_ws("_", "node_id", "channel"))
+    plain = named.groupBy(F.col("idx").alias("index")).pivot("name").agg(F.first("value"))
+    layer = F.when(F.col("layer") == "Global", "attack").otherwise(F.concat("layer", F.lit("_attack")))
+    layers = layer_labels(attacked).withColumn("name", layer)
+    labels = layers.groupBy(F.col("idx").alias("index")).pivot("name").agg(F.max("truth").cast("int"))
+    write_frames(plain, f"{folder}/{name}.jsonl")
+    write_frames(plain.join(labels, "index"), f"{folder}/{name}_check.jsonl")
+
+
+#: The columns of the history of detections.
+HISTORY = (
+    "timestamp string, scenario_id string, difficulty string, layer string, strict_tp long, strict_fp long, strict_tn long, strict_fn long, "
+    "strict_precision double, strict_recall double, strict_f1 double, strict_fpr double, lenient_tp long, lenient_fp long, lenient_tn long, lenient_fn long, "
+    "lenient_precision double, lenient_recall double, lenient_f1 double, lenient_fpr double, strict_avg_ttd double, lenient_avg_ttd double, truth_file string, detector_file string"
+)
+
+
+def history_rows(layers: DataFrame, scenario: str, difficulty: str, truth_file: str, detector_file: str, at: str) -> DataFrame:
+    """HISTORY, a row a layer, of idx, layer, truth, score as scoring.by_layer() gives them.
+
+    Strict counts failed frames as detections, lenient suspect ones too. Ratios have 6 places, mean times to detection 3,
+    null where nothing was detected.
+    """
+    from ..operators import scoring
+
+    out = None
+    for name, least in (("strict", 1.0), ("lenient", 0.5)):
+        hit = F.col("score") >= least
+        own = scoring.confusion(layers, ["layer"], F.col("truth") == 1, hit)
+        times = scoring.time_to_detection(layers, ["layer"], F.col("truth") == 1, hit).groupBy("layer").agg(F.bround(F.avg("ttd"), 3).alias(f"{name}_avg_ttd"))
+        ratios = [F.bround(c, 6).alias(f"{name}_{c}") for c in ("precision", "recall", "f1", "fpr")]
+        own = own.select("layer", *[F.col(c).alias(f"{name}_{c}") for c in ("tp", "fp", "tn", "fn")], *ratios).join(times, "layer", "left")
+        out = own if out is None else out.join(own, "layer")
+    said = {"timestamp": at, "scenario_id": scenario, "difficulty": difficulty, "truth_file": truth_file, "detector_file": detector_file}
+    out = out.withColumns({k: F.lit(v) for k, v in said.items()})
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(HISTORY).fields])
+
+
+def append_history(rows: DataFrame, path: str) -> None:
+    """Appends rows of HISTORY to CSV files; what is null is blank."""
+    rows.select(*[f.name for f in T._parse_datatype_string(HISTORY).fields]).coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(HISTORY).option("header", True).csv(path)
+
+
+RACK_HISTORY = "rack_id string, sample_index long, captured_at double, frq_hz double, total_power_w double, average_gpu_temp_c double, status string"
+
+
+def append_rack_history(rows: DataFrame, path: str) -> None:
+    """Appends samples of racks; a status that is null is --. rack_id and captured_at must be there."""
+    for c in ("rack_id", "captured_at"):
+        rows = rows.withColumn(c, F.coalesce(F.col(c), F.raise_error(F.lit(f"{c} is missing"))))
+    own = [F.coalesce("status", F.lit("--")).alias("status") if f.name == "status" else F.col(f.name).cast(f.dataType) for f in T._parse_datatype_string(RACK_HISTORY).fields]
+    rows.select(*own).write.mode("append").parquet(path)
+
+
+def rack_history(spark: SparkSession, path: str, rack_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """The samples, the newest first, of one rack and so many if asked for."""
+    rows = spark.read.schema(RACK_HISTORY).parquet(path)
+    rows = rows if rack_id is None else rows.where(F.col("rack_id") == rack_id)
+    rows = rows.orderBy(F.col("captured_at").desc(), F.col("sample_index").desc())
+    return rows if limit is None else rows.limit(limit)
 
 
 def twin_records(frames: DataFrame) -> DataFrame:
@@ -76,6 +158,21 @@ def twin_records(frames: DataFrame) -> DataFrame:
     return frames.where("kind IN ('gpu_power', 'gpu_temp', 'cpu_power')").select(device.alias("object"), prop.alias("property"), "value", (F.col("idx") * 2.0).alias("ts"))
 
 
+def playback(long: DataFrame, enf: DataFrame, scores: DataFrame, grid: str = "grid_anchor") -> DataFrame:
+    """object, property, value, ts, label, colour: what a playback writes to the twin for each frame.
+
+    long: idx, node_id, channel, kind, is_core, value; enf: idx, frq; scores: idx, node_id (ENF for the grid), score. Every
+    device of a node has the node's label and colour; without a score there is none.
+    """
+    device = F.concat_ws("_", "node_id", F.regexp_replace("channel", r"(-core)?\[.*$", ""))
+    prop = F.when(F.col("kind") == "gpu_temp", "temp_c").when(F.col("is_core"), "core_power_w").otherwise("power_draw_w")
+    parts = long.where("kind IN ('gpu_power', 'gpu_temp', 'cpu_power')").select("idx", "node_id", device.alias("object"), prop.alias("property"), "value")
+    parts = parts.unionByName(enf.select("idx", F.lit("ENF").alias("node_id"), F.lit(grid).alias("object"), F.lit("grid_frequency_hz").alias("property"), F.col("frq").alias("value")))
+    both, s = parts.join(scores, ["idx", "node_id"], "left"), F.col("score")
+    shown = lambda f: F.when(s.isNotNull(), f(s))
+    return both.select("object", "property", "value", (F.col("idx") * 2.0).alias("ts"), shown(label).alias("label"), shown(colour).alias("colour"))
+
+
 def placeholder_twin(spark: SparkSession, racks: int = 6) -> DataFrame:
     """object, property, value of a twin without data: racks, power distribution, cooling."""
     rows = [(f"rack_{i:02d}", p, v) for i in range(racks) for p, v in (("power_w", 120.0), ("temp_c", 22.0), ("load_pct", 0.0))]

@@ -13,11 +13,11 @@ TIME = "yyyy-MM-dd_HH:mm:ss.SSSSSS"
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, line_no, line of text files in file order.
 
-    A file is read as one row and split, since rows of a split text file have no order; the files here are small (an
-    hour's readings), and there are many of them.
+    Files of any size are read in parts: a line's place is the offset of its part and its place in that.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return whole.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("line_no", "line"))
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("part", "nth")) - 1
+    return rows.select("path", place.alias("line_no"), F.col("value").alias("line"))
 
 
 def frequency(spark: SparkSession, path: str, keep_unparsable: bool = False) -> DataFrame:
@@ -111,6 +111,13 @@ def pair_logs(catalog: DataFrame) -> list[tuple[str, str, str]]:
     return [(r.node_id, r.nvml, r.rapl) for r in rows]
 
 
+def orphans(catalog: DataFrame) -> DataFrame:
+    """node_id, problem of logs without their partner."""
+    by_node = catalog.groupBy("node_id").agg(F.bool_or(F.col("source") == "nvml").alias("n"), F.bool_or(F.col("source") == "rapl").alias("r"))
+    problem = F.when(F.col("n") & ~F.col("r"), "NVML without RAPL").when(F.col("r") & ~F.col("n"), "RAPL without NVML")
+    return by_node.select("node_id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def slurm_ids(catalog: DataFrame) -> DataFrame:
     return catalog.select("slurm_id").where("slurm_id IS NOT NULL").distinct().orderBy("slurm_id")
 

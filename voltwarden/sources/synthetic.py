@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BASE = {"idle": 80.0, "training": 320.0, "inference": 180.0, "mixed": 240.0}
+#: The lowest and highest watts of each class of workload.
+ENVELOPE = {"idle": (90.0, 130.0), "llm_inference": (250.0, 600.0), "llm_training": (650.0, 780.0), "image_generation": (300.0, 550.0)}
 
 
 def power(spark: SparkSession, workload: str, node_id: str = "node_00", seconds: int = 120, hz: int = 5, seed: int = 0) -> DataFrame:
-    """timestamp, node_id, power_w, workload_class: an envelope with Gaussian noise."""
+    """timestamp, node_id, power_w, workload_class: the class's shape with Gaussian noise of 8 W, never below 0.
+
+    Training stays within 60 W below the envelope's top, in slow waves; inference is at its bottom with bursts to its top
+    (18 in 100 samples); image generation sweeps over all of it; idle is up to 10 W over its bottom.
+    """
     t = F.col("id") / float(hz)
-    wave = F.sin(t * 0.2) * 0.1 + (F.sin(t * 1.7) * 0.15 if workload == "inference" else F.lit(0.0))
-    watts = F.greatest(F.lit(0.0), BASE[workload] * (1 + wave) + F.randn(seed) * 4)
+    low, high = ENVELOPE[workload]
+    shape = {
+        "llm_training": high - 30 + 30 * F.sin(t / 8),
+        "llm_inference": F.when(F.rand(seed + 1) < 0.18, high).otherwise(low),
+        "image_generation": low + (high - low) * (0.5 + 0.5 * F.sin(t / 3)),
+        "idle": low + 10 * F.rand(seed + 1),
+    }[workload]
+    watts = F.greatest(F.lit(0.0), shape + F.randn(seed) * 8)
     return spark.range(0, seconds * hz, 1, 1).select(t.alias("timestamp"), F.lit(node_id).alias("node_id"), watts.alias("power_w"), F.lit(workload).alias("workload_class"))
 
 
