@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from voltwarden.llm import jaccard
+from voltwarden.llm import common, jaccard
 from voltwarden.llm.shingles import shingle_set
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,3 +116,45 @@ def test_star_round_a_set_in_one_word(spark):
     rows = list(enumerate([first, *more]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df).collect()} == brute(rows)
+
+
+def test_texts_that_share_most_of_a_passage(spark, monkeypatch):
+    """Hundreds of texts over one long passage, too unlike to be linked, with some linked ones among them: the last step finds
+    the links, and where less than 0.8 of the sets is common it makes no pair of the others."""
+    monkeypatch.setattr(jaccard, "SPARE", 0)
+    seen = []
+    plain = jaccard.shingle_pairs
+    monkeypatch.setattr(jaccard, "shingle_pairs", lambda *a: seen.append(common.written(plain(*a), "seen", keep=True)) or seen[-1])
+    for shared, alone in ((75, 25), (85, 15), (93, 7)):
+        rng = random.Random(shared)
+        passage = [f"p{i}" for i in range(shared)]
+        rows = []
+        for i in range(240):
+            own = [f"u{i}x{j}" for j in range(alone)]
+            rows.append((i, " ".join(passage + own if i % 2 else own + passage)))
+        for i in range(240, 260):  # near copies of some of them
+            words = rows[(i * 7) % 240][1].split()
+            words[rng.randrange(100)] = f"z{i}"
+            rows.append((i, " ".join(words)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        seen.clear()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df).collect()} == brute(rows)
+        if shared == 75:
+            assert not seen or seen[0].count() < 260
+
+
+def test_last_step_by_itself(spark):
+    """Over classes that are all left over, candidates of the last step hold every link between components."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(80)]
+    texts = [" ".join(passage[: rng.randint(60, 80)] + [f"u{rng.randrange(40)}" for _ in range(rng.randint(2, 25))]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rule = jaccard.Rule()
+    docs = jaccard.describe(df, 5, rule).toPandas()
+    firsts = docs.dropna(subset=["sketch"]).drop_duplicates("cid")
+    classes = spark.createDataFrame([(int(r.cid), int(r.doc_id), int(r.n), r.sketch) for r in firsts.itertuples()], "cid long, rep long, n long, sketch binary")
+    short = classes.select("cid", classes["cid"].alias("label"))
+    got = {(r.a, r.b) for r in jaccard.shingle_pairs(short, df, classes, 5, rule).collect()}
+    sets = {int(r.cid): plain_set(texts[int(r.doc_id)]) for r in firsts.itertuples()}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * (o := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - o)}
+    assert links and links <= got

@@ -14,7 +14,9 @@ Words that few classes share give all their pairs. Words that many share (large
 give each class a link to one of them only; once those links and all others are verified and joined into components,
 such a word matters only if classes of different components share it. For these, the same counting argument is made
 again: a class whose agreeing words can't all be among its common ones needs none of them. Classes for which it fails are
-compared with each other, in full. So no link between classes is lost, and no group's pairs are listed.
+joined once more, at the finest grain: each shingle is a word by itself, common ones last, and a set of n has those of its
+first n - 0.8 n + 1, of which linked sets share one. Only sets of which at least 0.8 is common still have a common shingle
+among these; they are compared in blocks. So no link between classes is lost, and no group's pairs are listed.
 
 Candidates are dropped when their bit sketches differ in too many bits, and verified on their shingles.
 """
@@ -27,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,9 +38,10 @@ from .shingles import WORDS, class_id, mix, shingle_set
 
 #: Classes that may share a word and still give all their pairs; words held by a task before it hands them on; words a
 #: part of the join, about; bits of the filter of ids that verification reads texts by; words beyond those that may
-#: differ, in percent of these, so that a class can do without some that are empty or common; classes of a common word
-#: that are compared as a block; common words of a class that its block knows.
-PAIRS, HELD, PART, FILTER_BITS, SPARE, BLOCK, OWNERS = 12, 1 << 20, 1 << 19, 1 << 23, 15, 1024, 8
+#: differ, in percent of these, so that a class can do without some that are empty or common; classes of a common shingle
+#: that are compared as a block; common shingles of a class that its block knows; parts that the rows of a common shingle
+#: are joined in.
+PAIRS, HELD, PART, FILTER_BITS, SPARE, BLOCK, OWNERS, SALTS = 12, 1 << 20, 1 << 19, 1 << 23, 15, 1024, 8, 16
 _U = np.uint64
 
 
@@ -298,9 +301,8 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out).astype(bool)
 
 
-def verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, size: int, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of a written table that are linked, by their sets: only texts of the classes in question are taken apart again."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+def sets_of(wanted: DataFrame, df: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """cid, own: the shingles of the classes wanted (cid, distinct), one row a class; only their texts are taken apart again."""
     chosen = common.written(wanted.join(classes.select("cid", "rep"), "cid"), "chosen")
     there = np.packbits(id_filter(chosen.where("rep IS NOT NULL").select("rep")))
     schema = pa.schema([("cid", pa.int64()), ("own", pa.binary())])
@@ -321,7 +323,13 @@ def verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, size: int, rul
             yield common.arrow_rows(schema, rows)
 
     # one row a class: its copies in other tasks have the same set
-    found = df.mapInArrow(run, "cid long, own binary").join(chosen.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    return df.mapInArrow(run, "cid long, own binary").join(chosen.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+
+
+def verified(pairs: DataFrame, df: DataFrame, classes: DataFrame, size: int, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of a written table that are linked, by their sets."""
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    found = sets_of(wanted, df, classes, size)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in common.slices(batches):
@@ -360,7 +368,8 @@ def components(df: DataFrame, size: int = WORDS, percent: int = 80, doc_id: str
     docs = common.written(describe(given, size, rule), "sets")
     classes = docs.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("sketch").alias("sketch"), F.max("empty").alias("empty"))
     classes = common.written(classes, "classes")
-    labels = component_labels(given, classes, size, rule)
+    with common.scope(spark):  # what the rounds leave is not needed after them
+        labels = common.written(component_labels(given, classes, size, rule), "labels", keep=True)
     named = classes.select("cid", "rep").join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_class = named.select("cid", "label").join(lowest, "label").select(F.col("cid").alias("c"), "component_id")
@@ -385,39 +394,75 @@ def component_labels(given: DataFrame, classes: DataFrame, size: int, rule: Rule
     more = verified(left, given, classes, size, rule)
     links = links.unionByName(more)
     labels = connected(links)
-    rest = common.written(common_word_pairs(found.where("hot").select("a", "b", "band"), classes, labels, rule), "rest")
-    if rest.limit(1).count():
+    short = common.written(left_over(found.where("hot").select("a", "b", "band"), classes, labels, rule), "short")
+    if short.limit(1).count():
+        rest = common.written(shingle_pairs(short, given, classes, size, rule), "rest")
         rest = common.written(near(rest, classes, rule), "near")
         links = links.unionByName(verified(rest, given, classes, size, rule))
         labels = connected(links)
     return labels
 
 
-def common_word_pairs(hot: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """a, b: the pairs that only common words could show, still in different components.
+def left_over(hot: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+    """cid, label of the classes that only common words could show links of, to classes of other components.
 
     hot: (word a, class b, band). A word within one component is done. Of the others, a class needs none in a band where
-    the words that must agree outnumber its empty ones and these.
+    the words that must agree outnumber its empty ones and these. Two linked classes that are not yet in one component
+    are both left over.
     """
     spark = hot.sparkSession
     known = hot.select(F.col("a").alias("word"), F.col("b").alias("cid"), "band").distinct().join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     mixed = known.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("word")
-    open_ = common.written(known.join(mixed, "word"), "open")
-    few = open_.groupBy("cid", "band").agg(F.count("*").alias("common"), F.slice(F.array_sort(F.collect_list("word")), 1, OWNERS).alias("words_of")).join(classes.select("cid", "n", "empty"), "cid")
+    few = salted(known, mixed, "word").groupBy("cid", "band", "label").agg(F.count("*").alias("common")).join(classes.select("cid", "n", "empty"), "cid")
     # a fixed table: some hundred bands
     bands = spark.createDataFrame([(b, rule.words(b), int(BANDS[b]), int(BANDS[b - 1]) if b else 0) for b in range(len(BANDS))], "band int, words long, most long, below long")
     own = F.element_at("empty", F.when(F.col("n") > F.col("below"), 1).otherwise(2))
     differing = F.expr(f"({100 - rule.percent} * (n + least(most, n * 100 div {rule.percent}))) div {100 + rule.percent}")
-    short = few.join(F.broadcast(bands), "band").where(F.col("words") - differing <= F.col("common") + own)
-    needed = open_.join(short.select("cid", "band", "words_of"), ["cid", "band"]).join(classes.select("cid", "n", "sketch"), "cid")
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("word")) / BLOCK)
-    needed = needed.withColumn("blocks", blocks.cast("int")).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    # each block of a word's classes meets each: a row goes to as many groups as its word has blocks
+    return few.join(F.broadcast(bands), "band").where(F.col("words") - differing <= F.col("common") + own).select("cid", "label").distinct()
+
+
+def salted(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows (with cid) joined to the table of common keys, the rows of a key in SALTS parts."""
+    each = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(each, [key, "salt"], how).drop("salt")
+
+
+def shingle_pairs(short: DataFrame, given: DataFrame, classes: DataFrame, size: int, rule: Rule) -> DataFrame:
+    """a, b: candidates among the classes left over (cid, label), of different components, by the shingles themselves.
+
+    A set's shingles are ordered, common ones last. Linked sets of n and m share 0.8 n and 0.8 m at least, so they share
+    one of the first n - 0.8 n + 1 and m - 0.8 m + 1 (rounded for the worse).
+    """
+    sets = sets_of(short.select("cid"), given, classes, size)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            own = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            cid = np.repeat(b.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.concatenate(own))], ["cid", "word"])
+
+    words = common.written(sets.mapInArrow(each, "cid long, word long"), "shingles")
+    hot = words.groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") > PAIRS).select("word", F.lit(1).alias("hot"))
+    hot = common.written(hot, "hot")
+    ordered = salted(words, hot, "word", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    first = F.size("all") - F.expr(f"({rule.percent} * size(all) + 99) div 100") + 1
+    prefix = ordered.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("hot", "word"))).alias("all")).withColumn("first", F.slice("all", F.lit(1), first.cast("int")))
+    prefix = common.written(prefix.select("cid", "first").join(short, "cid").join(classes.select("cid", "n", "sketch"), "cid"), "prefix")
+    # shingles of few classes: all their pairs
+    rare = prefix.select("cid", "label", F.explode(F.filter("first", lambda x: x["hot"] == 0)).alias("x")).groupBy("x.word").agg(F.array_sort(F.collect_list(F.struct("cid", "label"))).alias("g")).where(F.size("g") > 1)
+    pairs = rare.select(F.explode(F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: (y["cid"] > x["cid"]) & (y["label"] != x["label"])), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b")))))).alias("p")).select("p.a", "p.b")
+    # common ones: in blocks, each of a shingle's with each; counts come from partial sums, so nothing is gathered
+    common_ones = F.transform(F.filter("first", lambda x: x["hot"] == 1), lambda x: x["word"])
+    needed = prefix.withColumn("words_of", F.slice(common_ones, 1, OWNERS)).select("cid", "label", "n", "sketch", "words_of", F.explode(common_ones).alias("word"))
+    needed = common.written(needed, "needed")
+    counts = needed.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("word", "blocks")
+    needed = salted(needed, counts, "word").withColumn("i", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int"))
+    # each block of a shingle's classes meets each: a row goes to as many groups as its shingle has blocks
     needed = needed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     needed = needed.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    each = needed.select("word", "lo", "hi", "cid", "label", "n", "sketch", "words_of", F.pmod(F.xxhash64("word", "lo", "hi"), F.lit(16 * parts)).alias("part"))
-    return each.groupBy("part").applyInPandas(lambda rows: block_pairs(rows, rule), "a long, b long").distinct()
+    parts = int(given.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = needed.select("word", "lo", "hi", "cid", "label", "n", "sketch", "words_of", F.pmod(F.xxhash64("word", "lo", "hi"), F.lit(16 * parts)).alias("part"))
+    return pairs.unionByName(blocks.groupBy("part").applyInPandas(lambda rows: block_pairs(rows, rule), "a long, b long")).distinct()
 
 
 def block_pairs(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
@@ -441,7 +486,8 @@ def block_pairs(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
             some = slice(at, at + chunk)
             far = np.bitwise_count(folded[some, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
             both = n[some, None] + n[None, :]
-            ok = (far <= (100 - rule.percent) * both // (100 + rule.percent)) & (label[some, None] != label[None, :]) & (cid[some, None] < cid[None, :])
+            alike = 100 * np.minimum(n[some, None], n[None, :]) >= rule.percent * np.maximum(n[some, None], n[None, :])
+            ok = alike & (far <= (100 - rule.percent) * both // (100 + rule.percent)) & (label[some, None] != label[None, :]) & (cid[some, None] < cid[None, :])
             i, j = np.nonzero(ok)
             for k in range(0, len(i), 1 << 16):
                 x, y = at + i[k : k + (1 << 16)], j[k : k + (1 << 16)]
