@@ -52,7 +52,7 @@ def test_gradient():
             parts[rng.integers(4)] = "#%&! " * 102
         texts.append("".join(parts))
         y.append(1 - i % 2)
-    model = quality.train(texts, np.array(y))
+    model = quality.train([quality.Counts.of(t) for t in texts], np.array(y))
     assert np.mean([(model.score(t) >= 0.5) == bool(k) for t, k in zip(texts, y)]) > 0.97
 
 

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Code points a passage, buckets of trigrams, width of a passage's code, and the most labelled rows learned from.
-PASSAGE, BUCKETS, WIDTH, ROWS = 512, 1 << 13, 16, 3000
+#: Code points a passage, buckets of trigrams, width of a passage's code, and the most labelled rows, and passages of them,
+#: learned from.
+PASSAGE, BUCKETS, WIDTH, ROWS, PASSAGES = 512, 1 << 13, 16, 3000, 60_000
 DENSE = 7
 
 
@@ -70,17 +71,37 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z @ self.out + self.bias, -30, 30))))
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.02, decay: float = 1e-5, seed: int = 11) -> Model:
-    """Fits a model by Adam on the documents' log-likelihood, classes weighted alike."""
-    bags = []
-    for t in texts:
-        h, starts, dense = bag(t)
+@dataclass
+class Counts:
+    """A bag as it is learned from: the distinct buckets of each passage and how often each occurs there."""
+
+    entries: np.ndarray  # distinct buckets by passage
+    sizes: np.ndarray  # trigrams by passage
+    buckets: np.ndarray
+    times: np.ndarray
+    dense: np.ndarray
+
+    @staticmethod
+    def of(text: str | None) -> Counts:
+        h, starts, dense = bag(text)
         sizes = np.diff(np.append(starts, len(h)))
         key, n = np.unique(np.repeat(np.arange(len(starts)), sizes) * BUCKETS + h, return_counts=True)
-        passage = key // BUCKETS
-        bags.append((passage.astype(np.int32), (key % BUCKETS).astype(np.uint16), (n / sizes[passage]).astype(np.float32), dense))
+        entries = np.bincount(key // BUCKETS, minlength=len(starts))
+        return Counts(entries.astype("<i4"), sizes.astype("<i4"), (key % BUCKETS).astype("<u2"), n.astype("<u2"), dense.astype("<f4"))
+
+    def packed(self) -> tuple[bytes, ...]:
+        return tuple(x.tobytes() for x in (self.entries, self.sizes, self.buckets, self.times, self.dense))
+
+    @staticmethod
+    def unpacked(raw: tuple[bytes, ...]) -> Counts:
+        parts = [np.frombuffer(x, t) for x, t in zip(raw, ("<i4", "<i4", "<u2", "<u2", "<f4"))]
+        return Counts(*parts[:4], parts[4].reshape(-1, DENSE))
+
+
+def train(bags: list[Counts], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.02, decay: float = 1e-5, seed: int = 11) -> Model:
+    """Fits a model by Adam on the documents' log-likelihood, classes weighted alike."""
     rng = np.random.default_rng(seed)
-    everything = np.concatenate([b[3] for b in bags])
+    everything = np.concatenate([b.dense for b in bags])
     shift = everything.mean(axis=0)
     p = {"table": np.zeros((BUCKETS, WIDTH)), "dense": rng.normal(0, 0.5, (DENSE, WIDTH)), "v": rng.normal(0, 0.3, (WIDTH, WIDTH)), "u": rng.normal(0, 0.3, (WIDTH, WIDTH)), "w": rng.normal(0, 0.3, WIDTH), "out": rng.normal(0, 0.3, WIDTH), "bias": np.zeros(1)}
     p["table"] += rng.normal(0, 0.3, p["table"].shape)
@@ -92,11 +113,12 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 12, batch:
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            counts = np.array([len(bags[i][3]) for i in own])
+            counts = np.array([len(bags[i].sizes) for i in own])
             base = np.concatenate([[0], np.cumsum(counts)])
-            rows = np.concatenate([bags[i][0] + b for i, b in zip(own, base)])
-            cols, vals = np.concatenate([bags[i][1] for i in own]).astype(np.intp), np.concatenate([bags[i][2] for i in own])
-            dense = np.concatenate([bags[i][3] for i in own]) - shift
+            rows = np.repeat(np.arange(base[-1]), np.concatenate([bags[i].entries for i in own]))
+            cols = np.concatenate([bags[i].buckets for i in own]).astype(np.intp)
+            vals = np.concatenate([bags[i].times for i in own]).astype(np.float32) / np.concatenate([bags[i].sizes for i in own])[rows].astype(np.float32)
+            dense = np.concatenate([bags[i].dense for i in own]) - shift
             first = np.flatnonzero(np.diff(rows, prepend=-1))
             code = np.tanh(np.add.reduceat(p["table"][cols] * vals[:, None], first, axis=0) + dense @ p["dense"])
             t, s = np.tanh(code @ p["v"]), 1 / (1 + np.exp(-(code @ p["u"])))
@@ -132,10 +154,11 @@ def _rest(doc_id: str, fold: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(fold))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality", passages: int = PASSAGES) -> Model:
     """A model from the labelled rows outside the held-out fold.
 
-    `rows` bounds how many of them are learned from, half of each class, chosen by a hash of the id. The bias is moved by
+    `rows` and `passages` bound how many of them, and how many passages of theirs, are learned from, half of each class,
+    chosen by a hash of the id; tasks make the bags, and the driver gets those that it learns from. The bias is moved by
     the classes' shares among all labelled rows, so a score is a probability there. Null labels and labels other than 0
     and 1 don't count; with no labels of one class the model scores all documents alike, by the share of class 1, or 1
     where nothing is labelled.
@@ -150,17 +173,33 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, ro
     some = known.where(F.coalesce(*[F.when(F.col("y") == k, share < min(spread, 1.2 * each / n * spread + 1)) for k, n in counts.items()]))
     # the rows wanted are bounded, so their ids may be broadcast: documents are only filtered
     near = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("l_id"))
-    got = near.select("l_id", "y", "text").collect()
-    picked = []
-    for k in (0, 1):
-        picked += sorted((r for r in got if r.y == k), key=lambda r: (hash_of(r.l_id), r.text or ""))[:each]
-    texts, known_labels = [r.text for r in picked], np.array([r.y for r in picked])
-    del got, picked  # the driver holds the sample once
-    model = train(texts, known_labels)
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            made = [Counts.of(t) for t in b.column(3).to_pylist()]
+            raw = [pa.array(x, pa.binary()) for x in zip(*[m.packed() for m in made])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(m.sizes) for m in made], pa.int64()), *raw], ["row", "l_id", "y", "n", *PARTS])
+
+    made = near.select(F.monotonically_increasing_id().alias("row"), "l_id", "y", "text").mapInArrow(bags, f"row long, l_id long, y int, n long, {', '.join(f'{p} binary' for p in PARTS)}")
+    made = common.written(made, "bags")
+    sizes, picked = made.select("row", "l_id", "y", "n", F.crc32("buckets").alias("tie")).collect(), []
+    for k in (0, 1):  # the first of a class counts whatever its size
+        room = passages // 2
+        for r in sorted((r for r in sizes if r.y == k), key=lambda r: (hash_of(r.l_id), r.tie, r.row))[:each]:
+            room -= r.n
+            if room < 0 and picked and picked[-1].y == k:
+                break
+            picked.append(r)
+    wanted = docs.sparkSession.createDataFrame([(r.row,) for r in picked], "row long")
+    got = {r.row: Counts.unpacked(tuple(bytes(r[p]) for p in PARTS)) for r in made.join(F.broadcast(wanted), "row").toLocalIterator()}
+    model = train([got[r.row] for r in picked], np.array([r.y for r in picked]))
     model.bias += float(np.log(counts[1] / counts[0]))
     return model
 
 
+PARTS = ["entries", "sizes", "buckets", "times", "dense"]
+
+
 def hash_of(x: int | None) -> int:
     return (int(x or 0) * 0x9E3779B97F4A7C15) % (1 << 64)
 
