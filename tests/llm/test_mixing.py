@@ -43,3 +43,16 @@ def test_mix(spark):
     assert out.count() == got.copies.sum() and "copies" not in out.columns
     assert mixing.mix(df.limit(0)).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).first().target == 0
+
+
+def test_many_sources_and_a_long_document(spark, monkeypatch):
+    """Beyond the bound of a broadcast the mix is the same; a document longer than its source's budget doesn't spoil it."""
+    rows = [(i, "w " * (i % 9 + 1), f"s{i % 40}") for i in range(800)] + [(900, "long " * 3000, "s1"), (None, "x y", None), (901, "", "s2"), (901, "", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    plain = mixing.mix(df).toPandas()
+    monkeypatch.setattr(mixing, "FEW", 3)
+    parts = mixing.mix(df).toPandas()
+    key = ["doc_id", "text", "source", "target", "taken"]
+    assert plain[key].sort_values(key).reset_index(drop=True).equals(parts[key].sort_values(key).reset_index(drop=True))
+    for s, own in plain.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= (3000 if s == "s1" else 10)

@@ -36,16 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new path in the shared folder; what stands there goes when the innermost scope() ends, unless it is to be kept."""
+    """A new path in the shared folder; what stands there goes when the innermost scope() ends, or, if it is to be kept, the one around that."""
     path = f"{shared_dir(spark)}/voltwarden/{name}-{uuid.uuid4().hex}"
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    if _scopes[: -1 if keep else None]:
+        _scopes[-2 if keep else -1].append(path)
     return path
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables written inside on leaving; what is to outlive it must be written with keep=True."""
+    """Deletes the tables written inside on leaving; what is written with keep=True goes with the scope around it, or stays."""
     _scopes.append([])
     try:
         yield

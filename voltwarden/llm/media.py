@@ -178,18 +178,25 @@ def _id3v2(raw: bytes, at: int) -> tuple[int, dict[str, str]] | None:
     size = 0
     for b in raw[at + 6 : at + 10]:
         size = size << 7 | b
-    major, end, found, p = raw[at + 3], at + 10 + size + (10 if raw[at + 5] & 16 else 0), {}, at + 10
+    major, flags, found, p = raw[at + 3], raw[at + 5], {}, 0
+    end, tag = at + 10 + size + (10 if flags & 16 else 0), raw[at + 10 : at + 10 + size]
     codes = ["latin-1", "utf-16", "utf-16-be", "utf-8"]
-    while major >= 3 and p + 10 <= min(at + 10 + size, len(raw)) and raw[p]:
+    if flags & 128 and major < 4:  # a zero stands behind each 0xff
+        tag = tag.replace(b"\xff\0", b"\xff")
+    if flags & 64 and major >= 3:  # an extended header; its size counts itself from version 4 on
+        p = int.from_bytes(tag[:4], "big") + 4 if major == 3 else sum(b << 7 * (3 - i) for i, b in enumerate(tag[:4]))
+    wide = 3 if major == 2 else 4  # letters of a name, bytes of a size
+    head = 6 if major == 2 else 10
+    while major in (2, 3, 4) and p + head <= len(tag) and tag[p]:
         n = 0
-        for b in raw[p + 4 : p + 8]:
+        for b in tag[p + wide : p + 2 * wide]:
             n = n << (7 if major == 4 else 8) | b
-        name, body = raw[p : p + 4].decode("latin-1"), raw[p + 10 : p + 10 + n]
+        name, body = tag[p : p + wide].decode("latin-1"), tag[p + head : p + head + n]
         if name.startswith("T") and body and body[0] < 4:
             text = body[1:].decode(codes[body[0]], "replace").rstrip("\0")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
+            key, _, value = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
             found[key] = value
-        p += 10 + n
+        p += head + n
     return min(end, len(raw)), found
 
 
@@ -205,7 +212,9 @@ def _vbr(raw: bytes, at: int, h: Header) -> dict | None:
             out["toc"] = list(raw[q : q + 100])
         return out
     if raw[at + 36 : at + 40] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(raw[at + 46 : at + 50], "big"), "frames": int.from_bytes(raw[at + 50 : at + 54], "big")}
+        size, frames, entries, scale, wide, each = struct.unpack(">IIHHHH", raw[at + 46 : at + 62].ljust(16, b"\0"))
+        places = [scale * int.from_bytes(raw[q : q + wide], "big") for q in range(at + 62, min(at + 62 + entries * wide, len(raw)), max(1, wide))]
+        return {"kind": "VBRI", "bytes": size, "frames": frames, "frames_an_entry": each, "toc": places}
     return None
 
 

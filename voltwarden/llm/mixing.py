@@ -16,6 +16,9 @@ from . import common
 
 #: Hexadecimal digits of the hash a level, and levels: 4096 buckets a source and level, 36 bits in all.
 DIGITS, LEVELS = 3, 3
+#: Sources whose rows of the plan, some hundred bytes each, may be broadcast; parts that a source's documents are joined in
+#: where there are more.
+FEW, SALTS = 1 << 16, 16
 #: Thresholds a source. The document at which a budget ends may be long: what it leaves is a budget for shorter ones.
 ROUNDS = 3
 
@@ -44,7 +47,17 @@ def targets(sizes: DataFrame, weights: list[int], cap: int) -> DataFrame:
     return by.select("source", "source_size", F.least(F.col("level") * F.col("weight"), F.col("most").cast("double")).alias("target"))
 
 
-def thresholds(slim: DataFrame, state: DataFrame, last: bool) -> DataFrame:
+def by_source(docs: DataFrame, one: DataFrame, own: str, source: str, few: bool) -> DataFrame:
+    """docs joined to a table of a row a source (its source in `own`): broadcast where these are few, else in parts of each source."""
+    if few:
+        return docs.join(F.broadcast(one), docs[source].eqNullSafe(one[own]))
+    salt, other = common.fresh(docs.join(one.limit(0), F.lit(True)), "salt", "part")
+    each = one.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = docs.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c != source]), F.lit(SALTS)).cast("int"))
+    return rows.join(each, rows[source].eqNullSafe(each[own]) & (F.col(salt) == F.col(other))).drop(salt, other)
+
+
+def thresholds(slim: DataFrame, state: DataFrame, last: bool, few: bool = True) -> DataFrame:
     """source, bound, left: a round of the search for thresholds.
 
     state: source, budget, from_hash, most. The documents of a source with a hash from `from_hash` on and at most `most`
@@ -54,7 +67,7 @@ def thresholds(slim: DataFrame, state: DataFrame, last: bool) -> DataFrame:
     at = state.select("source", "budget", "from_hash", "most", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("below"))
     done = None
     for level in range(1, LEVELS + 1):
-        d, a = slim.alias("d"), at.alias("a")
+        d, a = slim.alias("d"), (F.broadcast(at) if few else at).alias("a")
         inside = d.join(a, F.col("d.source").eqNullSafe(F.col("a.source")) & F.col("d.hash").startswith(F.col("a.prefix")) & (F.col("d.hash") >= F.col("a.from_hash")) & (F.col("d.size") <= F.col("a.most")))
         sums = inside.groupBy("d.source", F.substring("d.hash", 1, DIGITS * level).alias("bucket"), "a.budget", "a.from_hash", "a.most", "a.below").agg(F.sum("d.size").alias("size"))
         before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,13 +96,13 @@ def mix(df: DataFrame, weights: list[int] | None = None, cap: int = 3, doc_id: s
     own, hashed, *bounds = common.fresh(df, "source", "hash", *[f"{x}{r}" for r in range(ROUNDS) for x in ("from", "most", "bound")])
     slim = common.written(df.select(F.col(source).alias("source"), common.word_count(F.col(text)).alias("size"), bucket_hash(F.col(doc_id), seed).alias("hash")), "sizes")
     goals = common.written(targets(slim, weights, cap), "targets")
+    few = goals.count() <= FEW
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     state = goals.select("source", (F.col("target") - whole * F.col("source_size")).alias("budget"), F.lit("").alias("from_hash"), F.lit(float("inf")).alias("most"))
-    # a row a source: joined by Spark's choice, so broadcast only where its size is under the session's bound
     plan = goals.select("source", "source_size", "target", whole.alias("copies"))
     more = F.lit(False)
     for r in range(ROUNDS):
-        found = common.written(thresholds(slim, state, r == ROUNDS - 1), f"round-{r}")
+        found = common.written(thresholds(slim, state, r == ROUNDS - 1, few), f"round-{r}")
         begin, most, bound = bounds[3 * r : 3 * r + 3]
         both = state.join(found.withColumnRenamed("source", own), F.col("source").eqNullSafe(F.col(own))).drop(own)
         plan = plan.join(both.select(F.col("source").alias(own), F.col("from_hash").alias(begin), F.col("most").alias(most), F.col("bound").alias(bound)), F.col("source").eqNullSafe(F.col(own)), "left").drop(own)
@@ -97,7 +110,7 @@ def mix(df: DataFrame, weights: list[int] | None = None, cap: int = 3, doc_id: s
         state = both.select("source", F.col("left").alias("budget"), F.col("bound").alias("from_hash"), F.col("left").alias("most"))
     plan = common.written(plan.withColumnRenamed("source", own), "plan")
     out = df.withColumn("size", common.word_count(F.col(text))).withColumn(hashed, bucket_hash(F.col(doc_id), seed))
-    out = out.join(plan, out[source].eqNullSafe(plan[own]))
+    out = by_source(out, plan, own, source, few)
     out = out.withColumn("copies", F.col("copies") + F.when(more, 1).otherwise(0))
     return out.withColumn("taken", F.col("copies") * F.col("size")).drop(own, hashed, *bounds)
 

@@ -18,12 +18,14 @@ def vocabulary(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 2048 tokens; null texts are empty, repeated rows are pieces of their own, an empty table gives none."""
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, hashes and scores of the secrets of all documents, by a forest that learns from findings labelled in their own contexts; null and empty texts have none."""
     from .secrets import findings, fit
 
     docs = table(spark, sf_dir, "documents")
@@ -31,30 +33,35 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and component of every document; texts without words are linked with nothing."""
     from .jaccard import components
 
     return components(table(spark, sf_dir, "documents"), size=5, percent=80)
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best by integer inner product for each fiftieth vector, ties to smaller ids; unsound vectors take no part."""
     from .topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents by ascending id, and from the files each document's place, length and checksum; null texts are their end id alone."""
     from .tokenfile import read_files, token_files
 
     return read_files(token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, bits=16, unit="byte"))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An MPEG audio stream of each text, stored as a table and read back into features; null and empty texts have a padded payload of 64 zeros."""
     from .media import features, media_column
 
     return features(common.written(media_column(table(spark, sf_dir, "documents")), "media"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the model of the labelled ones outside the held-out fold; null texts score as empty ones."""
     from .quality import fit, score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +70,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the model of those outside the held-out fold; texts without a letter are und."""
     from .langid import fit, predict
 
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +78,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of sources by weights 1, 2, 3 takes; null texts have size 0."""
     from .mixing import mix
 
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=[1, 2, 3], cap=3)
@@ -77,6 +86,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, hash and list of the spans of personal data of every document; null and empty texts have none."""
     from .pii import digest
 
     return digest(table(spark, sf_dir, "documents"))
