@@ -62,8 +62,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's are written to the shared folder and read again."""
+    """The last stage's rows; each stage's are written to the shared folder and read again. What a stage wrote for itself,
+    and the rows of the stage before, go when its own rows are stored."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with common.scope(spark):
+            path = docs.inputFiles()[:1] if name != STAGES[0][0] else []
+            docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        for file in path:
+            common.delete(spark, file.rsplit("/", 1)[0])
     return STAGES[-1][1](spark, docs, sf_dir)
