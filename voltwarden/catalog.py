@@ -802,4 +802,4 @@ def json_bus_whole(spark, sf_dir):
     return bus.parse(lines, "VerificationResult").select("timestamp", "component_id", "status", "score")
 
 
-from . import catalog_files  # noqa: E402, F401  (registers its queries)
+from . import catalog_files, catalog_verify  # noqa: E402, F401  (they register their queries)
