@@ -64,25 +64,41 @@ def time_to_detection(df: DataFrame, keys: list[str], truth: Column, flagged: Co
     return out.withColumn("ttd", F.col("__hit") - F.col("start")).drop("__island", "__hit")
 
 
-def events(results: DataFrame, attacks: DataFrame) -> DataFrame:
+#: Seconds of a bucket of time in which results meet attacks.
+BUCKET_S = 600.0
+
+
+def _in_buckets(results: DataFrame, attacks: DataFrame, width: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Failed results, attacks in a row for each bucket of time that they touch, and the condition to join them on.
+
+    The join is on component and bucket, so a component with many results and attacks is many small groups.
+    """
+    at = lambda t: F.floor(t / width).cast("long")
+    failed = results.where("failed").select("component_id", "ts").withColumn("bucket", at(F.col("ts")))
+    each = attacks.where("end_ts >= start_ts").withColumn("bucket", F.explode(F.sequence(at(F.col("start_ts")), at(F.col("end_ts")))))
+    r, a = failed.alias("r"), each.alias("a")
+    same = (F.col("r.component_id") == F.col("a.component_id")) & (F.col("r.bucket") == F.col("a.bucket"))
+    return r, a, same & F.col("r.ts").between(F.col("a.start_ts"), F.col("a.end_ts"))
+
+
+def events(results: DataFrame, attacks: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
     """tp, fp, fn: failed results inside an attack on their component, those outside all, and attacks never hit.
 
-    results: component_id, ts, failed; attacks: attack_id, component_id, start_ts, end_ts. Attacks are few beside results,
-    and the join is on the component with the interval as its condition.
+    results: component_id, ts, failed; attacks: attack_id, component_id, start_ts, end_ts.
     """
-    failed = results.where("failed").select("component_id", "ts")
-    inside = (F.col("r.component_id") == F.col("a.component_id")) & F.col("r.ts").between(F.col("a.start_ts"), F.col("a.end_ts"))
-    hit = failed.alias("r").join(attacks.alias("a"), inside, "left_semi").agg(F.count("*").alias("tp"))
-    outside = failed.alias("r").join(attacks.alias("a"), inside, "left_anti").agg(F.count("*").alias("fp"))
-    missed = attacks.alias("a").join(failed.alias("r"), inside, "left_anti").agg(F.count("*").alias("fn"))
+    r, a, inside = _in_buckets(results, attacks, bucket_s)
+    hit = r.join(a, inside, "left_semi").agg(F.count("*").alias("tp"))
+    outside = r.join(a, inside, "left_anti").agg(F.count("*").alias("fp"))
+    caught = a.join(r, inside, "left_semi").select("attack_id").distinct()
+    missed = attacks.join(caught, "attack_id", "left_anti").agg(F.count("*").alias("fn"))
     return hit.crossJoin(outside).crossJoin(missed)  # one row each
 
 
-def detection_times(results: DataFrame, attacks: DataFrame) -> DataFrame:
+def detection_times(results: DataFrame, attacks: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
     """attack_id, ttd: from the start to the first failed result of the component, null where there is none."""
-    failed = results.where("failed").select(F.col("component_id").alias("c"), "ts")
-    inside = (F.col("c") == F.col("component_id")) & F.col("ts").between(F.col("start_ts"), F.col("end_ts"))
-    return attacks.join(failed, inside, "left").groupBy("attack_id", "start_ts").agg((F.min("ts") - F.col("start_ts")).alias("ttd")).drop("start_ts")
+    r, a, inside = _in_buckets(results, attacks, bucket_s)
+    first = r.join(a, inside).groupBy("a.attack_id").agg(F.min("r.ts").alias("__hit"))
+    return attacks.join(first, "attack_id", "left").groupBy("attack_id").agg(F.min(F.col("__hit") - F.col("start_ts")).alias("ttd"))
 
 
 def without_labels(df: DataFrame) -> DataFrame:

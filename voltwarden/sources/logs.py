@@ -136,7 +136,7 @@ def power_profile(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-def node_frames(spark: SparkSession, folder: str, hz: int | None = None, frame_hz: float = 0.5, most: int = 1800, slurm: str | None = None) -> DataFrame:
+def node_frames(spark: SparkSession, folder: str, hz: int | None = None, frame_hz: float = 0.5, most: int = 1800, slurm: str | None = None, gpus: int = 4, cpus: int = 2) -> DataFrame:
     """node_id, frame and the mean of each reading for all pairs of logs of a folder: as many rows a frame as the first log's rate gives, at most `most` frames.
 
     Counters are unwrapped before they are averaged. One job reads all nodes' files.
@@ -150,7 +150,7 @@ def node_frames(spark: SparkSession, folder: str, hz: int | None = None, frame_h
     rate = hz or int(sample_rate(log_rows(spark, pairs[0][1])).first().hz)
     per = max(1, round(rate / frame_hz))
     named = lambda df: df.withColumn("node_id", host_of(F.element_at(F.split("path", "/"), -1)))
-    gpu, cpu = named(nvml(spark, [p for _, p, _ in pairs])), named(rapl(spark, [p for _, _, p in pairs]))
+    gpu, cpu = named(nvml(spark, [p for _, p, _ in pairs], gpus)), named(rapl(spark, [p for _, _, p in pairs], cpus))
     w = Window.partitionBy("node_id").orderBy("pos")
     for c in [c for c in cpu.columns if c.endswith("[uJ]")]:
         fell = F.when(F.col(f"`{c}`") < F.lag(F.col(f"`{c}`")).over(w) - cfg.wrap_tolerance_uj, 1).otherwise(0)
