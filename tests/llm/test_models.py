@@ -130,3 +130,19 @@ def test_features_of_whole_candidates(spark):
     seen = secrets.features(F.col("found"), F.lit(""), F.lit(""))
     (row,) = spark.createDataFrame([(found,)], "found string").select(seen["variety"].alias("v"), seen["longest_word"].alias("w")).collect()
     assert row.w == 20 and row.v == len(set(found)) / 64
+
+
+def test_language_of_odd_rows(spark):
+    """Repeated rows agree, very long texts are read whole, rare values of lang beyond the bound are not learned."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.fit(docs)
+    some = [r.text for r in docs.where("lang = 'en' AND length(text) > 300").orderBy("doc_id").limit(2).collect()]
+    other = docs.where("lang = 'de' AND length(text) > 300").orderBy("doc_id").first().text
+    long = "1 2 3. " * 100_000 + (other + " ") * 400
+    df = spark.createDataFrame([(1, some[0]), (1, some[0]), (None, some[0]), (2, long), (3, None), (4, "12 34 !"), (5, "")], "doc_id long, text string")
+    got = langid.predict(df, model).collect()
+    assert len({(r.lang_pred, r.score) for r in got[:3]}) == 1 and got[0].lang_pred == "en" and got[3].lang_pred == "de"
+    assert [(r.lang_pred, r.score) for r in got[4:]] == [("und", 0.0)] * 3
+    few = langid.fit(docs, most=2, total=200)
+    counts = {r.lang: r["count"] for r in docs.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) <> 2 AND lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().collect()}
+    assert few.languages == sorted(sorted(counts, key=lambda x: (-counts[x], x))[:2])

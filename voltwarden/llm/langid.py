@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Buckets of hashed n-grams, their lengths, and the most rows a language that weights are trained on.
-BUCKETS, LENGTHS, ROWS = 1 << 14, (1, 2, 3), 600
+#: Buckets of hashed n-grams, their lengths, the most rows a language that weights are trained on, the most in all, and the
+#: most languages.
+BUCKETS, LENGTHS, ROWS, TOTAL, LANGUAGES = 1 << 14, (1, 2, 3), 600, 12_000, 500
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -141,15 +142,18 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return total[:BUCKETS], int(total[BUCKETS])
 
 
-def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: int = 4, held_out: int = 2, rows: int = ROWS) -> Model:
+def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: int = 4, held_out: int = 2, rows: int = ROWS, most: int = LANGUAGES, total: int = TOTAL) -> Model:
     """A model of df's languages, from the rows with a text and a language outside the held-out fold.
 
-    `rows` bounds how many a language weights are trained on, chosen by a hash of the id; a fifth of them is left for the
-    temperature. Without such rows the model knows no language.
+    `rows` bounds how many a language weights are trained on, chosen by a hash of the id, and `total` how many in all; a
+    fifth of them is left for the temperature. The `most` languages with the most rows are learned; ties by name. Repeated
+    rows count as often as they stand there, whole texts are counted, and an empty table has no such rows. Without such rows the model knows no language.
     """
     given = learnable(df, doc_id, text, lang, fold, held_out)
-    counts = {r.lang: r.n for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    by_lang = given.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most)
+    counts = {r.lang: r.n for r in by_lang.collect()}
     languages = sorted(counts)
+    rows = max(20, min(rows, total // max(1, len(languages))))
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
     df_counts, n = frequencies(given)
@@ -180,7 +184,10 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
 
 
 def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", fold: int = 4, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for each row of df; null texts and texts without letters: und, 0."""
+    """doc_id, held_out, lang_pred and score for each row of df; null texts and texts without letters: und, 0.
+
+    Each row is predicted by itself from its whole text, so repeated rows agree; an empty table has an empty result.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
