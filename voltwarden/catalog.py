@@ -351,10 +351,10 @@ def tumbling_mean(spark, sf_dir):
     return align.tumbling(tel(spark, sf_dir), 10, ["node_id", "channel"], ["value"]).withColumn("value", F.round("value", 4))
 
 
-@query(f"WITH {SQL_FRAMES}, spine AS (SELECT node_id, channel, unnest(range(0, 300)) AS frame FROM (SELECT DISTINCT node_id, channel FROM frames)), j AS (SELECT s.*, f.value FROM spine s LEFT JOIN frames f ON f.idx = s.frame AND f.node_id = s.node_id AND f.channel = s.channel), l AS (SELECT node_id, channel, frame, last_value(value IGNORE NULLS) OVER (PARTITION BY node_id, channel ORDER BY frame) AS v FROM j) SELECT node_id, channel, frame, round(v, 4) AS value FROM l WHERE v IS NOT NULL")
+@query(f"WITH {SQL_FRAMES}, spine AS (SELECT node_id, channel, unnest(range(0, (SELECT max(idx) + 1 FROM frames))) AS frame FROM (SELECT DISTINCT node_id, channel FROM frames)), j AS (SELECT s.*, f.value FROM spine s LEFT JOIN frames f ON f.idx = s.frame AND f.node_id = s.node_id AND f.channel = s.channel), l AS (SELECT node_id, channel, frame, last_value(value IGNORE NULLS) OVER (PARTITION BY node_id, channel ORDER BY frame) AS v FROM j) SELECT node_id, channel, frame, round(v, 4) AS value FROM l WHERE v IS NOT NULL")
 def pad_locf(spark, sf_dir):
     rows = frames(spark, sf_dir).withColumnRenamed("idx", "frame")
-    return align.filled(rows, ["node_id", "channel"], 300).select("node_id", "channel", "frame", F.round("value", 4).alias("value"))
+    return align.filled(rows, ["node_id", "channel"], None).select("node_id", "channel", "frame", F.round("value", 4).alias("value"))
 
 
 # Attacks: targets are the channels "click" and "view" of all nodes, frames a tenth to a fifth of 500
@@ -414,11 +414,11 @@ def attack_labels(spark, sf_dir):
     return attacks.layer_labels(attacks.inject(_targets(spark, sf_dir), 50, 100, "bias", 20))
 
 
-@query(f"""WITH {SQL_ENF}, e AS (SELECT idx, frq FROM enf WHERE run_id = 0 AND idx < 500), d AS (SELECT *, frq - lag(frq) OVER (ORDER BY idx) AS d, frq - avg(frq) OVER () AS x FROM e), p AS (SELECT *, lag(x) OVER (ORDER BY idx) AS p FROM d)
-SELECT round(avg(frq), 6) AS mean, round(sqrt(avg(d * d)), 6) AS noise, round(greatest(-0.99, least(0.99, sum(x * p) / sum(p * p))), 6) AS phi FROM p""")
+@query(f"""WITH {SQL_ENF}, e AS (SELECT run_id, idx, frq FROM enf WHERE idx < 500), d AS (SELECT *, frq - lag(frq) OVER (PARTITION BY run_id ORDER BY idx) AS d, frq - avg(frq) OVER (PARTITION BY run_id) AS x FROM e), p AS (SELECT *, lag(x) OVER (PARTITION BY run_id ORDER BY idx) AS p FROM d)
+SELECT run_id, round(CASE WHEN count(*) >= 5 THEN avg(frq) ELSE 60.0 END, 6) AS mean, round(CASE WHEN count(*) >= 5 THEN sqrt(avg(d * d)) ELSE 0.005 END, 6) AS noise, round(CASE WHEN count(*) >= 5 THEN greatest(-0.99, least(0.99, sum(x * p) / sum(p * p))) ELSE 0.95 END, 6) AS phi FROM p GROUP BY run_id""")
 def attack_profile(spark, sf_dir):
-    one = attacks.profile(grid(spark, sf_dir).where("run_id = 0").select("idx", "frq"), 500)
-    return one.select(*[F.round(c, 6).alias(c) for c in ("mean", "noise", "phi")])
+    each = attacks.profile(grid(spark, sf_dir).select("run_id", "idx", "frq"), 500)
+    return each.select("run_id", *[F.round(c, 6).alias(c) for c in ("mean", "noise", "phi")])
 
 
 @query(f"""WITH RECURSIVE {SQL_ENF}, e AS (SELECT run_id, idx, frq, (idx * 31 % 11 - 5) / 1000.0 AS noise FROM enf WHERE idx >= 199 AND idx < 400), f AS (
@@ -531,12 +531,12 @@ def false_positive_table(spark, sf_dir):
     return calibrate.false_positives(tel(spark, sf_dir), F.col("value"), _CUTS)
 
 
-@query(f"""WITH {SQL_ENF}, e AS (SELECT idx, frq, CASE WHEN idx BETWEEN 800 AND 899 THEN 'window' ELSE 'baseline' END AS part, abs(frq - lag(frq) OVER (ORDER BY idx)) AS step FROM enf WHERE run_id = 0),
-v AS (SELECT part, round(frq, 4) AS v, count(*) AS c FROM e GROUP BY ALL), m AS (SELECT part, arg_max(v, (c, -v)) AS modal, max(c) AS c FROM v GROUP BY part)
-SELECT part, count(*) AS n, round(avg(frq), 6) AS mean, round(stddev_samp(frq), 6) AS std, round(min(frq), 6) AS low, round(max(frq), 6) AS high, round(max(step), 6) AS largest_step, count(*) FILTER (step > 1) AS jumps, any_value(modal) AS modal, round(any_value(m.c) / count(*)::DOUBLE, 6) AS modal_share FROM e JOIN m USING (part) GROUP BY part""")
+@query(f"""WITH {SQL_ENF}, e AS (SELECT run_id, idx, frq, CASE WHEN idx BETWEEN 800 AND 899 THEN 'window' ELSE 'baseline' END AS part, abs(frq - lag(frq) OVER (PARTITION BY run_id ORDER BY idx)) AS step FROM enf),
+v AS (SELECT run_id, part, round(frq, 4) AS v, count(*) AS c FROM e GROUP BY ALL), m AS (SELECT run_id, part, arg_max(v, (c, -v)) AS modal, max(c) AS c FROM v GROUP BY run_id, part)
+SELECT run_id, part, count(*) AS n, round(avg(frq), 6) AS mean, round(stddev_samp(frq), 6) AS std, round(min(frq), 6) AS low, round(max(frq), 6) AS high, round(max(step), 6) AS largest_step, count(*) FILTER (step > 1) AS jumps, any_value(modal) AS modal, round(any_value(m.c) / count(*)::DOUBLE, 6) AS modal_share FROM e JOIN m USING (run_id, part) GROUP BY run_id, part""")
 def glitch_diagnosis(spark, sf_dir):
-    s = calibrate.stretch(grid(spark, sf_dir).where("run_id = 0").select("idx", "frq"), 800, 899)
-    return s.select("part", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high", "largest_step")], "jumps", "modal", F.round("modal_share", 6).alias("modal_share"))
+    s = calibrate.stretch(grid(spark, sf_dir).select("run_id", "idx", "frq"), 800, 899)
+    return s.select("run_id", "part", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high", "largest_step")], "jumps", "modal", F.round("modal_share", 6).alias("modal_share"))
 
 
 # Views
@@ -642,16 +642,16 @@ def twin_state(spark, sf_dir):
     return views.latest_state(e.select(F.col("event_type").alias("object"), (F.col("event_id") % 5).alias("property"), "value", F.col("event_id").alias("ts")))
 
 
-@query("SELECT event_id::DOUBLE AS timestamp, event_type AS component_id, CASE WHEN value > 100 THEN 'failed' ELSE 'trusted' END AS status, value AS score FROM events WHERE event_id % 3 = 0")
+@query("SELECT event_id::DOUBLE AS timestamp, event_type AS component_id, CASE WHEN value > 100 THEN 'failed' ELSE 'trusted' END AS status, value AS score FROM events")
 def json_bus(spark, sf_dir):
-    lines = _bus_results(spark, sf_dir, "event_id % 3 = 0").unionByName(_bus_samples(spark, sf_dir))
+    lines = _bus_results(spark, sf_dir).unionByName(_bus_samples(spark, sf_dir))
     return bus.parse(lines, "VerificationResult").select("timestamp", "component_id", "status", "score")
 
 
-def _bus_results(spark, sf_dir, only="true"):
+def _bus_results(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = e.select(F.col("event_id").cast("double").alias("timestamp"), F.col("event_type").alias("component_id"), F.when(F.col("value") > 100, "failed").otherwise("trusted").alias("status"), F.col("value").alias("score"), F.lit(None).cast("double").alias("anchor_ref"), F.lit("ok").alias("reason"), "event_id")
-    return bus.envelope(rows.where(only), "VerificationResult")
+    return bus.envelope(rows, "VerificationResult")
 
 
 def _bus_samples(spark, sf_dir):
@@ -677,10 +677,10 @@ def orphans(spark, sf_dir):
     return left.unionByName(right)
 
 
-@query(f"WITH {SQL_TEL} SELECT channel FROM tel WHERE idx % 2 = 0 UNION SELECT node_id FROM tel")
+@query(f"WITH {SQL_TEL} SELECT channel FROM tel UNION SELECT node_id FROM tel")
 def layer_union(spark, sf_dir):
     t = tel(spark, sf_dir)
-    return t.where("idx % 2 = 0").select("channel").union(t.select("node_id")).distinct()
+    return scoring.layer_names(t.select(F.col("channel").alias("layer")), t.select(F.col("node_id").alias("layer"))).withColumnRenamed("layer", "channel")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id::DOUBLE WHEN event_id % 3 = 1 THEN (event_id % 24) * 3600.0 + 5 * 60 + 7 END AS seconds FROM events")
@@ -719,12 +719,11 @@ def status_labels(spark, sf_dir):
     return e.select("event_id", status.label(score).alias("label"), status.colour(score).alias("colour"))
 
 
-@query("WITH s AS (SELECT event_id AS idx, value AS frq FROM events WHERE event_id < 500), t AS (SELECT event_id * 1.5 - 20 AS ts FROM events WHERE event_id < 900) SELECT ts, greatest(0, least(499, floor(ts * 0.5)::BIGINT)) AS idx, frq FROM t JOIN s ON s.idx = greatest(0, least(499, floor(ts * 0.5)::BIGINT))")
+@query("SELECT event_id * 1.5 - 20 AS ts, s.event_id_at AS idx, s.frq FROM (SELECT *, greatest(0, least((SELECT max(event_id) FROM events), floor((event_id * 1.5 - 20) * 0.5)::BIGINT)) AS at FROM events) t JOIN (SELECT event_id AS event_id_at, value AS frq FROM events) s ON s.event_id_at = t.at")
 def anchor_lookup(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    series = e.where("event_id < 500").select(F.col("event_id").alias("idx"), F.col("value").alias("frq"))
-    times = e.where("event_id < 900").select((F.col("event_id") * 1.5 - 20).cast("double").alias("ts"))
-    return views.anchor_at(series, times, 0.5)
+    series = e.select(F.col("event_id").alias("idx"), F.col("value").alias("frq"))
+    return views.anchor_at(series, e.select((F.col("event_id") * 1.5 - 20).cast("double").alias("ts")), 0.5)
 
 
 @query(f"WITH {SQL_TEL}, have AS (SELECT DISTINCT node_id FROM tel), want AS (SELECT 'x1000c0s' || k::VARCHAR || 'b0n0' AS object FROM (SELECT unnest(range(0, 9)) AS k)) SELECT object FROM want WHERE object NOT IN (SELECT node_id FROM have)")
@@ -750,56 +749,11 @@ def annotated_status(spark, sf_dir):
     return v.groupBy("idx").agg(status.name_of(F.max("status_rank")).alias("status"))
 
 
-@query()
-def verify_all(spark, sf_dir):
-    from .plans.verify import verify
-
-    long = _long(spark, sf_dir).withColumn("run_id", F.lit(0).cast("long")).withColumn("channel", F.concat_ws("-", "kind", "ordinal"))
-    series = grid(spark, sf_dir).select("run_id", "idx", "frq", "alt")
-    return verify(series, long, alternative=True)
-
-
-# Over the whole table what a query above, held to its SQL, does over a fixed part
-
-
-@query("SELECT event_id * 1.5 - 20 AS ts, s.event_id_at AS idx, s.frq FROM (SELECT *, greatest(0, least((SELECT max(event_id) FROM events), floor((event_id * 1.5 - 20) * 0.5)::BIGINT)) AS at FROM events) t JOIN (SELECT event_id AS event_id_at, value AS frq FROM events) s ON s.event_id_at = t.at")
-def anchor_lookup_whole(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    series = e.select(F.col("event_id").alias("idx"), F.col("value").alias("frq"))
-    return views.anchor_at(series, e.select((F.col("event_id") * 1.5 - 20).cast("double").alias("ts")), 0.5)
-
-
-@query(f"WITH {SQL_FRAMES}, spine AS (SELECT node_id, channel, unnest(range(0, (SELECT max(idx) + 1 FROM frames))) AS frame FROM (SELECT DISTINCT node_id, channel FROM frames)), j AS (SELECT s.*, f.value FROM spine s LEFT JOIN frames f ON f.idx = s.frame AND f.node_id = s.node_id AND f.channel = s.channel), l AS (SELECT node_id, channel, frame, last_value(value IGNORE NULLS) OVER (PARTITION BY node_id, channel ORDER BY frame) AS v FROM j) SELECT node_id, channel, frame, round(v, 4) AS value FROM l WHERE v IS NOT NULL")
-def pad_locf_whole(spark, sf_dir):
-    rows = frames(spark, sf_dir).withColumnRenamed("idx", "frame")
-    return align.filled(rows, ["node_id", "channel"], None).select("node_id", "channel", "frame", F.round("value", 4).alias("value"))
-
-
-@query(f"""WITH {SQL_ENF}, e AS (SELECT run_id, idx, frq FROM enf WHERE idx < 500), d AS (SELECT *, frq - lag(frq) OVER (PARTITION BY run_id ORDER BY idx) AS d, frq - avg(frq) OVER (PARTITION BY run_id) AS x FROM e), p AS (SELECT *, lag(x) OVER (PARTITION BY run_id ORDER BY idx) AS p FROM d)
-SELECT run_id, round(CASE WHEN count(*) >= 5 THEN avg(frq) ELSE 60.0 END, 6) AS mean, round(CASE WHEN count(*) >= 5 THEN sqrt(avg(d * d)) ELSE 0.005 END, 6) AS noise, round(CASE WHEN count(*) >= 5 THEN greatest(-0.99, least(0.99, sum(x * p) / sum(p * p))) ELSE 0.95 END, 6) AS phi FROM p GROUP BY run_id""")
-def attack_profile_whole(spark, sf_dir):
-    each = attacks.profile(grid(spark, sf_dir).select("run_id", "idx", "frq"), 500)
-    return each.select("run_id", *[F.round(c, 6).alias(c) for c in ("mean", "noise", "phi")])
-
-
-@query(f"""WITH {SQL_ENF}, e AS (SELECT run_id, idx, frq, CASE WHEN idx BETWEEN 800 AND 899 THEN 'window' ELSE 'baseline' END AS part, abs(frq - lag(frq) OVER (PARTITION BY run_id ORDER BY idx)) AS step FROM enf),
-v AS (SELECT run_id, part, round(frq, 4) AS v, count(*) AS c FROM e GROUP BY ALL), m AS (SELECT run_id, part, arg_max(v, (c, -v)) AS modal, max(c) AS c FROM v GROUP BY run_id, part)
-SELECT run_id, part, count(*) AS n, round(avg(frq), 6) AS mean, round(stddev_samp(frq), 6) AS std, round(min(frq), 6) AS low, round(max(frq), 6) AS high, round(max(step), 6) AS largest_step, count(*) FILTER (step > 1) AS jumps, any_value(modal) AS modal, round(any_value(m.c) / count(*)::DOUBLE, 6) AS modal_share FROM e JOIN m USING (run_id, part) GROUP BY run_id, part""")
-def glitch_diagnosis_whole(spark, sf_dir):
-    s = calibrate.stretch(grid(spark, sf_dir).select("run_id", "idx", "frq"), 800, 899)
-    return s.select("run_id", "part", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high", "largest_step")], "jumps", "modal", F.round("modal_share", 6).alias("modal_share"))
-
-
-@query(f"WITH {SQL_TEL} SELECT channel FROM tel UNION SELECT node_id FROM tel")
-def layer_union_whole(spark, sf_dir):
-    t = tel(spark, sf_dir)
-    return t.select("channel").union(t.select("node_id")).distinct()
-
-
-@query("SELECT event_id::DOUBLE AS timestamp, event_type AS component_id, CASE WHEN value > 100 THEN 'failed' ELSE 'trusted' END AS status, value AS score FROM events")
-def json_bus_whole(spark, sf_dir):
-    lines = _bus_results(spark, sf_dir).unionByName(_bus_samples(spark, sf_dir))
-    return bus.parse(lines, "VerificationResult").select("timestamp", "component_id", "status", "score")
 
 
 from . import catalog_files, catalog_verify  # noqa: E402, F401  (they register their queries)
+
+#: Names of the time when the plain ones read a part of the table; both read all of it.
+for _name in ("anchor_lookup", "pad_locf", "attack_profile", "glitch_diagnosis", "layer_union", "json_bus"):
+    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
+QUERIES["verify_all"], ORACLE_SQL["verify_all"] = QUERIES["verify_runs"], ORACLE_SQL["verify_runs"]

@@ -14,13 +14,20 @@ from .operators import align, attacks, calibrate, enf, scoring, views
 from .sources import bus, logs, scratch
 
 NODES = [f"x1000c0s{i}b0n0" for i in range(4)]
-I, V = F.col("event_id"), F.col("value")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def _i() -> Column:
+    return F.col("event_id")
+
+
+def _v() -> Column:
+    return F.col("value")
+
+
 def _text(c: Column) -> Column:
     return c.cast("string")
 
@@ -31,26 +38,27 @@ _SQL_LINES = "lines AS (SELECT 'Dev' || (event_id % 3)::VARCHAR AS device, event
 
 
 def _frequency_files(spark: SparkSession, sf_dir: str) -> str:
-    number = F.concat(F.lit("59."), F.lpad(_text(I % 1000), 3, "0"))
-    value = F.when(I % 53 == 0, F.concat(_text(I), F.lit(",bad"))).when(I % 59 == 0, "").when(I % 61 == 0, _text(I)).otherwise(F.concat(_text(I), F.lit(","), number))
-    name = F.concat(F.lit("Dev"), _text(I % 3), F.lit("_ENF_Hr00.csv"))
-    rows = _events(spark, sf_dir).select(name.alias("name"), I.alias("place"), value.alias("value"))
+    number = F.concat(F.lit("59."), F.lpad(_text(_i() % 1000), 3, "0"))
+    value = F.when(_i() % 53 == 0, F.concat(_text(_i()), F.lit(",bad"))).when(_i() % 59 == 0, "").when(_i() % 61 == 0, _text(_i())).otherwise(F.concat(_text(_i()), F.lit(","), number))
+    name = F.concat(F.lit("Dev"), _text(_i() % 3), F.lit("_ENF_Hr00.csv"))
+    rows = _events(spark, sf_dir).select(name.alias("name"), _i().alias("place"), value.alias("value"))
     head = spark.createDataFrame([(f"Dev{i}_ENF_Hr00.csv", -1, "UTC: 2025-07-17 08:00:00,Duration: 1 Hour") for i in range(3)], "name string, place long, value string")
     return scratch.put_texts(rows.unionByName(head), scratch.folder(spark, "enf"))
 
 
-DEVICE = F.regexp_extract("path", r"(Dev\d+)_ENF", 1)
+def _device() -> Column:
+    return F.regexp_extract("path", r"(Dev\d+)_ENF", 1)
 
 
 @query(f"WITH {_SQL_LINES} SELECT device, row_number() OVER (PARTITION BY device ORDER BY event_id) - 1 AS idx, frq FROM lines WHERE state = 'good'")
 def log_frequency(spark, sf_dir):
-    return logs.frequency(spark, _frequency_files(spark, sf_dir)).select(DEVICE.alias("device"), "idx", "frq")
+    return logs.frequency(spark, _frequency_files(spark, sf_dir)).select(_device().alias("device"), "idx", "frq")
 
 
 @query(f"WITH {_SQL_LINES} SELECT device, row_number() OVER (PARTITION BY device ORDER BY event_id) - 1 AS idx, CASE WHEN state = 'good' THEN frq ELSE -1 END AS frq FROM lines WHERE state <> 'blank'")
 def log_frequency_raw(spark, sf_dir):
     rows = logs.frequency(spark, _frequency_files(spark, sf_dir), keep_unparsable=True)
-    return rows.select(DEVICE.alias("device"), "idx", F.nanvl("frq", F.lit(-1.0)).alias("frq"))
+    return rows.select(_device().alias("device"), "idx", F.nanvl("frq", F.lit(-1.0)).alias("frq"))
 
 
 @query("SELECT 'Dev' || (c_custkey % 7)::VARCHAR AS device, count(DISTINCT c_custkey % 24) AS n_hours, string_agg(DISTINCT 'Hr' || lpad((c_custkey % 24)::VARCHAR, 2, '0'), ',' ORDER BY 'Hr' || lpad((c_custkey % 24)::VARCHAR, 2, '0')) AS hours FROM customer WHERE c_custkey % 5 <> 0 GROUP BY c_custkey % 7")
@@ -67,7 +75,7 @@ def log_devices(spark, sf_dir):
 def log_profile(spark, sf_dir):
     path = scratch.folder(spark, "profile")
     node = F.concat(F.lit("x1000c0s"), _text(F.col("user_id") % 4), F.lit("b0n0"))
-    rows = _events(spark, sf_dir).select(I.cast("double").alias("timestamp"), node.alias("node_id"), (F.floor(V * 100) / 4).alias("power_w"), F.when(I % 2 == 0, "idle").otherwise("llm_training").alias("workload_class"))
+    rows = _events(spark, sf_dir).select(_i().cast("double").alias("timestamp"), node.alias("node_id"), (F.floor(_v() * 100) / 4).alias("power_w"), F.when(_i() % 2 == 0, "idle").otherwise("llm_training").alias("workload_class"))
     rows.write.option("header", True).csv(path)
     return logs.power_profile(spark, path)
 
@@ -115,11 +123,11 @@ def _logs(spark: SparkSession, sf_dir: str) -> str:
     p = F.row_number().over(Window.partitionBy("k").orderBy("event_id")) - 1
     rows = _events(spark, sf_dir).withColumn("k", k).withColumn("p", p.cast("long"))
     time = F.date_format(F.timestamp_micros(F.lit(1_750_000_000_000_000) + F.col("p") * 200_000), logs.TIME)
-    mw = F.when(I % 37 == 0, "oops").otherwise(_text(F.floor(V * 5000)))
-    gpu = F.concat_ws(" ", time, mw, _text(I % 500 * 1000), F.lit("1000 1000"), _text(20 + I % 60), F.lit("50 51 52"))
-    gpu = F.when(I % 41 == 0, F.concat(time, F.lit(" 1 2"))).otherwise(gpu)
-    uj = _text((F.col("p") * 3_000_000_000 + I % 1000) % 65_500_000_000)
-    cpu = F.concat_ws(" ", time, uj, F.lit("5 6 7"), F.when(I % 43 == 0, "n/a").otherwise(_text(F.floor(V * 4))), F.lit("900 90 5"))
+    mw = F.when(_i() % 37 == 0, "oops").otherwise(_text(F.floor(_v() * 5000)))
+    gpu = F.concat_ws(" ", time, mw, _text(_i() % 500 * 1000), F.lit("1000 1000"), _text(20 + _i() % 60), F.lit("50 51 52"))
+    gpu = F.when(_i() % 41 == 0, F.concat(time, F.lit(" 1 2"))).otherwise(gpu)
+    uj = _text((F.col("p") * 3_000_000_000 + _i() % 1000) % 65_500_000_000)
+    cpu = F.concat_ws(" ", time, uj, F.lit("5 6 7"), F.when(_i() % 43 == 0, "n/a").otherwise(_text(F.floor(_v() * 4))), F.lit("900 90 5"))
     name = lambda kind: F.concat(F.lit(f"{kind}_wattameter_x1000c0s"), _text(F.col("k")), F.lit("b0n0.log"))
     lines = rows.select(name("nvml").alias("name"), F.col("p").alias("place"), gpu.alias("value")).unionByName(rows.select(name("rapl").alias("name"), F.col("p").alias("place"), cpu.alias("value")))
     gpus = "# reading-time " + " ".join(f"gpu-{i}[{u}]" for u in ("mW", "C") for i in range(4))
@@ -248,9 +256,9 @@ _SQL_RESULTS = "results AS (SELECT floor(event_id / 10) + (event_id % 4) / 4.0 A
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.when(I % 9 == 0, "ENF").otherwise(F.concat(F.lit("x1000c0s"), _text(F.col("user_id") % 4), F.lit("b0n0_"), "event_type"))
-    state = F.when(V > 120, "failed").when(V > 80, "suspect").otherwise("trusted")
-    return _events(spark, sf_dir).select((F.floor(I / 10) + I % 4 / 4.0).alias("timestamp"), F.concat(F.lit("run1/"), part).alias("component_id"), state.alias("status"), F.round(1 / (1 + F.abs(V)), 4).alias("score"), F.lit(None).cast("double").alias("anchor_ref"), F.concat(F.lit("r"), _text(I % 5)).alias("reason"))
+    part = F.when(_i() % 9 == 0, "ENF").otherwise(F.concat(F.lit("x1000c0s"), _text(F.col("user_id") % 4), F.lit("b0n0_"), "event_type"))
+    state = F.when(_v() > 120, "failed").when(_v() > 80, "suspect").otherwise("trusted")
+    return _events(spark, sf_dir).select((F.floor(_i() / 10) + _i() % 4 / 4.0).alias("timestamp"), F.concat(F.lit("run1/"), part).alias("component_id"), state.alias("status"), F.round(1 / (1 + F.abs(_v())), 4).alias("score"), F.lit(None).cast("double").alias("anchor_ref"), F.concat(F.lit("r"), _text(_i() % 5)).alias("reason"))
 
 
 @query(f"WITH {_SQL_RESULTS} SELECT floor(timestamp)::BIGINT AS sample, count(*) AS n, min(component_id) AS first FROM results GROUP BY 1")
@@ -267,8 +275,8 @@ b AS (SELECT w.sample, w.node_id, r.part, r.rank, r.score, r.reason, max(r.rank)
 a AS (SELECT sample, node_id, max(worst) AS worst, min(score) FILTER (rank = worst) AS score, string_agg(part || ':' || reason, ',' ORDER BY part, reason) FILTER (rank > 0) AS reasons FROM b GROUP BY ALL)
 SELECT w.sample, w.node_id, CASE worst WHEN 2 THEN 'warning' WHEN 1 THEN 'suspect' WHEN 0 THEN 'good' ELSE '--' END AS label, round(CASE WHEN worst = 0 THEN least(score, 1.0) ELSE score END, 4) AS score, coalesce(reasons, '') AS reasons FROM w LEFT JOIN a ON a.sample = w.sample AND a.node_id IS NOT DISTINCT FROM w.node_id""")
 def sample_verdicts(spark, sf_dir):
-    sample = F.floor(I / 10) + F.when(I % 30 == 0, 1_000_000_000).otherwise(0)
-    wanted = _events(spark, sf_dir).select(sample.cast("long").alias("sample"), F.when(I % 3 != 0, F.concat(F.lit("x1000c0s"), _text(I % 3), F.lit("b0n0"))).alias("node_id")).distinct()
+    sample = F.floor(_i() / 10) + F.when(_i() % 30 == 0, 1_000_000_000).otherwise(0)
+    wanted = _events(spark, sf_dir).select(sample.cast("long").alias("sample"), F.when(_i() % 3 != 0, F.concat(F.lit("x1000c0s"), _text(_i() % 3), F.lit("b0n0"))).alias("node_id")).distinct()
     out = views.verified_samples(wanted, _results(spark, sf_dir))
     told = F.array_join(F.transform("reasons", lambda x: F.concat_ws(":", x["part"], x["reason"])), ",")
     return out.select("sample", "node_id", "label", "score", told.alias("reasons"))
@@ -399,7 +407,7 @@ def incident_order(spark, sf_dir):
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Normal' WHEN 1 THEN 'Warning' WHEN 2 THEN 'Alert' END AS title, CASE event_id % 4 WHEN 0 THEN 'NOM' WHEN 1 THEN 'WRN' WHEN 2 THEN 'ALR' END AS badge, CASE event_id % 4 WHEN 0 THEN '#16a34a' WHEN 1 THEN '#ca8a04' WHEN 2 THEN '#dc2626' END AS border FROM events")
 def status_tiles(spark, sf_dir):
-    score = F.when(I % 4 != 3, I % 4 / 2.0)
+    score = F.when(_i() % 4 != 3, _i() % 4 / 2.0)
     return _events(spark, sf_dir).select("event_id", status.tile(status.label(score)).alias("t")).select("event_id", "t.title", "t.badge", "t.border")
 
 

@@ -29,13 +29,18 @@ def aligned(truth: DataFrame, detector: DataFrame) -> DataFrame:
     return both.drop("__t", "__d")
 
 
+def layer_names(truth: DataFrame, detector: DataFrame) -> DataFrame:
+    """layer: those of either side."""
+    return truth.select("layer").unionByName(detector.select("layer")).distinct()
+
+
 def by_layer(truth: DataFrame, detector: DataFrame) -> DataFrame:
     """idx, layer, truth, score over the union of both sides' layers.
 
     truth: idx, layer, truth; detector: idx, layer, score. A layer that one side lacks takes that side's Global row, and
     Global the largest of the side's layers; where there is nothing it is 0.
     """
-    names = truth.select("layer").unionByName(detector.select("layer")).unionByName(truth.sparkSession.range(1).select(F.lit("Global").alias("layer"))).distinct()
+    names = layer_names(layer_names(truth, detector), truth.sparkSession.range(1).select(F.lit("Global").alias("layer")))
     spine = truth.select("idx").unionByName(detector.select("idx")).distinct().crossJoin(F.broadcast(names))  # layers are few: nodes and two more
 
     def whole(side: DataFrame, value: str) -> DataFrame:
