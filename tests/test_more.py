@@ -161,3 +161,22 @@ def test_rack_history_needs_its_keys(spark, tmp_path):
     assert bus.rack_history(spark, str(tmp_path / "h"), "r", 5).first().status == "--"
     with pytest.raises(Exception, match="captured_at is missing"):
         bus.append_rack_history(good.withColumn("captured_at", F.lit(None).cast("double")), str(tmp_path / "h"))
+
+
+def test_combined_smooth(spark):
+    """Spikes and fast waves go, the slow wave stays, in each run by itself; and it is what its parts give one after another."""
+    i = np.arange(600)
+    slow, fast = 0.05 * np.sin(i / 60), 0.02 * np.sin(i * 1.3)
+    rows = []
+    for run in (0, 1):
+        x = 60 + slow * (1 + run) + fast
+        x[[50, 51, 200, 333]] += 3.0
+        rows += [(run, int(k), float(v)) for k, v in zip(i, x)]
+    df = spark.createDataFrame(rows, "run_id long, idx long, frq double")
+    got = enf.smoothed(df).orderBy("run_id", "idx").collect()
+    clean = enf.interpolated(enf.hampel(df, 11, 2.0)).orderBy("run_id", "idx").collect()
+    for run in (0, 1):
+        own = np.array([r.smooth for r in got if r.run_id == run])
+        assert np.abs(own - 60 - slow * (1 + run))[40:-40].max() < 0.01
+        parts = 60 + enf.lowpass(np.array([r.clean for r in clean if r.run_id == run]) - 60, 10, 0.04)
+        assert np.allclose(own, parts, atol=1e-9)
