@@ -476,11 +476,11 @@ _FOLD = "WITH RECURSIVE"
 
 @query(f"""{_FOLD} {SQL_ENF}, e AS (SELECT run_id, idx, frq, (idx * 31 % 11 - 5) / 1000.0 AS noise FROM enf WHERE idx >= 199 AND idx < 400), f AS (
 SELECT run_id, idx, NULL::DOUBLE AS last FROM e WHERE idx = 199
-UNION ALL SELECT e.run_id, e.idx, e.frq + least(0.01, greatest(-0.01, 0.95 * (coalesce(f.last, e.frq) - e.frq) + e.noise)) + 0.06 * (e.idx - 200) / 200.0 FROM f JOIN e ON e.run_id = f.run_id AND e.idx = f.idx + 1)
-SELECT n.run_id, n.idx, round(coalesce(f.last, n.frq), 6) AS attacked, (f.last IS NOT NULL)::INT AS label FROM enf n LEFT JOIN f ON f.run_id = n.run_id AND f.idx = n.idx AND f.last IS NOT NULL""")
+UNION ALL SELECT e.run_id, e.idx, e.frq + least(0.01, greatest(-0.01, 0.95 * (coalesce(f.last, e.frq) - e.frq) + e.noise)) + 0.06 * ((e.idx - 200) / 200.0) FROM f JOIN e ON e.run_id = f.run_id AND e.idx = f.idx + 1)
+SELECT n.run_id, n.idx, round(coalesce(f.last, n.frq), 9) AS attacked, (f.last IS NOT NULL)::INT AS label FROM enf n LEFT JOIN f ON f.run_id = n.run_id AND f.idx = n.idx AND f.last IS NOT NULL""")
 def attack_tracked_drift(spark, sf_dir):
     rows = grid(spark, sf_dir).select("run_id", "idx", "frq", ((F.col("idx") * 31 % 11 - 5) / 1000.0).alias("noise"))
-    return attacks.tracked(rows, 200, 400, 0.95, "additive", 0.06).select("run_id", "idx", F.round("attacked", 6).alias("attacked"), "label")
+    return attacks.tracked(rows, 200, 400, 0.95, "additive", 0.06).select("run_id", "idx", F.round("attacked", 9).alias("attacked"), "label")
 
 
 @query(f"""WITH {SQL_ENF}, c AS (SELECT run_id, idx, CASE WHEN idx % 97 = 13 THEN 250.0 ELSE frq END AS frq FROM enf)
