@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows, and bytes about, that Python works on at once. Spark bounds the batches that it hands over by bytes
-#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB); they are sliced, so no setting of the session is touched.
+#: Rows, and bytes about, that Python works on at once. What Spark hands over is bounded so while a table is written, and
+#: sliced in Python wherever it is larger.
 BATCH_ROWS, BATCH_BYTES = 1024, 1 << 22
 #: Paths made inside each open scope().
 _scopes: list[list[str]] = []
@@ -59,11 +59,26 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds the Arrow batches of the jobs run inside, and sets the session back on leaving."""
+    least = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {key: spark.conf.get(key) for key in least}
+    for key, value in least.items():
+        spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = shared_path(spark, name, keep)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
