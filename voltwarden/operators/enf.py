@@ -5,6 +5,8 @@ Window frames give whatever depends on values only; a fold a run is kept for wha
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -136,16 +138,21 @@ def drift_cusum(df: DataFrame, baseline: float, limit: float, warm: int, history
 
 def hampel_flags(x: np.ndarray, radius: int, sigmas: float, scale: float, flagged: np.ndarray | None = None) -> np.ndarray:
     """Outliers by median and MAD of the values around that are not flagged yet; flags count for the windows after them."""
-    bad = np.zeros(len(x), bool) if flagged is None else flagged.copy()
-    for i in range(len(x)):
-        lo, hi = max(0, i - radius), min(len(x), i + radius + 1)
-        near = x[lo:hi][~bad[lo:hi]]
-        if not len(near) or bad[i]:
+    values, bad = x.tolist(), [False] * len(x) if flagged is None else flagged.tolist()
+
+    def median(v: list[float]) -> float:
+        v.sort()
+        return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+
+    for i, v in enumerate(values):
+        lo, hi = max(0, i - radius), i + radius + 1
+        near = [y for y, b in zip(values[lo:hi], bad[lo:hi]) if not b]
+        if not near or bad[i] or math.isnan(sum(near)):  # next to a value that is no number nothing is told
             continue
-        middle = np.median(near)
-        mad = np.median(np.abs(near - middle))
-        bad[i] = mad > 0 and abs(x[i] - middle) > sigmas * scale * mad
-    return bad
+        middle = median(near)
+        mad = median([abs(y - middle) for y in near])
+        bad[i] = mad > 0 and abs(v - middle) > sigmas * scale * mad
+    return np.array(bad, bool)
 
 
 def hampel(df: DataFrame, radius: int, sigmas: float, scale: float = 1.4826, physical: tuple[float, float] | None = None) -> DataFrame:
@@ -190,16 +197,17 @@ def butterworth(order: int, cutoff: float) -> list[tuple[np.ndarray, np.ndarray]
 
 def _pass(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """One direction; each section starts in its steady state for the first value."""
+    values = x.tolist()
     for b, a in sections:
-        gain = b.sum() / a.sum()
-        z1 = (gain - b[0]) * x[0]
-        z2 = (b[2] - a[2] * gain) * x[0]
-        y = np.empty_like(x)
-        for i, v in enumerate(x):
-            y[i] = b[0] * v + z1
-            z1, z2 = b[1] * v - a[1] * y[i] + z2, b[2] * v - a[2] * y[i]
-        x = y
-    return x
+        (b0, b1, b2), (_, a1, a2) = b.tolist(), a.tolist()
+        gain = float(b.sum() / a.sum())
+        z1, z2, out = (gain - b0) * values[0], (b2 - a2 * gain) * values[0], []
+        for v in values:
+            y = b0 * v + z1
+            z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
+            out.append(y)
+        values = out
+    return np.array(values)
 
 
 def lowpass(x: np.ndarray, order: int, cutoff: float, pad: int = 33) -> np.ndarray:
