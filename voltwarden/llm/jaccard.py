@@ -143,50 +143,67 @@ def describe(df: DataFrame, size: int, rule: Rule) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, n long, cid long, sketch binary, empty array<long>")
 
 
-def word_blocks(df: DataFrame, size: int, rule: Rule, parts: int) -> DataFrame:
-    """part, cids, runs, keys, bands: the wide sketches' words, in blocks by part of the join.
+BLOCKS = "part int, cids binary, runs binary, keys binary, bands binary"
+
+
+def blocked(keyed: Iterator[tuple[int, int, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of BLOCKS from a task's (class, band, words): the words in blocks by part of the join.
 
-    A task sends a class's words once. A word that more than PAIRS of its classes share is combined there: one class and
-    a mark (class 0) stand for the others in the block, and a block of part -1 - task lists words and classes of all.
+    A word that more than PAIRS of the task's classes share is combined there: one class and a mark (class 0) stand for
+    the others in the block, and a block of part -1 - task lists words and classes of all.
     """
     schema = pa.schema([("part", pa.int32()), ("cids", pa.binary()), ("runs", pa.binary()), ("keys", pa.binary()), ("bands", pa.binary())])
+    cids: list[int] = []
+    bands: list[int] = []
+    keys: list[np.ndarray] = []
+    held = 0
+
+    def blocks() -> pa.RecordBatch:
+        k = np.concatenate(keys)
+        lengths = np.array([len(x) for x in keys])
+        c, b = np.repeat(np.array(cids, np.int64), lengths), np.repeat(np.array(bands, np.uint8), lengths)
+        order = np.argsort(k, kind="stable")
+        new = np.flatnonzero(np.diff(k[order], prepend=~k[order[0]]))
+        sizes = np.diff(np.append(new, len(k)))
+        rows = []
+        common_words = sizes > PAIRS
+        if common_words.any():
+            inside = np.repeat(common_words, sizes)
+            firsts = np.zeros(len(k), bool)
+            firsts[new] = True
+            hot = order[inside]
+            rows.append((-1 - TaskContext.get().partitionId(), c[hot].tobytes(), b"", k[hot].tobytes(), b[hot].tobytes()))
+            marks = order[new[common_words]]
+            keep = np.zeros(len(k), bool)
+            keep[order[~inside | firsts]] = True
+            k, c, b = np.concatenate([k[keep], k[marks]]), np.concatenate([c[keep], np.zeros(len(marks), np.int64)]), np.concatenate([b[keep], b[marks]])
+        part = (k % _U(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, k, c, b = part[order], k[order], c[order], b[order]
+        edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            code = c[lo:hi] * 1
+            start = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(b[lo:hi].astype(np.int16), prepend=-1) != 0))
+            rows.append((int(part[lo]), code[start].tobytes(), np.diff(np.append(start, hi - lo)).astype("<u4").tobytes(), k[lo:hi].tobytes(), b[lo:hi][start].tobytes()))
+        return common.arrow_rows(schema, rows)
+
+    for cid, band, words in keyed:
+        cids.append(cid)
+        bands.append(band)
+        keys.append(words)
+        held += len(words)
+        if held >= HELD:
+            yield blocks()
+            cids, bands, keys, held = [], [], [], 0
+    if held:
+        yield blocks()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        cids: list[int] = []
-        bands: list[int] = []
-        keys: list[np.ndarray] = []
-        held = 0
-
-        def blocks() -> pa.RecordBatch:
-            k = np.concatenate(keys)
-            lengths = np.array([len(x) for x in keys])
-            c, b = np.repeat(np.array(cids, np.int64), lengths), np.repeat(np.array(bands, np.uint8), lengths)
-            order = np.argsort(k, kind="stable")
-            new = np.flatnonzero(np.diff(k[order], prepend=~k[order[0]]))
-            sizes = np.diff(np.append(new, len(k)))
-            rows = []
-            common_words = sizes > PAIRS
-            if common_words.any():
-                inside = np.repeat(common_words, sizes)
-                firsts = np.zeros(len(k), bool)
-                firsts[new] = True
-                hot = order[inside]
-                rows.append((-1 - TaskContext.get().partitionId(), c[hot].tobytes(), b"", k[hot].tobytes(), b[hot].tobytes()))
-                marks = order[new[common_words]]
-                keep = np.zeros(len(k), bool)
-                keep[order[~inside | firsts]] = True
-                k, c, b = np.concatenate([k[keep], k[marks]]), np.concatenate([c[keep], np.zeros(len(marks), np.int64)]), np.concatenate([b[keep], b[marks]])
-            part = (k % _U(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            part, k, c, b = part[order], k[order], c[order], b[order]
-            edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                code = c[lo:hi] * 1
-                start = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(b[lo:hi].astype(np.int16), prepend=-1) != 0))
-                rows.append((int(part[lo]), code[start].tobytes(), np.diff(np.append(start, hi - lo)).astype("<u4").tobytes(), k[lo:hi].tobytes(), b[lo:hi][start].tobytes()))
-            return common.arrow_rows(schema, rows)
 
+def word_blocks(df: DataFrame, size: int, rule: Rule, parts: int) -> DataFrame:
+    """part, cids, runs, keys, bands: the wide sketches' words of df's texts, a class's once a task."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        seen: set[int] = set()
         for (texts,) in common.texts_of(batches, "text"):
             for t in texts:
                 s = shingle_set(t, size)
@@ -194,17 +211,9 @@ def word_blocks(df: DataFrame, size: int, rule: Rule, parts: int) -> DataFrame:
                     continue
                 seen.add(cid)
                 for band, words, _ in rule.keys(s):
-                    cids.append(cid)
-                    bands.append(band)
-                    keys.append(words)
-                    held += len(words)
-                if held >= HELD:
-                    yield blocks()
-                    cids, bands, keys, held = [], [], [], 0
-        if held:
-            yield blocks()
+                    yield cid, band, words
 
-    return df.select("text").mapInArrow(run, "part int, cids binary, runs binary, keys binary, bands binary")
+    return df.select("text").mapInArrow(lambda batches: blocked(keyed(batches), parts), BLOCKS)
 
 
 FOUND = "hot boolean, a long, b long, band int"

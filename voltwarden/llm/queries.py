@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard, mixing, topk
+from . import common, jaccard, minhash, mixing, topk
 from .common import table
 
 
@@ -92,6 +92,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set, component and whether it is kept, for every document; texts without words are linked with nothing."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -103,10 +108,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_jaccard": jaccard.SQL,
     "op4_topk": topk.SQL,
     "op9_mixing": mixing.SQL,
+    "op13_minhash": minhash.SQL,
 }
