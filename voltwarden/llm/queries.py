@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard, minhash, mixing, topk
+from . import common, jaccard, minhash, mixing, topk, trie
 from .common import table
 
 
@@ -92,6 +92,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each begun with turns of its group's first; rows without a conv_id take no part, an empty table has no node."""
+    nodes = trie.trie(*trie.regrown(*trie.turns(table(spark, sf_dir, "conversations")), heads=4, group=20))
+    return nodes.drop("rank", "subtree_end")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 whitened components of every sound vector; a deviation too large for a long is null."""
+    from .whitening import whiten
+
+    rows = whiten(table(spark, sf_dir, "embeddings"), k=16)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the shingle set, component and whether it is kept, for every document; texts without words are linked with nothing."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
@@ -108,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_trie": op11_trie,
+    "op12_whitening": op12_whitening,
     "op13_minhash": op13_minhash,
 }
 
@@ -115,5 +131,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_jaccard": jaccard.SQL,
     "op4_topk": topk.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_trie": trie.SQL,
     "op13_minhash": minhash.SQL,
 }
