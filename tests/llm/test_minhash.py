@@ -133,3 +133,16 @@ def test_sql(spark):
         db.register("documents", documents.toPandas())
         assert got == sorted(db.sql(minhash.SQL).fetchall())
     assert [r[2] for r in got] == [x[1] for x in brute(texts)]
+
+
+def test_links_known_later(spark):
+    """Components joined by more links are those of all links at once."""
+    from voltwarden.llm.components import connected, merged
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(75)]
+    first, more = spark.createDataFrame(edges[:45], "a long, b long"), spark.createDataFrame(edges[45:], "a long, b long")
+    want = {(r.node, r.label) for r in connected(first.unionByName(more)).collect()}
+    assert {(r.node, r.label) for r in merged(connected(first), more).collect()} == want
+    assert {(r.node, r.label) for r in merged(connected(first.limit(0)), more).collect()} == {(r.node, r.label) for r in connected(more).collect()}
+    assert {(r.node, r.label) for r in merged(connected(first), more.limit(0)).collect()} == {(r.node, r.label) for r in connected(first).collect()}

@@ -25,3 +25,14 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if not step.where("moved").limit(1).count():
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label once more links (a, b) are known: only components that they join are gone through again."""
+    ends = {x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}")) for x in "ab"}
+    between = links.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")).where("a <> b").distinct()
+    up = connected(between).withColumnRenamed("label", "higher")
+    known = labels.join(up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("higher", "label").alias("label"))
+    # those that stood alone are nodes of `up` without a label of their own
+    new = up.join(labels.select("node"), "node", "left_anti").join(labels.select(F.col("label").alias("node")), "node", "left_anti")
+    return common.written(known.unionByName(new.select("node", F.col("higher").alias("label"))), "labels")

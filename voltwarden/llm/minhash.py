@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, jaccard
-from .components import connected
+from .components import connected, merged
 from .shingles import class_id, mix, shingle_set
 
 #: Coordinates a sketch, coordinates a band, coordinates that linked sets agree in at least, and bands that a text must have
@@ -146,16 +146,14 @@ def component_labels(given: DataFrame, classes: DataFrame, size: int, rule: jacc
     # the most alike other class of each class first: most components are whole after that
     ends = pairs.select(F.col("b").alias("x"), "a", "b", "far").unionByName(pairs.select(F.col("a").alias("x"), "a", "b", "far"))
     first = common.written(ends.groupBy("x").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "first")
-    links = jaccard.verified(first, given, classes, size, rule)
-    labels = connected(links)
+    labels = connected(jaccard.verified(first, given, classes, size, rule))
     left = common.written(jaccard.apart(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), labels), "left")
-    links = links.unionByName(jaccard.verified(left, given, classes, size, rule))
-    labels = connected(links)
+    labels = merged(labels, jaccard.verified(left, given, classes, size, rule))
     short = common.written(left_over(found.where("hot").select("a", "b"), labels), "short")
     if short.limit(1).count():
         own = with_parity(short, given, classes, size)
         rest = common.written(jaccard.near(jaccard.shingle_pairs(short, given, own, size, rule), own, rule), "near")
-        labels = connected(links.unionByName(jaccard.verified(rest, given, classes, size, rule)))
+        labels = merged(labels, jaccard.verified(rest, given, classes, size, rule))
     return labels
 
 
