@@ -56,6 +56,62 @@ def test_gradient():
     assert np.mean([(model.score(t) >= 0.5) == bool(k) for t, k in zip(texts, y)]) > 0.97
 
 
+def test_gradient_by_differences():
+    rng = np.random.default_rng(2)
+    bags = [quality.Counts.of("".join(rng.choice(list("abc de#%"), n))) for n in (700, 1600, 5, 1100)]
+    p = {"table": rng.normal(0, 0.3, (quality.BUCKETS, quality.WIDTH)), "dense": rng.normal(0, 0.5, (quality.DENSE, quality.WIDTH)), "v": rng.normal(0, 0.3, (16, 16)), "u": rng.normal(0, 0.3, (16, 16)), "w": rng.normal(0, 0.3, 16), "out": rng.normal(0, 0.3, 16), "bias": np.zeros(1)}
+    shift, y, weight = np.full(quality.DENSE, 0.2), np.array([1.0, 0, 1, 0]), np.array([0.6, 1.2, 0.6, 1.2])
+    _, g = quality.loss_and_gradients(p, shift, bags, y, weight)
+    used = int(bags[0].buckets[0])
+    for k, at in (("table", (used, 3)), ("dense", (2, 5)), ("v", (1, 7)), ("u", (9, 0)), ("w", (4,)), ("out", (11,)), ("bias", (0,))):
+        both = []
+        for by in (1e-5, -1e-5):
+            moved = {n: x.copy() for n, x in p.items()}
+            moved[k][at] += by
+            both.append(quality.loss_and_gradients(moved, shift, bags, y, weight)[0])
+        assert abs((both[0] - both[1]) / 2e-5 - g[k][at]) < 1e-6 + 1e-3 * abs(g[k][at])
+
+
+def test_ftrl_against_a_plain_one():
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.random(6), int(rng.integers(3))) for _ in range(60)]
+    weights, bias = langid.train(rows, 3, epochs=2)
+    z, n, order = [[0.0] * 3 for _ in range(41)], [[0.0] * 3 for _ in range(41)], np.random.default_rng(7)
+    plain = lambda f, c, l1, l2: 0.0 if abs(z[f][c]) <= l1 else -(z[f][c] - np.sign(z[f][c]) * l1) / ((1.0 + n[f][c] ** 0.5) / 0.5 + l2)
+    for _ in range(2):
+        for i in order.permutation(60):
+            found, values, y = rows[i]
+            at = [*[(int(f), float(v), 0.02) for f, v in zip(found, values)], (40, 1.0, 0.0)]
+            w = {f: [plain(f, c, pen, pen) for c in range(3)] for f, _, pen in at}
+            p = langid.softmax(np.array([sum(v * w[f][c] for f, v, _ in at) for c in range(3)]))
+            for f, v, _ in at:
+                for c in range(3):
+                    g = v * (p[c] - (c == y))
+                    more = n[f][c] + g * g
+                    z[f][c] += g - (more**0.5 - n[f][c] ** 0.5) / 0.5 * w[f][c]
+                    n[f][c] = more
+    assert np.allclose(weights[:40], [[plain(f, c, 0.02, 0.02) for c in range(3)] for f in range(40)])
+    assert np.allclose(bias, [plain(40, c, 0.0, 0.0) for c in range(3)])
+
+
+def test_samples_are_bounded_whatever_the_ids(spark, monkeypatch):
+    """Rows without an id, or with one that all have, are as many as the bound, not all of them."""
+    seen = {}
+    plain = common.written
+    monkeypatch.setattr(common, "written", lambda df, name, **k: seen.update({name: plain(df, name, **k)}) or seen[name])
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"))
+    model = langid.fit(docs, rows=60)
+    assert model.languages == ["a", "b"] and 60 <= seen["grams"].count() <= 120
+    few = langid.fit(docs, rows=60, volume=4000)
+    assert few.languages == ["a", "b"] and np.isfinite(few.weights).all()
+    docs = spark.range(20_000).select((F.col("id") % 2 * 8).alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") == 8).cast("int").alias("quality"))
+    quality.fit(docs, labels, rows=100)
+    assert 0 < seen["bags"].count() <= 100
+    apart = labels.withColumn("doc_id", F.col("doc_id") + 1_000_000)  # of documents that aren't there
+    assert {round(r.score, 6) for r in quality.score(docs.limit(5), quality.fit(docs, apart.unionByName(labels.limit(0)))).collect()} == {0.5}
+
+
 def test_secrets(spark):
     model = secrets.fit(spark)
     hexes = "9d3f1c7b5a8e2064f1b7c3d9e5a7086b4c2d1e9f"

@@ -14,14 +14,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Buckets of hashed n-grams, their lengths, the most rows a language that weights are trained on, the most in all, and the
-#: most languages.
-BUCKETS, LENGTHS, ROWS, TOTAL, LANGUAGES = 1 << 14, (1, 2, 3), 600, 12_000, 500
+#: Buckets of hashed n-grams, their lengths, the most rows a language that weights are trained on, the most in all, the
+#: most languages, and the most bytes of features in all.
+BUCKETS, LENGTHS, ROWS, TOTAL, LANGUAGES, VOLUME = 1 << 14, (1, 2, 3), 600, 12_000, 500, 100 << 20
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -110,7 +110,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def learnable(df: DataFrame, doc_id: str, text: str, lang: str, fold: int, held_out: int) -> DataFrame:
     rest = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(fold))
-    rows = df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("order"), rest.alias("rest"))
+    rows = df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("order"), rest.alias("rest"))
     return rows.where((F.col("rest") != held_out) & F.col("text").isNotNull() & F.col("lang").isNotNull()).drop("rest")
 
 
@@ -142,38 +142,42 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return total[:BUCKETS], int(total[BUCKETS])
 
 
-def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: int = 4, held_out: int = 2, rows: int = ROWS, most: int = LANGUAGES, total: int = TOTAL) -> Model:
+def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fold: int = 4, held_out: int = 2, rows: int = ROWS, most: int = LANGUAGES, total: int = TOTAL, volume: int = VOLUME) -> Model:
     """A model of df's languages, from the rows with a text and a language outside the held-out fold.
 
-    `rows` bounds how many a language weights are trained on, chosen by a hash of the id, and `total` how many in all; a
-    fifth of them is left for the temperature. The `most` languages with the most rows are learned; ties by name. Repeated
-    rows count as often as they stand there, whole texts are counted, and an empty table has no such rows. Without such rows the model knows no language.
+    `rows` bounds how many of a language weights are trained on, `total` how many in all, and `volume` the bytes of their
+    features, of which each language has an equal share (its first row counts whatever its size). They are chosen by a
+    hash of id and text in the tasks, so what the driver gets is bounded however often an id stands there. A fifth of
+    them is left for the temperature. The `most` languages with the most rows are learned; ties by name. Repeated rows
+    count as often as they stand there, whole texts are counted, and an empty table has no such rows. Without such rows
+    the model knows no language.
     """
     given = learnable(df, doc_id, text, lang, fold, held_out)
     by_lang = given.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most)
     counts = {r.lang: r.n for r in by_lang.collect()}
     languages = sorted(counts)
-    rows = max(20, min(rows, total // max(1, len(languages))))
+    rows = min(rows, max(1, total // max(1, len(languages))))
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
     df_counts, n = frequencies(given)
     idf = np.log((1 + n) / (1 + df_counts)) + 1
-    spread = float(1 << 20)
-    share = F.pmod(F.col("order"), F.lit(1 << 20))
-    wanted = F.lit(False)
-    for x in languages:  # about half as many again as wanted, then the first by hash
-        wanted = wanted | ((F.col("lang") == x) & (share < min(spread, 1.5 * rows / counts[x] * spread + 1)))
+    # at most `most` rows: about half as many again as wanted pass by their hash, then the first by hash are taken
+    shares = df.sparkSession.createDataFrame([(x, min(1.0, 1.5 * rows / counts[x] + 1e-6)) for x in languages], "lang string, share double")
+    some = given.join(F.broadcast(shares), "lang").where(F.pmod("order", F.lit(1 << 20)) / float(1 << 20) < F.col("share"))
+    some = common.least_of(some.select("lang", "text", "order"), ["order"], rows, ["lang"])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
             got = [grams(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([f.astype("<i4").tobytes() for f, _ in got], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in got], pa.binary())], ["lang", "order", "found", "counts"])
 
-    sample = given.where(wanted).select("text", "lang", "order").mapInArrow(featured, "lang string, order long, found binary, counts binary").collect()  # 1.5 * rows a language
+    made = common.written(some.select("text", "lang", "order").mapInArrow(featured, "lang string, order long, found binary, counts binary"), "grams")
+    so_far = Window.partitionBy("lang").orderBy("order", "found").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounded = made.withColumn("bytes", F.sum(F.length("found") + F.length("counts")).over(so_far)).withColumn("k", F.row_number().over(so_far))
+    sample = bounded.where((F.col("bytes") <= volume // len(languages)) | (F.col("k") == 1)).drop("bytes", "k").collect()  # `total` rows, `volume` bytes
     data, rest = [], []
     for i, x in enumerate(languages):
-        own = sorted((r for r in sample if r.lang == x), key=lambda r: (r.order % (1 << 20), r.order, r.found))[:rows]
-        for k, r in enumerate(own):
+        for k, r in enumerate(sorted((r for r in sample if r.lang == x), key=lambda r: (r.order, r.found))):
             found = np.frombuffer(r.found, "<i4")
             row = (found, weigh(found, np.frombuffer(r.counts, "<i4"), idf), i)
             (rest if k % 5 == 4 else data).append(row)

@@ -98,6 +98,40 @@ class Counts:
         return Counts(*parts[:4], parts[4].reshape(-1, DENSE))
 
 
+def loss_and_gradients(p: dict[str, np.ndarray], shift: np.ndarray, bags: list[Counts], y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean weighted log-loss of the bags, and its gradient by each parameter."""
+    counts = np.array([len(b.sizes) for b in bags])
+    base = np.concatenate([[0], np.cumsum(counts)])
+    rows = np.repeat(np.arange(base[-1]), np.concatenate([b.entries for b in bags]))
+    cols = np.concatenate([b.buckets for b in bags]).astype(np.intp)
+    vals = np.concatenate([b.times for b in bags]).astype(np.float32) / np.concatenate([b.sizes for b in bags])[rows].astype(np.float32)
+    dense = np.concatenate([b.dense for b in bags]) - shift
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    code = np.tanh(np.add.reduceat(p["table"][cols] * vals[:, None], first, axis=0) + dense @ p["dense"])
+    t, s = np.tanh(code @ p["v"]), 1 / (1 + np.exp(-(code @ p["u"])))
+    gate = (t * s) @ p["w"]
+    doc, begin = np.repeat(np.arange(len(bags)), counts), base[:-1]
+    e = np.exp(gate - np.maximum.reduceat(gate, begin)[doc])
+    a = e / np.add.reduceat(e, begin)[doc]
+    z = np.add.reduceat(a[:, None] * code, begin, axis=0)
+    logit = z @ p["out"] + p["bias"]
+    loss = float((weight * (np.logaddexp(0, logit) - y * logit)).sum() / len(bags))
+    err = (1 / (1 + np.exp(-logit)) - y) * weight / len(bags)
+    g = {"out": z.T @ err, "bias": np.array([err.sum()])}
+    dz = err[:, None] * p["out"]
+    da = (dz[doc] * code).sum(axis=1)
+    dgate = a * (da - np.add.reduceat(a * da, begin)[doc])
+    dcode = a[:, None] * dz[doc]
+    g["w"] = (t * s).T @ dgate
+    dt, ds = dgate[:, None] * p["w"] * s * (1 - t * t), dgate[:, None] * p["w"] * t * s * (1 - s)
+    g["v"], g["u"] = code.T @ dt, code.T @ ds
+    dcode += dt @ p["v"].T + ds @ p["u"].T
+    dcode *= 1 - code * code
+    g["dense"] = dense.T @ dcode
+    g["table"] = np.stack([np.bincount(cols, weights=vals * dcode[rows, k], minlength=BUCKETS) for k in range(WIDTH)], axis=1)
+    return loss, g
+
+
 def train(bags: list[Counts], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.02, decay: float = 1e-5, seed: int = 11) -> Model:
     """Fits a model by Adam on the documents' log-likelihood, classes weighted alike."""
     rng = np.random.default_rng(seed)
@@ -113,33 +147,7 @@ def train(bags: list[Counts], labels: np.ndarray, epochs: int = 12, batch: int =
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            counts = np.array([len(bags[i].sizes) for i in own])
-            base = np.concatenate([[0], np.cumsum(counts)])
-            rows = np.repeat(np.arange(base[-1]), np.concatenate([bags[i].entries for i in own]))
-            cols = np.concatenate([bags[i].buckets for i in own]).astype(np.intp)
-            vals = np.concatenate([bags[i].times for i in own]).astype(np.float32) / np.concatenate([bags[i].sizes for i in own])[rows].astype(np.float32)
-            dense = np.concatenate([bags[i].dense for i in own]) - shift
-            first = np.flatnonzero(np.diff(rows, prepend=-1))
-            code = np.tanh(np.add.reduceat(p["table"][cols] * vals[:, None], first, axis=0) + dense @ p["dense"])
-            t, s = np.tanh(code @ p["v"]), 1 / (1 + np.exp(-(code @ p["u"])))
-            gate = (t * s) @ p["w"]
-            doc, begin = np.repeat(np.arange(len(own)), counts), base[:-1]
-            e = np.exp(gate - np.maximum.reduceat(gate, begin)[doc])
-            a = e / np.add.reduceat(e, begin)[doc]
-            z = np.add.reduceat(a[:, None] * code, begin, axis=0)
-            err = (1 / (1 + np.exp(-(z @ p["out"] + p["bias"]))) - y[own]) * weight[own] / len(own)
-            g = {"out": z.T @ err, "bias": np.array([err.sum()])}
-            dz = err[:, None] * p["out"]
-            da = (dz[doc] * code).sum(axis=1)
-            dgate = a * (da - np.add.reduceat(a * da, begin)[doc])
-            dcode = a[:, None] * dz[doc]
-            g["w"] = (t * s).T @ dgate
-            dt, ds = dgate[:, None] * p["w"] * s * (1 - t * t), dgate[:, None] * p["w"] * t * s * (1 - s)
-            g["v"], g["u"] = code.T @ dt, code.T @ ds
-            dcode += dt @ p["v"].T + ds @ p["u"].T
-            dcode *= 1 - code * code
-            g["dense"] = dense.T @ dcode
-            g["table"] = np.stack([np.bincount(cols, weights=vals * dcode[rows, k], minlength=BUCKETS) for k in range(WIDTH)], axis=1)
+            _, g = loss_and_gradients(p, shift, [bags[i] for i in own], y[own], weight[own])
             step += 1
             for k, x in g.items():
                 x = x + decay * p[k]
@@ -150,6 +158,13 @@ def train(bags: list[Counts], labels: np.ndarray, epochs: int = 12, batch: int =
     return Model(p["table"].astype(f), p["dense"].astype(f), shift.astype(f), p["v"].astype(f), p["u"].astype(f), p["w"].astype(f), p["out"].astype(f), float(p["bias"][0]))
 
 
+def constant(counts: dict[int, int]) -> Model:
+    """A model that scores all documents alike: the share of class 1, 1 where nothing is known."""
+    zero = np.zeros((WIDTH, WIDTH), np.float32)
+    bias = float(np.log(counts[1] / counts[0])) if len(counts) == 2 else -30.0 if 0 in counts else 30.0
+    return Model(np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((DENSE, WIDTH), np.float32), np.zeros(DENSE, np.float32), zero, zero, zero[0], zero[0], bias)
+
+
 def _rest(doc_id: str, fold: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(fold))
 
@@ -158,21 +173,25 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, ro
     """A model from the labelled rows outside the held-out fold.
 
     `rows` and `passages` bound how many of them, and how many passages of theirs, are learned from, half of each class,
-    chosen by a hash of the id; tasks make the bags, and the driver gets those that it learns from. The bias is moved by
-    the classes' shares among all labelled rows, so a score is a probability there. Null labels and labels other than 0
-    and 1 don't count; with no labels of one class the model scores all documents alike, by the share of class 1, or 1
-    where nothing is labelled.
+    chosen by a hash of the id, then of the text; an id counts by its smallest label, whatever its repeats. Tasks make the
+    bags, and the driver gets those that it learns from. The bias is moved by the classes' shares among all labelled ids,
+    so a score is a probability there. Null labels and labels other than 0
+    and 1 don't count; null ids are no labels of a document. Where one class has no labelled document, the model scores all
+    alike, by the share of class 1, or 1 where nothing is labelled.
     """
     known = labels.select(F.col(doc_id).alias("l_id"), F.col(label).cast("int").alias("y"), _rest(doc_id, fold).alias("rest")).where((F.col("rest") != held_out) & F.col("y").isin(0, 1)).drop("rest")
+    # an id counts once, by its smallest label; so what is broadcast is bounded, and documents are only filtered by it
+    known = known.where("l_id IS NOT NULL").groupBy("l_id").agg(F.min("y").alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
-        zero = np.zeros((WIDTH, WIDTH), np.float32)
-        return Model(np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((DENSE, WIDTH), np.float32), np.zeros(DENSE, np.float32), zero, zero, zero[0], zero[0], -30.0 if 0 in counts else 30.0)
+        return constant(counts)
     spread, each = float(1 << 20), rows // 2
     share = F.pmod(F.xxhash64("l_id"), F.lit(1 << 20))
     some = known.where(F.coalesce(*[F.when(F.col("y") == k, share < min(spread, 1.2 * each / n * spread + 1)) for k, n in counts.items()]))
-    # the rows wanted are bounded, so their ids may be broadcast: documents are only filtered
+    some = common.least_of(some.withColumn("order", F.xxhash64("l_id")), ["order", "l_id"], each, ["y"])
     near = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("l_id"))
+    # documents that repeat an id: the first by a hash of the text
+    near = common.least_of(near.withColumn("tie", F.xxhash64("text")), ["order", "l_id", "tie"], each, ["y"])
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
@@ -180,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, ro
             raw = [pa.array(x, pa.binary()) for x in zip(*[m.packed() for m in made])]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(m.sizes) for m in made], pa.int64()), *raw], ["row", "l_id", "y", "n", *PARTS])
 
+    near = near.select("l_id", "y", "text")
     made = near.select(F.monotonically_increasing_id().alias("row"), "l_id", "y", "text").mapInArrow(bags, f"row long, l_id long, y int, n long, {', '.join(f'{p} binary' for p in PARTS)}")
     made = common.written(made, "bags")
     sizes, picked = made.select("row", "l_id", "y", "n", F.crc32("buckets").alias("tie")).collect(), []
@@ -190,6 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, ro
             if room < 0 and picked and picked[-1].y == k:
                 break
             picked.append(r)
+    if len({r.y for r in picked}) < 2:
+        return constant(counts)
     wanted = docs.sparkSession.createDataFrame([(r.row,) for r in picked], "row long")
     got = {r.row: Counts.unpacked(tuple(bytes(r[p]) for p in PARTS)) for r in made.join(F.broadcast(wanted), "row").toLocalIterator()}
     model = train([got[r.row] for r in picked], np.array([r.y for r in picked]))

@@ -27,19 +27,21 @@ CANDIDATE = (
     r"|(?:(?:Proc-Type|DEK-Info|Comment|Subject|X-[A-Za-z-]++):[^\r\n\\]*+|[A-Za-z0-9+/=\s]|\\[nrt/])*+)"
     r"|(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}+={0,2}+"
 )
-KNOWN = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_.-]+|-----BEGIN .*)"
+KNOWN = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|//hooks\.slack\.com/services/T[A-Za-z0-9_]+/B[A-Za-z0-9_]+/[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_.-]+|-----BEGIN .*)"
 FOR = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?secret|signing[_-]?key)s?"
 AGAINST = r"(?:example|sample|test|dummy|placeholder|sha-?(?:1|256|512)|md5|checksum|digest|commit|revision|hash|uuid|guid|etag|integrity|version|build|fingerprint)"
 #: The parts that words of texts and of code are made of; what they cover of a candidate is no key.
 DICTIONARY = "the and ing ion ent ation for her ter hat tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat tion ment able data file user name test path home main code list type read write class index value table field model admin local config public static system server client src lib bin usr var opt www http https html json java python node module package".split()
 #: What labelled findings are made of where there are none of one's own: words in no list of the features, names that a
-#: value is assigned to, and signs of the assignment.
+#: value is assigned to (of secrets, and of what is none), signs of the assignment, and addresses that hold a secret.
 PLAIN = "customer invoice shipment quarterly harvest northern cathedral window bicycle laptop garden engine paper yellow silver mountain rivers village captain doctor school teacher kitchen summer winter forest animal market orange travel letter number bridge castle church coffee dinner driver farmer finger flower friend ground health island jacket ladder leader lesson luggage marble memory mirror museum needle office parade pencil people pepper picnic planet pocket police potato prince puzzle rabbit record ribbon saddle sailor salmon season shadow sheep signal singer sister spirit spring square stable street string student sugar sunset supper target temple tennis theatre ticket tiger timber tomato tunnel turtle umbrella valley velvet violin wallet weather weekend welcome whistle wonder yogurt zebra zipper".split()
 NAMES = ["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "API_KEY", "DB_PASSWORD", "Secret", "private_key", "credential", "signing_key", "access-token", "authToken"]
+HARMLESS = ["checksum", "sha1", "md5", "digest", "revision", "commit", "uuid", "etag", "build", "version", "fingerprint", "integrity", "request_id", "trace_id", "session", "guid"]
 SIGNS = [' = "', '="', ": '", ' := "', "=", ": ", " ", '": "', " = '", "=>'"]
-#: Code points looked at before and after a candidate; texts, and findings of theirs, that a model may learn from.
-BEFORE, AFTER, TEXTS, OWN = 48, 24, 400, 3000
-FEATURES = ["length", "changes", "digits", "uppers", "vowels", "hexes", "variety", "covered", "longest_word", "slashes", "dots", "path", "assigned", "quoted", "keyword", "against", "known"]
+ADDRESSES = ["postgres://app:", "mysql://root:", "redis://:", "amqp://worker:", "mongodb://admin:", "ftp://backup:", "https://deploy:", "https://"]
+#: Code points looked at before and after a candidate; texts that contexts are cut from.
+BEFORE, AFTER, TEXTS = 48, 24, 400
+FEATURES = ["length", "changes", "digits", "uppers", "vowels", "hexes", "variety", "covered", "longest_word", "slashes", "dots", "path", "assigned", "quoted", "keyword", "against", "known", "userinfo", "uuid"]
 
 
 def _share(found: Column, removed: str, length: Column) -> Column:
@@ -71,14 +73,18 @@ def features(found: Column, before: Column, after: Column) -> dict[str, Column]:
         "keyword": flag(ahead.rlike(rf"{FOR}\W{{0,12}}$")),
         "against": flag(ahead.rlike(rf"{AGAINST}\W{{0,12}}$") | low.rlike("example|placeholder|changeme|xxxx")),
         "known": flag(found.rlike(KNOWN)),
+        "userinfo": flag(after.startswith("@") & (before.rlike(r"://[^\s/@]{0,24}:?$") | found.startswith("//"))),
+        "uuid": flag(low.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
     }
 
 
-def labelled_findings(n: int = 3000, seed: int = 3, prose: list[str] | None = None) -> list[tuple[str, str, str, int]]:
+def labelled_findings(n: int = 4000, seed: int = 3, prose: list[str] | None = None) -> list[tuple[str, str, str, int]]:
     """Labelled findings to train from where there are none of one's own: (found, before, after, label), half of them secrets.
 
-    Secrets are random keys of the usual alphabets assigned to the usual names, or of known forms; the others are words,
-    names, paths, addresses, digests, ids, numbers and placeholders. What stands around them is cut from `prose`.
+    Secrets are random keys of the usual alphabets or of known forms: assigned to names of secrets, to made names that say
+    nothing, in addresses before an @, or bare. The others are words, names, paths, addresses, ids, numbers and
+    placeholders, random values assigned to names of checksums and ids, and bare hexadecimal ones. So a name alone decides
+    nothing, and none is needed. What stands around them is cut from `prose`.
     """
     rng = random.Random(seed)
     pick = lambda s, k: "".join(rng.choice(s) for _ in range(k))
@@ -93,30 +99,52 @@ def labelled_findings(n: int = 3000, seed: int = 3, prose: list[str] | None = No
         at = rng.randint(0, len(text))
         return text[:at][-BEFORE:], text[at:][:AFTER]
 
-    out = []
-    for i in range(n // 2):
-        kind = i % 7
-        found = [
-            lambda: pick(hexes, rng.choice([32, 40, 40, 48, 64])),
-            lambda: pick(alnum, rng.randint(20, 64)),
-            lambda: pick(alnum + "+/", rng.randint(24, 64)) + rng.choice(["", "=", "=="]),
-            lambda: rng.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + (string.digits if rng.random() < 0.7 else ""), 16),
-            lambda: rng.choice(["ghp_", "gho_", "ghs_"]) + pick(alnum, 36),
-            lambda: pick(alnum + "-_", rng.randint(24, 300)),
-            lambda: pick(string.ascii_uppercase + string.digits, rng.randint(20, 40)),
-        ][kind]()
-        sign, name, (lead, rest) = rng.choice(SIGNS), rng.choice(NAMES), around()
-        bare = kind in (3, 4) and rng.random() < 0.5
-        if kind == 0 and rng.random() < 0.2:
-            found = found.upper()
+    def named() -> str:
+        """A name made of words or syllables, in one of the usual cases."""
+        parts = [word(1) for _ in range(rng.randint(1, 3))]
+        return rng.choice([lambda: "_".join(parts), lambda: "_".join(parts).upper(), lambda: parts[0] + "".join(x.capitalize() for x in parts[1:]), lambda: "-".join(parts), lambda: ".".join(parts)])()
+
+    def assigned(name: str, found: str, rest: str) -> tuple[str, str]:
+        """What stands before and after a value that is assigned to a name."""
+        sign = rng.choice(SIGNS)
         name = name.upper() if rng.random() < 0.2 else name
-        before = f"{lead} " if bare else f"{lead} {rng.choice(['', 'my_', 'x-', 'export '])}{name}{sign}"
-        if not bare and rng.random() < 0.3:
+        before = f"{rng.choice(['', 'my_', 'x-', 'export '])}{name}{sign}"
+        if rng.random() < 0.25:
             before = before.rstrip("\"'")
-        quote = "" if bare or before[-1] not in "\"'" else {'"': '"', "'": "'"}.get(sign[-1], "")
-        out.append((found, before[-BEFORE:], (quote + rng.choice([" ", "\n", ",", ";", "### ", ""]) + rest)[:AFTER], 1))
+        quote = before[-1] if before[-1] in "\"'" else ""
+        return before, quote + rng.choice([" ", "\n", ",", ";", "### ", ""]) + rest
+
+    out = []
+    keys = [
+        lambda: pick(hexes, rng.choice([32, 40, 40, 48, 64])),
+        lambda: pick(alnum, rng.randint(16, 64)),
+        lambda: pick(alnum + "+/", rng.randint(24, 64)) + rng.choice(["", "=", "=="]),
+        lambda: pick(alnum + "-_", rng.randint(20, 300)),
+        lambda: pick(string.ascii_uppercase + string.digits, rng.randint(20, 40)),
+        lambda: pick(string.ascii_lowercase + string.digits, rng.randint(20, 48)),
+    ]
+    known = [lambda: rng.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + (string.digits if rng.random() < 0.7 else ""), 16), lambda: rng.choice(["ghp_", "gho_", "ghs_"]) + pick(alnum, 36), lambda: rng.choice(["sk_live_", "sk_test_", "rk_live_"]) + pick(alnum, rng.randint(20, 40)), lambda: f"//hooks.slack.com/services/T{pick(alnum, 8)}/B{pick(alnum, 8)}/{pick(alnum, 24)}"]
+    for i in range(n // 2):
+        lead, rest = around()
+        kind = i % 10
+        if kind < 2:
+            found = rng.choice(known)()
+            before, after = (("https:" if found.startswith("//") else ""), " " + rest) if rng.random() < 0.5 or found.startswith("//") else assigned(rng.choice([rng.choice(NAMES), named()]), found, rest)
+        elif kind == 9:  # in an address
+            found, before = rng.choice([keys[0], keys[1], keys[1]])(), rng.choice(ADDRESSES)
+            if before == "https://":
+                found, before = "//" + found, "https:"
+            after = "@" + word(2) + rest
+        elif kind == 8:  # bare: of mixed case and digits
+            found, before, after = rng.choice(keys[1:3])(), "", rng.choice([" ", "\n", ", "]) + rest
+        else:
+            found = rng.choice(keys)()
+            found = found.upper() if found.islower() and rng.random() < 0.1 else found
+            before, after = assigned(rng.choice(NAMES) if kind < 6 else named(), found, rest)
+        out.append((found, f"{lead} {before}"[-BEFORE:], after[:AFTER], 1))
     for i in range(n - n // 2):
-        kind, (lead, rest) = i % 9, around()
+        kind, (lead, rest) = i % 10, around()
+        lead += " "
         found = [
             lambda: word(rng.randint(3, 7)),
             lambda: word(rng.randint(3, 6)).capitalize() + rng.choice(["", "."]),
@@ -127,37 +155,39 @@ def labelled_findings(n: int = 3000, seed: int = 3, prose: list[str] | None = No
             lambda: rng.choice(["your_api_key_goes_here", "x" * rng.randint(16, 40), "changeme-changeme-changeme", "EXAMPLE" + pick(alnum, 13), "placeholder_token_value", "<" + word(3) + ">", "insert-token-here", "0" * 32]),
             lambda: pick(string.digits, rng.randint(16, 24)),
             lambda: word(1).capitalize() + "".join(word(1).capitalize() for _ in range(rng.randint(2, 4))),
+            lambda: pick(hexes, rng.choice([16, 32, 40, 64])),
         ][kind]()
-        lead += " "
+        after = rng.choice([" ", "\n", ". ", '"']) + rest
         if kind in (0, 3) and rng.random() < 0.25:
             found = found.upper()
         if kind in (4, 5):
-            lead += rng.choice(["sha1 ", "commit ", "md5: ", "checksum = ", "uuid=", "uuid: \"", 'etag: "', "revision ", "digest ", "sha256:", "integrity sha512-", "fingerprint "])
-        elif kind == 6:
-            lead += rng.choice(NAMES) + rng.choice(SIGNS)
+            if rng.random() < 0.5:
+                lead += rng.choice(["sha1 ", "commit ", "md5: ", "checksum = ", "uuid=", "uuid: \"", 'etag: "', "revision ", "digest ", "sha256:", "integrity sha512-", "fingerprint "])
+            else:
+                before, after = assigned(rng.choice(HARMLESS), found, rest)
+                lead += before
+        elif kind == 9:  # bare, or after a word
+            lead += rng.choice(["", "", word(1) + " ", "commit ", "see ", "at "])
+        elif kind == 6 or kind < 9 and rng.random() < 0.2:  # no key, whatever it is assigned to
+            before, after = assigned(rng.choice(NAMES) if rng.random() < 0.4 else named(), found, rest)
+            lead += before
         elif kind in (2, 8) and rng.random() < 0.5:
             lead += rng.choice(["https://", "/", "import ", "class ", 'href="'])
         elif rng.random() < 0.15:
             lead += rng.choice(NAMES) + rng.choice([" ", " of ", " for the ", "s and "])
-        out.append((found, lead[-BEFORE:], (rng.choice([" ", "\n", ". ", '"']) + rest)[:AFTER], 0))
+        out.append((found, lead[-BEFORE:], after[:AFTER], 0))
     return out
 
 
-def own_findings(docs: DataFrame, text: str = "text", texts: int = TEXTS, most: int = OWN) -> tuple[list[str], list[tuple[str, str, str, int]]]:
-    """Stretches of the corpus's own texts, and labelled findings from them: at most `texts` and `most`, chosen by a hash.
-
-    A candidate that no name of a secret stands before, and that has no known form, is no secret; the others are left out.
-    """
-    given = docs.select(F.col(text).cast("string").alias("body")).where(F.length("body") > 0).select("body", F.xxhash64("body").alias("order"))
+def stretches(docs: DataFrame, text: str = "text", texts: int = TEXTS) -> list[str]:
+    """Stretches of at most `texts` of the corpus's own texts, chosen by a hash, to set labelled findings in."""
+    given = docs.select(F.col(text).cast("string").alias("body"))
     total = given.count()
+    given = given.where(F.length("body") > 0).select("body", F.xxhash64("body").alias("order"))
     share = F.pmod(F.col("order"), F.lit(1 << 30)) / float(1 << 30)
     some = given.where(share <= 4.0 * texts / max(1, total)).dropDuplicates(["order"]).orderBy("order").limit(texts)
     stretch = F.substr("body", F.pmod(F.col("order"), F.length("body")).cast("int") + 1, F.lit(4 * BEFORE))
-    prose = [r.s for r in some.select(stretch.alias("s")).collect()]
-    spans = located(some.withColumn("found", _candidates(F.col("body"))), "body", CANDIDATE, "found", "span", BEFORE, AFTER)
-    each = spans.select(F.explode_outer("span").alias("x")).where(F.col("x").isNotNull()).select("x.found", "x.before", "x.after")
-    each = each.where(~F.lower("before").rlike(FOR) & ~F.col("found").rlike(KNOWN)).dropDuplicates(["found"]).orderBy(F.xxhash64("found"), "found").limit(most)
-    return prose, [(r.found, r.before, r.after, 0) for r in each.collect()]
+    return [r.s for r in some.select(stretch.alias("s")).collect()]
 
 
 def _assembled(df: DataFrame) -> DataFrame:
@@ -165,14 +195,15 @@ def _assembled(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol=vector, handleInvalid="keep").transform(df)
 
 
-def fit(spark: SparkSession, findings: DataFrame | None = None, docs: DataFrame | None = None, text: str = "text", trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
+def fit(spark: SparkSession, findings: DataFrame | None = None, docs: DataFrame | None = None, text: str = "text", trees: int = 24, depth: int = 9) -> RandomForestClassificationModel:
     """A forest from labelled findings: found, before, after (strings; null: empty) and label (1: a secret).
 
-    Without findings it learns from made ones, set in stretches of `docs` where these are given, and from docs' own.
+    Without findings it learns from made ones, set in stretches of `docs` where these are given. No text of docs is
+    labelled by a rule, so what it takes for a secret does not rest on the names before it.
     """
     if findings is None:
-        prose, own = own_findings(docs, text) if docs is not None else (None, [])
-        findings = spark.createDataFrame(labelled_findings(prose=prose) + own, "found string, before string, after string, label int")
+        made = labelled_findings(prose=(stretches(docs, text) or None) if docs is not None else None)
+        findings = spark.createDataFrame(made, "found string, before string, after string, label int")
     given = findings.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("found", "before", "after")], F.col("label").cast("double").alias("label"))
     rows = given.select("label", *[c.cast("double").alias(k) for k, c in features(F.col("found"), F.col("before"), F.col("after")).items()])
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="0.5", seed=5)
