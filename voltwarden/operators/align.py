@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spans import positions
 
-def tumbling(df: DataFrame, per: int, keys: list[str], values: list[str], order: str = "idx") -> DataFrame:
-    """keys, frame and the means of `values` over each `per` rows by position, the last rest included."""
-    pos = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return df.withColumn("frame", F.floor(pos / per).cast("long")).groupBy(*keys, "frame").agg(*[F.avg(v).alias(v) for v in values])
+
+def tumbling(df: DataFrame, per: int, keys: list[str], values: list[str], order: str = "idx", span: int | None = None) -> DataFrame:
+    """keys, frame and the means of `values` over each `per` rows by position, the last rest included; with `span`, a series is counted in parts of so many of `order`."""
+    df = positions(df, keys, order, span, "__pos") if span else df.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    return df.withColumn("frame", F.floor(F.col("__pos") / per).cast("long")).groupBy(*keys, "frame").agg(*[F.avg(v).alias(v) for v in values])
 
 
 def filled(df: DataFrame, keys: list[str], length: int | None, order: str = "frame", value: str = "value") -> DataFrame:

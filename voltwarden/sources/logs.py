@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.channels import host_of
+from ..operators.spans import earlier, positions
 
+#: Lines of a file that are numbered in one task.
+LINES = 1 << 20
 TIME = "yyyy-MM-dd_HH:mm:ss.SSSSSS"
 
 
@@ -16,8 +19,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Files of any size are read in parts: a line's place is the offset of its part and its place in that.
     """
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"))
-    place = F.row_number().over(Window.partitionBy("path").orderBy("part", "nth")) - 1
-    return rows.select("path", place.alias("line_no"), F.col("value").alias("line"))
+    rows = positions(rows, ["path"], "nth", F.col("part"), "line_no")
+    return rows.select("path", "line_no", F.col("value").alias("line"))
 
 
 def frequency(spark: SparkSession, path: str, keep_unparsable: bool = False) -> DataFrame:
@@ -27,8 +30,8 @@ def frequency(spark: SparkSession, path: str, keep_unparsable: bool = False) ->
         rows = rows.where(F.trim("line") != "")
     value = F.try_element_at(F.split("line", ","), F.lit(2)).try_cast("double")
     rows = rows.select("path", "line_no", "line", (F.coalesce(value, F.lit(float("nan"))) if keep_unparsable else value).alias("frq")).where("frq IS NOT NULL")
-    idx = F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1
-    return rows.withColumn("idx", idx.cast("long")).select("path", "idx", "frq", *(["line"] if keep_unparsable else []))
+    rows = positions(rows, ["path"], "line_no", LINES, "idx")
+    return rows.select("path", "idx", "frq", *(["line"] if keep_unparsable else []))
 
 
 def log_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -40,8 +43,7 @@ def log_rows(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path).withColumn("line", F.trim("line")).where("line <> ''")
     is_header = F.col("line").startswith("#") & F.contains("line", F.lit("reading-time"))
     names = F.split(F.trim(F.regexp_replace("line", "^#+", "")), r"\s+")
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    headed = lines.withColumn("header", F.last(F.when(is_header, names), ignorenulls=True).over(w)).where(~F.col("line").startswith("#"))
+    headed = earlier(lines, ["path"], "line_no", LINES, last={"header": F.when(is_header, names)}).where(~F.col("line").startswith("#"))
     header = F.when(F.col("header").isNull(), F.raise_error(F.concat(F.lit("data before a header in "), F.col("path")))).otherwise(F.col("header"))
     rows = headed.select("path", "line_no", header.alias("header"), F.split("line", r"\s+").alias("parts")).where("size(parts) >= size(header)")
     return rows.select("path", "line_no", F.map_from_arrays("header", F.slice("parts", F.lit(1), F.size("header"))).alias("cells"))
@@ -57,7 +59,7 @@ def readings(rows: DataFrame, columns: dict[str, Column], ceilings: list[str], m
     out = out.where(" AND ".join(f"`{n}` IS NOT NULL" for n in columns))
     if ceilings:
         out = out.where(F.greatest(*[F.col(f"`{c}`") for c in ceilings], F.lit(float("-inf"))) <= most)
-    out = out.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
+    out = positions(out, ["path"], "line_no", LINES, "pos").withColumn("pos", F.col("pos") + 1)
     return (out if cap is None else out.where(F.col("pos") <= cap)).drop("line_no")
 
 
