@@ -5,11 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
+
+#: Buckets that a range of values is cut into.
+BUCKETS = 4096
+
+
+def selected(df: DataFrame, values: dict[str, tuple[Column, list[float]]], by: list[str] | None = None) -> DataFrame:
+    """by, and under each name an array of exact percentiles (linear interpolation) of its column; nulls and what is not finite don't count.
+
+    The values of the wanted ranks are selected: rows are counted by bucket of the range that a rank may lie in, and the
+    bucket that holds it becomes the range, from its least to its largest value, until these are one. A round sees counts,
+    no task holds values, and all names, keys and ranks go together. A key without values has nulls.
+    """
+    by = by or []
+    keys = [*by, "__name"]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), c.cast("double").alias("v")) for n, (c, _) in values.items()]))
+    rows = df.select(*by, each.alias("__x")).select(*by, F.col("__x.n").alias("__name"), F.col("__x.v").alias("__v"))
+    sound = rows.where(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.abs("__v") != float("inf")))
+    ends = sound.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    shares = F.create_map(*[F.lit(x) for n, (_, ps) in values.items() for x in (n, F.array(*map(F.lit, map(float, ps))))])
+    place = (F.col("__n") - 1) * F.col("__p")
+    wanted = ends.select("*", F.posexplode(shares[F.col("__name")]).alias("__i", "__p"))
+    wanted = wanted.withColumn("__k", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))))
+    state = kept(wanted.select(*keys, "__k", "__lo", "__hi", F.lit(0).cast("long").alias("__below")).dropDuplicates([*keys, "__k"]))
+    done = None
+    while True:
+        settled = state.where("__lo = __hi").select(*keys, "__k", F.col("__lo").alias("__value"))
+        done = settled if done is None else done.unionByName(settled)
+        left = state.where("__lo < __hi")
+        if not left.limit(1).count():
+            break
+        same = [sound[k].eqNullSafe(left[k]) for k in keys]
+        joined = sound.join(left, [*same, sound["__v"].between(left["__lo"], left["__hi"])]).select(*[left[k] for k in keys], "__k", "__lo", "__hi", "__below", "__v")
+        # halves, since the width of a range may be more than a double holds
+        bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("__v") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2) * BUCKETS))
+        counts = joined.groupBy(*keys, "__k", "__below", bucket.alias("__b")).agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        before = Window.partitionBy(*keys, "__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        under = F.col("__below") + F.coalesce(F.sum("__c").over(before), F.lit(0))
+        inside = counts.withColumn("__under", under).where("__k >= __under AND __k < __under + __c")
+        state = kept(inside.select(*keys, "__k", "__lo", "__hi", F.col("__under").alias("__below")))
+    done = kept(done)
+    lower, upper = (done.select(*[F.col(k).alias(f"{p}_{k}") for k in keys], F.col("__k").alias(f"{p}k"), F.col("__value").alias(f"{p}v")) for p in ("__l", "__u"))
+    at = wanted.select(*keys, "__i", place.alias("__at")).dropDuplicates([*keys, "__i"])
+    at = at.join(lower, [at[k].eqNullSafe(lower[f"__l_{k}"]) for k in keys] + [F.floor("__at") == F.col("__lk")]).join(upper, [at[k].eqNullSafe(upper[f"__u_{k}"]) for k in keys] + [F.ceil("__at") == F.col("__uk")])
+    found = at.select(*keys, "__i", (F.col("__lv") + (F.col("__uv") - F.col("__lv")) * (F.col("__at") - F.floor("__at"))).alias("__value"))
+    lists = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__value"))), lambda x: x["__value"]).alias("__all"))
+    out = lists.groupBy(*by).agg(*[F.max(F.when(F.col("__name") == n, F.col("__all"))).alias(n) for n in values])
+    if not by:
+        return out
+    have = df.select(*by).distinct()
+    named = out.withColumnsRenamed({k: f"__{k}" for k in by})
+    return have.join(named, [have[k].eqNullSafe(named[f"__{k}"]) for k in by], "left").select(*by, *values)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A small table of ranks, written where the cluster's executors share a folder."""
+    path = scratch.folder(df.sparkSession, "ranks")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def percentiles(df: DataFrame, value: Column, shares: list[float], by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """by, p0, p1...: exact percentiles with linear interpolation, or Spark's bounded sketch for large data."""
-    one = lambda p: F.percentile(value, F.lit(p)) if exact else F.percentile_approx(value, p, 10000)
-    return df.groupBy(*(by or [])).agg(*[one(p).alias(f"p{i}") for i, p in enumerate(shares)])
+    if not exact:
+        return df.groupBy(*(by or [])).agg(*[F.percentile_approx(value, p, 10000).alias(f"p{i}") for i, p in enumerate(shares)])
+    found = selected(df, {"__p": (value, shares)}, by)
+    return found.select(*(by or []), *[F.get("__p", F.lit(i)).alias(f"p{i}") for i in range(len(shares))])
 
 
 def steps(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -20,15 +83,18 @@ def steps(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
 def thresholds(enf: DataFrame, fpr: float = 0.01, nominal: float = 60.0, exact: bool = True) -> DataFrame:
     """tolerance, suspect, trusted, baseline from rows of frq and confidence (the first of a run has none).
 
-    Exact percentiles hold every distinct value; with exact=False a sketch of bounded size gives them to 1 in 10,000.
+    Exact percentiles are selected by counting; with exact=False a sketch of bounded size gives them to 1 in 10,000.
     """
-    at = lambda value, p: F.percentile(value, F.lit(p)) if exact else F.percentile_approx(value, p, 10000)
-    return enf.agg(
-        (at(F.abs(F.col("frq") - nominal), 1 - fpr) * 1.1).alias("tolerance"),
-        at(F.col("confidence"), fpr).alias("suspect"),
-        at(F.col("confidence"), 0.5).alias("trusted"),
-        (1 - F.avg("confidence")).alias("baseline"),
-    )
+    off, c = F.abs(F.col("frq") - nominal), F.col("confidence")
+    if exact:
+        found = selected(enf, {"off": (off, [1 - fpr]), "low": (c, [fpr, 0.5])})
+        off, low, middle = F.get("off", F.lit(0)), F.get("low", F.lit(0)), F.get("low", F.lit(1))
+    else:
+        at = lambda v, p: F.percentile_approx(v, p, 10000)
+        found = enf.agg(at(off, 1 - fpr).alias("off"), at(c, fpr).alias("low"), at(c, 0.5).alias("middle"))
+        off, low, middle = F.col("off"), F.col("low"), F.col("middle")
+    mean = enf.agg((1 - F.avg("confidence")).alias("baseline"))  # one row each
+    return found.crossJoin(mean).select((off * 1.1).alias("tolerance"), low.alias("suspect"), middle.alias("trusted"), "baseline")
 
 
 def false_positives(df: DataFrame, value: Column, cuts: list[float], below: bool = False) -> DataFrame:

@@ -69,41 +69,74 @@ def time_to_detection(df: DataFrame, keys: list[str], truth: Column, flagged: Co
     return out.withColumn("ttd", F.col("__hit") - F.col("start")).drop("__island", "__hit")
 
 
-#: Seconds of a bucket of time in which results meet attacks.
-BUCKET_S = 600.0
+#: Seconds of the finest stretch of time in the cover of an attack.
+TICK_S = 1.0
 
 
-def _in_buckets(results: DataFrame, attacks: DataFrame, width: float) -> tuple[DataFrame, DataFrame, Column]:
-    """Failed results, attacks in a row for each bucket of time that they touch, and the condition to join them on.
+def dyadic_cover(first: Column, last: Column) -> Column:
+    """The dyadic nodes that make up the ticks first..last: structs of level and node, at most two a level.
 
-    The join is on component and bucket, so a component with many results and attacks is many small groups.
+    Node n of level l holds the ticks n * 2^l to (n + 1) * 2^l - 1. From the ends inwards, an end that is no left (right)
+    child of its level stands alone; the rest goes up a level. So an interval of any length is as many nodes as its
+    length has binary digits, twice.
     """
-    at = lambda t: F.floor(t / width).cast("long")
-    failed = results.where("failed").select("component_id", "ts").withColumn("bucket", at(F.col("ts")))
-    each = attacks.where("end_ts >= start_ts").withColumn("bucket", F.explode(F.sequence(at(F.col("start_ts")), at(F.col("end_ts")))))
-    r, a = failed.alias("r"), each.alias("a")
-    same = (F.col("r.component_id") == F.col("a.component_id")) & (F.col("r.bucket") == F.col("a.bucket"))
-    return r, a, same & F.col("r.ts").between(F.col("a.start_ts"), F.col("a.end_ts"))
+    at = lambda x, l: F.shiftright(x, l)
 
+    def level(l: int) -> Column:
+        lo, hi = at(first + ((1 << l) - 1), l), at(last + 1, l) - 1  # the whole nodes of this level inside
+        left = F.when((lo <= hi) & (F.pmod(lo, F.lit(2)) == 1), F.struct(F.lit(l).alias("level"), lo.alias("node")))
+        right = F.when((lo <= hi) & (F.pmod(hi, F.lit(2)) == 0), F.struct(F.lit(l).alias("level"), hi.alias("node")))
+        return F.array(left, right)
 
-def events(results: DataFrame, attacks: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
+    return F.array_distinct(F.filter(F.flatten(F.array(*[level(l) for l in range(DEPTH)])), lambda x: x.isNotNull()))
+
+
+#: Levels of the cover: attacks of up to 2^DEPTH ticks, some 140 years at a second each.
+DEPTH = 32
+
+
+def hits(results: DataFrame, attacks: DataFrame, tick_s: float = TICK_S) -> DataFrame:
+    """component_id, ts, attack_id, start_ts: each failed time of a component inside an attack on it, once for each such attack.
+
+    An attack is a row for each node of its dyadic cover, a time one for each level that any attack uses, so long attacks
+    cost as little as short ones and no key holds more than what lies in one stretch of one component. results:
+    component_id, ts; attacks: attack_id, component_id, start_ts, end_ts.
+    """
+    at = lambda t: F.floor(t / tick_s).cast("long")
+    cover = F.explode(dyadic_cover(at(F.col("start_ts")), at(F.col("end_ts"))))
+    each = attacks.where("end_ts >= start_ts").withColumn("cover", cover).select("attack_id", "component_id", "start_ts", "end_ts", F.col("cover.level").alias("level"), F.col("cover.node").alias("node"))
+    levels = sorted(r.level for r in each.select("level").distinct().collect())  # DEPTH numbers at most
+    failed = results.select("component_id", "ts", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    failed = failed.withColumn("node", F.call_function("shiftright", at(F.col("ts")), F.col("level")))
+    both = failed.join(each, ["component_id", "level", "node"]).where(F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
+    return both.select("component_id", "ts", "attack_id", "start_ts")
+
+
+def failures(results: DataFrame) -> DataFrame:
+    """component_id, ts, n: the times of failed results, and how many there are at each."""
+    return results.where("failed").groupBy("component_id", "ts").agg(F.count("*").alias("n"))
+
+
+def events(results: DataFrame, attacks: DataFrame, tick_s: float = TICK_S) -> DataFrame:
     """tp, fp, fn: failed results inside an attack on their component, those outside all, and attacks never hit.
 
-    results: component_id, ts, failed; attacks: attack_id, component_id, start_ts, end_ts.
+    results: component_id, ts, failed; attacks: attack_id, component_id, start_ts, end_ts. One join serves all three.
     """
-    r, a, inside = _in_buckets(results, attacks, bucket_s)
-    hit = r.join(a, inside, "left_semi").agg(F.count("*").alias("tp"))
-    outside = r.join(a, inside, "left_anti").agg(F.count("*").alias("fp"))
-    caught = a.join(r, inside, "left_semi").select("attack_id").distinct()
-    missed = attacks.join(caught, "attack_id", "left_anti").agg(F.count("*").alias("fn"))
-    return hit.crossJoin(outside).crossJoin(missed)  # one row each
+    given = failures(results)
+    # times and attacks by what they are, marked where they are part of a hit
+    of_time, of_attack = F.struct(F.lit(0).alias("attack"), F.col("component_id").cast("string").alias("a"), F.col("ts").cast("string").alias("b")), F.struct(F.lit(1).alias("attack"), F.col("attack_id").cast("string").alias("a"), F.lit("").alias("b"))
+    seen = hits(given, attacks, tick_s).select(F.explode(F.array(of_time, of_attack)).alias("x"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("hit"))
+    there = given.select(of_time.alias("x"), "n", F.lit(0).alias("hit")).unionByName(attacks.select(of_attack.alias("x"), F.lit(1).cast("long").alias("n"), F.lit(0).alias("hit")))
+    each = there.unionByName(seen).groupBy("x").agg(F.max("hit").alias("hit"), F.sum("n").alias("n"))
+    total = lambda attack, hit: F.coalesce(F.sum(F.when((F.col("x.attack") == attack) & (F.col("hit") == hit), F.col("n"))), F.lit(0))
+    return each.agg(total(0, 1).alias("tp"), total(0, 0).alias("fp"), total(1, 0).alias("fn"))
 
 
-def detection_times(results: DataFrame, attacks: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
+def detection_times(results: DataFrame, attacks: DataFrame, tick_s: float = TICK_S) -> DataFrame:
     """attack_id, ttd: from the start to the first failed result of the component, null where there is none."""
-    r, a, inside = _in_buckets(results, attacks, bucket_s)
-    first = r.join(a, inside).groupBy("a.attack_id").agg(F.min("r.ts").alias("__hit"))
-    return attacks.join(first, "attack_id", "left").groupBy("attack_id").agg(F.min(F.col("__hit") - F.col("start_ts")).alias("ttd"))
+    found = hits(failures(results), attacks, tick_s).select("attack_id", (F.col("ts") - F.col("start_ts")).alias("ttd"))
+    every = attacks.select("attack_id", F.lit(None).cast(found.schema["ttd"].dataType).alias("ttd"))
+    return every.unionByName(found).groupBy("attack_id").agg(F.min("ttd").alias("ttd"))
 
 
 def without_labels(df: DataFrame) -> DataFrame:
