@@ -46,8 +46,8 @@ def test_synthetic_frequency(spark):
 def test_cleaned(spark):
     """Against a plain fold over the series."""
     rng = random.Random(6)
-    x = [60 + rng.gauss(0, 0.01) + (rng.choice([-3, 5, 80, -200]) if rng.random() < 0.05 else 0) for _ in range(400)]
-    bad = [v < 0 or v > 100 for v in x]
+    x = [60 + rng.gauss(0, 0.01) + (rng.choice([-3, 5, 15, -15, 25, -25, 80, -200]) if rng.random() < 0.05 else 0) for _ in range(400)]
+    bad = [v < 40 or v > 80 for v in x]
     for i in range(len(x)):
         near = [x[k] for k in range(max(0, i - 11), min(len(x), i + 12)) if not bad[k]]
         if near and not bad[i]:

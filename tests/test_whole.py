@@ -14,7 +14,7 @@ def ordered(df: pd.DataFrame) -> pd.DataFrame:
     return df[c].sort_values(c, na_position="first").reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", ["anchor_lookup", "pad_locf", "attack_profile", "glitch_diagnosis", "layer_union", "json_bus", "verify_all"])
+@pytest.mark.parametrize("name", ["anchor_lookup", "pad_locf", "attack_profile", "glitch_diagnosis", "layer_union", "json_bus", "verify_runs"])
 def test_whole_tables(spark, name):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW events AS FROM '{SF}/events.parquet'")

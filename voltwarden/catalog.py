@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "scoreboard"
 CFG = Enf()
+#: Readings of a series, events apart, that are scanned in one task.
+SPAN = 1 << 14
 
 #: Projections that queries share.
 SQL_TEL = "tel AS (SELECT event_id AS idx, 'x1000c0s' || (user_id % 4)::VARCHAR || 'b0n0' AS node_id, event_type AS channel, value FROM events)"
@@ -76,7 +78,7 @@ def temp_range(spark, sf_dir):
 
 @query(f"WITH {SQL_TEL}, s AS (SELECT *, abs(value - lag(value) OVER ({SERIES})) > 40 AS bad FROM tel) SELECT idx, node_id, channel, CASE WHEN bad THEN 2 ELSE 0 END AS status_rank, CASE WHEN bad THEN 'DISCONTINUITY' ELSE 'ok' END AS code FROM s")
 def nlr_continuity(spark, sf_dir):
-    return _check(nlr.continuity(tel(spark, sf_dir), 40))
+    return _check(nlr.continuity(tel(spark, sf_dir), 40, SPAN))
 
 
 _SQL_UJ = SQL_TEL + ", uj AS (SELECT idx, node_id, 'uj' AS channel, round((sum(value) OVER (PARTITION BY node_id ORDER BY idx)) % 5000, 2) AS value FROM tel)"
@@ -91,7 +93,7 @@ def _counter(spark, sf_dir):
 
 @query(f"WITH {_SQL_UJ}, f AS (SELECT *, CASE WHEN value < lag(value) OVER ({SERIES}) - 2000 THEN 1 ELSE 0 END AS fell FROM uj) SELECT idx, node_id, round(value + 5000.0 * sum(fell) OVER ({SERIES}), 2) AS unwrapped FROM f")
 def counter_unwrap(spark, sf_dir):
-    return nlr.unwrapped(_counter(spark, sf_dir), 5000.0, 2000.0).select("idx", "node_id", F.round("unwrapped", 2).alias("unwrapped"))
+    return nlr.unwrapped(_counter(spark, sf_dir), 5000.0, 2000.0, SPAN).select("idx", "node_id", F.round("unwrapped", 2).alias("unwrapped"))
 
 
 _SQL_MONO = f"""WITH {_SQL_UJ}, dropped AS (SELECT idx, node_id, channel, CASE WHEN idx % 97 = 0 THEN value - 900 ELSE value END AS value FROM uj),
@@ -106,7 +108,7 @@ CASE WHEN coalesce(value < most, FALSE) THEN 'MONOTONICITY VIOLATION' WHEN wrap
 @query(_SQL_MONO)
 def energy_monotonicity(spark, sf_dir):
     rows = _counter(spark, sf_dir).withColumn("value", F.when(F.col("idx") % 97 == 0, F.col("value") - 900).otherwise(F.col("value")))
-    return nlr.monotonicity(rows, 5000.0, 1000.0, 200.0).select("idx", "node_id", "status_rank", "code")
+    return nlr.monotonicity(rows, 5000.0, 1000.0, 200.0, SPAN).select("idx", "node_id", "status_rank", "code")
 
 
 @query(f"""WITH {SQL_FRAMES}, r AS (SELECT a.idx, a.node_id, a.channel, a.value / median(b.value) AS ratio, median(b.value) AS m FROM frames a
@@ -129,7 +131,7 @@ l AS (SELECT *, CASE WHEN sum(1 - out) OVER (PARTITION BY node_id, channel, isla
 s AS (SELECT *, max(long) OVER ({SERIES}) AS steady FROM l)
 SELECT idx, node_id, channel, CASE WHEN frame >= 5 AND steady = 0 THEN 2 ELSE 0 END AS status_rank, CASE WHEN frame >= 5 AND steady = 0 THEN 'STARTUP RAMP' ELSE 'ok' END AS code FROM s""")
 def startup_ramp(spark, sf_dir):
-    return _check(nlr.startup_ramp(_framed(spark, sf_dir), 10, 90, 5, 6))
+    return _check(nlr.startup_ramp(_framed(spark, sf_dir), 10, 90, 5, 6, span=SPAN))
 
 
 @query(f"""WITH {SQL_TEL}, c AS (SELECT idx, node_id, channel, floor(value / 25) * 25 + 10.0 AS value FROM tel),
@@ -139,7 +141,7 @@ m AS (SELECT *, max(CASE WHEN pos >= 4 AND len(list_distinct(gram)) >= 2 AND see
 SELECT idx, node_id, channel, CASE WHEN pos - hit < 5 THEN 2 ELSE 0 END AS status_rank, CASE WHEN pos - hit < 5 THEN 'REPLAY' ELSE 'ok' END AS code FROM m WHERE pos - hit <= 5""")
 def replay_ngram(spark, sf_dir):
     coarse = tel(spark, sf_dir).withColumn("value", F.floor(F.col("value") / 25) * 25 + 10.0)
-    return _check(nlr.replay(coarse, 4, 100, 5.0))
+    return _check(nlr.replay(coarse, 4, 100, 5.0, span=SPAN))
 
 
 @query(f"""WITH RECURSIVE {_SQL_POS}, f AS (
@@ -261,10 +263,14 @@ def raw_drift(spark, sf_dir):
     return enf.raw_drift(grid(spark, sf_dir), 30, 0.02).select("run_id", "idx", F.round("drift", 6).alias("drift"), "drifting")
 
 
-@query(f"""WITH {SQL_ENF}, c AS (SELECT run_id, idx, count(*) OVER w AS n, var_samp(frq - 60) OVER w AS vx, var_samp(alt - 60) OVER w AS vy, covar_samp(frq - 60, alt - 60) OVER w AS c FROM enf WINDOW w AS (PARTITION BY run_id ORDER BY idx ROWS 39 PRECEDING))
-SELECT run_id, idx, CASE WHEN n = 40 AND vx >= 5e-6 AND vy >= 5e-6 THEN round(c / sqrt(vx * vy), 4) END AS r FROM c""")
+@query(f"""WITH {SQL_ENF}, p AS (SELECT * FROM enf WHERE (idx + run_id) % 29 <> 7),
+c AS (SELECT run_id, idx, count(*) OVER w AS n, var_samp(frq - 60) OVER w AS vx, var_samp(alt - 60) OVER w AS vy, covar_samp(frq - 60, alt - 60) OVER w AS c FROM p WINDOW w AS (PARTITION BY run_id ORDER BY idx ROWS 39 PRECEDING))
+SELECT e.run_id, e.idx, CASE WHEN n = 40 AND vx >= 5e-6 AND vy >= 5e-6 THEN round(c / sqrt(vx * vy), 4) END AS r FROM enf e LEFT JOIN c USING (run_id, idx)""")
 def alt_correlation(spark, sf_dir):
-    return enf.alternative(grid(spark, sf_dir), 40, 0.999, 5e-6).select("run_id", "idx", F.round("r", 4).alias("r"))
+    """Observed frames joined to another stream that lacks some of them."""
+    both = grid(spark, sf_dir)
+    other = both.where((F.col("idx") + F.col("run_id")) % 29 != 7).select("run_id", "idx", "alt")
+    return enf.alternative(enf.paired(both.drop("alt"), other), 40, 0.999, 5e-6).select("run_id", "idx", F.round("r", 4).alias("r"))
 
 
 _SQL_CONF = SQL_ENF + ", conf AS (SELECT run_id, idx, 1 - ((idx * 37 + run_id * 11) % 50) / 400.0 * (CASE WHEN idx % 300 < 40 THEN 0.2 ELSE 1 END)::DOUBLE AS confidence FROM enf)"
@@ -312,18 +318,23 @@ def sequence_guard(spark, sf_dir):
     return enf.sequence_guard(rows).select("run_id", "seq", "code")
 
 
-@query(f"""WITH RECURSIVE {SQL_ENF}, xs AS (SELECT run_id, list(frq ORDER BY idx) AS x, count(*) AS n FROM enf GROUP BY run_id), h AS (
+def sql_cleaned(name: str, low: float, high: float) -> str:
+    """CTEs and a query that clean the table `name` (run_id, idx, frq), for WITH RECURSIVE."""
+    return f"""xs AS (SELECT run_id, list(frq ORDER BY idx) AS x, count(*) AS n FROM {name} GROUP BY run_id), h AS (
 SELECT run_id, 0::BIGINT AS i, []::BOOLEAN[] AS flags FROM xs
 UNION ALL
-SELECT run_id, i + 1, list_append(flags, v NOT BETWEEN 59 AND 61 OR coalesce(mad > 0 AND abs(v - m) > 2.0 * 1.4826 * mad, FALSE)) FROM (
+SELECT run_id, i + 1, list_append(flags, v NOT BETWEEN {low} AND {high} OR coalesce(mad > 0 AND abs(v - m) > 2.0 * 1.4826 * mad, FALSE)) FROM (
  SELECT run_id, i, flags, v, m, list_aggregate(list_transform(near, lambda y: abs(y - m)), 'median') AS mad FROM (
   SELECT run_id, i, flags, v, near, list_aggregate(near, 'median') AS m FROM (
-   SELECT h.run_id, h.i, h.flags, xs.x[h.i + 1] AS v, list_filter(list_transform(list_filter(range(greatest(0, h.i - 11), least(xs.n, h.i + 12)), lambda k: k >= h.i OR NOT h.flags[k + 1]), lambda k: xs.x[k + 1]), lambda y: y BETWEEN 59 AND 61) AS near
+   SELECT h.run_id, h.i, h.flags, xs.x[h.i + 1] AS v, list_filter(list_transform(list_filter(range(greatest(0, h.i - 11), least(xs.n, h.i + 12)), lambda k: k >= h.i OR NOT h.flags[k + 1]), lambda k: xs.x[k + 1]), lambda y: y BETWEEN {low} AND {high}) AS near
    FROM h JOIN xs ON xs.run_id = h.run_id WHERE h.i < xs.n)))),
-f AS (SELECT e.run_id, e.idx, e.frq, l.flags[e.idx + 1] AS flagged FROM enf e JOIN (SELECT h.run_id, h.flags FROM h JOIN xs ON xs.run_id = h.run_id WHERE h.i = xs.n) l ON l.run_id = e.run_id),
+f AS (SELECT e.run_id, e.idx, e.frq, l.flags[e.idx + 1] AS flagged FROM {name} e JOIN (SELECT h.run_id, h.flags FROM h JOIN xs ON xs.run_id = h.run_id WHERE h.i = xs.n) l ON l.run_id = e.run_id),
 s AS (SELECT *, max(CASE WHEN NOT flagged THEN idx END) OVER (PARTITION BY run_id ORDER BY idx) AS li, min(CASE WHEN NOT flagged THEN idx END) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ri FROM f)
 SELECT s.run_id, s.idx, s.flagged, round(CASE WHEN NOT s.flagged THEN s.frq WHEN l.frq IS NOT NULL AND r.frq IS NOT NULL THEN l.frq + (r.frq - l.frq) * (s.idx - li) / (ri - li) ELSE coalesce(l.frq, r.frq, s.frq) END, 6) AS clean
-FROM s LEFT JOIN f l ON l.run_id = s.run_id AND l.idx = s.li LEFT JOIN f r ON r.run_id = s.run_id AND r.idx = s.ri""")
+FROM s LEFT JOIN f l ON l.run_id = s.run_id AND l.idx = s.li LEFT JOIN f r ON r.run_id = s.run_id AND r.idx = s.ri"""
+
+
+@query(f"WITH RECURSIVE {SQL_ENF}, {sql_cleaned('enf', 59, 61)}")
 def hampel(spark, sf_dir):
     flagged = enf.hampel(grid(spark, sf_dir).select("run_id", "idx", "frq"), 11, 2.0, physical=(59.0, 61.0))
     return enf.interpolated(flagged).select("run_id", "idx", "flagged", F.round("clean", 6).alias("clean"))
@@ -348,7 +359,7 @@ def combined_smooth(spark, sf_dir):
 
 @query(f"WITH {SQL_TEL}, p AS (SELECT *, floor((row_number() OVER ({SERIES}) - 1) / 10)::BIGINT AS frame FROM tel) SELECT node_id, channel, frame, round(avg(value), 4) AS value FROM p GROUP BY ALL")
 def tumbling_mean(spark, sf_dir):
-    return align.tumbling(tel(spark, sf_dir), 10, ["node_id", "channel"], ["value"]).withColumn("value", F.round("value", 4))
+    return align.tumbling(tel(spark, sf_dir), 10, ["node_id", "channel"], ["value"], span=SPAN).withColumn("value", F.round("value", 4))
 
 
 @query(f"WITH {SQL_FRAMES}, spine AS (SELECT node_id, channel, unnest(range(0, (SELECT max(idx) + 1 FROM frames))) AS frame FROM (SELECT DISTINCT node_id, channel FROM frames)), j AS (SELECT s.*, f.value FROM spine s LEFT JOIN frames f ON f.idx = s.frame AND f.node_id = s.node_id AND f.channel = s.channel), l AS (SELECT node_id, channel, frame, last_value(value IGNORE NULLS) OVER (PARTITION BY node_id, channel ORDER BY frame) AS v FROM j) SELECT node_id, channel, frame, round(v, 4) AS value FROM l WHERE v IS NOT NULL")
@@ -391,6 +402,14 @@ def attack_absolute(spark, sf_dir):
     return _attacked(attacks.inject(_targets(spark, sf_dir), 50, 100, "absolute", 77, only=("over", 30)))
 
 
+@query(f"WITH {_SQL_TARGETS} SELECT idx, node_id, channel, (target AND idx >= 50 AND idx < 100)::INT AS label, TRUE AS within FROM t")
+def attack_jitter(spark, sf_dir):
+    """Draws about an absolute value: within half a unit of it where the attack is, and untouched elsewhere."""
+    out = attacks.inject(_targets(spark, sf_dir), 50, 100, "absolute_jitter", 77.0, seed=3)
+    within = F.when(F.col("label") == 1, F.abs(F.col("attacked") - 77) <= 0.5).otherwise(F.col("attacked") == F.col("value"))
+    return out.select(*KEYS, "label", within.alias("within"))
+
+
 @query(_attack_sql("value + 40 * (idx - 50) / 50.0", "TRUE"))
 def attack_drift(spark, sf_dir):
     return _attacked(attacks.drift(_targets(spark, sf_dir), 50, 100, "additive", 40))
@@ -669,14 +688,6 @@ def unpivot_wide(spark, sf_dir):
     return channels.to_long(wide).select("idx", "node_id", "channel", "kind", "ordinal", "is_core", F.round("value", 4).alias("value"))
 
 
-@query("SELECT c_custkey, 'no orders' AS problem FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'no customer' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
-def orphans(spark, sf_dir):
-    c, o = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey")
-    left = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").withColumn("problem", F.lit("no orders"))
-    right = o.join(c, F.col("c_custkey") == F.col("o_custkey"), "left_anti").distinct().select(F.col("o_custkey").alias("c_custkey"), F.lit("no customer").alias("problem"))
-    return left.unionByName(right)
-
-
 @query(f"WITH {SQL_TEL} SELECT channel FROM tel UNION SELECT node_id FROM tel")
 def layer_union(spark, sf_dir):
     t = tel(spark, sf_dir)
@@ -751,9 +762,4 @@ def annotated_status(spark, sf_dir):
 
 
 
-from . import catalog_files, catalog_verify  # noqa: E402, F401  (they register their queries)
-
-#: Names of the time when the plain ones read a part of the table; both read all of it.
-for _name in ("anchor_lookup", "pad_locf", "attack_profile", "glitch_diagnosis", "layer_union", "json_bus"):
-    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
-QUERIES["verify_all"], ORACLE_SQL["verify_all"] = QUERIES["verify_runs"], ORACLE_SQL["verify_runs"]
+from . import catalog_files, catalog_streams, catalog_verify  # noqa: E402, F401  (they register their queries)

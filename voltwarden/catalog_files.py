@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import _SQL_LONG, _SQL_POLLS, SQL_ENF, SQL_FRAMES, _episodes, _long, frames, grid, query
+from .catalog import _SQL_LONG, _SQL_POLLS, SQL_ENF, SQL_FRAMES, _episodes, _long, frames, grid, query, sql_cleaned
 from .functions import channels, status
 from .operators import align, attacks, calibrate, enf, scoring, views
 from .sources import bus, logs, scratch
@@ -234,10 +234,15 @@ def short_columns(spark, sf_dir):
     return out.unpivot([F.col("index").alias("idx")], [F.col(f"`{c}`").cast("double").alias(c) for c in out.columns if c != "index"], "name", "value").where("value IS NOT NULL").withColumnRenamed("index", "idx")
 
 
-@query("SELECT * FROM (VALUES ('frq', 1), ('gpus', 12), ('gpu_watts', 8), ('gpu_temps', 4), ('cpus', 8), ('all', 21), ('x1000c0s0b0n0', 5), ('x1000c0s1b0n0', 5), ('x1000c0s2b0n0', 5), ('x1000c0s3b0n0', 5)) AS t(name, n)")
+@query(f"""WITH {_SQL_NAMED}, g AS (SELECT 'gpus' AS name, count(*) FILTER (channel LIKE 'gpu%') AS n FROM named UNION ALL SELECT 'gpu_watts', count(*) FILTER (channel LIKE 'gpu%[W]') FROM named
+UNION ALL SELECT 'gpu_temps', count(*) FILTER (channel LIKE 'gpu%[C]') FROM named UNION ALL SELECT 'cpus', count(*) FILTER (channel LIKE 'cpu%') FROM named UNION ALL SELECT 'all', count(*) FROM named UNION ALL SELECT node_id, count(*) FROM named GROUP BY node_id) SELECT name, n FROM g""")
 def target_groups(spark, sf_dir):
-    own = channels.target_groups(["FRQ", *_wide(spark, sf_dir).columns])
-    return spark.createDataFrame([(k, len(v)) for k, v in own.items()], "name string, n int")
+    """How many readings each group of targets would change."""
+    wide = _wide(spark, sf_dir)
+    groups = channels.target_groups(wide.columns)
+    counts = [F.sum(sum((F.col(f"`{c}`").isNotNull().cast("long") for c in own), F.lit(0).cast("long"))).alias(k) for k, own in groups.items() if k != "frq"]
+    row = wide.agg(*counts)
+    return row.unpivot([], [F.col(f"`{c}`") for c in row.columns], "name", "n")
 
 
 @query("SELECT 'x1000c0s' || k::VARCHAR || 'b0n0' AS node_id, 'x1000c0s' || k::VARCHAR || 'b0n0' IN (SELECT DISTINCT 'x1000c0s' || (user_id % 4)::VARCHAR || 'b0n0' FROM events) AS found FROM (SELECT unnest([1, 3, 7]) AS k)")
@@ -374,6 +379,41 @@ def scenario_305(spark, sf_dir):
     return _scenario(spark, sf_dir, "305")
 
 
+@query(_preset("303", "FALSE", "value", 0.20, 0.80))
+def scenario_303(spark, sf_dir):
+    """Values over 450 alone are replaced by earlier ones: none of these tables is."""
+    return _scenario(spark, sf_dir, "303")
+
+
+def _easy(spark: SparkSession, sf_dir: str, mode: int, group: str, params: dict | None = None) -> DataFrame:
+    cells = _channels(spark, sf_dir)
+    n = cells.agg(F.max("idx")).first()[0] + 1
+    out = attacks.easy(cells, ["node_id", "channel"], F.concat_ws("_", "node_id", "channel"), n, mode, group, params)
+    return out.select("idx", "node_id", "channel", F.round("attacked", 6).alias("attacked"), "label")
+
+
+@query(_preset("1", "channel LIKE 'gpu%[W]'", "0.0", 0.10, 0.60))
+def easy_extreme(spark, sf_dir):
+    return _easy(spark, sf_dir, 1, "gpu_watts")
+
+
+@query(f"""WITH {_SQL_NAMED}, m AS (SELECT max(idx) + 1 AS n FROM named), h AS (SELECT named.*, floor(n * 0.1)::BIGINT AS lo, floor(n * 0.6)::BIGINT AS hi, floor(n * 0.01)::BIGINT AS first, floor(n * (0.01 + 0.05))::BIGINT - floor(n * 0.01)::BIGINT AS len FROM named, m)
+SELECT a.idx, a.node_id, a.channel, round(coalesce(b.value, a.value), 6) AS attacked, (b.value IS NOT NULL)::INT AS label FROM h a LEFT JOIN named b ON a.node_id = b.node_id AND a.channel = b.channel AND a.idx >= a.lo AND a.idx < a.hi AND b.idx = a.first + (a.idx - a.lo) % greatest(1, a.len)""")
+def easy_replay(spark, sf_dir):
+    return _easy(spark, sf_dir, 2, "all")
+
+
+@query(_preset("3", "channel LIKE 'gpu%'", "value * 1.05", 0.10, 0.60))
+def easy_scale(spark, sf_dir):
+    """The injection mode with its other kind."""
+    return _easy(spark, sf_dir, 3, "gpus", {"type": "scale", "value": 1.05})
+
+
+@query(_preset("4", "channel LIKE 'cpu%'", "value + 50.0 * ((idx - lo) / greatest(1, hi - lo))", 0.10, 0.60))
+def easy_drift(spark, sf_dir):
+    return _easy(spark, sf_dir, 4, "cpus")
+
+
 # Scoring and views
 
 
@@ -442,11 +482,6 @@ def twin_playback(spark, sf_dir):
     return out.select("object", "property", F.round("value", 4).alias("value"), "ts", "label", "colour")
 
 
-@query("SELECT 'rack_0' || k::VARCHAR AS object, p AS property, v AS value FROM (SELECT unnest(range(0, 6)) AS k), (VALUES ('power_w', 120.0::DOUBLE), ('temp_c', 22.0), ('load_pct', 0.0)) AS t(p, v) UNION ALL SELECT 'pdu_0' || k::VARCHAR, 'power_w', 400.0 FROM (SELECT unnest(range(0, 2)) AS k) UNION ALL SELECT 'cooling_00', 'temp_c', 18.0")
-def placeholder_twin(spark, sf_dir):
-    return bus.placeholder_twin(spark)
-
-
 # Streams, run to their end
 
 
@@ -483,11 +518,14 @@ def attack_tracked_drift(spark, sf_dir):
     return attacks.tracked(rows, 200, 400, 0.95, "additive", 0.06).select("run_id", "idx", F.round("attacked", 9).alias("attacked"), "label")
 
 
-@query(f"""WITH {SQL_ENF}, c AS (SELECT run_id, idx, CASE WHEN idx % 97 = 13 THEN 250.0 ELSE frq END AS frq FROM enf)
-SELECT run_id, count(*) AS n, count(*) FILTER (frq > 100) AS wild FROM c GROUP BY run_id""")
+_WILD = {97: 250.0, 101: 35.0, 103: 85.0}
+
+
+@query(f"WITH RECURSIVE {SQL_ENF}, c AS (SELECT run_id, idx, CASE {' '.join(f'WHEN idx % {k} = 13 THEN {v}' for k, v in _WILD.items())} ELSE frq END AS frq FROM enf), {sql_cleaned('c', 40, 80)}")
 def clean_enf(spark, sf_dir):
-    """Rows a run and how many wild values it had, all of which must be flagged; the values are held to a plain fold in tests."""
-    rows = grid(spark, sf_dir).select("run_id", "idx", F.when(F.col("idx") % 97 == 13, 250.0).otherwise(F.col("frq")).alias("frq"))
-    both = enf.cleaned(rows).join(rows.withColumnRenamed("frq", "raw"), ["run_id", "idx"])
-    gone = (F.col("raw") > 100) & F.col("flagged") & (F.col("frq") <= 100)
-    return both.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(gone).alias("wild"))
+    """Frequencies with values beyond 40 and 80 Hz and outliers among them, cleaned."""
+    wild = F.col("frq")
+    for k, v in reversed(_WILD.items()):
+        wild = F.when(F.col("idx") % k == 13, v).otherwise(wild)
+    rows = grid(spark, sf_dir).select("run_id", "idx", wild.alias("frq"))
+    return enf.cleaned(rows).select("run_id", "idx", "flagged", F.round("frq", 6).alias("clean"))

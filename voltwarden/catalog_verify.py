@@ -90,9 +90,8 @@ UNION ALL
 SELECT run_id, idx, node_id || '/' || channel, CASE WHEN soft THEN 'suspect' WHEN rank = 2 THEN 'failed' ELSE 'trusted' END, CASE WHEN soft THEN 0.5 WHEN rank = 2 THEN 0.05 ELSE 0.95 END, CASE WHEN soft THEN reason || ' | corroborated across nodes' ELSE reason END FROM soft"""
 
 
-@query(SQL)
-def verify_runs(spark, sf_dir):
-    """All checks of nodes and frequency, with arrival times of which some are repeated or late."""
+def recorded(spark, sf_dir):
+    """(frequency, readings) of all runs, the frequency with another stream and arrival times, some repeated or late."""
     c, v, i = F.col("channel"), F.col("value"), F.col("idx")
     rows = frames(spark, sf_dir)
     names = {"click": "gpu-0[W]", "view": "gpu-1[W]", "error": "gpu-0[C]", "signup": "cpu-0-core[W]", "purchase": "cpu-0[W]"}
@@ -103,4 +102,10 @@ def verify_runs(spark, sf_dir):
     frq = rows.groupBy(run.alias("run_id"), at.alias("idx")).agg((60 + (F.round(F.avg("value"), 4) - 50) / 1000).alias("frq"))
     late = F.when(i % 53 == 7, 4).when(i % 59 == 9, 25).otherwise(0)
     series = frq.select("run_id", "idx", "frq", (F.col("frq") + (i * 7919 % 101 - 50) / 1e4).alias("alt"), (2.0 * i - late).alias("ts"))
-    return verify(series, long, GRID, NODES, alternative=True)
+    return series, long
+
+
+@query(SQL)
+def verify_runs(spark, sf_dir):
+    """All checks of nodes and frequency."""
+    return verify(*recorded(spark, sf_dir), GRID, NODES, alternative=True)

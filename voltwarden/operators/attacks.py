@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Half the width of absolute_jitter where none is given.
+JITTER = 0.5
+
+
 def bounds(n: int, start_share: float, end_share: float) -> tuple[int, int]:
     """The attack's frames, half open."""
     return int(n * start_share), int(n * end_share)
@@ -39,10 +43,10 @@ def none(df: DataFrame) -> DataFrame:
     return df.withColumn("attacked", F.col("value")).withColumn("label", F.lit(0))
 
 
-def inject(df: DataFrame, start: int, end: int, mode: str, by: float, jitter: float = 0.0, seed: int = 0, only: tuple[str, float] | None = None) -> DataFrame:
+def inject(df: DataFrame, start: int, end: int, mode: str, by: float, jitter: float = JITTER, seed: int = 0, only: tuple[str, float] | None = None) -> DataFrame:
     """bias: value + by; scale: value * by; absolute: by; absolute_jitter: by + U(-jitter, jitter)."""
     v = F.col("value")
-    new = {"bias": v + by, "scale": v * by, "absolute": F.lit(float(by)), "absolute_jitter": by + (F.rand(seed) * 2 - 1) * jitter}[mode]
+    new = {"bias": v + by, "scale": v * by, "absolute": F.lit(float(by)), "absolute_jitter": by + (uniform_draw(seed, *[c for c in ("run_id", "idx", "node_id", "channel") if c in df.columns]) * 2 - 1) * jitter}[mode]
     return labelled(df, new, inside(start, end) & condition(v, *(only or (None, None))))
 
 
@@ -116,6 +120,11 @@ def tracked(df: DataFrame, start: int, end: int, phi: float | str, mode: str, by
     return _folded(df, "attacked double, label int", fold)
 
 
+def uniform_draw(seed: int, *at: str) -> Column:
+    """A draw from 0 to 1 a row, by the hash of its place and a seed."""
+    return F.pmod(F.xxhash64(F.lit(seed), *at), F.lit(1 << 52)) / float(1 << 52)
+
+
 def normal_draws(seed: int, *at: str) -> Column:
     """A standard normal draw a row, by the hash of its place and a seed."""
     u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), *at), F.lit(1 << 52)) + 1) / float((1 << 52) + 1) for i in (1, 2)]
@@ -156,6 +165,8 @@ EASY = {
     3: ("injection", {"type": "bias", "value": 10.0}),
     4: ("drift", {"type": "additive", "max_value": 50.0}),
 }
+#: The shares of the timeline that they cover.
+EASY_SPAN = (0.10, 0.60)
 
 
 def pool(difficulty: int, grid: bool) -> list[str]:
@@ -174,10 +185,10 @@ def perturb(df: DataFrame, keys: list[str], n: int, engine: str, start: float, e
     if frequency is not None and engine in ("injection", "drift"):
         own = F.coalesce(frequency, F.lit(False))
         by = params["value"] if engine == "injection" else params["max_value"]
-        rest = perturb(df.where(~own), keys, n, engine, start, end, params)
+        rest = perturb(df.where(~own), keys, n, engine, start, end, params, seed=seed)
         return rest.unionByName(on_frequency(df.where(own), lo, hi, params["type"], by, only, seed))
     if engine == "injection":
-        return inject(df, lo, hi, params["type"], params["value"], params.get("jitter", 0.0), only=only)
+        return inject(df, lo, hi, params["type"], params["value"], params.get("jitter", JITTER), seed, only)
     if engine == "drift":
         return drift(df, lo, hi, params["type"], params["max_value"], only=only)
     if engine == "replay":
@@ -187,6 +198,14 @@ def perturb(df: DataFrame, keys: list[str], n: int, engine: str, start: float, e
     return none(df)
 
 
+def easy(df: DataFrame, keys: list[str], name: Column, n: int, mode: int, group: str = "all", params: dict | None = None, seed: int = 0) -> DataFrame:
+    """A manual mode of EASY over df (keys, idx, value) on a group of targets; `params` take the place of the mode's own."""
+    from ..functions.channels import target_group
+
+    engine, own = EASY[mode]
+    return perturb(df.withColumn("target", target_group(name, group)), keys, n, engine, *EASY_SPAN, {**own, **(params or {})}, name == "FRQ", seed)
+
+
 def scenario(df: DataFrame, keys: list[str], name: Column, n: int, which: str, seed: int = 0) -> DataFrame:
     """A preset over df (keys, idx, value), whose channels are called `name`."""
     from ..functions.channels import target_group

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..config import Enf
+
 
 def by_run(df: DataFrame, order: str = "idx") -> WindowSpec:
     return Window.partitionBy(*[c for c in ["run_id"] if c in df.columns]).orderBy(order)
@@ -58,11 +60,20 @@ def raw_drift(df: DataFrame, window: int, limit: float) -> DataFrame:
     return df.withColumn("drift", F.when(full, moved)).withColumn("drifting", F.coalesce(F.col("drift") > limit, F.lit(False)))
 
 
+def paired(observed: DataFrame, other: DataFrame) -> DataFrame:
+    """observed (run_id, idx, frq) with alt, another stream's frequency of the same frame (run_id, idx, alt); null where it has none."""
+    return observed.join(other.select("run_id", "idx", "alt"), ["run_id", "idx"], "left")
+
+
 def alternative(df: DataFrame, window: int, threshold: float, least: float, nominal: float = 60.0) -> DataFrame:
-    """df (with alt) with r, the correlation over the last `window` pairs, null where not full or too steady, and mismatch."""
-    w = by_run(df).rowsBetween(-window + 1, 0)
+    """df (with alt) with r, the correlation over the last `window` pairs, and mismatch.
+
+    r is null before there are as many, where either side is too steady, and at frames without alt, which are in no window.
+    """
+    both = F.col("alt").isNotNull() & F.col("frq").isNotNull()
+    w = Window.partitionBy(*[c for c in ["run_id"] if c in df.columns], both).orderBy("idx").rowsBetween(-window + 1, 0)
     x, y = F.col("frq") - nominal, F.col("alt") - nominal
-    ready = (F.count("alt").over(w) == window) & (F.var_samp(x).over(w) >= least) & (F.var_samp(y).over(w) >= least)
+    ready = both & (F.count("alt").over(w) == window) & (F.var_samp(x).over(w) >= least) & (F.var_samp(y).over(w) >= least)
     r = F.try_divide(F.covar_samp(x, y).over(w), F.sqrt(F.greatest(F.var_samp(x).over(w) * F.var_samp(y).over(w), F.lit(0.0))))
     return df.withColumn("r", F.when(ready, r)).withColumn("mismatch", F.coalesce(F.col("r") < threshold, F.lit(False)))
 
@@ -177,7 +188,7 @@ def interpolated(df: DataFrame, flag: str = "flagged") -> DataFrame:
     return both.withColumn("clean", F.when(~F.col(flag), F.col("frq")).otherwise(F.coalesce(line, F.col("__l.frq"), F.col("__r.frq"), F.col("frq")))).drop("__l", "__r")
 
 
-def cleaned(df: DataFrame, radius: int = 11, sigmas: float = 2.0, physical: tuple[float, float] = (0.0, 100.0)) -> DataFrame:
+def cleaned(df: DataFrame, radius: int = Enf.hampel_radius, sigmas: float = Enf.hampel_sigmas, physical: tuple[float, float] = Enf.physical_hz) -> DataFrame:
     """df with frq cleaned and flagged: values outside the physical range and outliers, replaced on the line between good ones."""
     return interpolated(hampel(df, radius, sigmas, physical=physical)).withColumn("frq", F.col("clean")).drop("clean")
 
