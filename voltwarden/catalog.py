@@ -233,8 +233,7 @@ def vector_classify(spark, sf_dir):
 
 @query(f"WITH {SQL_ENF} SELECT run_id, idx, CASE WHEN abs(frq - 60) > 0.1 THEN 2 ELSE 0 END AS status_rank FROM enf")
 def enf_nominal(spark, sf_dir):
-    e = grid(spark, sf_dir)
-    return e.select("run_id", "idx", F.when(F.abs(F.col("frq") - 60) > 0.1, 2).otherwise(0).alias("status_rank"))
+    return enf.nominal_range(grid(spark, sf_dir), 0.1).select("run_id", "idx", "status_rank")
 
 
 _SQL_PADDED = SQL_ENF + """, r AS (SELECT run_id, idx, frq, row_number() OVER (PARTITION BY run_id ORDER BY idx) AS pos, count(*) OVER (PARTITION BY run_id) AS n FROM enf),
@@ -581,6 +580,18 @@ def node_inspector(spark, sf_dir):
     return d.select("idx", "node_id", "ordinal", F.round("a", 4).alias("watts"), F.round("b", 4).alias("degrees"))
 
 
+@query(f"""WITH {_SQL_LONG}, w AS (SELECT idx, node_id, count(*) FILTER (kind = 'gpu_power') AS gpus, round(coalesce(sum(value) FILTER (kind = 'gpu_power'), 0), 4) AS gpu_w FROM long GROUP BY ALL)
+SELECT idx, node_id, gpus, gpu_w, CASE WHEN idx % 7 <> 3 THEN idx % 3 / 2.0 END AS status, CASE WHEN idx % 4 <> 1 THEN idx % 2 / 2.0 END AS enf_status FROM w""")
+def sample_statuses(spark, sf_dir):
+    """Samples with the node's own status and that of the frequency, where a frame has them."""
+    long, i = _long(spark, sf_dir), F.col("idx")
+    each = long.select("idx", "node_id").distinct()
+    scores = each.where(i % 7 != 3).withColumn("score", i % 3 / 2.0).unionByName(each.select("idx", F.lit("ENF").alias("node_id")).distinct().where(i % 4 != 1).withColumn("score", i % 2 / 2.0))
+    s = views.samples(long, scores)
+    total = F.aggregate(F.map_values("gpu_w"), F.lit(0.0), lambda a, v: a + v)
+    return s.select("idx", "node_id", F.size("gpu_w").cast("long").alias("gpus"), F.round(total, 4).alias("gpu_w"), "status", "enf_status")
+
+
 @query(f"WITH {SQL_TEL}, n AS (SELECT DISTINCT node_id FROM tel) SELECT node_id, 'node' || lpad((row_number() OVER (ORDER BY node_id) - 1)::VARCHAR, 2, '0') AS short_id FROM n")
 def normalize_ids(spark, sf_dir):
     return views.normal_ids(tel(spark, sf_dir))
@@ -757,7 +768,7 @@ def view_window(spark, sf_dir):
 @query(f"WITH {_SQL_CORR} SELECT idx, CASE max(status_rank) WHEN 2 THEN 'failed' WHEN 1 THEN 'suspect' ELSE 'trusted' END AS status FROM final GROUP BY idx")
 def annotated_status(spark, sf_dir):
     v = verdict.corroborated(verdicts(spark, sf_dir), 4, 0.5, 2.0)
-    return v.groupBy("idx").agg(status.name_of(F.max("status_rank")).alias("status"))
+    return verdict.annotated(v, ["idx"])
 
 
 

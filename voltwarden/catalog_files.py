@@ -471,15 +471,26 @@ def glitch_conclusions(spark, sf_dir):
     return out.select("run_id", F.round("repeated", 6).alias("repeated"), "jumps", F.round("ratio", 6).alias("ratio"), "stuck", "shifted", "noisy")
 
 
-@query(f"WITH {_SQL_LONG} SELECT node_id || '_' || CASE WHEN kind LIKE 'gpu%' THEN 'gpu-' || ordinal::VARCHAR ELSE 'cpu-' || ordinal::VARCHAR END AS object, CASE WHEN kind = 'gpu_temp' THEN 'temp_c' WHEN is_core THEN 'core_power_w' ELSE 'power_draw_w' END AS property, round(value, 4) AS value, idx * 2.0 AS ts, CASE WHEN idx % 5 = 4 THEN NULL WHEN idx % 5 = 0 THEN 'good' WHEN idx % 5 = 1 THEN 'suspect' ELSE 'warning' END AS label, CASE WHEN idx % 5 = 4 THEN NULL WHEN idx % 5 = 0 THEN 'green' WHEN idx % 5 = 1 THEN 'yellow' ELSE 'red' END AS colour FROM long UNION ALL SELECT 'grid_anchor', 'grid_frequency_hz', 59 + idx % 100 / 50.0, idx * 2.0, NULL, NULL FROM (SELECT DISTINCT idx FROM long)")
+@query(f"""WITH {_SQL_LONG}, d AS (SELECT * FROM (VALUES ('cpu-0', 'power_draw_w'), ('cpu-0', 'core_power_w'), ('cpu-1', 'power_draw_w'), ('cpu-1', 'core_power_w'), ('gpu-0', 'power_draw_w'), ('gpu-0', 'temp_c'), ('gpu-1', 'power_draw_w'), ('gpu-1', 'temp_c'), ('gpu-2', 'power_draw_w'), ('gpu-2', 'temp_c'), ('gpu-3', 'power_draw_w'), ('gpu-3', 'temp_c')) AS t(device, property)),
+f AS (SELECT DISTINCT idx FROM long), n AS (SELECT DISTINCT node_id FROM long),
+k AS (SELECT idx, node_id, CASE WHEN kind LIKE 'gpu%' THEN 'gpu-' ELSE 'cpu-' END || ordinal::VARCHAR AS device, CASE WHEN kind = 'gpu_temp' THEN 'temp_c' WHEN is_core THEN 'core_power_w' ELSE 'power_draw_w' END AS property, round(value, 4) AS value FROM long),
+p AS (SELECT idx, node_id || '_' || device AS object, property, coalesce(value, 0.0) AS value, TRUE AS node FROM f CROSS JOIN n CROSS JOIN d LEFT JOIN k USING (idx, node_id, device, property)
+ UNION ALL SELECT idx, 'grid_anchor', 'grid_frequency_hz', CASE WHEN idx % 6 = 2 THEN 60.0 ELSE 59 + idx % 100 / 50.0 END, FALSE FROM f)
+SELECT object, property, value, idx * 2.0 AS ts, CASE WHEN NOT node OR idx % 5 = 4 THEN NULL WHEN idx % 5 = 0 THEN 'good' WHEN idx % 5 = 1 THEN 'suspect' ELSE 'warning' END AS label, CASE WHEN NOT node OR idx % 5 = 4 THEN NULL WHEN idx % 5 = 0 THEN 'green' WHEN idx % 5 = 1 THEN 'yellow' ELSE 'red' END AS colour FROM p""")
 def twin_playback(spark, sf_dir):
+    """A playback of frames of which some lack devices or the frequency, appended to the bus and read back."""
     unit = F.when(F.col("kind") == "gpu_temp", "[C]").otherwise("[W]")
     device = F.concat_ws("-", F.split_part("kind", F.lit("_"), F.lit(1)), _text(F.col("ordinal")))
     long = _long(spark, sf_dir).withColumn("channel", F.concat(device, F.when(F.col("is_core"), "-core").otherwise(""), unit))
     score = F.when(F.col("idx") % 5 == 0, 0.0).when(F.col("idx") % 5 == 1, 0.5).otherwise(1.0)
-    scores = long.where("idx % 5 <> 4").select("idx", "node_id").distinct().withColumn("score", score)
-    out = bus.playback(long, _frq(spark, sf_dir), scores)
-    return out.select("object", "property", F.round("value", 4).alias("value"), "ts", "label", "colour")
+    scores = long.where("idx % 5 <> 4").select("idx").distinct().withColumn("node_id", F.explode(F.array(*map(F.lit, NODES)))).withColumn("score", score)
+    out = bus.playback(long, _frq(spark, sf_dir).where("idx % 6 <> 2"), scores).withColumn("value", F.round("value", 4))
+    path = scratch.folder(spark, "playback")
+    bus.append_playback(out, path, "run")
+    again = bus.read(spark, path, "run", "StateVariable")
+    shown = out.select(F.col("object").alias("source_object"), F.col("ts").alias("timestamp"), F.col("property").alias("name"), "label", "colour")
+    both = again.join(shown, ["source_object", "timestamp", "name"])
+    return both.select(F.col("source_object").alias("object"), F.col("name").alias("property"), "value", F.col("timestamp").alias("ts"), "label", "colour")
 
 
 # Streams, run to their end

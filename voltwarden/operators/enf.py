@@ -244,6 +244,11 @@ def smoothed(df: DataFrame, radius: int = 11, sigmas: float = 2.0, order: int =
     return _folded(df, "smooth double", fold)
 
 
+def nominal_range(df: DataFrame, tolerance: float, nominal: float = 60.0) -> DataFrame:
+    """df with status_rank: 2 where the frequency is further than `tolerance` from nominal, else 0."""
+    return df.withColumn("status_rank", F.when(F.abs(F.col("frq") - nominal) > tolerance, 2).otherwise(0))
+
+
 def verdict(confidence: Column, frq: Column, flat: Column, nominal: float, tolerance: float, trusted: float, suspect: float) -> Column:
     """status_rank by nominal range, flat signature, continuity, and the soft tier, which only applies where all else is trusted."""
     failed = (F.abs(frq - nominal) > tolerance) | flat | (confidence < suspect)

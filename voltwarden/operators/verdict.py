@@ -52,6 +52,11 @@ def scored(verdicts: DataFrame, confidence: str | None = None) -> DataFrame:
     return verdicts.withColumn("status", name_of(F.col("status_rank"))).withColumn("score", F.round(score, 4))
 
 
+def annotated(verdicts: DataFrame, by: list[str]) -> DataFrame:
+    """by, status: the worst status of the verdicts of each `by`, as a name."""
+    return verdicts.groupBy(*by).agg(name_of(F.max("status_rank")).alias("status"))
+
+
 def layers(spine: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """spine (keys) with score: 0, 0.5 or 1 by the worst verdict; without any, trusted."""
     worst = verdicts.groupBy(*keys).agg(F.max("status_rank").alias("__rank"))

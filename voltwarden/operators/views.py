@@ -13,14 +13,23 @@ def node_totals(long: DataFrame) -> DataFrame:
     return out.withColumn("total_w", F.col("gpu_w") + F.col("cpu_w"))
 
 
-def samples(long: DataFrame) -> DataFrame:
-    """idx, node_id and maps of ordinal to value: gpu_w, gpu_c, cpu_w, cpu_uj, core_w, core_uj."""
+def samples(long: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """idx, node_id and maps of ordinal to value: gpu_w, gpu_c, cpu_w, cpu_uj, core_w, core_uj.
+
+    With scores (idx, node_id, score; node_id ENF for the frequency) also status, the node's own score of the frame, and
+    enf_status, that of the frequency, which all nodes share; null where there is none.
+    """
 
     def values(kind: str, core: bool) -> Column:
         own = F.when((F.col("kind") == kind) & (F.col("is_core") == core), F.struct("ordinal", "value"))
         return F.map_from_entries(F.array_sort(F.collect_list(own)))
 
-    return long.groupBy("idx", "node_id").agg(values("gpu_power", False).alias("gpu_w"), values("gpu_temp", False).alias("gpu_c"), values("cpu_power", False).alias("cpu_w"), values("cpu_uj", False).alias("cpu_uj"), values("cpu_power", True).alias("core_w"), values("cpu_uj", True).alias("core_uj"))
+    out = long.groupBy("idx", "node_id").agg(values("gpu_power", False).alias("gpu_w"), values("gpu_temp", False).alias("gpu_c"), values("cpu_power", False).alias("cpu_w"), values("cpu_uj", False).alias("cpu_uj"), values("cpu_power", True).alias("core_w"), values("cpu_uj", True).alias("core_uj"))
+    if scores is None:
+        return out
+    own = scores.where("node_id <> 'ENF'").select("idx", "node_id", F.col("score").alias("status"))
+    shared = scores.where("node_id = 'ENF'").select("idx", F.col("score").alias("enf_status"))
+    return out.join(own, ["idx", "node_id"], "left").join(shared, "idx", "left")
 
 
 def devices(sample: DataFrame, left: str, right: str) -> DataFrame:

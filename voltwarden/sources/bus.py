@@ -151,28 +151,43 @@ def rack_history(spark: SparkSession, path: str, rack_id: str | None = None, lim
     return rows if limit is None else rows.limit(limit)
 
 
-def twin_records(frames: DataFrame) -> DataFrame:
-    """object, property, value, ts from long frames: power, core power and temperature of devices, and the grid's frequency."""
-    device = F.concat_ws("_", "node_id", F.concat_ws("-", F.split_part("kind", F.lit("_"), F.lit(1)), F.col("ordinal").cast("string")))
-    prop = F.when(F.col("kind") == "gpu_temp", "temp_c").when(F.col("is_core"), "core_power_w").otherwise("power_w")
-    return frames.where("kind IN ('gpu_power', 'gpu_temp', 'cpu_power')").select(device.alias("object"), prop.alias("property"), "value", (F.col("idx") * 2.0).alias("ts"))
+#: Devices of a node in the twin, with the properties that a playback writes.
+TWIN = [(f"cpu-{i}", p) for i in range(2) for p in ("power_draw_w", "core_power_w")] + [(f"gpu-{i}", p) for i in range(4) for p in ("power_draw_w", "temp_c")]
 
 
-def playback(long: DataFrame, enf: DataFrame, scores: DataFrame, grid: str = "grid_anchor") -> DataFrame:
+def playback(long: DataFrame, enf: DataFrame, scores: DataFrame, grid: str = "grid_anchor", absent: float = 0.0, nominal: float = 60.0) -> DataFrame:
     """object, property, value, ts, label, colour: what a playback writes to the twin for each frame.
 
     long: idx, node_id, channel, kind, is_core, value; enf: idx, frq; scores: idx, node_id (ENF for the grid), score. Every
-    device of a node has the node's label and colour; without a score there is none.
+    frame writes every device of every node, `absent` where it has no reading, and the grid, `nominal` where it has no
+    frequency. Every device of a node has the node's label and colour; without a score there is none.
     """
-    device = F.concat_ws("_", "node_id", F.regexp_replace("channel", r"(-core)?\[.*$", ""))
     prop = F.when(F.col("kind") == "gpu_temp", "temp_c").when(F.col("is_core"), "core_power_w").otherwise("power_draw_w")
-    parts = long.where("kind IN ('gpu_power', 'gpu_temp', 'cpu_power')").select("idx", "node_id", device.alias("object"), prop.alias("property"), "value")
-    parts = parts.unionByName(enf.select("idx", F.lit("ENF").alias("node_id"), F.lit(grid).alias("object"), F.lit("grid_frequency_hz").alias("property"), F.col("frq").alias("value")))
-    both, s = parts.join(scores, ["idx", "node_id"], "left"), F.col("score")
+    known = long.where("kind IN ('gpu_power', 'gpu_temp', 'cpu_power')").select("idx", "node_id", F.regexp_replace("channel", r"(-core)?\[.*$", "").alias("device"), prop.alias("property"), "value")
+    frames = long.select("idx").unionByName(enf.select("idx")).distinct()
+    # one row: the nodes of a facility
+    nodes = frames.crossJoin(F.broadcast(long.agg(F.collect_set("node_id").alias("nodes")))).select("idx", F.explode("nodes").alias("node_id"))
+    devices = F.explode(F.array(*[F.struct(F.lit(d).alias("device"), F.lit(p).alias("property")) for d, p in TWIN]))
+    spine = nodes.withColumn("x", devices).select("idx", "node_id", "x.device", "x.property")
+    # readings of devices that a twin usually lacks are written too
+    parts = spine.join(known, ["idx", "node_id", "device", "property"], "full_outer").select("idx", "node_id", F.concat_ws("_", "node_id", "device").alias("object"), "property", F.coalesce("value", F.lit(absent)).alias("value"))
+    anchor = frames.join(enf, "idx", "left").select("idx", F.lit("ENF").alias("node_id"), F.lit(grid).alias("object"), F.lit("grid_frequency_hz").alias("property"), F.coalesce("frq", F.lit(nominal)).alias("value"))
+    both, s = parts.unionByName(anchor).join(scores, ["idx", "node_id"], "left"), F.col("score")
     shown = lambda f: F.when(s.isNotNull(), f(s))
     return both.select("object", "property", "value", (F.col("idx") * 2.0).alias("ts"), shown(label).alias("label"), shown(colour).alias("colour"))
 
 
+#: Units of the twin's properties.
+UNITS = {"power_draw_w": "W", "core_power_w": "W", "temp_c": "C", "grid_frequency_hz": "Hz"}
+
+
+def append_playback(played: DataFrame, folder: str, run_id: str) -> None:
+    """Appends what playback() writes to a run's part of the bus, as StateVariable records."""
+    units = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    rows = played.select(F.col("property").alias("name"), "value", units[F.col("property")].alias("unit"), F.col("ts").alias("timestamp"), F.col("object").alias("source_object"), F.lit(None).cast("string").alias("workload_class"))
+    append(rows, "StateVariable", folder, run_id)
+
+
 def placeholder_twin(spark: SparkSession, racks: int = 6) -> DataFrame:
     """object, property, value of a twin without data: racks, power distribution, cooling."""
     rows = [(f"rack_{i:02d}", p, v) for i in range(racks) for p, v in (("power_w", 120.0), ("temp_c", 22.0), ("load_pct", 0.0))]

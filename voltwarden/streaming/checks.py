@@ -71,9 +71,13 @@ class Accepted:
 
 
 class _Keyed(StatefulProcessor):
-    """Timers of idle keys. A key's own state is cleared by clear()."""
+    """Timers of idle keys, and rows told of a key."""
 
     idle_s: float
+    keys: list[str]
+
+    def rows(self, key: tuple, found: list[tuple], columns: list[str]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in found], columns=[*self.keys, *columns], dtype=object)
 
     def wake(self, timers) -> None:
         for t in list(self.handle.listTimers()):
@@ -125,10 +129,7 @@ class NodeChecks(_Keyed):
         self.numbers.update((accepted.last, self.before, self.most, self.stuck, self.start, self.calm, self.inside, self.steady, self.since))
         put(self.recent, [(v,) for v in self.seen])
         self.wake(timerValues)
-        found = pd.DataFrame(out, columns=self.COLUMNS)
-        for at, name in enumerate(self.keys):
-            found.insert(at, name, [key[at]] * len(found))
-        yield found
+        yield self.rows(key, out, self.COLUMNS)
 
     def reading(self, kind: str, v: float, frame: int) -> Iterator[tuple[int, str]]:
         """(place of the check, code) of each check that says something about a reading."""
@@ -226,12 +227,6 @@ class GridChecks(_Keyed):
         for state in (self.numbers, self.values, self.waiting, self.pairs, self.strayed, self.held, self.blocks):
             state.clear()
 
-    def told(self, key) -> pd.DataFrame:
-        found = pd.DataFrame(self.out, columns=self.COLUMNS)
-        for at, name in enumerate(self.keys):
-            found.insert(at, name, [key[at]] * len(found))
-        return found
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self.load()
         rows = pd.concat(list(rows)).sort_values("idx", kind="stable")
@@ -255,13 +250,13 @@ class GridChecks(_Keyed):
         else:
             self.save()
             self.wake(timerValues)
-        yield self.told(key)
+        yield self.rows(key, self.out, self.COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.load()
         self.finish()
         self.clear()
-        yield self.told(key)
+        yield self.rows(key, self.out, self.COLUMNS)
 
     def finish(self) -> None:
         """What waits is told of; the last value stands for those after it."""

@@ -1,179 +1,51 @@
-"""Streams: paced replay of recorded frames, and the keyed checks over unbounded series.
-
-Late and repeated readings are reported as such and never dropped, so no watermark stands on this path; the state of a
-series is a few numbers, whatever its length.
-"""
+"""Streams of recorded frames, forked to several sinks, and alert sessions."""
 
 from __future__ import annotations
 
-import bisect
-import json
-from collections.abc import Callable, Iterator
-from decimal import ROUND_HALF_UP, Decimal
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
-def frame_due(elapsed_s: float, cadence_s: float = 2.0) -> int:
-    """The frame that a poll shows: a late poll skips those before it."""
-    return int(elapsed_s / cadence_s)
-
-
 def frames(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1) -> DataFrame:
     """Recorded frames as a stream, some files a trigger; pace it with trigger(processingTime="2 seconds")."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
 def fork(stream: DataFrame, checkpoint: str, *sinks: Callable[[DataFrame, int], None]):
-    """The same rows to each sink, from one pass over each batch."""
+    """The same rows to each sink, from one pass over each batch.
+
+    A ledger beside the checkpoint holds which sinks are done with which batch. A batch that is run again after a failure
+    goes only to those that are not, under its number: a sink must put a batch in place of what it left of it before.
+    """
+    spark = stream.sparkSession
+
+    def record(sink: int, batch_id: int):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/ledger/{sink}/{batch_id}")
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        open_ones = [(k, sink, *record(k, batch_id)) for k, sink in enumerate(sinks)]
+        open_ones = [(k, sink, fs, place) for k, sink, fs, place in open_ones if not fs.exists(place)]
+        if not open_ones:
+            return
         batch.persist()
         try:
-            for sink in sinks:
+            for k, sink, fs, place in open_ones:
                 sink(batch, batch_id)
+                fs.create(place, True).close()
+                old = record(k, batch_id - KEPT)[1]
+                fs.delete(old, False)
         finally:
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
-STEPS = "node_id string, channel string, idx long, value double, status_rank int, code string"
-
-
-def guarded_steps(stream: DataFrame, step: float) -> DataFrame:
-    """STEPS of readings (node_id, channel, idx, value): REPLAY for an idx accepted before, OUT OF ORDER for one that is not later than all accepted, DISCONTINUITY for a step from the last accepted value.
-
-    State: the last accepted value, and the accepted idx as ranges, of which there is one where none was left out.
-    """
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ranges, before = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], None)
-        for rows in parts:
-            out = []
-            for i, v in zip(rows["idx"].tolist(), rows["value"].tolist()):
-                if ranges and i <= ranges[-1][1]:
-                    known = bisect.bisect_right(ranges, [i, float("inf")]) - 1
-                    again = known >= 0 and i <= ranges[known][1]
-                    out.append((*key, i, v, 2, "REPLAY" if again else "OUT OF ORDER"))
-                    continue
-                bad = before is not None and abs(v - before) > step
-                out.append((*key, i, v, 2 if bad else 0, "DISCONTINUITY" if bad else "ok"))
-                if ranges and i == ranges[-1][1] + 1:
-                    ranges[-1][1] = i
-                else:
-                    ranges.append([i, i])
-                before = v
-            yield pd.DataFrame(out, columns=["node_id", "channel", "idx", "value", "status_rank", "code"])
-        state.update((json.dumps(ranges), before))
-
-    return stream.groupBy("node_id", "channel").applyInPandasWithState(fold, STEPS, "ranges string, before double", "append", GroupStateTimeout.NoTimeout)
-
-
-class Range:
-    """OUT OF RANGE, as nlr.value_range. A check is made of its limits, takes one value at a time and keeps its state in `state`."""
-
-    def __init__(self, low: float, high: float):
-        self.limits, self.state = (low, high), []
-
-    def check(self, v: float) -> str | None:
-        return "ok" if self.limits[0] <= v <= self.limits[1] else "OUT OF RANGE"
-
-
-class Monotonicity:
-    """As nlr.monotonicity. State: the value before, and the running maximum since the last wrap."""
-
-    def __init__(self, ceiling: float, tolerance: float, step: float):
-        self.limits, self.state = (ceiling, tolerance, step), [None, None]
-
-    def check(self, v: float) -> str | None:
-        (ceiling, tolerance, step), (before, most) = self.limits, self.state
-        wrap = before is not None and abs(before - v - ceiling) <= tolerance
-        code = "ok"
-        if not wrap and most is not None and v < most:
-            code = "MONOTONICITY VIOLATION"
-        elif not wrap and before is not None and v - before > step:
-            code = "ENERGY SPIKE"
-        self.state = [v, v if wrap or most is None else max(most, v)]
-        return code
-
-
-class Sustained:
-    """As nlr.sustained. State: frames, the value before, whether it is stuck, the value at the start, calm steps."""
-
-    def __init__(self, step: float, band: float, quiet: int, run: int):
-        self.limits, self.state = (step, band, quiet, run), [0, None, False, 0.0, 0]
-
-    def check(self, v: float) -> str | None:
-        (step, band, quiet, run), (n, before, stuck, start, calm) = self.limits, self.state
-        moved, code = abs(v - before) if before is not None else 0.0, None
-        if n >= quiet:
-            if stuck:
-                calm = calm + 1 if moved <= step else 0
-                stuck = not (abs(v - start) <= band or calm >= run)
-                code = "SUSTAINED DEVIATION" if stuck else "ok"
-            elif before is not None and moved > step:
-                stuck, start, calm, code = True, before, 0, "SUSTAINED DEVIATION"
-        self.state = [n + 1, v, stuck, start, calm]
-        return code
-
-
-class StartupRamp:
-    """As nlr.startup_ramp. State: frames, values in a row within the band, whether it is steady."""
-
-    def __init__(self, low: float, high: float, deadline: int, run: int):
-        self.limits, self.state = (low, high, deadline, run), [0, 0, False]
-
-    def check(self, v: float) -> str | None:
-        (low, high, deadline, run), (n, row, steady) = self.limits, self.state
-        row = row + 1 if low <= v <= high else 0
-        steady = steady or row >= run
-        self.state = [n + 1, row, steady]
-        return "STARTUP RAMP" if n >= deadline and not steady else "ok"
-
-
-class Replay:
-    """As nlr.replay. State: the last values, as many as are looked back on, and values since the last match."""
-
-    def __init__(self, gram: int, lookback: int, floor: float, run: int = 5):
-        self.limits, self.state = (gram, lookback, floor, run), [[], None]
-
-    def check(self, v: float) -> str | None:
-        (gram, lookback, floor, run), (seen, since) = self.limits, self.state
-        if abs(v) < floor:
-            return None
-        seen = [*seen, float(Decimal(repr(v)).quantize(Decimal("1.0000"), ROUND_HALF_UP))][-lookback:]
-        own = seen[-gram:]
-        match = len(own) == gram and len(set(own)) >= 2 and any(seen[i : i + gram] == own for i in range(len(seen) - 2 * gram + 1))
-        since = 0 if match else since + 1 if since is not None else None
-        self.state = [seen, since]
-        return None if since is None or since > run else "REPLAY" if since < run else "ok"
-
-
-CHECKS = {c.__name__: c for c in (Range, Monotonicity, Sustained, StartupRamp, Replay)}
-
-
-def guarded(stream: DataFrame, check: str, *limits: float) -> DataFrame:
-    """STEPS of readings (node_id, channel, idx, value) by one of CHECKS, a row where the check says something, as in batch.
-
-    Readings of a series are taken in the order of idx within a micro-batch, and micro-batches in their order. The state
-    of a series is a few numbers, at most `lookback` of them.
-    """
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = CHECKS[check](*limits)
-        if state.exists:
-            own.state = json.loads(state.get[0])
-        rows = pd.concat(list(parts)).sort_values("idx", kind="stable")
-        out = [(*key, i, v, 0 if c == "ok" else 2, c) for i, v in zip(rows["idx"].tolist(), rows["value"].tolist()) if (c := own.check(v)) is not None]
-        state.update((json.dumps(own.state),))
-        yield pd.DataFrame(out, columns=["node_id", "channel", "idx", "value", "status_rank", "code"])
-
-    return stream.groupBy("node_id", "channel").applyInPandasWithState(fold, STEPS, "state string", "append", GroupStateTimeout.NoTimeout)
+#: Batches that a ledger holds; only the last can be run again.
+KEPT = 100
 
 
 def sessions(stream: DataFrame, gap: str = "5 seconds", late: str = "1 minute") -> DataFrame:
