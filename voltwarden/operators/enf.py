@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import Enf
+from .stretches import folded
 
 
 def by_run(df: DataFrame, order: str = "idx") -> WindowSpec:
@@ -125,26 +126,40 @@ def _folded(df: DataFrame, more: str, fold) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(lambda rows: fold(rows.sort_values("idx", kind="stable")), f"{schema}, {more}")
 
 
-def drift_cusum(df: DataFrame, baseline: float, limit: float, warm: int, history: int) -> DataFrame:
+def drift_cusum(df: DataFrame, baseline: float, limit: float, warm: int, history: int, span: int | None = None) -> DataFrame:
     """df (with confidence) with drift_sum and drifted: a CUSUM that starts again when it fires.
 
-    After `warm` values the baseline becomes the mean deviation so far (of the last `history` at most) and the sum 0.
+    After `warm` values the baseline becomes the mean deviation so far (of the last `history` at most) and the sum 0. A
+    run is folded in order, or, with `span`, in stretches of so many idx at once.
     """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", drift_sum double, drifted boolean"
+    keys, names = [c for c in ["run_id"] if c in df.columns], df.columns
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        s, base, seen, sums, fired = 0.0, baseline, [], [], []
+    def fold(rows: pd.DataFrame, state: list[float]) -> tuple[pd.DataFrame, list[float]]:
+        n, s, base, *seen = state
+        sums, fired = [], []
         for c in rows["confidence"]:
-            seen = [*seen[-history + 1 :], 1 - c]
+            if n < warm:
+                seen = [*seen[-history + 1 :], 1 - c]
+            n += 1
             s = max(0.0, s + (1 - c) - base)
-            if len(sums) + 1 == warm:
-                base, s = float(np.mean(seen)), 0.0
+            if n == warm:
+                base, s, seen = float(np.mean(seen)), 0.0, []
             hit = s > limit
             sums.append(s)
             fired.append(hit)
             s = 0.0 if hit else s
-        return rows.assign(drift_sum=sums, drifted=fired)
-
-    return _folded(df, "drift_sum double, drifted boolean", fold)
+        return rows[names].assign(drift_sum=sums, drifted=fired), [min(n, warm), s, base, *seen]
+
+    fresh = [0.0, 0.0, baseline]
+    if span is None:
+        given = df.groupBy(*keys)
+        return given.applyInPandas(lambda rows: fold(rows.sort_values("idx", kind="stable"), fresh)[0], schema)
+    # the baseline of a run is known from its first values
+    heads = df.withColumn("__n", F.row_number().over(by_run(df))).where(F.col("__n") <= warm)
+    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    warmed = heads.groupBy(*keys).applyInPandas(lambda rows: pd.DataFrame([(*rows[keys].iloc[0].tolist(), fold(rows.sort_values("idx", kind="stable"), fresh)[1])], columns=[*keys, "state"]), f"{kinds}state array<double>")
+    return folded(df, keys, "idx", span, fold, fresh, schema, warmed)[0]
 
 
 def hampel_flags(x: np.ndarray, radius: int, sigmas: float, scale: float, flagged: np.ndarray | None = None) -> np.ndarray:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .spans import earlier, overlapping, positions
+from .stretches import folded
 
 SERIES = ["node_id", "channel"]
 
@@ -149,33 +150,38 @@ def replay(df: DataFrame, gram: int, lookback: int, floor: float, run: int = 5,
     return result(kept, F.col("__since") < run, "REPLAY", F.col("__since").cast("double"), run, F.col("__since") <= run)
 
 
-def sustained(df: DataFrame, step: float, band: float, quiet: int, run: int, frame: str = "frame") -> DataFrame:
+def sustained(df: DataFrame, step: float, band: float, quiet: int, run: int, frame: str = "frame", span: int | None = None) -> DataFrame:
     """SUSTAINED DEVIATION: after a step of more than `step` the series stays failed until it is back within `band` of the value before it, or has made `run` steps in a row within `step`.
 
     Nothing happens in the first `quiet` frames. Where the state ends is known only from what was stored at its start, so a
-    series is folded in order; a row is given while the state holds, and a trusted one where it ends.
+    series is folded in order, or in stretches of `span` idx at once; a row is given while the state holds, and a trusted
+    one where it ends.
     """
-    keys = [c for c in ["run_id", *SERIES] if c in df.columns]
+    keys = keys_of(df)
     own = [c for c in ["run_id", "idx", "node_id", "channel", "value"] if c in df.columns]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx", kind="stable")
-        out, before, stuck, start, calm = [], None, False, 0.0, 0
-        for i, v, n in zip(rows.index, rows["value"], rows[frame]):
-            moved = abs(v - before) if before is not None else 0.0
+    def fold(rows: pd.DataFrame, state: list[float]) -> tuple[pd.DataFrame, list[float]]:
+        out, (stuck, start, calm) = [], state
+        for i, v, n, before in zip(rows.index, rows["value"], rows[frame], rows["__before"]):
+            known = before is not None and before == before
+            moved = abs(v - before) if known else 0.0
             if n >= quiet:
                 if stuck:
                     calm = calm + 1 if moved <= step else 0
                     stuck = not (abs(v - start) <= band or calm >= run)
                     out.append((i, 2 if stuck else 0, abs(v - start)))
-                elif before is not None and moved > step:
+                elif known and moved > step:
                     stuck, start, calm = True, before, 0
                     out.append((i, 2, moved))
-            before = v
         at = [i for i, _, _ in out]
         states = [r for _, r, _ in out]
         found = {c: rows.loc[at, c].tolist() for c in own}
-        return pd.DataFrame(found | {"status_rank": states, "code": ["SUSTAINED DEVIATION" if r else "ok" for r in states], "observed": [float(x) for _, _, x in out], "limit": [float(band)] * len(out)}, dtype=object)
+        told = pd.DataFrame(found | {"status_rank": states, "code": ["SUSTAINED DEVIATION" if r else "ok" for r in states], "observed": [float(x) for _, _, x in out], "limit": [float(band)] * len(out)}, dtype=object)
+        # what a state that doesn't hold once was is of no matter
+        return told, [1.0, float(start), float(calm)] if stuck else [0.0, 0.0, 0.0]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*own).schema.fields)
-    return df.select(*own, frame).groupBy(*keys).applyInPandas(fold, schema + ", status_rank int, code string, observed double, limit double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*own).schema.fields) + ", status_rank int, code string, observed double, limit double"
+    rows = with_before(df.select(*own, frame), span)
+    if span is not None:
+        return folded(rows, keys, "idx", span, fold, [0.0, 0.0, 0.0], schema)[0]
+    return rows.groupBy(*keys).applyInPandas(lambda part: fold(part.sort_values("idx", kind="stable"), [0.0, 0.0, 0.0])[0], schema)
