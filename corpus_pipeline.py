@@ -14,7 +14,11 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. It learns from all labelled rows up to its bound."""
+    """Documents that the classifier accepts. It learns from all labelled rows up to its bound.
+
+    A null text scores as an empty one; rows that repeat an id or a text are judged each by itself and alike, null ids stay
+    null ids, and an empty table has an empty result. Without labels of both classes all are judged alike.
+    """
     model = quality.fit(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
 
@@ -38,17 +42,28 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret's text replaced."""
+    """All documents, with each secret's text replaced and n_chars counted anew.
+
+    Null and empty texts stay as they are, repeated rows stay and are changed alike, and an empty table has an empty result.
+    """
     return secrets.redact(docs, secrets.fit(spark, docs=docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; repeats are repeated rows."""
+    """Documents as often as the mix takes them; repeats are repeated rows.
+
+    A null source is a source of its own, null texts have no words and go with others of their source, rows that repeat an
+    id are taken together, and an empty table has an empty result.
+    """
     return mixing.repeated(mixing.mix(docs)).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of at most 2048 tokens."""
+    """The pieces of all documents and their places in sequences of at most 2048 tokens.
+
+    Null texts are empty documents of one token, rows that repeat an id are pieces of their own, and an empty table gives
+    no piece.
+    """
     return packing.pack_documents(docs, queries.vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 

@@ -72,6 +72,18 @@ def test_gradient_by_differences():
         assert abs((both[0] - both[1]) / 2e-5 - g[k][at]) < 1e-6 + 1e-3 * abs(g[k][at])
 
 
+def test_gradients_in_pieces(monkeypatch):
+    """Summed over pieces they are those of the whole batch."""
+    rng = np.random.default_rng(4)
+    bags = [quality.Counts.of("".join(rng.choice(list("abc de#%"), n))) for n in (900, 3000, 5, 1700, 800)]
+    p = {"table": rng.normal(0, 0.3, (quality.BUCKETS, quality.WIDTH)), "dense": rng.normal(0, 0.5, (quality.DENSE, quality.WIDTH)), "v": rng.normal(0, 0.3, (16, 16)), "u": rng.normal(0, 0.3, (16, 16)), "w": rng.normal(0, 0.3, 16), "out": rng.normal(0, 0.3, 16), "bias": np.zeros(1)}
+    shift, y, weight = np.full(quality.DENSE, 0.2), np.array([1.0, 0, 1, 0, 1]), np.array([0.6, 1.2, 0.6, 1.2, 0.6])
+    whole = quality.loss_and_gradients(p, shift, bags, y, weight)[1]
+    monkeypatch.setattr(quality, "PIECE", 3)
+    parts = quality.batch_gradients(p, shift, bags, np.arange(5), y, weight)
+    assert whole.keys() == parts.keys() and all(np.allclose(parts[k], whole[k]) for k in whole)
+
+
 def test_ftrl_against_a_plain_one():
     rng = np.random.default_rng(5)
     rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.random(6), int(rng.integers(3))) for _ in range(60)]

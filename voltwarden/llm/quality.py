@@ -132,6 +132,22 @@ def loss_and_gradients(p: dict[str, np.ndarray], shift: np.ndarray, bags: list[C
     return loss, g
 
 
+#: Passages whose gradients are computed together: what a step holds at once.
+PIECE = 512
+
+
+def batch_gradients(p: dict[str, np.ndarray], shift: np.ndarray, bags: list[Counts], own: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """The gradient over the bags `own`, summed up over pieces of some passages."""
+    ends = np.cumsum([len(bags[i].sizes) for i in own]) // PIECE
+    total: dict[str, np.ndarray] = {}
+    for piece in np.unique(ends):
+        some = own[ends == piece]
+        for k, x in loss_and_gradients(p, shift, [bags[i] for i in some], y[some], weight[some])[1].items():
+            x *= len(some) / len(own)
+            total[k] = total[k] + x if k in total else x
+    return total
+
+
 def train(bags: list[Counts], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.02, decay: float = 1e-5, seed: int = 11) -> Model:
     """Fits a model by Adam on the documents' log-likelihood, classes weighted alike."""
     rng = np.random.default_rng(seed)
@@ -146,8 +162,7 @@ def train(bags: list[Counts], labels: np.ndarray, epochs: int = 12, batch: int =
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
-            own = order[at : at + batch]
-            _, g = loss_and_gradients(p, shift, [bags[i] for i in own], y[own], weight[own])
+            g = batch_gradients(p, shift, bags, order[at : at + batch], y, weight)
             step += 1
             for k, x in g.items():
                 x = x + decay * p[k]
