@@ -30,7 +30,7 @@ def _through(spark: SparkSession, name: str, rows: DataFrame, build, steps: int
 
 
 @query(f"""WITH RECURSIVE {SQL_FRAMES}, {_SQL_GRID}
-SELECT run_id, idx, CASE WHEN len(codes) > 0 THEN 2 WHEN confidence < 0.1 THEN 1 ELSE 0 END AS status_rank, array_to_string(codes, ' | ') AS codes, round(confidence, 6) AS confidence FROM said""")
+SELECT run_id, idx, CASE WHEN len(codes) > 0 THEN 2 WHEN confidence < 0.1 THEN 1 ELSE 0 END AS status_rank, array_to_string(codes, ' | ') AS codes, round(confidence, 3) AS confidence FROM said""")
 def stream_grid_checks(spark, sf_dir):
     """Every check of the frequency, keyed by run, over several micro-batches."""
     series, _ = recorded(spark, sf_dir)
@@ -38,7 +38,7 @@ def stream_grid_checks(spark, sf_dir):
     ends = last.select("run_id", F.lit(399).cast("long").alias("idx"), F.lit(None).cast("double").alias("frq"), F.lit(None).cast("double").alias("alt"), F.lit(None).cast("double").alias("ts"))
     rows = series.select("run_id", F.col("idx").cast("long").alias("idx"), "frq", "alt", "ts").unionByName(ends)
     told = _through(spark, "grid-checks", rows.repartition(4, "run_id"), lambda s: checks.grid_checks(s, GRID))
-    return told.select("run_id", "idx", "status_rank", F.array_join("codes", " | ").alias("codes"), F.round("confidence", 6).alias("confidence"))
+    return told.select("run_id", "idx", "status_rank", F.array_join("codes", " | ").alias("codes"), F.round("confidence", 3).alias("confidence"))
 
 
 @query(f"WITH RECURSIVE {_SQL_NODES} SELECT run_id, idx, node_id, channel, ord AS check_ord, code FROM bad WHERE code <> 'SIBLING MISMATCH'")
