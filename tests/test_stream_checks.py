@@ -5,7 +5,6 @@ import os
 import random
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from voltwarden.config import Enf, Nlr

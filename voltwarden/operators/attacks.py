@@ -137,7 +137,7 @@ def on_frequency(df: DataFrame, start: int, end: int, mode: str, by: float, only
     rows = df.withColumn("frq", F.col("value").cast("double"))
     seen = profile(rows.select(*keys, "idx", "frq").where(F.col("frq").isNotNull()), start)
     seen = seen.select(*keys, F.col("noise").alias("__noise"), F.col("phi").alias("__phi"))
-    rows = rows.join(F.broadcast(seen), keys, "left") if keys else rows.crossJoin(F.broadcast(seen))  # a row a run
+    rows = rows.join(seen, keys, "left") if keys else rows.crossJoin(F.broadcast(seen))  # one row
     # a run without rows before the attack has the defaults of profile()
     rows = rows.withColumn("__noise", normal_draws(seed, *keys, "idx") * F.coalesce("__noise", F.lit(0.005)) * 0.5).withColumn("__phi", F.coalesce("__phi", F.lit(0.95)))
     rows = rows.withColumn("__hit", F.coalesce(F.col("target") & F.col("frq").isNotNull() & condition(F.col("frq"), *(only or (None, None))), F.lit(False)))

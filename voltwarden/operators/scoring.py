@@ -41,7 +41,8 @@ def by_layer(truth: DataFrame, detector: DataFrame) -> DataFrame:
     Global the largest of the side's layers; where there is nothing it is 0.
     """
     names = layer_names(layer_names(truth, detector), truth.sparkSession.range(1).select(F.lit("Global").alias("layer")))
-    spine = truth.select("idx").unionByName(detector.select("idx")).distinct().crossJoin(F.broadcast(names))  # layers are few: nodes and two more
+    frames = truth.select("idx").unionByName(detector.select("idx")).distinct()
+    spine = frames.crossJoin(F.broadcast(names.agg(F.collect_set("layer").alias("layers")))).select("idx", F.explode("layers").alias("layer"))  # one row
 
     def whole(side: DataFrame, value: str) -> DataFrame:
         own = F.max(F.when(F.col("layer") == "Global", F.col(value)))

@@ -71,8 +71,8 @@ def split_by_node(long: DataFrame, enf: DataFrame, folder: str) -> DataFrame:
     """
     from ..operators.views import normal_ids
 
-    ids = normal_ids(long).persist()
-    rows = long.join(F.broadcast(ids), "node_id").join(enf, "idx")  # a row a node
+    ids = normal_ids(long)
+    rows = long.join(ids, "node_id").join(enf, "idx")
     wide = rows.groupBy(F.col("idx").alias("index"), F.col("frq").alias("FRQ"), "short_id").pivot("channel").agg(F.first("value"))
     wide.write.mode("overwrite").partitionBy("short_id").json(folder)
     return long.groupBy("node_id").agg(F.count_distinct("idx").alias("frames")).join(ids, "node_id").select("node_id", "short_id", "frames")
