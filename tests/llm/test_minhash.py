@@ -2,7 +2,6 @@
 
 import random
 import re
-from collections import defaultdict
 
 import numpy as np
 import pytest
