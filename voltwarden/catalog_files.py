@@ -379,7 +379,8 @@ def scenario_305(spark, sf_dir):
     return _scenario(spark, sf_dir, "305")
 
 
-@query(_preset("303", "FALSE", "value", 0.20, 0.80))
+@query(f"""WITH {_SQL_NAMED}, m AS (SELECT max(idx) + 1 AS n FROM named), h AS (SELECT named.*, floor(n * 0.2::DOUBLE)::BIGINT AS lo, floor(n * 0.8::DOUBLE)::BIGINT AS hi, floor(n * 0.01::DOUBLE)::BIGINT AS first, floor(n * (0.01::DOUBLE + 0.05::DOUBLE))::BIGINT - floor(n * 0.01::DOUBLE)::BIGINT AS len FROM named, m)
+SELECT a.idx, a.node_id, a.channel, round(coalesce(b.value, a.value), 6) AS attacked, (b.value IS NOT NULL)::INT AS label FROM h a LEFT JOIN named b ON a.node_id = b.node_id AND a.channel = b.channel AND a.channel LIKE 'gpu%[W]' AND a.value > 450 AND a.idx >= a.lo AND a.idx < a.hi AND b.idx = a.first + (a.idx - a.lo) % greatest(1, a.len)""")
 def scenario_303(spark, sf_dir):
     """Values over 450 alone are replaced by earlier ones: none of these tables is."""
     return _scenario(spark, sf_dir, "303")
