@@ -30,3 +30,14 @@ def test_scenario_303_with_values_over_450(spark, tmp_path):
     got, want = catalog.QUERIES["scenario_303"](spark, str(tmp_path)).toPandas(), db.sql(catalog.ORACLE_SQL["scenario_303"]).df()
     assert got.label.sum() > 0
     pd.testing.assert_frame_equal(ordered(got), ordered(want), check_dtype=False, rtol=0, atol=1e-9)
+
+
+def test_time_to_detection_in_parts(spark):
+    rng = random.Random(5)
+    rows = [(k, i, rng.choice([0, 1, 1, 1, None]), rng.random() < 0.3) for k in "ab" for i in rng.sample(range(300), 150)]
+    df = spark.createDataFrame(rows, "layer string, idx long, truth int, hit boolean")
+    whole, parts = (scoring.time_to_detection(df, ["layer"], F.col("truth") == 1, F.col("hit"), span) for span in (None, 16))
+    pd.testing.assert_frame_equal(ordered(whole.toPandas()), ordered(parts.toPandas()))
+    layers = df.where("truth IS NOT NULL").select("idx", "layer", "truth", F.col("hit").cast("double").alias("score"))
+    whole, parts = (bus.history_rows(layers, "s", "easy", "t", "d", "now", *span) for span in ([], [16]))
+    assert ordered(whole.toPandas()).equals(ordered(parts.toPandas()))

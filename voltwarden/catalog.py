@@ -498,12 +498,12 @@ def attack_windows(spark, sf_dir):
 
 @query(f"WITH {_SQL_WINDOWS} SELECT node_id, min(idx) AS start, max(idx) AS \"end\", min(idx) FILTER (score = 1) - min(idx) AS ttd FROM isl WHERE truth = 1 GROUP BY node_id, island")
 def time_to_detection(spark, sf_dir):
-    return scoring.time_to_detection(_scored(spark, sf_dir), ["node_id"], F.col("truth") == 1, F.col("score") == 1)
+    return scoring.time_to_detection(_scored(spark, sf_dir), ["node_id"], F.col("truth") == 1, F.col("score") == 1, SPAN)
 
 
 @query(f"WITH {_SQL_WINDOWS}, t AS (SELECT node_id, min(idx) FILTER (score = 1) - min(idx) AS ttd FROM isl WHERE truth = 1 GROUP BY node_id, island) SELECT node_id, count(*) AS windows, count(ttd) AS detected, round(avg(ttd), 3) AS mean_ttd FROM t GROUP BY node_id")
 def mean_ttd(spark, sf_dir):
-    t = scoring.time_to_detection(_scored(spark, sf_dir), ["node_id"], F.col("truth") == 1, F.col("score") == 1)
+    t = scoring.time_to_detection(_scored(spark, sf_dir), ["node_id"], F.col("truth") == 1, F.col("score") == 1, SPAN)
     return t.groupBy("node_id").agg(F.count("*").alias("windows"), F.count("ttd").alias("detected"), F.round(F.avg("ttd"), 3).alias("mean_ttd"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import _SQL_LONG, _SQL_POLLS, SQL_ENF, SQL_FRAMES, _episodes, _long, frames, grid, query, sql_cleaned
+from .catalog import _SQL_LONG, _SQL_POLLS, SPAN, SQL_ENF, SQL_FRAMES, _episodes, _long, frames, grid, query, sql_cleaned
 from .functions import channels, status
 from .operators import align, attacks, calibrate, enf, scoring, views
 from .sources import bus, logs, scratch
@@ -305,7 +305,7 @@ SELECT layer, (count(*) FILTER (truth = 1 AND score >= {least}))::DOUBLE AS tp,
 @query(f"""WITH {_SQL_LAYERED}, {_sql_metrics('s', 1.0)}, {_sql_metrics('t', 0.5)} SELECT s.layer, s.tp::BIGINT AS strict_tp, s.fp::BIGINT AS strict_fp, s.tn::BIGINT AS strict_tn, s.fn::BIGINT AS strict_fn, s.p AS strict_precision, s.r AS strict_recall, s.f AS strict_f1, s.x AS strict_fpr, t.tp::BIGINT AS lenient_tp, t.fn::BIGINT AS lenient_fn, t.p AS lenient_precision, t.r AS lenient_recall, 'drift' AS scenario_id, 'truth.jsonl' AS truth_file FROM s JOIN t USING (layer)""")
 def detection_history(spark, sf_dir):
     path = scratch.folder(spark, "history")
-    rows = bus.history_rows(_layered(spark, sf_dir), "drift", "easy", "truth.jsonl", "detector.jsonl", "2025-07-17T08:00:00")
+    rows = bus.history_rows(_layered(spark, sf_dir), "drift", "easy", "truth.jsonl", "detector.jsonl", "2025-07-17T08:00:00", SPAN)
     bus.append_history(rows, path)
     strict = [f"strict_{c}" for c in ("tp", "fp", "tn", "fn", "precision", "recall", "f1", "fpr")]
     return bus.read_history(spark, path).select("layer", *strict, "lenient_tp", "lenient_fn", "lenient_precision", "lenient_recall", "scenario_id", "truth_file")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spans import earlier
+
 
 def _ratio(n: Column, d: Column) -> Column:
     return F.when(d > 0, n / d).otherwise(0.0)
@@ -60,12 +62,18 @@ def windows(df: DataFrame, keys: list[str], on: Column, order: str = "idx") -> D
     return marked.groupBy(*keys, "__island").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("frames")).drop("__island")
 
 
-def time_to_detection(df: DataFrame, keys: list[str], truth: Column, flagged: Column) -> DataFrame:
-    """keys, start, end, ttd: frames from a window's start to its first flagged frame, null where there is none."""
-    w = Window.partitionBy(*keys).orderBy("idx")
+def time_to_detection(df: DataFrame, keys: list[str], truth: Column, flagged: Column, span: int | None = None) -> DataFrame:
+    """keys, start, end, ttd: frames from a window's start to its first flagged frame, null where there is none.
+
+    A series is scanned in one task, or, with `span`, in parts of so many idx.
+    """
     marked = df.withColumn("__t", truth.cast("int")).withColumn("__f", flagged)
-    marked = marked.withColumn("__s", F.when((F.col("__t") == 1) & (F.coalesce(F.lag("__t").over(w), F.lit(0)) == 0), 1).otherwise(0))
-    marked = marked.withColumn("__island", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__t = 1")
+    if span is None:
+        w = Window.partitionBy(*keys).orderBy("idx")
+        marked = marked.withColumn("__s", F.when((F.col("__t") == 1) & (F.coalesce(F.lag("__t").over(w), F.lit(0)) == 0), 1).otherwise(0))
+        marked = marked.withColumn("__island", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__t = 1")
+    else:  # a window is known by the last frame before it
+        marked = earlier(marked, keys, "idx", span, most={"__island": F.when(F.coalesce("__t", F.lit(0)) == 0, F.col("idx"))}).where("__t = 1")
     out = marked.groupBy(*keys, "__island").agg(F.min("idx").alias("start"), F.max("idx").alias("end"), F.min(F.when(F.col("__f"), F.col("idx"))).alias("__hit"))
     return out.withColumn("ttd", F.col("__hit") - F.col("start")).drop("__island", "__hit")
 

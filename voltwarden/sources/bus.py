@@ -102,11 +102,11 @@ HISTORY = (
 )
 
 
-def history_rows(layers: DataFrame, scenario: str, difficulty: str, truth_file: str, detector_file: str, at: str) -> DataFrame:
+def history_rows(layers: DataFrame, scenario: str, difficulty: str, truth_file: str, detector_file: str, at: str, span: int | None = None) -> DataFrame:
     """HISTORY, a row a layer, of idx, layer, truth, score as scoring.by_layer() gives them.
 
     Strict counts failed frames as detections, lenient suspect ones too. Ratios have 6 places, mean times to detection 3,
-    null where nothing was detected.
+    null where nothing was detected. With `span`, layers are scanned in parts of so many idx.
     """
     from ..operators import scoring
 
@@ -114,7 +114,7 @@ def history_rows(layers: DataFrame, scenario: str, difficulty: str, truth_file:
     for name, least in (("strict", 1.0), ("lenient", 0.5)):
         hit = F.col("score") >= least
         own = scoring.confusion(layers, ["layer"], F.col("truth") == 1, hit)
-        times = scoring.time_to_detection(layers, ["layer"], F.col("truth") == 1, hit).groupBy("layer").agg(F.bround(F.avg("ttd"), 3).alias(f"{name}_avg_ttd"))
+        times = scoring.time_to_detection(layers, ["layer"], F.col("truth") == 1, hit, span).groupBy("layer").agg(F.bround(F.avg("ttd"), 3).alias(f"{name}_avg_ttd"))
         ratios = [F.bround(c, 6).alias(f"{name}_{c}") for c in ("precision", "recall", "f1", "fpr")]
         own = own.select("layer", *[F.col(c).alias(f"{name}_{c}") for c in ("tp", "fp", "tn", "fn")], *ratios).join(times, "layer", "left")
         out = own if out is None else out.join(own, "layer")
@@ -125,7 +125,7 @@ def history_rows(layers: DataFrame, scenario: str, difficulty: str, truth_file:
 
 def append_history(rows: DataFrame, path: str) -> None:
     """Appends rows of HISTORY to CSV files; what is null is blank."""
-    rows.select(*[f.name for f in T._parse_datatype_string(HISTORY).fields]).coalesce(1).write.mode("append").option("header", True).csv(path)
+    rows.select(*[f.name for f in T._parse_datatype_string(HISTORY).fields]).repartition(1).write.mode("append").option("header", True).csv(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
