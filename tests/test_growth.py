@@ -41,3 +41,11 @@ def test_time_to_detection_in_parts(spark):
     layers = df.where("truth IS NOT NULL").select("idx", "layer", "truth", F.col("hit").cast("double").alias("score"))
     whole, parts = (bus.history_rows(layers, "s", "easy", "t", "d", "now", *span) for span in ([], [16]))
     assert ordered(whole.toPandas()).equals(ordered(parts.toPandas()))
+
+
+def test_interpolation_looks_ahead_without_a_shrinking_frame(spark):
+    df = spark.createDataFrame([(r, i, float(i * i), i % 7 in (0, 1, 5) or i > 17) for r in (1, 2) for i in range(21)], "run_id long, idx long, frq double, flagged boolean")
+    out = enf.interpolated(df)
+    assert "unboundedfollowing" not in plan(out)
+    clean = [r.clean for r in out.where("run_id = 1").orderBy("idx").collect()]
+    assert clean[:8] == [4.0, 4.0, 4.0, 9.0, 16.0, 26.0, 36.0, 36.0 + 45.0 / 3] and clean[17:] == [17.0**2] * 4

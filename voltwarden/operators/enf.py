@@ -16,7 +16,7 @@ from ..config import Enf
 from .stretches import folded
 
 
-def by_run(df: DataFrame, order: str = "idx") -> WindowSpec:
+def by_run(df: DataFrame, order: str | Column = "idx") -> WindowSpec:
     return Window.partitionBy(*[c for c in ["run_id"] if c in df.columns]).orderBy(order)
 
 
@@ -197,7 +197,8 @@ def interpolated(df: DataFrame, flag: str = "flagged") -> DataFrame:
     w = by_run(df)
     good = F.when(~F.col(flag), F.struct("idx", "frq"))
     left = F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(good, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # the next good one is the last one from the other end: a frame that shrinks would be gone through again for each row
+    right = F.last(good, ignorenulls=True).over(by_run(df, F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, 0))
     both = df.withColumn("__l", left).withColumn("__r", right)
     line = F.col("__l.frq") + (F.col("__r.frq") - F.col("__l.frq")) * F.try_divide(F.col("idx") - F.col("__l.idx"), F.col("__r.idx") - F.col("__l.idx"))
     return both.withColumn("clean", F.when(~F.col(flag), F.col("frq")).otherwise(F.coalesce(line, F.col("__l.frq"), F.col("__r.frq"), F.col("frq")))).drop("__l", "__r")
