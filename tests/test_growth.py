@@ -49,3 +49,29 @@ def test_interpolation_looks_ahead_without_a_shrinking_frame(spark):
     assert "unboundedfollowing" not in plan(out)
     clean = [r.clean for r in out.where("run_id = 1").orderBy("idx").collect()]
     assert clean[:8] == [4.0, 4.0, 4.0, 9.0, 16.0, 26.0, 36.0, 36.0 + 45.0 / 3] and clean[17:] == [17.0**2] * 4
+
+
+def _write_logs(path, n: int) -> None:
+    for node in ("x1c0s0b0n0", "x1c0s1b0n0"):
+        time = lambda i: f"2025-07-17_08:{i // 300:02d}:{i // 5 % 60:02d}.{i % 5 * 200000:06d}"
+        gpu = ["# wattameter", "# reading-time " + " ".join(f"gpu-{i}[{u}]" for u in ("mW", "C") for i in range(4))]
+        gpu += [f"{time(i)} {i * 10} 2000 oops 1 50 51 52 53" if i % 11 == 3 else f"{time(i)} 1 2" if i % 13 == 4 else f"{time(i)} {i * 10} 2000 1 1 50 51 52 53" for i in range(n)]
+        cpu = ["# reading-time " + " ".join(f"cpu-{i}{c}[{u}]" for u in ("uJ", "W") for i in (0, 1) for c in ("", "-core"))]
+        cpu += [f"{time(i)} {(i * 9_000_000_000) % 65_500_000_000} 5 6 7 {i} 90 9 5" for i in range(n)]
+        for kind, lines in (("nvml", gpu), ("rapl", cpu)):
+            (path / f"{kind}_wattameter_{node}.log").write_text("\n".join(lines) + "\n")
+
+
+def test_a_line_is_taken_apart_once(spark, tmp_path):
+    _write_logs(tmp_path, 5)
+    assert len(re.findall("map_from_arrays", plan(logs.nvml(spark, f"{tmp_path}/nvml_*")))) <= 2  # once for the rows, once for their positions
+
+
+def test_node_frames_in_parts(spark, tmp_path, monkeypatch):
+    _write_logs(tmp_path, 100)
+    whole = logs.node_frames(spark, str(tmp_path)).toPandas()
+    monkeypatch.setattr(logs, "LINES", 7)
+    parts = logs.node_frames(spark, str(tmp_path))
+    assert not re.search(r"windowspecdefinition\(node_id#\d+, (__)?pos#", plan(parts))  # no scan of a node's whole series
+    pd.testing.assert_frame_equal(ordered(whole), ordered(parts.toPandas()))
+    assert len(whole) == 18 and whole["cpu-0[uJ]"].max() > 7e11  # readings of 9 kJ each, unwrapped

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .catalog import _SQL_LONG, _SQL_POLLS, SPAN, SQL_ENF, SQL_FRAMES, _episodes, _long, frames, grid, query, sql_cleaned
 from .functions import channels, status
 from .operators import align, attacks, calibrate, enf, scoring, views
+from .operators.spans import positions
 from .sources import bus, logs, scratch
 
 NODES = [f"x1000c0s{i}b0n0" for i in range(4)]
@@ -120,8 +121,7 @@ cpu AS (SELECT node_id, row_number() OVER (PARTITION BY node_id ORDER BY p) AS p
 
 def _logs(spark: SparkSession, sf_dir: str) -> str:
     k = F.col("user_id") % 4
-    p = F.row_number().over(Window.partitionBy("k").orderBy("event_id")) - 1
-    rows = _events(spark, sf_dir).withColumn("k", k).withColumn("p", p.cast("long"))
+    rows = positions(_events(spark, sf_dir).select("event_id", "value", k.alias("k")), ["k"], "event_id", logs.LINES, "p")
     time = F.date_format(F.timestamp_micros(F.lit(1_750_000_000_000_000) + F.col("p") * 200_000), logs.TIME)
     mw = F.when(_i() % 37 == 0, "oops").otherwise(_text(F.floor(_v() * 5000)))
     gpu = F.concat_ws(" ", time, mw, _text(_i() % 500 * 1000), F.lit("1000 1000"), _text(20 + _i() % 60), F.lit("50 51 52"))
@@ -382,7 +382,7 @@ def scenario_305(spark, sf_dir):
 @query(f"""WITH {_SQL_NAMED}, m AS (SELECT max(idx) + 1 AS n FROM named), h AS (SELECT named.*, floor(n * 0.2::DOUBLE)::BIGINT AS lo, floor(n * 0.8::DOUBLE)::BIGINT AS hi, floor(n * 0.01::DOUBLE)::BIGINT AS first, floor(n * (0.01::DOUBLE + 0.05::DOUBLE))::BIGINT - floor(n * 0.01::DOUBLE)::BIGINT AS len FROM named, m)
 SELECT a.idx, a.node_id, a.channel, round(coalesce(b.value, a.value), 6) AS attacked, (b.value IS NOT NULL)::INT AS label FROM h a LEFT JOIN named b ON a.node_id = b.node_id AND a.channel = b.channel AND a.channel LIKE 'gpu%[W]' AND a.value > 450 AND a.idx >= a.lo AND a.idx < a.hi AND b.idx = a.first + (a.idx - a.lo) % greatest(1, a.len)""")
 def scenario_303(spark, sf_dir):
-    """Values over 450 alone are replaced by earlier ones: none of these tables is."""
+    """Values over 450 of GPU power alone are replaced by earlier ones; few tables have any."""
     return _scenario(spark, sf_dir, "303")
 
 

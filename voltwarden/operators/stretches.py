@@ -20,12 +20,6 @@ from ..sources import scratch
 Fold = Callable[[pd.DataFrame, list[float]], tuple[pd.DataFrame, list[float]]]
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = scratch.folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def folded(df: DataFrame, keys: list[str], order: str, span: int, fold: Fold, guess: list[float], schema: str, later: DataFrame | None = None) -> tuple[DataFrame, int]:
     """(what fold gives over each series of df, the number of rounds). guess: the state that a series begins with.
 
@@ -35,7 +29,7 @@ def folded(df: DataFrame, keys: list[str], order: str, span: int, fold: Fold, gu
     """
     own = [*keys, "__part"]
     rows = df.withColumn("__part", F.floor(F.col(order) / span).cast("long"))
-    rows = _kept(rows, "stretches")
+    rows = scratch.kept(rows, "stretches")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema.fields)
     first = F.array(*[F.lit(float(x)) for x in guess]).cast("array<double>")
     before = Window.partitionBy(*keys).orderBy("__part")
@@ -44,7 +38,7 @@ def folded(df: DataFrame, keys: list[str], order: str, span: int, fold: Fold, gu
         second = F.lag("__part").over(before).isNotNull()
         state = state.join(later.select(*keys, "state"), keys, "left").withColumn("entry", F.when(second, F.coalesce("state", first)).otherwise(first)).drop("state")
     state = state.withColumns({ "exit": F.lit(None).cast("array<double>"), "open": F.lit(True)})
-    state, rounds = _kept(state, "states"), 0
+    state, rounds = scratch.kept(state, "states"), 0
 
     def ended(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable")
@@ -55,7 +49,7 @@ def folded(df: DataFrame, keys: list[str], order: str, span: int, fold: Fold, gu
         some = rows.join(state.where("open").select(*own, "entry"), own).groupBy(*own).applyInPandas(ended, f"{kinds}, new array<double>")
         both = state.join(some, own, "left").withColumn("exit", F.coalesce("new", "exit")).drop("new")
         both = both.withColumn("due", F.coalesce(F.lag("exit").over(before), first))
-        state = _kept(both.select(*own, F.col("due").alias("entry"), "exit", (F.col("due") != F.col("entry")).alias("open")), "states")
+        state = scratch.kept(both.select(*own, F.col("due").alias("entry"), "exit", (F.col("due") != F.col("entry")).alias("open")), "states")
         if not state.where("open").limit(1).count():
             break
 

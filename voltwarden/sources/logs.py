@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.channels import host_of
 from ..operators.spans import earlier, positions
+from . import scratch
 
 #: Lines of a file that are numbered in one task.
 LINES = 1 << 20
 TIME = "yyyy-MM-dd_HH:mm:ss.SSSSSS"
 
 
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value, path, part, nth of text files: parts and the lines of each are numbered upwards."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"))
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, line_no, line of text files in file order.
 
     Files of any size are read in parts: a line's place is the offset of its part and its place in that.
     """
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth"))
-    rows = positions(rows, ["path"], "nth", F.col("part"), "line_no")
+    rows = positions(_lines(spark, path), ["path"], "nth", F.col("part"), "line_no")
     return rows.select("path", "line_no", F.col("value").alias("line"))
 
 
@@ -40,13 +45,15 @@ def log_rows(spark: SparkSession, path: str) -> DataFrame:
     The header is the latest line that begins with # and holds reading-time; other comments, blank lines and lines
     shorter than the header are left out. Data before any header raises.
     """
-    lines = numbered_lines(spark, path).withColumn("line", F.trim("line")).where("line <> ''")
+    lines = _lines(spark, path).withColumn("line", F.trim("value"))
     is_header = F.col("line").startswith("#") & F.contains("line", F.lit("reading-time"))
     names = F.split(F.trim(F.regexp_replace("line", "^#+", "")), r"\s+")
-    headed = earlier(lines, ["path"], "line_no", LINES, last={"header": F.when(is_header, names)}).where(~F.col("line").startswith("#"))
+    one = F.lit(1).cast("long")
+    headed = earlier(lines, ["path"], "nth", F.col("part"), sums={"line_no": one}, last={"header": F.when(is_header, names)}).where("line <> '' AND NOT startswith(line, '#')")
     header = F.when(F.col("header").isNull(), F.raise_error(F.concat(F.lit("data before a header in "), F.col("path")))).otherwise(F.col("header"))
-    rows = headed.select("path", "line_no", header.alias("header"), F.split("line", r"\s+").alias("parts")).where("size(parts) >= size(header)")
-    return rows.select("path", "line_no", F.map_from_arrays("header", F.slice("parts", F.lit(1), F.size("header"))).alias("cells"))
+    # filters are not moved to before an explode, so a line is taken apart once, and not again for each cell that one asks for
+    rows = headed.select("path", "line_no", F.inline(F.array(F.struct(header.alias("header"), F.split("line", r"\s+").alias("parts"))))).where("size(parts) >= size(header)")
+    return rows.select("path", "line_no", F.explode(F.array(F.map_from_arrays("header", F.slice("parts", F.lit(1), F.size("header"))))).alias("cells"))
 
 
 def _cell(name: str, scale: float = 1.0) -> Column:
@@ -153,13 +160,16 @@ def node_frames(spark: SparkSession, folder: str, hz: int | None = None, frame_h
     per = max(1, round(rate / frame_hz))
     named = lambda df: df.withColumn("node_id", host_of(F.element_at(F.split("path", "/"), -1)))
     gpu, cpu = named(nvml(spark, [p for _, p, _ in pairs], gpus)), named(rapl(spark, [p for _, _, p in pairs], cpus))
-    w = Window.partitionBy("node_id").orderBy("pos")
-    for c in [c for c in cpu.columns if c.endswith("[uJ]")]:
-        fell = F.when(F.col(f"`{c}`") < F.lag(F.col(f"`{c}`")).over(w) - cfg.wrap_tolerance_uj, 1).otherwise(0)
-        cpu = cpu.withColumn("__fell", fell).withColumn(c, F.col(f"`{c}`") + cfg.wrap_ceiling_uj * F.sum("__fell").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__fell")
+    counters = [c for c in cpu.columns if c.endswith("[uJ]")]
+    gpu, cpu = scratch.kept(gpu, "gpu"), scratch.kept(cpu, "cpu")  # what is scanned more than once is read once
+    at = {c: F.col(f"`{c}`") for c in counters}
+    cpu = earlier(cpu, ["node_id"], "pos", LINES, last={f"__b{k}": c for k, c in enumerate(at.values())})
+    cpu = cpu.withColumns({f"__f{k}": F.when(c < F.col(f"__b{k}") - cfg.wrap_tolerance_uj, 1).otherwise(0) for k, c in enumerate(at.values())})
+    cpu = earlier(cpu, ["node_id"], "pos", LINES, sums={f"__s{k}": F.col(f"__f{k}") for k in range(len(at))})
+    cpu = cpu.withColumns({n: c + cfg.wrap_ceiling_uj * (F.col(f"__s{k}") + F.col(f"__f{k}")) for k, (n, c) in enumerate(at.items())}).drop(*[f"__{x}{k}" for x in "bfs" for k in range(len(at))])
     plain = lambda df: df.withColumnsRenamed({c: c.replace("[", "__").replace("]", "") for c in df.columns})
     values = lambda df: [c for c in df.columns if "__" in c]
     gpu, cpu = plain(gpu), plain(cpu)
-    a, b = tumbling(gpu, per, ["node_id"], values(gpu), "pos"), tumbling(cpu, per, ["node_id"], values(cpu), "pos")
+    a, b = (tumbling(df, per, ["node_id"], values(df), "pos", LINES) for df in (gpu, cpu))
     both = a.join(b, ["node_id", "frame"]).where(F.col("frame") < most)
     return both.withColumnsRenamed({c: c.replace("__", "[") + "]" for c in both.columns if "__" in c})

@@ -19,6 +19,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/voltwarden/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own: what several scans need is computed once."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_texts(lines: DataFrame, path: str) -> str:
     """Writes lines (name, place, value) as one text file a name, in order of place, and gives the folder."""
     spark = lines.sparkSession
