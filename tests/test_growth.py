@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from voltwarden import catalog
+from voltwarden.llm import jaccard, minhash
 from voltwarden.operators import enf, scoring
 from voltwarden.sources import bus, logs
 
@@ -75,3 +76,14 @@ def test_node_frames_in_parts(spark, tmp_path, monkeypatch):
     assert not re.search(r"windowspecdefinition\(node_id#\d+, (__)?pos#", plan(parts))  # no scan of a node's whole series
     pd.testing.assert_frame_equal(ordered(whole), ordered(parts.toPandas()))
     assert len(whole) == 18 and whole["cpu-0[uJ]"].max() > 7e11  # readings of 9 kJ each, unwrapped
+
+
+def test_pairs_within_a_component_are_not_verified(spark):
+    texts = [" ".join(f"w{j}" if j != 7 * i + 3 else f"own{i}" for j in range(300)) for i in range(12)]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rule = jaccard.Rule(85)
+    classes = minhash.describe(given, 3).where("cid IS NOT NULL").select("cid", F.col("doc_id").alias("rep"), "n", "sketch").localCheckpoint()
+    a, b = classes.select(F.col("cid").alias("a")), classes.select(F.col("cid").alias("b"))
+    pairs = a.crossJoin(b).where("a < b").withColumn("far", F.lit(3).cast("long"))  # 66, all of them links
+    labels, left = minhash.nearest_first(pairs, None, given, classes, 3, rule)
+    assert labels.count() == 12 and labels.select("label").distinct().count() == 1 and left.count() == 0

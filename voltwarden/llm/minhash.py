@@ -137,23 +137,32 @@ def with_parity(short: DataFrame, given: DataFrame, classes: DataFrame, size: in
     return common.written(classes.select("cid", "rep", "n").join(sets, "cid"), "parity")
 
 
+def nearest_first(pairs: DataFrame, labels: DataFrame | None, given: DataFrame, classes: DataFrame, size: int, rule: jaccard.Rule) -> tuple[DataFrame, DataFrame]:
+    """(node, label once the most alike other class of each class is verified; the other pairs a, b, far whose classes are still apart).
+
+    A pair within one component changes nothing, so of a large group most pairs are never verified.
+    """
+    ends = pairs.select(F.col("b").alias("x"), "a", "b", "far").unionByName(pairs.select(F.col("a").alias("x"), "a", "b", "far"))
+    first = common.written(ends.groupBy("x").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "first")
+    links = jaccard.verified(first, given, classes, size, rule)
+    labels = connected(links) if labels is None else merged(labels, links)
+    return labels, common.written(jaccard.apart(pairs.join(first, ["a", "b"], "left_anti"), labels), "left")
+
+
 def component_labels(given: DataFrame, classes: DataFrame, size: int, rule: jaccard.Rule) -> DataFrame:
     """node, label of the classes that are linked with another."""
     parts = max(int(given.sparkSession.conf.get("spark.sql.shuffle.partitions")), classes.count() * BANDS // jaccard.PART, 1)
     blocks = band_blocks(classes, parts)
     found = common.written(blocks.groupBy("part").applyInPandas(jaccard.shared_words, jaccard.FOUND), "shared")
     pairs = common.written(near(found.where("NOT hot").select("a", "b").distinct(), classes, rule), "near")
-    # the most alike other class of each class first: most components are whole after that
-    ends = pairs.select(F.col("b").alias("x"), "a", "b", "far").unionByName(pairs.select(F.col("a").alias("x"), "a", "b", "far"))
-    first = common.written(ends.groupBy("x").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "first")
-    labels = connected(jaccard.verified(first, given, classes, size, rule))
-    left = common.written(jaccard.apart(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), labels), "left")
+    labels, left = nearest_first(pairs, None, given, classes, size, rule)
     labels = merged(labels, jaccard.verified(left, given, classes, size, rule))
     short = common.written(left_over(found.where("hot").select("a", "b"), labels), "short")
     if short.limit(1).count():
         own = with_parity(short, given, classes, size)
         rest = common.written(jaccard.near(jaccard.shingle_pairs(short, given, own, size, rule), own, rule), "near")
-        labels = merged(labels, jaccard.verified(rest, given, classes, size, rule))
+        labels, left = nearest_first(rest, labels, given, classes, size, rule)
+        labels = merged(labels, jaccard.verified(left, given, classes, size, rule))
     return labels
 
 
