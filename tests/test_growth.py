@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -87,3 +88,17 @@ def test_pairs_within_a_component_are_not_verified(spark):
     pairs = a.crossJoin(b).where("a < b").withColumn("far", F.lit(3).cast("long"))  # 66, all of them links
     labels, left = minhash.nearest_first(pairs, None, given, classes, 3, rule)
     assert labels.count() == 12 and labels.select("label").distinct().count() == 1 and left.count() == 0
+
+
+def test_a_word_costs_the_same_in_any_number_of_parts():
+    rng = np.random.default_rng(3)
+    words = rng.integers(1, 1 << 62, 3000).astype(np.uint64)
+    few = [(cid, 7, rng.choice(words, 90, replace=False)) for cid in range(1, 10)]
+    long = (1 << 62, 7, rng.integers(1, 1 << 62, 20_000).astype(np.uint64))
+    found = []
+    for parts in (3, 4000):
+        blocks = pd.concat([b.to_pandas() for b in jaccard.blocked(iter([long, *few]), parts)])
+        assert sum(len(v) for c in blocks for v in blocks[c] if c != "part") <= 15 * (20_000 + 9 * 90)
+        pairs = [jaccard.shared_words((k,), g, parts) for k, g in blocks.groupby("part")]
+        found.append(set(pd.concat(pairs)[["a", "b"]].itertuples(index=False, name=None)))
+    assert found[0] == found[1] == {(a, b) for a, _, x in few for b, _, y in few if a < b and set(x.tolist()) & set(y.tolist())}

@@ -40,8 +40,8 @@ from .shingles import WORDS, class_id, mix, shingle_set
 #: part of the join, about; bits of the filter of ids that verification reads texts by; words beyond those that may
 #: differ, in percent of these, so that a class can do without some that are empty or common; classes of a common shingle
 #: that are compared as a block; common shingles of a class that its block knows; parts that the rows of a common shingle
-#: are joined in.
-PAIRS, HELD, PART, FILTER_BITS, SPARE, BLOCK, OWNERS, SALTS = 12, 1 << 20, 1 << 19, 1 << 23, 15, 1024, 8, 16
+#: are joined in; bytes of a word within its part.
+PAIRS, HELD, PART, FILTER_BITS, SPARE, BLOCK, OWNERS, SALTS, KEY = 12, 1 << 20, 1 << 19, 1 << 23, 15, 1024, 8, 16, 5
 _U = np.uint64
 
 
@@ -143,23 +143,24 @@ def describe(df: DataFrame, size: int, rule: Rule) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, n long, cid long, sketch binary, empty array<long>")
 
 
-BLOCKS = "part int, cids binary, runs binary, keys binary, bands binary"
+BLOCKS = "part int, cids binary, keys binary, bands binary"
 
 
 def blocked(keyed: Iterator[tuple[int, int, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
     """Rows of BLOCKS from a task's (class, band, words): the words in blocks by part of the join.
 
+    A word is taken as its part and KEY bytes, so what it costs is the same however many parts there are.
     A word that more than PAIRS of the task's classes share is combined there: one class and a mark (class 0) stand for
-    the others in the block, and a block of part -1 - task lists words and classes of all.
+    the others in the block, and a block of part -1 - task lists words, whole, and classes of all.
     """
-    schema = pa.schema([("part", pa.int32()), ("cids", pa.binary()), ("runs", pa.binary()), ("keys", pa.binary()), ("bands", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("cids", pa.binary()), ("keys", pa.binary()), ("bands", pa.binary())])
     cids: list[int] = []
     bands: list[int] = []
     keys: list[np.ndarray] = []
     held = 0
 
     def blocks() -> pa.RecordBatch:
-        k = np.concatenate(keys)
+        k = np.concatenate(keys) % _U(parts << 8 * KEY)
         lengths = np.array([len(x) for x in keys])
         c, b = np.repeat(np.array(cids, np.int64), lengths), np.repeat(np.array(bands, np.uint8), lengths)
         order = np.argsort(k, kind="stable")
@@ -172,7 +173,7 @@ def blocked(keyed: Iterator[tuple[int, int, np.ndarray]], parts: int) -> Iterato
             firsts = np.zeros(len(k), bool)
             firsts[new] = True
             hot = order[inside]
-            rows.append((-1 - TaskContext.get().partitionId(), c[hot].tobytes(), b"", k[hot].tobytes(), b[hot].tobytes()))
+            rows.append((-1 - TaskContext.get().partitionId(), c[hot].tobytes(), k[hot].tobytes(), b[hot].tobytes()))
             marks = order[new[common_words]]
             keep = np.zeros(len(k), bool)
             keep[order[~inside | firsts]] = True
@@ -180,11 +181,10 @@ def blocked(keyed: Iterator[tuple[int, int, np.ndarray]], parts: int) -> Iterato
         part = (k % _U(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         part, k, c, b = part[order], k[order], c[order], b[order]
+        short = np.ascontiguousarray((k // _U(parts)).view(np.uint8).reshape(-1, 8)[:, :KEY])
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         for lo, hi in zip(edges[:-1], edges[1:]):
-            code = c[lo:hi] * 1
-            start = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(b[lo:hi].astype(np.int16), prepend=-1) != 0))
-            rows.append((int(part[lo]), code[start].tobytes(), np.diff(np.append(start, hi - lo)).astype("<u4").tobytes(), k[lo:hi].tobytes(), b[lo:hi][start].tobytes()))
+            rows.append((int(part[lo]), c[lo:hi].tobytes(), short[lo:hi].tobytes(), b[lo:hi].tobytes()))
         return common.arrow_rows(schema, rows)
 
     for cid, band, words in keyed:
@@ -200,7 +200,7 @@ def blocked(keyed: Iterator[tuple[int, int, np.ndarray]], parts: int) -> Iterato
 
 
 def word_blocks(df: DataFrame, size: int, rule: Rule, parts: int) -> DataFrame:
-    """part, cids, runs, keys, bands: the wide sketches' words of df's texts, a class's once a task."""
+    """part, cids, keys, bands: the wide sketches' words of df's texts, a class's once a task."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         seen: set[int] = set()
@@ -233,14 +233,15 @@ def pair_rows(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return np.unique(both, axis=0)
 
 
-def shared_words(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
-    """Of a part: pairs of classes (a < b) that share a word, and (word, class) of words that many share."""
+def shared(blocks: DataFrame, parts: int) -> DataFrame:
+    """FOUND, written: what the parts of the join say of the blocks."""
+    return common.written(blocks.groupBy("part").applyInPandas(lambda key, rows: shared_words(key, rows, parts), FOUND), "shared")
 
-    def spread(column: pd.Series, kind: str) -> np.ndarray:
-        parts = [np.frombuffer(x, kind) for x in column]
-        return np.concatenate([np.repeat(x, np.frombuffer(r, "<u4")) if r else x for x, r in zip(parts, blocks.runs)])
 
-    k, c, b = np.concatenate([np.frombuffer(x, np.uint64) for x in blocks["keys"]]), spread(blocks.cids, "<i8"), spread(blocks.bands, "u1")
+def shared_words(key: tuple, blocks: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Of a part: pairs of classes (a < b) that share a word, and (word, class) of words that many share."""
+    raw, c, b = (np.frombuffer(b"".join(blocks[x]), kind) for x, kind in (("keys", np.uint8), ("cids", np.int64), ("bands", np.uint8)))
+    k = raw.view(np.uint64) if key[0] < 0 else np.pad(raw.reshape(-1, KEY), ((0, 0), (0, 8 - KEY))).view(np.uint64).ravel() * _U(parts) + _U(key[0])
     if key[0] < 0:  # one task's common words, each with the classes in the task's order: the first stands for the others
         first = np.flatnonzero(np.diff(k, prepend=~k[0]))
         hub = np.repeat(c[first], np.diff(np.append(first, len(k))))
@@ -392,7 +393,7 @@ def component_labels(given: DataFrame, classes: DataFrame, size: int, rule: Rule
     expected = (classes.agg(F.sum("n")).first()[0] or 0) * 3 * (100 - rule.percent) // 100
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), expected // PART, 1)
     blocks = word_blocks(given, size, rule, parts)
-    found = common.written(blocks.groupBy("part").applyInPandas(shared_words, FOUND), "shared")
+    found = shared(blocks, parts)
     pairs = common.written(near(found.where("NOT hot").select("a", "b").distinct(), classes, rule), "near")
     # the nearest other class of each class first: most components are whole after that
     ends = pairs.select(F.col("b").alias("x"), "a", "b", "far").unionByName(pairs.select(F.col("a").alias("x"), "a", "b", "far"))

@@ -70,7 +70,7 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
 
 
 def band_blocks(classes: DataFrame, parts: int) -> DataFrame:
-    """part, cids, runs, keys, bands: the bands of all classes in blocks by part of the join."""
+    """part, cids, keys, bands: the bands of all classes in blocks by part of the join."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         for b in common.slices(batches):
@@ -153,7 +153,7 @@ def component_labels(given: DataFrame, classes: DataFrame, size: int, rule: jacc
     """node, label of the classes that are linked with another."""
     parts = max(int(given.sparkSession.conf.get("spark.sql.shuffle.partitions")), classes.count() * BANDS // jaccard.PART, 1)
     blocks = band_blocks(classes, parts)
-    found = common.written(blocks.groupBy("part").applyInPandas(jaccard.shared_words, jaccard.FOUND), "shared")
+    found = jaccard.shared(blocks, parts)
     pairs = common.written(near(found.where("NOT hot").select("a", "b").distinct(), classes, rule), "near")
     labels, left = nearest_first(pairs, None, given, classes, size, rule)
     labels = merged(labels, jaccard.verified(left, given, classes, size, rule))
