@@ -1,7 +1,9 @@
 """Queries whose cost must grow as their tables do, and conditions that only larger tables meet."""
 
+import os
 import random
 import re
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -9,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from voltwarden import catalog
-from voltwarden.llm import jaccard, minhash
+from voltwarden.llm import jaccard, minhash, quality
 from voltwarden.operators import enf, scoring
 from voltwarden.sources import bus, logs
 
@@ -102,3 +104,11 @@ def test_a_word_costs_the_same_in_any_number_of_parts():
         pairs = [jaccard.shared_words((k,), g, parts) for k, g in blocks.groupby("part")]
         found.append(set(pd.concat(pairs)[["a", "b"]].itertuples(index=False, name=None)))
     assert found[0] == found[1] == {(a, b) for a, _, x in few for b, _, y in few if a < b and set(x.tolist()) & set(y.tolist())}
+
+
+def test_the_classifier_is_not_trained_in_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(quality, "train", lambda bags, y: SimpleNamespace(bias=0.0, pid=os.getpid(), n=len(bags), y=y.tolist()))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert model.pid != os.getpid() and model.n == len(model.y) > 20 and sorted(model.y) == model.y  # in the order in which they were picked

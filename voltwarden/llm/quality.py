@@ -7,6 +7,7 @@ of the attention-weighted passage representation.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, ro
 
     `rows` and `passages` bound how many of them, and how many passages of theirs, are learned from, half of each class,
     chosen by a hash of the id, then of the text; an id counts by its smallest label, whatever its repeats. Tasks make the
-    bags, and the driver gets those that it learns from. The bias is moved by the classes' shares among all labelled ids,
+    bags, and one of them trains on those that are chosen. The bias is moved by the classes' shares among all labelled ids,
     so a score is a probability there. Null labels and labels other than 0
     and 1 don't count; null ids are no labels of a document. Where one class has no labelled document, the model scores all
     alike, by the share of class 1, or 1 where nothing is labelled.
@@ -227,13 +228,30 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 3, held_out: int = 1, ro
             picked.append(r)
     if len({r.y for r in picked}) < 2:
         return constant(counts)
-    wanted = docs.sparkSession.createDataFrame([(r.row,) for r in picked], "row long")
-    got = {r.row: Counts.unpacked(tuple(bytes(r[p]) for p in PARTS)) for r in made.join(F.broadcast(wanted), "row").toLocalIterator()}
-    model = train([got[r.row] for r in picked], np.array([r.y for r in picked]))
+    wanted = docs.sparkSession.createDataFrame([(r.row, i) for i, r in enumerate(picked)], "row long, place int")
+    model = trained(made.join(F.broadcast(wanted), "row"))
     model.bias += float(np.log(counts[1] / counts[0]))
     return model
 
 
+def trained(bags: DataFrame) -> Model:
+    """A model from the bags (place, y, PARTS), a bounded number of them, in the order of place.
+
+    A task trains it: what that takes goes with the task's process, and the driver gets the model alone.
+    """
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for b in common.slices(batches):
+            raw = zip(*[b.column(i).to_pylist() for i in range(2, 2 + len(PARTS))])
+            rows += [(*r[:2], Counts.unpacked(r[2])) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw)]
+        if rows:
+            rows.sort(key=lambda r: r[0])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[2] for r in rows], np.array([r[1] for r in rows])))], pa.binary())], ["model"])
+
+    return pickle.loads(bags.select("place", "y", *PARTS).repartition(1).mapInArrow(learn, "model binary").first().model)
+
+
 PARTS = ["entries", "sizes", "buckets", "times", "dense"]
 
 
