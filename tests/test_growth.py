@@ -112,3 +112,7 @@ def test_the_classifier_is_not_trained_in_the_driver(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
     assert model.pid != os.getpid() and model.n == len(model.y) > 20 and sorted(model.y) == model.y  # in the order in which they were picked
+
+
+def test_frames_of_the_verifier_are_computed_once(spark):
+    assert not any("events.parquet" in f for f in catalog.QUERIES["verify_runs"](spark, SF).inputFiles())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .catalog import SQL_FRAMES, frames, query
 from .config import Enf, Nlr
 from .plans.verify import verify
+from .sources.scratch import kept
 
 NODES = Nlr(
     ceiling_w=150.0, gpu_step_w=40.0, cpu_step_w=40.0, temp_step_c=40.0, recovery_w=10.0, recovery_c=10.0, quiet_frames=10, recovery_run=5,
@@ -91,9 +92,12 @@ SELECT run_id, idx, node_id || '/' || channel, CASE WHEN soft THEN 'suspect' WHE
 
 
 def recorded(spark, sf_dir):
-    """(frequency, readings) of all runs, the frequency with another stream and arrival times, some repeated or late."""
+    """(frequency, readings) of all runs, the frequency with another stream and arrival times, some repeated or late.
+
+    The frames of both are computed once.
+    """
     c, v, i = F.col("channel"), F.col("value"), F.col("idx")
-    rows = frames(spark, sf_dir)
+    rows = kept(frames(spark, sf_dir), "recorded")
     names = {"click": "gpu-0[W]", "view": "gpu-1[W]", "error": "gpu-0[C]", "signup": "cpu-0-core[W]", "purchase": "cpu-0[W]"}
     kind = F.when(c.isin("click", "view"), "gpu_power").when(c == "error", "gpu_temp").otherwise("cpu_power")
     run, at = F.floor(i / 400).cast("long"), i % 400

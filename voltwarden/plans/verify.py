@@ -11,6 +11,7 @@ from ..operators import enf as E
 from ..operators import nlr as N
 from ..operators import verdict as V
 from ..operators.scoring import without_labels
+from ..sources.scratch import kept
 
 KEYS = ["run_id", "idx", "node_id", "channel"]
 
@@ -25,10 +26,10 @@ def _numbered(long: DataFrame) -> DataFrame:
 def node_results(long: DataFrame, cfg: Nlr | None = None) -> DataFrame:
     """KEYS, check_ord, status_rank, code, observed, limit of all node checks, in the verifier's order.
 
-    long: run_id, idx, node_id, channel, kind, is_core, value.
+    long: run_id, idx, node_id, channel, kind, is_core, value. The numbered rows are stored, since every check reads them.
     """
     cfg = cfg or Nlr()
-    rows = _numbered(without_labels(long))
+    rows = kept(_numbered(without_labels(long)), "numbered")
     gpu_w, cpu_w, gpu_c, uj = (rows.where(F.col("kind") == k) for k in ("gpu_power", "cpu_power", "gpu_temp", "cpu_uj"))
     sockets = cpu_w.where("NOT is_core")
     watts = gpu_w.unionByName(cpu_w)
