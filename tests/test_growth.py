@@ -10,10 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from voltwarden import catalog
+from voltwarden import catalog, catalog_verify
 from voltwarden.llm import jaccard, minhash, quality
 from voltwarden.operators import enf, scoring
 from voltwarden.sources import bus, logs
+from voltwarden.streaming import checks
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,3 +117,36 @@ def test_the_classifier_is_not_trained_in_the_driver(spark, monkeypatch):
 
 def test_frames_of_the_verifier_are_computed_once(spark):
     assert not any("events.parquet" in f for f in catalog.QUERIES["verify_runs"](spark, SF).inputFiles())
+
+
+class _Calls:
+    """A state that counts how often it is asked."""
+
+    def __init__(self, count):
+        self.held, self.count = {}, count
+
+    def __getattr__(self, name):
+        def call(key=(), value=None):
+            self.count.append(name)
+            if name in ("get", "getValue"):
+                return self.held.get(key if name == "getValue" else ())
+            if name in ("exists", "containsKey"):
+                return (key if name == "containsKey" else ()) in self.held
+            if name in ("update", "put", "updateValue"):
+                self.held[key if name == "updateValue" else ()] = value if name == "updateValue" else key
+
+        return call
+
+
+def test_a_key_asks_for_its_state_a_few_times():
+    count = []
+    made = checks.NodeChecks(catalog_verify.NODES, ["run_id", "node_id", "channel"], 60.0, 60.0)
+    made.init(SimpleNamespace(getValueState=lambda *a: _Calls(count), getListState=lambda *a: _Calls(count), getMapState=lambda *a: _Calls(count)))
+    made.wake = lambda timers: None
+    rows = pd.DataFrame({"idx": range(40), "value": [float(i % 9 * 10) for i in range(40)], "frame": range(40), "kind": "gpu_power"})
+    told = []
+    for part in (rows[:17], rows[17:]):
+        told += list(made.handleInputRows((1, "n", "c"), iter([part]), None))
+        assert len(count) <= 4
+        count.clear()
+    assert "REPLAY" in set(told[1]["code"])  # with the values that the first part left

@@ -47,5 +47,6 @@ def stream_node_checks(spark, sf_dir):
     _, long = recorded(spark, sf_dir)
     frames = long.select("run_id", "idx").distinct().selectExpr("*", "row_number() OVER (PARTITION BY run_id ORDER BY idx) - 1 AS frame")
     rows = long.join(frames, ["run_id", "idx"]).select("run_id", "node_id", "channel", "kind", F.col("idx").cast("long").alias("idx"), F.col("frame").cast("long").alias("frame"), "value")
+    rows = scratch.kept(rows, "numbered")  # each step reads them
     told = _through(spark, "node-checks", rows.repartition(4, "run_id", "node_id"), lambda s: checks.node_checks(s, NODES))
     return told.where("status_rank = 2").select("run_id", "idx", "node_id", "channel", "check_ord", "code")

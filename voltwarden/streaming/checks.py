@@ -54,7 +54,8 @@ class Accepted:
 
     def block(self, k: int) -> bytearray:
         if k not in self.blocks:
-            self.blocks[k] = bytearray(self.state.getValue((k,))[0]) if self.state.containsKey((k,)) else bytearray(BLOCK // 8)
+            known = self.state.getValue((k,))
+            self.blocks[k] = bytearray(known[0]) if known else bytearray(BLOCK // 8)
         return self.blocks[k]
 
     def check(self, at: int) -> str:
@@ -101,12 +102,11 @@ class NodeChecks(_Keyed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.numbers = handle.getValueState("numbers", "last long, before double, most double, stuck boolean, start double, calm int, inside int, steady boolean, since long")
-        self.recent = handle.getListState("recent", "value double")
+        self.numbers = handle.getValueState("numbers", "last long, before double, most double, stuck boolean, start double, calm int, inside int, steady boolean, since long, recent array<double>")
         self.blocks = handle.getMapState("accepted", "block long", "bits binary", int(1000 * self.keep_s))
 
     def clear(self) -> None:
-        for state in (self.numbers, self.recent, self.blocks):
+        for state in (self.numbers, self.blocks):
             state.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -114,9 +114,9 @@ class NodeChecks(_Keyed):
         return iter(())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n = self.numbers.get() if self.numbers.exists() else (None, None, None, False, 0.0, 0, 0, False, None)
-        last, self.before, self.most, self.stuck, self.start, self.calm, self.inside, self.steady, self.since = n
-        self.seen = [v for (v,) in self.recent.get()] if self.recent.exists() else []
+        n = self.numbers.get() or (None, None, None, False, 0.0, 0, 0, False, None, [])
+        last, self.before, self.most, self.stuck, self.start, self.calm, self.inside, self.steady, self.since, seen = n
+        self.seen = list(seen)
         accepted, out = Accepted(self.blocks, last), []
         rows = pd.concat(list(rows)).sort_values("idx", kind="stable")
         for i, v, frame, kind in zip(rows["idx"].tolist(), rows["value"].tolist(), rows["frame"].tolist(), rows["kind"].tolist()):
@@ -126,8 +126,7 @@ class NodeChecks(_Keyed):
             if order == "ok":
                 self.before = v
         accepted.store()
-        self.numbers.update((accepted.last, self.before, self.most, self.stuck, self.start, self.calm, self.inside, self.steady, self.since))
-        put(self.recent, [(v,) for v in self.seen])
+        self.numbers.update((accepted.last, self.before, self.most, self.stuck, self.start, self.calm, self.inside, self.steady, self.since, self.seen))
         self.wake(timerValues)
         yield self.rows(key, out, self.COLUMNS)
 
