@@ -14,6 +14,8 @@ NODES = Nlr(
     ramp_low_w=10.0, ramp_high_w=90.0, ramp_deadline=5, ramp_run=6, sibling_gpu_w=(0.5, 2.0), sync_step_multiple=2.0,
 )
 GRID = Enf(tolerance_hz=0.02, trusted=0.1, suspect=-0.2, raw_drift_hz=0.004, alt_threshold=0.965)
+#: Decimal places to which a mean is the same in whatever order its values, of up to 100,000, were summed.
+PLACES = 10
 
 _SERIES = "PARTITION BY run_id, node_id, channel ORDER BY idx"
 _SQL_NODES = f"""{SQL_FRAMES}, vf AS (
@@ -94,16 +96,17 @@ SELECT run_id, idx, node_id || '/' || channel, CASE WHEN soft THEN 'suspect' WHE
 def recorded(spark, sf_dir):
     """(frequency, readings) of all runs, the frequency with another stream and arrival times, some repeated or late.
 
-    The frames of both are computed once.
+    The frames of both are computed once. Means are taken to PLACES first: a sum's last bits depend on the order of its
+    rows, and where the 5th place is a tie, or a mean a multiple of 25, they would decide what it is rounded to.
     """
-    c, v, i = F.col("channel"), F.col("value"), F.col("idx")
+    c, v, i = F.col("channel"), F.round("value", PLACES), F.col("idx")
     rows = kept(frames(spark, sf_dir), "recorded")
     names = {"click": "gpu-0[W]", "view": "gpu-1[W]", "error": "gpu-0[C]", "signup": "cpu-0-core[W]", "purchase": "cpu-0[W]"}
     kind = F.when(c.isin("click", "view"), "gpu_power").when(c == "error", "gpu_temp").otherwise("cpu_power")
     run, at = F.floor(i / 400).cast("long"), i % 400
     value = F.when(c == "error", F.floor(v / 25) * 25 + 10.0).otherwise(F.round(v, 4))
     long = rows.select(run.alias("run_id"), at.alias("idx"), "node_id", F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[c].alias("channel"), kind.alias("kind"), (c == "signup").alias("is_core"), value.alias("value"))
-    frq = rows.groupBy(run.alias("run_id"), at.alias("idx")).agg((60 + (F.round(F.avg("value"), 4) - 50) / 1000).alias("frq"))
+    frq = rows.groupBy(run.alias("run_id"), at.alias("idx")).agg((60 + (F.round(F.round(F.avg("value"), PLACES), 4) - 50) / 1000).alias("frq"))
     late = F.when(i % 53 == 7, 4).when(i % 59 == 9, 25).otherwise(0)
     series = frq.select("run_id", "idx", "frq", (F.col("frq") + (i * 7919 % 101 - 50) / 1e4).alias("alt"), (2.0 * i - late).alias("ts"))
     return series, long
